@@ -51,7 +51,7 @@ def extract_or_null(c: Column | str, pattern: str, group: int = 1) -> Column:
 
 def decimal_comma(c: Column | str) -> Column:
     """``"3,5"`` → 3.5; unparsable text → NULL."""
-    return F.try_cast(F.replace(_c(c), F.lit(","), F.lit(".")), "double")
+    return F.replace(_c(c), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def file_name(path: Column | str) -> Column:
@@ -88,7 +88,7 @@ def first_token(c: Column | str, sep: str = "_") -> Column:
 
 def date_or_null(c: Column | str, fmt: str = "ddMMyyyy") -> Column:
     """Strict parse, invalid calendar dates → NULL."""
-    return F.try_to_date(_c(c), F.lit(fmt))
+    return F.try_to_date(_c(c), fmt)
 
 
 # --- M rows ------------------------------------------------------------------
@@ -105,7 +105,7 @@ def safe_ratio(a: Column | str, b: Column | str) -> Column:
 
 def sentinel_number(c: Column | str, sentinel: str = "In situ") -> Column:
     """M2: sentinel text → NULL, otherwise a number or NULL."""
-    return F.try_cast(F.nullif(_c(c), F.lit(sentinel)), "double")
+    return F.nullif(_c(c), F.lit(sentinel)).try_cast("double")
 
 
 def round_half_even(c: Column | str, digits: int = 0) -> Column:

@@ -43,17 +43,17 @@ def completeness(df: DataFrame, cols: Sequence[str] | None = None, digits: int =
     cols = list(cols or df.columns)
     total = F.count(F.lit(1)).alias("__n")
     counts = df.agg(total, *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    long = counts.unpivot(["__n"], cols, "column", "n_missing")
+    long = counts.unpivot(["__n"], cols, "column_name", "n_missing")
     pct = F.bround(F.col("n_missing") / F.col("__n") * 100, digits)
     return (
         long.where(F.col("n_missing") > 0)
         .select(
-            "column",
+            "column_name",
             F.col("n_missing").cast("bigint").alias("n_missing"),
             pct.alias("pct_missing"),
-            F.bround(F.lit(100.0) - pct, digits).alias("pct_complete"),
+            (F.lit(100.0) - pct).alias("pct_complete"),
         )
-        .orderBy(F.desc("pct_missing"), "column")
+        .orderBy(F.desc("pct_missing"), "column_name")
     )
 
 

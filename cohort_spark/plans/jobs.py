@@ -40,3 +40,36 @@ def curate_cohort(meta: DataFrame, on_disk: DataFrame, site_values: Sequence[str
     df = df.withColumnRenamed("anatom_site_general", "anatom_site")  # P3
     df = one_hot(df, "anatom_site", site_values)                  # M7
     return keep_existing(df, on_disk, "isic_id")                  # J4
+
+
+# --------------------------------------------------------------------- X6 ----
+
+from ..functions import clean as C  # noqa: E402
+
+CLINICAL_EXTRA = ["Extra_1", "Extra_2", "Extra_3"]
+
+
+def clean_clinical(raw: DataFrame) -> DataFrame:
+    """X6 stage 1: typed clinical table.
+
+    S5 decimal comma, S3 strip, S4 + D1 date from the ``_DDMMYYYY`` suffix
+    (invalid → NULL), D2 year/month, M2 Breslow sentinel, M1 area and aspect
+    ratio (zero minor diameter → NULL).
+    """
+    df = raw.drop(*[c for c in CLINICAL_EXTRA if c in raw.columns])
+    date = C.date_or_null(C.extract_or_null("Image_ID", r"_(\d{8})$"), "ddMMyyyy")
+    df = df.withColumns({
+        "Age": F.col("Age").try_cast("double"),
+        "Skin_Phototype": F.col("Skin_Phototype").try_cast("int"),
+        "Diameter_major_mm": C.decimal_comma("Diameter_major_mm"),
+        "Diameter_minor_mm": F.col("Diameter_minor_mm").try_cast("double"),
+        "diagnosis": C.strip("diagnosis"),
+        "Date": date,
+    })
+    return df.withColumns({
+        "Year": F.year("Date"),
+        "Month": F.month("Date"),
+        "Breslow_numeric": C.sentinel_number("Breslow_mm", "In situ"),
+        "Area_approx_mm2": C.ellipse_area("Diameter_major_mm", "Diameter_minor_mm"),
+        "Aspect_ratio": C.safe_ratio("Diameter_major_mm", "Diameter_minor_mm"),
+    })

@@ -78,14 +78,20 @@ FROM lineitem
 """
 
 VIEWS["clinical_clean"] = """
-SELECT *,
-  CAST(Age AS DOUBLE) AS Age_num,
-  TRY_CAST(replace(Diameter_major_mm, ',', '.') AS DOUBLE) AS Diameter_major,
-  TRY_CAST(Diameter_minor_mm AS DOUBLE) AS Diameter_minor,
-  trim(diagnosis) AS diagnosis_clean,
-  CAST(try_strptime(nullif(regexp_extract(Image_ID, '_(\\d{8})$', 1), ''), '%d%m%Y') AS DATE) AS Date,
-  TRY_CAST(nullif(Breslow_mm, 'In situ') AS DOUBLE) AS Breslow_numeric
-FROM clinical
+SELECT Patient_ID, TRY_CAST(Age AS DOUBLE) AS Age, Sex, TRY_CAST(Skin_Phototype AS INTEGER) AS Skin_Phototype,
+  Anatomic_Site, Family_History_Melanoma, Image_ID, trim(diagnosis) AS diagnosis, diagnosis_subtype,
+  Melanocytic_Lesion, Benign_Malignant, Diagnostic_Method, dmaj AS Diameter_major_mm, dmin AS Diameter_minor_mm,
+  Clark_Depth, Breslow_mm, Treatment, Date,
+  CAST(year(Date) AS INTEGER) AS Year, CAST(month(Date) AS INTEGER) AS Month,
+  TRY_CAST(nullif(Breslow_mm, 'In situ') AS DOUBLE) AS Breslow_numeric,
+  pi() * (dmaj / 2) * (dmin / 2) AS Area_approx_mm2,
+  CASE WHEN dmin = 0 THEN NULL ELSE dmaj / dmin END AS Aspect_ratio,
+  fo_o, fo_ln, fo_p, fo_s, fo_e, fo_q, fo_d
+FROM (
+  SELECT *, TRY_CAST(replace(Diameter_major_mm, ',', '.') AS DOUBLE) AS dmaj,
+         TRY_CAST(Diameter_minor_mm AS DOUBLE) AS dmin,
+         CAST(try_strptime(nullif(regexp_extract(Image_ID, '_(\\d{8})$', 1), ''), '%d%m%Y') AS DATE) AS Date
+  FROM clinical)
 """
 
 VIEWS["levels"] = """
