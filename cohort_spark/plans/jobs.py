@@ -73,3 +73,12 @@ def clean_clinical(raw: DataFrame) -> DataFrame:
         "Area_approx_mm2": C.ellipse_area("Diameter_major_mm", "Diameter_minor_mm"),
         "Aspect_ratio": C.safe_ratio("Diameter_major_mm", "Diameter_minor_mm"),
     })
+
+
+# --------------------------------------------------------------------- X9 ----
+
+def evaluate_segmentation(target_runs: DataFrame, pred_runs: DataFrame, sizes: DataFrame):
+    """Per-image confusion → six metrics → (summary, long per-image table)."""
+    from ..operators import evaluate
+    per_image = evaluate.metrics(evaluate.confusion(target_runs, pred_runs, sizes))
+    return evaluate.summary(per_image), evaluate.long_scores(per_image)

@@ -1,3 +1,102 @@
-"""Queries."""
+"""Segmentation and detection evaluation queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import evaluate, profile
+from ..sources import standins
+from .catalog import register
+from .q_masks import VM, gt_runs, pred_runs
+
+_CONF_SQL = """
+t AS (SELECT image_id, x, y FROM mask_gt WHERE value > 0),
+p AS (SELECT image_id, x, y FROM mask_pred WHERE value > 0),
+a_t AS (SELECT image_id, count(*) AS area_t FROM t GROUP BY image_id),
+a_p AS (SELECT image_id, count(*) AS area_p FROM p GROUP BY image_id),
+it AS (SELECT t.image_id, count(*) AS inter FROM t JOIN p ON t.image_id = p.image_id AND t.x = p.x AND t.y = p.y
+       GROUP BY t.image_id),
+conf AS (SELECT s.image_id, CAST(coalesce(inter, 0) AS DOUBLE) AS TP,
+                CAST(coalesce(area_p, 0) - coalesce(inter, 0) AS DOUBLE) AS FP,
+                CAST(area_t - coalesce(inter, 0) AS DOUBLE) AS FN,
+                CAST(64 - area_t - coalesce(area_p, 0) + coalesce(inter, 0) AS DOUBLE) AS TN
+         FROM sizes s JOIN a_t ON s.image_id = a_t.image_id LEFT JOIN a_p ON s.image_id = a_p.image_id
+              LEFT JOIN it ON s.image_id = it.image_id),
+m AS (SELECT image_id,
+        (2 * TP + 1e-6) / (2 * TP + FP + FN + 1e-6) AS dice, (TP + 1e-6) / (TP + FP + FN + 1e-6) AS iou,
+        (TP + 1e-6) / (TP + FP + 1e-6) AS precision, (TP + 1e-6) / (TP + FN + 1e-6) AS recall,
+        (TN + 1e-6) / (TN + FP + 1e-6) AS specificity, (TP + TN + 1e-6) / (TP + TN + FP + FN + 1e-6) AS accuracy
+      FROM conf)"""
+
+METRICS = evaluate.METRICS
+
+
+def conf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(gt_runs(spark, sf_dir), pred_runs(spark, sf_dir), standins.image_sizes(spark, sf_dir))
+
+
+def per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.metrics(conf(spark, sf_dir))
+
+
+@register("V1", f"WITH {_CONF_SQL} SELECT image_id, TP, FP, FN, TN FROM conf", VM)
+def q_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-image confusion counts of the predicted vs target mask (from runs)."""
+    return conf(spark, sf_dir)
+
+
+@register("V2", f"WITH {_CONF_SQL} SELECT * FROM m", VM)
+def q_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six per-image metrics with epsilon smoothing."""
+    return per_image(spark, sf_dir)
+
+
+_V3_SQL = f"WITH {_CONF_SQL} " + " UNION ALL ".join(
+    f"SELECT 'mean_{x}' AS metric, avg({x}) AS value, stddev_pop({x}) AS std FROM m" for x in METRICS)
+
+
+@register("V3", _V3_SQL, VM)
+def q_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary (metric, value, std): means with population std, fixed metric order."""
+    return evaluate.summary(per_image(spark, sf_dir))
+
+
+@register("V4", f"WITH {_CONF_SQL} " + " UNION ALL ".join(
+    f"SELECT image_id, '{x}_scores' AS metric, {x} AS value FROM m" for x in METRICS), VM)
+def q_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long per-image results (metric names ``*_scores``)."""
+    return evaluate.long_scores(per_image(spark, sf_dir))
+
+
+@register("X9", _V3_SQL, VM)
+def q_x9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segmentation evaluation job: masks → runs → confusion → metrics → summary report."""
+    from .jobs import evaluate_segmentation
+    summary, _ = evaluate_segmentation(gt_runs(spark, sf_dir), pred_runs(spark, sf_dir),
+                                       standins.image_sizes(spark, sf_dir))
+    return summary
+
+
+@register("G29", f"WITH {_CONF_SQL} " + " UNION ALL ".join(
+    f"SELECT '{x}' AS metric, avg({x}) AS value, stddev_samp({x}) AS std FROM m" for x in METRICS), VM)
+def q_g29(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean ± sample sd per metric (error bars of the report figure)."""
+    return profile.mean_std(evaluate.long_scores(per_image(spark, sf_dir))
+                            .withColumn("metric", F.regexp_replace("metric", "_scores$", "")),
+                            "metric", "value", ddof=1)
+
+
+@register("B13", """
+SELECT a.image_id, a.obj_id AS a_id, b.det_id AS b_id,
+  CASE WHEN (a.w * a.h + b.w * b.h - greatest(0.0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) *
+             greatest(0.0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) > 0
+       THEN greatest(0.0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) *
+            greatest(0.0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) /
+            (a.w * a.h + b.w * b.h - greatest(0.0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) *
+             greatest(0.0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)))
+       ELSE 0.0 END AS iou
+FROM gt_boxes a JOIN detections b ON a.image_id = b.image_id""", ("gt_boxes", "detections"))
+def q_b13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box IoU of every target/detection pair of the same image."""
+    return evaluate.box_iou(standins.gt_boxes(spark, sf_dir), standins.detections(spark, sf_dir))

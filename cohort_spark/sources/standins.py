@@ -249,3 +249,32 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn(
         "lr_history", F.lit(0.005) * F.pow(F.lit(0.1), F.floor((F.col("epochs") - 1) / 15))
     ).withColumn("epochs", F.col("epochs").cast("int"))
+
+
+# --------------------------------------------------------------- listings ----
+
+def image_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image folder listing (path, length): one file per order, some absent,
+    mixed-case extensions and a few non-image files."""
+    k = F.col("o_orderkey")
+    ext = (F.when(_mod(k, 50) == 3, F.lit(".txt"))
+           .when(_mod(k, 10) == 1, F.lit(".JPG"))
+           .when(_mod(k, 10) == 2, F.lit(".png"))
+           .otherwise(F.lit(".jpg")))
+    return (table(spark, sf_dir, "orders")
+            .where(_mod(k, 10) != 7)
+            .select(F.concat(F.lit("file:/data/images/"), k.cast("string"), ext).alias("path"),
+                    F.floor("o_totalprice").cast("bigint").alias("length")))
+
+
+def mask_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask folder listing: ``<id>_segmentation.png`` per distinct lineitem order."""
+    li = table(spark, sf_dir, "lineitem")
+    g = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_linenumber").alias("ln"))
+    ext = F.when(_mod("l_orderkey", 9) == 4, F.lit(".PNG")).otherwise(F.lit(".png"))
+    return g.select(
+        F.concat(F.lit("file:/data/masks/"), F.col("l_orderkey").cast("string"), F.lit("_segmentation"), ext).alias("path"),
+        (F.col("n") * 1000).cast("bigint").alias("length"),
+        (F.lit(600) + F.col("ln") * 10).cast("int").alias("width"),
+        F.lit(450).alias("height"),
+    )
