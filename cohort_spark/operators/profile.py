@@ -119,7 +119,7 @@ def ratio_guarded(n: Column, d: Column) -> Column:
 # ------------------------------------------------------------ quantiles ----
 
 def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
-              method: str = "linear", names: Sequence[str] | None = None) -> DataFrame:
+              method: str = "linear", names: Sequence[str] | None = None, weight: str | None = None) -> DataFrame:
     """Exact quantiles per group without collecting a group.
 
     ``linear`` is numpy/pandas interpolation; ``nearest`` picks the element at
@@ -131,10 +131,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[floa
     keys = list(keys)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     if not keys:
-        out = quantiles(df.withColumn("__all", F.lit(0)), ["__all"], col, probs, method, names)
+        out = quantiles(df.withColumn("__all", F.lit(0)), ["__all"], col, probs, method, names, weight)
         return out.drop("__all")
+    cnt = F.sum(weight) if weight else F.count(F.lit(1))
     vc = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col))) \
-        .groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__c"))
+        .groupBy(*keys, col).agg(cnt.alias("__c"))
     w = Window.partitionBy(*keys).orderBy(col)
     running = F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = vc.select(

@@ -218,3 +218,39 @@ def q_g9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images-per-lesion describe, polars flavour (nearest-rank quantiles)."""
     per_lesion = profile.group_sizes(cohort(spark, sf_dir), ["lesion_id"], "n_imgs")
     return profile.describe(per_lesion, "n_imgs", [], "polars")
+
+
+# --------------------------------------------------------------- figures ----
+
+@register("H2", f"""
+WITH {_BASE_SQL},
+v AS (SELECT target, age_approx AS x FROM final WHERE target IN ({CLASSES_SQL}) AND age_approx IS NOT NULL),
+s AS (SELECT target, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h, min(x) AS mn, max(x) AS mx
+      FROM v GROUP BY target),
+g AS (SELECT target, n, h, mn - 3.0 * h AS lo, mx + 3.0 * h AS hi, unnest(range(200)) AS i FROM s),
+gx AS (SELECT target, CAST(i AS INTEGER) AS i, n, h, lo + (hi - lo) * i / 199 AS x FROM g)
+SELECT gx.target, gx.i, gx.x, sum(exp(-0.5 * ((gx.x - v.x) / gx.h) * ((gx.x - v.x) / gx.h)))
+       / (any_value(gx.n) * any_value(gx.h) * sqrt(2 * pi())) AS density
+FROM gx JOIN v ON gx.target = v.target GROUP BY gx.target, gx.i, gx.x""", ("meta", "meta_t"))
+def q_h2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian density of age per class on a 200-point grid (Scott bandwidth, cut 3)."""
+    from ..operators import figures
+    df = curate.keep_classes(cohort(spark, sf_dir))
+    # the class filter bounds the groups to the four literal classes
+    return figures.kde_grid(df, "age_approx", ["target"], 200, 3.0, bounded_groups=True)
+
+
+@register("H4", f"""
+WITH {_BASE_SQL},
+v AS (SELECT target, age_approx AS x FROM final WHERE age_approx IS NOT NULL),
+q AS (SELECT target, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3
+      FROM v GROUP BY target),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)
+SELECT f.target, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
+  min(x) FILTER (WHERE x BETWEEN lf AND uf) AS whisker_lo, max(x) FILTER (WHERE x BETWEEN lf AND uf) AS whisker_hi,
+  count(*) FILTER (WHERE NOT (x BETWEEN lf AND uf)) AS n_outliers, count(*) AS n
+FROM v JOIN f ON v.target = f.target GROUP BY f.target""", ("meta", "meta_t"))
+def q_h4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violin/box statistics of age per class: quartile lines, whiskers, outliers."""
+    from ..operators import figures
+    return figures.box_stats(cohort(spark, sf_dir), "age_approx", ["target"])

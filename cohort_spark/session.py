@@ -77,3 +77,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(df):
+    """Cut the lineage of a (small or batch-sized) intermediate table.
+
+    The rows are written to the shared checkpoint folder (``spark.checkpoint.dir``)
+    so a lost executor never forces the upstream work to be redone, and the
+    physical partitioning is kept, so later aggregates on the same keys need
+    no shuffle.  The table is persisted for the duration of the write only,
+    so it is computed once.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
