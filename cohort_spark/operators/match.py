@@ -130,11 +130,11 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "id", start: in
     partitions, count rows per partition (one row per partition), turn the
     counts into offsets, and number rows inside each partition.
     """
+    from ..session import materialize
+
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order)
-              .withColumn("__pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()))
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
         "__pid",
@@ -145,3 +145,31 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "id", start: in
     return (ranged.join(F.broadcast(offsets), "__pid")
             .withColumn(name, F.row_number().over(w) + F.col("__off") - 1 + start)
             .drop("__pid", "__off"))
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Sequence[str],
+                 partitions: int | None = None) -> DataFrame:
+    """Cumulative sums of ``values`` per key in ``order`` that stay parallel when
+    one key holds a large share of the rows.
+
+    Rows are range-partitioned on (keys, order) and written to the shared
+    checkpoint folder (so retries see the same partitions); per (partition,
+    key) totals — one row each — become offsets through a window over that
+    small table; each partition then sums only its own rows.  Output columns
+    ``cum_<value>`` are inclusive running sums.
+    """
+    from ..session import materialize
+
+    keys = list(keys)
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sort_cols = [F.col(k) for k in keys] + list(order)
+    ranged = materialize(df.repartitionByRange(n, *sort_cols).withColumn("__pid", F.spark_partition_id()))
+    totals = ranged.groupBy(*keys, "__pid").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    w_small = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__pid", *[F.coalesce(F.sum(f"__t_{v}").over(w_small), F.lit(0)).alias(f"__o_{v}")
+                                              for v in values])
+    w = Window.partitionBy("__pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = ranged.join(offsets, keys + ["__pid"], "inner")
+    return j.select(*[c for c in ranged.columns if c != "__pid"],
+                    *[(F.sum(v).over(w) + F.col(f"__o_{v}")).alias(f"cum_{v}") for v in values])

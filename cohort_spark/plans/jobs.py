@@ -82,3 +82,13 @@ def evaluate_segmentation(target_runs: DataFrame, pred_runs: DataFrame, sizes: D
     from ..operators import evaluate
     per_image = evaluate.metrics(evaluate.confusion(target_runs, pred_runs, sizes))
     return evaluate.summary(per_image), evaluate.long_scores(per_image)
+
+
+def iou_types(has_masks: bool, has_keypoints: bool) -> list[str]:
+    """V6: evaluation kinds for a model: box always, segm with masks, keypoints with keypoints."""
+    kinds = ["bbox"]
+    if has_masks:
+        kinds.append("segm")
+    if has_keypoints:
+        kinds.append("keypoints")
+    return kinds

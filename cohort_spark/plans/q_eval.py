@@ -100,3 +100,30 @@ FROM gt_boxes a JOIN detections b ON a.image_id = b.image_id""", ("gt_boxes", "d
 def q_b13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box IoU of every target/detection pair of the same image."""
     return evaluate.box_iou(standins.gt_boxes(spark, sf_dir), standins.detections(spark, sf_dir))
+
+
+def _coco_inputs(spark: SparkSession, sf_dir: str):
+    d = standins.detections(spark, sf_dir)
+    g = standins.gt_boxes(spark, sf_dir).withColumn("area", F.col("w") * F.col("h"))
+    return d, g
+
+
+@register("V5")
+def q_v5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COCO box evaluation: AP@[.50:.95], AP50, AP75, AP by area, AR@1/10/100, AR by area."""
+    from ..operators import cocoeval
+    d, g = _coco_inputs(spark, sf_dir)
+    return cocoeval.evaluate(d, g)
+
+
+@register("V6")
+def q_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation kinds applied: box always, segm for mask models, keypoints for keypoint models."""
+    return _kinds(spark, sf_dir)
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jobs import iou_types
+    kinds = iou_types(has_masks=True, has_keypoints=False)
+    n = standins.detections(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_predictions"))
+    return n.select(F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"), "n_predictions")
