@@ -248,45 +248,37 @@ def compose(df: DataFrame, *steps) -> DataFrame:
 
 # ----------------------------------------------------------------- B1 ----
 
-def annotations_from_masks(listing: DataFrame, decoded: DataFrame, image_dims: DataFrame | None = None,
-                           threshold: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def annotations_from_masks(files: DataFrame, mask_px: DataFrame, sizes: DataFrame,
+                           image_dims: DataFrame | None = None, threshold: int = 0
+                           ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """COCO tables from a folder of lesion masks.
 
-    ``listing`` (path, id) holds the mask files; image ids are their positions
-    in file-name order from 0 (unreadable files keep their position, so gaps
-    appear); annotation ids count non-empty readable masks from 0 in the same
-    order.  ``decoded`` is ``read_images`` of the same folder; ``image_dims``
-    (id, width, height) of the photographs, falling back to the mask size.
+    ``files`` (id, name) lists every mask file; image ids are positions in
+    file-name order from 0, so unreadable files leave gaps.  ``mask_px``
+    (image_id, x, y, value) and ``sizes`` (image_id, height, width) cover the
+    readable masks only.  Annotation ids count non-empty masks from 0 in the
+    same order; one category.  ``image_dims`` (id, width, height) of the
+    photographs overrides the mask size when present (J6).
     Returns (images, annotations, categories).
     """
-    spark = listing.sparkSession
-    files = dense_index(listing.select("path", "id").withColumn("__name", F.element_at(F.split("path", "/"), -1)),
-                        ["__name"], "image_id", 0)
-    ok = decoded.where(F.col("image.height") >= 0).select(
-        F.col("image_id").alias("id"), F.col("image.width").alias("mw"), F.col("image.height").alias("mh"))
-    readable = files.join(ok, "id", "inner")
-    px = masks.mask_values(decoded.where(F.col("image.height") >= 0), "image_id")
-    fg = masks.foreground(px, threshold)
-    sizes = readable.select(F.col("id").alias("image_id"), F.col("mh").alias("height"), F.col("mw").alias("width"))
+    spark = files.sparkSession
+    numbered = dense_index(files.select("id", "name"), ["name"], "image_id", 0)
+    readable = numbered.join(sizes.withColumnRenamed("image_id", "id"), "id", "inner")
+    fg = masks.foreground(mask_px, threshold)
     runs = masks.encode_runs(fg, sizes)
-    ar = masks.areas(runs, per_object=False).select("image_id", F.col("area").cast("double").alias("area"))
-    bx = masks.boxes(runs).select("image_id", "bbox")
-    seg = masks.coco_counts(runs, sizes).select("image_id", "segmentation")
-    ann = (readable.select(F.col("id").alias("image_id_str"), F.col("image_id"), "__name")
-           .join(ar.withColumnRenamed("image_id", "image_id_str"), "image_id_str")
-           .join(bx.withColumnRenamed("image_id", "image_id_str"), "image_id_str")
-           .join(seg.withColumnRenamed("image_id", "image_id_str"), "image_id_str"))
-    ann = dense_index(ann, ["__name"], "id", 0).select(
-        "id", "image_id", F.lit(LESION_CATEGORY[0]).alias("category_id"), "segmentation", "area", "bbox",
-        F.lit(0).alias("iscrowd"))
-    img_name = F.replace(F.col("__name"), F.lit(".png"), F.lit(".jpg"))
-    images = readable.select("image_id", img_name.alias("file_name"), "mw", "mh", "id")
+    ar = masks.areas(runs, per_object=False).select(F.col("image_id").alias("id"), F.col("area").cast("double"))
+    bx = masks.boxes(runs).select(F.col("image_id").alias("id"), "bbox")
+    seg = masks.coco_counts(runs, sizes).select(F.col("image_id").alias("id"), "segmentation")
+    ann = readable.select("id", "image_id", "name").join(ar, "id").join(bx, "id").join(seg, "id")
+    ann = dense_index(ann, ["name"], "ann_id", 0).select(
+        F.col("ann_id").alias("id"), "image_id", F.lit(LESION_CATEGORY[0]).alias("category_id"), "segmentation",
+        "area", "bbox", F.lit(0).alias("iscrowd"))
+    images = readable.select("id", "image_id", F.replace(F.col("name"), F.lit(".png"), F.lit(".jpg")).alias("file_name"),
+                             "width", "height")
     if image_dims is not None:
         d = image_dims.select(F.col("id").alias("__pid"), F.col("width").alias("__w"), F.col("height").alias("__h"))
-        images = images.join(d, images["id"] == d["__pid"], "left")
-        w, h = F.coalesce("__w", "mw"), F.coalesce("__h", "mh")
-    else:
-        w, h = F.col("mw"), F.col("mh")
-    images = images.select(F.col("image_id").alias("id"), "file_name", w.alias("width"), h.alias("height"))
+        images = images.join(d, images["id"] == d["__pid"], "left").withColumns(
+            {"width": F.coalesce("__w", "width"), "height": F.coalesce("__h", "height")})
+    images = images.select(F.col("image_id").alias("id"), "file_name", "width", "height")
     cats = spark.createDataFrame([LESION_CATEGORY], "id int, name string, supercategory string")
     return images, ann, cats

@@ -92,3 +92,130 @@ def iou_types(has_masks: bool, has_keypoints: bool) -> list[str]:
     if has_keypoints:
         kinds.append("keypoints")
     return kinds
+
+
+# ------------------------------------------------------------- X2 / X3 ----
+
+from ..operators import masks as M  # noqa: E402
+from ..operators import radiomics as RAD  # noqa: E402
+from ..session import materialize  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+
+FEATURE_MASK_THRESHOLD = 127
+
+
+def feature_inputs(images: DataFrame, mask_images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pair decoded images and masks by id and split off the error rows.
+
+    Returns (pixels of good images, ROI pixels, errors(image_id, message)).
+    Error rules: an unreadable image or mask; an all-zero mask; a mask whose
+    values never pass the > 127 feature threshold (the source tests emptiness
+    before thresholding, so such masks fail inside the extractor).
+    """
+    img_ok = images.where(F.col("image.height") >= 0).select("image_id")
+    msk_ok = mask_images.where(F.col("image.height") >= 0).select("image_id")
+    bad_img = images.where(F.col("image.height") < 0).select("image_id", F.lit("Could not read image").alias("message"))
+    bad_msk = mask_images.where(F.col("image.height") < 0).select("image_id", F.lit("Could not read mask").alias("message"))
+    mv = M.mask_values(mask_images, "image_id")
+    stats = mv.groupBy("image_id").agg(F.max("value").alias("mx"))
+    empty = stats.where(F.col("mx") == 0).select("image_id", F.lit("Empty mask (all zeros)").alias("message"))
+    no_roi = stats.where((F.col("mx") > 0) & (F.col("mx") <= FEATURE_MASK_THRESHOLD)).select(
+        "image_id", F.lit("Empty ROI after thresholding at 127").alias("message"))
+    good = img_ok.join(msk_ok, "image_id").join(stats.where(F.col("mx") > FEATURE_MASK_THRESHOLD).select("image_id"),
+                                               "image_id")
+    px = M.pixels_from_images(images.join(good, "image_id", "left_semi"), "image_id")
+    fg = M.foreground(mv.join(good, "image_id", "left_semi"), FEATURE_MASK_THRESHOLD)
+    errors = bad_img.unionByName(bad_msk.join(img_ok, "image_id", "left_semi")).unionByName(
+        empty.join(img_ok, "image_id", "left_semi")).unionByName(no_roi.join(img_ok, "image_id", "left_semi"))
+    return px, fg, errors
+
+
+def extract_features(spark, images_dir: str, masks_dir: str, out_path: str, errors_path: str,
+                     batches: int = 1) -> dict:
+    """Resumable feature extraction.
+
+    Pairs images and masks by stem (J2), skips ids already in ``out_path`` (J3,
+    the output table is the checkpoint), computes the 408 features (R0–R8) and
+    appends them in ``batches`` hash batches of ids (A10) together with the
+    error side output (X2).  A rerun after a failure resumes where the output
+    ends; a rerun after success adds no rows.
+    """
+    images = FS.read_images(spark, images_dir)
+    masks_df = FS.read_images(spark, masks_dir)
+    done = FS.read_id_column_parquet(spark, out_path)
+    todo_ids = images.select("image_id").join(masks_df.select("image_id"), "image_id").join(
+        done, "image_id", "left_anti")
+    names = RAD_feature_columns()
+    counts = {"features": 0, "errors": 0}
+    for b in range(batches):
+        ids = todo_ids.where(F.pmod(F.xxhash64("image_id"), F.lit(batches)) == b) if batches > 1 else todo_ids
+        ids = materialize(ids)
+        img_b = images.join(ids, "image_id", "left_semi")
+        msk_b = masks_df.join(ids, "image_id", "left_semi")
+        px, fg, errors = feature_inputs(img_b, msk_b)
+        wide = RAD.to_wide(RAD.all_features(px, fg), names)
+        wide = materialize(wide)
+        wide.write.mode("append").parquet(out_path)
+        errors = materialize(errors)
+        errors.write.mode("append").parquet(errors_path)
+        counts["features"] += wide.count()
+        counts["errors"] += errors.count()
+    return counts
+
+
+def RAD_feature_columns() -> list[str]:
+    from .q_radiomics import radiomics_feature_columns
+    return radiomics_feature_columns()
+
+
+# ----------------------------------------------------------------- X4 ----
+
+def score_images(images: DataFrame, predict_fn, threshold: float = 0.5) -> DataFrame:
+    """Batch scoring of an image table with a user-supplied model.
+
+    ``predict_fn(pdf) -> Series of probability arrays`` gets a pandas frame of
+    (height, width, gray pixels as a flat array) per Arrow batch and returns the
+    first predicted mask per image (empty array when nothing is detected).
+    The mask is thresholded at 0.5 and stored as runs keyed by the image id;
+    images without a detection keep their row with no runs (area 0 later).
+    """
+    px = M.pixels_from_images(images, "image_id")
+    flat = px.groupBy("image_id").agg(
+        F.first(F.col("image_id")).alias("__id"),
+        F.array_sort(F.collect_list(F.struct("y", "x", "gray"))).alias("__px"))
+    dims = M.image_dims(images, "image_id")
+    src = flat.join(dims, "image_id").select(
+        "image_id", "height", "width", F.transform("__px", lambda s: s["gray"]).alias("pixels"))
+
+    def run(pdf_iter):
+        import numpy as np
+        import pandas as pd
+        for pdf in pdf_iter:
+            probs = predict_fn(pdf)
+            out = []
+            for iid, h, w, pr in zip(pdf["image_id"], pdf["height"], pdf["width"], probs):
+                if pr is None or len(pr) == 0:
+                    continue
+                m = (np.asarray(pr, dtype=float).reshape(h, w) > threshold)
+                ys, xs = np.nonzero(m)
+                out.append(pd.DataFrame({"image_id": iid, "x": xs.astype("int32"), "y": ys.astype("int32")}))
+            yield pd.concat(out) if out else pd.DataFrame({"image_id": pd.Series([], dtype=str),
+                                                           "x": pd.Series([], dtype="int32"),
+                                                           "y": pd.Series([], dtype="int32")})
+
+    fg = src.mapInPandas(run, "image_id string, x int, y int").withColumn("obj_id", F.lit(1))
+    sizes = dims.select("image_id", "height", "width")
+    return M.encode_runs(fg.select("image_id", "obj_id", "x", "y"), sizes)
+
+
+# ------------------------------------------------------------- X7 / X8 ----
+
+def mask_dataset_profile(sample_ids: DataFrame, sizes: DataFrame, mask_px: DataFrame) -> DataFrame:
+    """For sampled images, dimensions, lesion area in px and % (mask > 0),
+    with empty masks counted as area 0 (mask looked up by id, J5)."""
+    runs = M.encode_runs(M.foreground(mask_px.join(sample_ids, "image_id", "left_semi"), 0), sizes)
+    ar = M.areas(runs, per_object=False).select("image_id", "area")
+    s = sizes.join(sample_ids, "image_id", "inner")
+    return s.join(ar, "image_id", "left").select(
+        "image_id", "width", "height", F.coalesce("area", F.lit(0)).cast("bigint").alias("area_px"),
+        (F.coalesce("area", F.lit(0)) / (F.col("width") * F.col("height")) * 100).alias("area_pct"))

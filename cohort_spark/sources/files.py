@@ -90,6 +90,13 @@ def read_id_column(spark: SparkSession, path: str, col: str = "image_id") -> Dat
     return df.select(F.col(col).cast("string").alias(col))
 
 
+def read_id_column_parquet(spark: SparkSession, path: str, col: str = "image_id") -> DataFrame:
+    """A4/A5 for a parquet output table: its ids, or an empty table when absent."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], T.StructType([T.StructField(col, T.StringType())]))
+    return spark.read.parquet(path).select(F.col(col).cast("string").alias(col))
+
+
 def read_parquet_column(spark: SparkSession, path: str, col: str) -> DataFrame:
     """One column of a parquet table (the scan reads only that column)."""
     return spark.read.parquet(path).select(col)
