@@ -128,3 +128,44 @@ def q_i2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROI pixels with the four channels (B, G, R and gray) after masking."""
     fg = masks.foreground(standins.mask_pixels(spark, sf_dir, "gt"), 127).drop("obj_id")
     return standins.images(spark, sf_dir).join(fg, ["image_id", "x", "y"], "left_semi")
+
+
+# --------------------------------------------------------------- jobs ----
+
+@register("X8", """
+WITH files AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(vec_id AS VARCHAR) || '_segmentation.png' AS name
+               FROM embeddings),
+num AS (SELECT id, name, row_number() OVER (ORDER BY name) - 1 AS image_id FROM files),
+fgp AS (SELECT image_id AS id, x, y FROM mask_gt WHERE value > 0),
+per AS (SELECT id, count(*) AS area, min(x) AS bx, min(y) AS by_, max(x) - min(x) + 1 AS bw,
+               max(y) - min(y) + 1 AS bh FROM fgp GROUP BY id)
+SELECT row_number() OVER (ORDER BY name) - 1 AS id, image_id, 1 AS category_id, CAST(area AS DOUBLE) AS area,
+       CAST(bx AS DOUBLE) AS bbox_x, CAST(by_ AS DOUBLE) AS bbox_y, CAST(bw AS DOUBLE) AS bbox_w,
+       CAST(bh AS DOUBLE) AS bbox_h, 0 AS iscrowd
+FROM num JOIN per USING (id)""", VM)
+def q_x8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation export job: one COCO annotation per non-empty mask (ids in file-name order)."""
+    from ..operators import annotations as A
+    sizes = standins.image_sizes(spark, sf_dir)
+    files = sizes.select(F.col("image_id").alias("id"), F.concat("image_id", F.lit("_segmentation.png")).alias("name"))
+    _, anns, _ = A.annotations_from_masks(files, standins.mask_pixels(spark, sf_dir, "gt"), sizes)
+    return anns.select("id", "image_id", "category_id", "area", *[F.col("bbox")[i].alias(n) for i, n in
+                                                                   enumerate(["bbox_x", "bbox_y", "bbox_w", "bbox_h"])],
+                       "iscrowd")
+
+
+@register("X7", """
+WITH s AS (SELECT image_id FROM sizes ORDER BY (((((CAST(image_id AS BIGINT) + 42) % 2147483647) * 48271)
+             % 2147483647) * 48271) % 2147483647, image_id LIMIT 500),
+a AS (SELECT image_id, count(*) AS area FROM mask_gt WHERE value > 0 GROUP BY image_id)
+SELECT s.image_id, 8 AS width, 8 AS height, CAST(coalesce(a.area, 0) AS BIGINT) AS area_px,
+       coalesce(a.area, 0) / 64 * 100 AS area_pct
+FROM s LEFT JOIN a ON s.image_id = a.image_id""", VM)
+def q_x7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask-dataset profile job: seeded sample of 500 images, size and lesion area (px, %)."""
+    from ..operators import sampling
+    from .jobs import mask_dataset_profile
+    sizes = standins.image_sizes(spark, sf_dir)
+    sample = sampling.sample_n(sizes.select("image_id"), 500,
+                               sampling.draw(F.col("image_id").cast("bigint"), 42, "minstd"), "image_id")
+    return mask_dataset_profile(sample, sizes, standins.mask_pixels(spark, sf_dir, "gt"))

@@ -177,3 +177,18 @@ def test_score_images_threshold_model(spark, folder):
     area = {r.image_id: r.area for r in M.areas(runs, per_object=False).collect()}
     px = M.pixels_from_images(imgs).where(F.col("gray") > 127.5).groupBy("image_id").count().collect()
     assert area == {r.image_id: r["count"] for r in px}
+
+
+def test_incremental_extraction_stream(spark, folder):
+    from cohort_spark.streaming import incremental
+
+    root, img_dir, msk_dir, _, _ = folder
+    out, errs = os.path.join(root, "stream-features"), os.path.join(root, "stream-errors")
+    ckpt = os.path.join(root, "stream-ckpt")
+    q = incremental.start(spark, msk_dir, img_dir, out, errs, checkpoint=ckpt, max_files=2)
+    q.awaitTermination(600)
+    assert spark.read.parquet(out).select("image_id").distinct().count() == 2
+    # a restart with the same checkpoint finds nothing new
+    q2 = incremental.start(spark, msk_dir, img_dir, out, errs, checkpoint=ckpt, max_files=2)
+    q2.awaitTermination(600)
+    assert spark.read.parquet(out).count() == 2
