@@ -13,6 +13,7 @@ from ..operators.curate import (
     impute_group_mode, keep_classes, one_hot,
 )
 from ..operators.match import keep_existing
+from ..operators.profile import distinct_values
 
 
 def cohort_before_encoding(meta: DataFrame, classes: Sequence[str] = TARGET_CLASSES) -> DataFrame:
@@ -36,6 +37,12 @@ def curate_cohort(meta: DataFrame, on_disk: DataFrame, site_values: Sequence[str
     selected by metadata but missing on disk are removed with a semi join.
     """
     df = cohort_before_encoding(meta, classes)
+    if site_values is None:
+        # the one-hot header needs the distinct sites; read them from the
+        # filtered rows before the imputation aggregate (sites are not imputed)
+        pre = derive_target(meta.select("anatom_site_general", "melanocytic", "diagnosis_1"))
+        pre = keep_classes(pre, "target", classes).where(F.col("melanocytic").isNotNull())
+        site_values = distinct_values(fill_constant(pre, "anatom_site_general", "unknown"), "anatom_site_general")
     df = fill_constant(df, "anatom_site_general", "unknown")      # N4
     df = df.withColumnRenamed("anatom_site_general", "anatom_site")  # P3
     df = one_hot(df, "anatom_site", site_values)                  # M7

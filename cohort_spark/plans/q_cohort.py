@@ -254,3 +254,52 @@ def q_h4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violin/box statistics of age per class: quartile lines, whiskers, outliers."""
     from ..operators import figures
     return figures.box_stats(cohort(spark, sf_dir), "age_approx", ["target"])
+
+
+# ------------------------------------------------------- small reports ----
+
+@register("G3", f"""SELECT target, count(*) AS count, {sround('count(*) / sum(count(*)) OVER () * 100', 2)} AS pct
+FROM meta_t WHERE target IS NOT NULL GROUP BY target""", ("meta", "meta_t"))
+def q_g3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of all rows per class, rounded to 2 decimals (half to even)."""
+    return profile.share_of_total(curate.derive_target(standins.meta(spark, sf_dir)), "target", 2)
+
+
+@register("G4", f"WITH {_BASE_SQL} SELECT lesion_id, count(*) AS n_imgs FROM final WHERE lesion_id IS NOT NULL "
+          "GROUP BY lesion_id", ("meta", "meta_t"))
+def q_g4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images per lesion (group size on one key, NULL keys dropped)."""
+    return profile.group_sizes(cohort(spark, sf_dir), ["lesion_id"], "n_imgs")
+
+
+@register("G7", f"WITH {_BASE_SQL} SELECT count(DISTINCT lesion_id) AS n_unique_lesion_id, "
+          "count(DISTINCT patient_id) AS n_unique_patient_id FROM final", ("meta", "meta_t"))
+def q_g7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct counts of lesion and patient ids (NULL excluded)."""
+    return profile.n_unique(cohort(spark, sf_dir), ["lesion_id", "patient_id"])
+
+
+@register("P13", f"WITH {_BASE_SQL} SELECT {_FINAL_COLS} FROM final ORDER BY isic_id LIMIT 5", ("meta", "meta_t"))
+def q_p13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preview: the first five rows of the curated cohort by id (a top-k, TakeOrdered)."""
+    return cohort(spark, sf_dir).orderBy("isic_id").limit(5)
+
+
+@register("S1", f"SELECT DISTINCT target, replace(target, '-', chr(10)) AS label FROM meta_t "
+          f"WHERE target IN ({CLASSES_SQL})", ("meta", "meta_t"))
+def q_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axis labels: every '-' of the class name replaced by a line break."""
+    from ..functions.clean import replace_all
+    df = curate.keep_classes(curate.derive_target(standins.meta(spark, sf_dir)))
+    return df.select("target", replace_all("target", "-", "\n").alias("label")).distinct()
+
+
+@register("S8", f"""WITH {_BASE_SQL}
+SELECT format('{{:,}}', count(*)) AS n_total_text, printf('%.2f', count(*) / greatest(count(DISTINCT lesion_id), 1))
+       AS imgs_per_lesion_text FROM final""", ("meta", "meta_t"))
+def q_s8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report number formatting: thousands separators and fixed decimals."""
+    df = cohort(spark, sf_dir)
+    s = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lesion_id").alias("l"))
+    return s.select(F.format_number(F.col("n"), 0).alias("n_total_text"),
+                    F.format_string("%.2f", profile.ratio_guarded(F.col("n"), F.col("l"))).alias("imgs_per_lesion_text"))
