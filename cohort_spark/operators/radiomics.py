@@ -22,11 +22,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .profile import quantiles
 
 # Default extractor settings (no parameter file is passed in the source).
 BIN_WIDTH = 25
@@ -161,8 +160,8 @@ def texture_stats(roi_g: DataFrame, alpha: int = 0) -> DataFrame:
     * ``ngtdm`` (a = level, val = |g − neighbour mean|)
 
     The result is small (bounded by levels² per image and channel) and is
-    written to the shared checkpoint folder so every family reads it back
-    instead of recomputing the pixel-level windows.
+    persisted so every family reads it instead of recomputing the pixel-level
+    windows.
     """
     nb = neighbours(roi_g)
     cnt = F.lit(0)
@@ -188,12 +187,27 @@ def texture_stats(roi_g: DataFrame, alpha: int = 0) -> DataFrame:
         recs.append(rec("glcm", d, p, g, keep=p.isNotNull()))
         recs.append(rec("glcm", d, g, p, keep=p.isNotNull()))
         recs.append(rec("glrlm", d, g, F.col(f"o{d}") - F.col(f"s{d}") + 1, keep=F.col(f"e{d}")))
-    exploded = nb.select(*IC, F.explode(F.filter(F.array(*recs), lambda x: x.isNotNull())).alias("r"))
+    exploded = nb.select(*IC, F.explode(F.array(*recs)).alias("r")).where(F.col("r").isNotNull())
     # the neighbour table is partitioned by image, so this aggregate needs no
     # exchange and its output stays partitioned by image for every family
     stats = exploded.groupBy(*IC, "r.fam", "r.angle", "r.a", "r.b").agg(
         F.count(F.lit(1)).alias("n"), F.sum("r.val").alias("val"))
-    return materialize(stats)
+    # kept in memory/disk for the families that branch from it: the cached
+    # plan keeps its partitioning by image, so no family shuffles again, and a
+    # lost block is recomputed from lineage; ``release()`` frees it
+    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    stats.count()  # fill the cache once, before the families read it in parallel
+    _PERSISTED.append(stats)
+    return stats
+
+
+_PERSISTED: list[DataFrame] = []
+
+
+def release() -> None:
+    """Unpersist the count tables built by ``texture_stats`` (call after writing)."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
 
 
 # ------------------------------------------------------------------ R2 ----

@@ -163,6 +163,7 @@ def extract_features(spark, images_dir: str, masks_dir: str, out_path: str, erro
         wide = RAD.to_wide(RAD.all_features(px, fg), names)
         wide = materialize(wide)
         wide.write.mode("append").parquet(out_path)
+        RAD.release()
         errors = materialize(errors)
         errors.write.mode("append").parquet(errors_path)
         counts["features"] += wide.count()

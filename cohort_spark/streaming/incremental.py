@@ -44,6 +44,7 @@ def _process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, images_
     px, fg, errors = feature_inputs(images, masks)
     wide = RAD.to_wide(RAD.all_features(px, fg), RAD_feature_columns())
     wide.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
+    RAD.release()
     errors.write.mode("overwrite").parquet(os.path.join(errors_path, f"batch={batch_id}"))
 
 
