@@ -21,21 +21,34 @@ def smoothed(log: DataFrame, window: int = WINDOW_SIZE, key: str = "meter", orde
     ``median`` (lower middle, as torch), ``avg``, ``max``, ``value`` (last), and
     ``global_avg = Σ value·n / Σ n`` over the whole history so far.
 
-    The sliding frame is ``rowsBetween(-(window-1), 0)``: each row sees at most
-    ``window`` values, so the per-row array is bounded by the window size.
+    Nothing is ordered inside one task per meter: ranks and running sums come
+    from range partitions with offsets (``match.running_sums``), so a meter
+    holding most of the log is still spread over all tasks.  Rows are then cut
+    into buckets of ``window`` consecutive ranks; each row meets the rows of
+    its own and the previous bucket through an equi-join on (meter, bucket) —
+    at most ``2·window`` partners — and keeps the last ``window`` of them.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    frame = w.rowsBetween(-(window - 1), Window.currentRow)
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.col(weight) if weight else F.lit(1)
-    last = F.sort_array(F.collect_list(value).over(frame))
-    return log.select(
-        key, order, value,
-        F.element_at(last, F.floor((F.size(last) - 1) / 2).cast("int") + 1).alias("median"),
-        F.avg(value).over(frame).alias("avg"),
-        F.max(value).over(frame).alias("max"),
-        (F.sum(F.col(value) * n).over(running) / F.sum(n).over(running)).alias("global_avg"),
-    )
+    from .match import running_sums
+
+    n = F.col(weight).cast("double") if weight else F.lit(1.0)
+    base = log.select(key, order, F.col(value).cast("double").alias(value), n.alias("__w"),
+                      (F.col(value).cast("double") * n).alias("__vw"), F.lit(1).cast("long").alias("__one"))
+    ranked = running_sums(base, [key], [F.col(order)], ["__one", "__w", "__vw"])
+    ranked = ranked.select(key, order, value, F.col("cum___one").alias("__rank"),
+                           (F.col("cum___vw") / F.col("cum___w")).alias("global_avg"),
+                           ((F.col("cum___one") - 1) / window).cast("long").alias("__b"))
+    # partners: rows of the same and the next bucket see this row
+    partners = ranked.select(F.col(key).alias("__k"), F.col("__rank").alias("__pr"), F.col(value).alias("__pv"),
+                             F.explode(F.array(F.col("__b"), F.col("__b") + 1)).alias("__pb"))
+    j = ranked.join(partners, (ranked[key] == partners["__k"]) & (ranked["__b"] == partners["__pb"]), "inner").where(
+        (F.col("__pr") <= F.col("__rank")) & (F.col("__pr") > F.col("__rank") - window))
+    last = F.sort_array(F.collect_list("__pv"))
+    agg = j.groupBy(key, "__rank").agg(
+        F.first(order).alias(order), F.first(value).alias(value), F.first("global_avg").alias("global_avg"),
+        last.alias("__vals"), F.avg("__pv").alias("avg"), F.max("__pv").alias("max"))
+    return agg.select(key, order, value,
+                      F.element_at("__vals", F.floor((F.size("__vals") - 1) / 2).cast("int") + 1).alias("median"),
+                      "avg", "max", "global_avg")
 
 
 def to_long(wide: DataFrame, id_col: str, metrics: Sequence[str], key: str = "meter") -> DataFrame:
