@@ -24,8 +24,6 @@ def histogram(df: DataFrame, col: str, bins: int, keys: Sequence[str] = ()) -> D
     Output: keys…, bin, lo, hi, count.
     """
     keys = list(keys)
-    if not keys:
-        return histogram(df.withColumn("__all", F.lit(0)), col, bins, ["__all"]).drop("__all")
     v = F.col(col).cast("double")
     src = df.where(F.col(col).isNotNull()).select(*keys, v.alias("__x"))
     vc = src.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
@@ -41,7 +39,12 @@ def histogram(df: DataFrame, col: str, bins: int, keys: Sequence[str] = ()) -> D
     edges = edges.select(*keys, "bin", (F.col("__mn") + F.col("bin") * width).alias("lo"),
                          F.when(F.col("bin") == bins - 1, F.col("__mx"))
                          .otherwise(F.col("__mn") + (F.col("bin") + 1) * width).alias("hi"))
-    j = vc.join(rng, keys, "inner")
+    if keys:
+        j = vc.join(rng, keys, "inner")
+    else:
+        # the range is one row: attach it as a scalar subquery instead of a join
+        r = rng.select(F.struct("__mn", "__mx").alias("__r")).scalar()
+        j = vc.select("*", r["__mn"].alias("__mn"), r["__mx"].alias("__mx"))
     b = F.least(F.lit(bins - 1), F.floor((F.col("__x") - F.col("__mn")) / (F.col("__mx") - F.col("__mn")) * bins))
     counts = j.groupBy(*keys, b.cast("int").alias("bin")).agg(F.sum("__c").alias("count"))
     out = edges.join(counts, keys + ["bin"], "left").select(
@@ -60,8 +63,6 @@ def kde_grid(df: DataFrame, col: str, keys: Sequence[str], points: int = 200, cu
     side is never shuffled for the density sum, otherwise AQE chooses.
     """
     keys = list(keys)
-    if not keys:
-        return kde_grid(df.withColumn("__all", F.lit(0)), col, ["__all"], points, cut, True).drop("__all")
     x = F.col(col).cast("double")
     src = df.where(F.col(col).isNotNull() & ~F.isnan(x)).select(*keys, x.alias("__x"))
     vc = src.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__w"))
@@ -77,7 +78,15 @@ def kde_grid(df: DataFrame, col: str, keys: Sequence[str], points: int = 200, cu
                         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     grid = grid.select(*keys, "i", "__n", "__h",
                        (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("i") / (points - 1)).alias("x"))
-    j = vc.join(F.broadcast(grid) if bounded_groups else grid, keys, "inner")
+    if keys:
+        j = vc.join(F.broadcast(grid) if bounded_groups else grid, keys, "inner")
+    else:
+        # one grid: its parameters are a scalar subquery and the points are
+        # generated next to each value, so no join is needed
+        st = stats.select(F.struct("__n", "__h", lo.alias("__lo"), hi.alias("__hi")).alias("__s")).scalar()
+        j = vc.select("*", st["__n"].alias("__n"), st["__h"].alias("__h"),
+                      F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+        j = j.withColumn("x", st["__lo"] + (st["__hi"] - st["__lo"]) * F.col("i") / (points - 1))
     z = (F.col("x") - F.col("__x")) / F.col("__h")
     dens = F.sum(F.col("__w") * F.exp(-0.5 * z * z)) / (F.first("__n") * F.first("__h") * math.sqrt(2 * math.pi))
     return j.groupBy(*keys, "i", "x").agg(dens.alias("density")).orderBy(*keys, "i")
@@ -87,8 +96,6 @@ def box_stats(df: DataFrame, col: str, keys: Sequence[str], whisker: float = 1.5
     """H3/H4: quartiles, whiskers at the last data points inside
     ``[q1 - 1.5·IQR, q3 + 1.5·IQR]``, and the outlier count per group."""
     keys = list(keys)
-    if not keys:
-        return box_stats(df.withColumn("__all", F.lit(0)), col, ["__all"], whisker).drop("__all")
     q = quantiles(df, keys, col, [0.25, 0.5, 0.75], "linear", ["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(*keys, "q1", "median", "q3",
@@ -96,8 +103,12 @@ def box_stats(df: DataFrame, col: str, keys: Sequence[str], whisker: float = 1.5
     x = F.col(col).cast("double")
     vc = (df.where(F.col(col).isNotNull() & ~F.isnan(x)).select(*keys, x.alias("__x"))
           .groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c")))
-    # fences: one row per group; joined on the group key (AQE broadcasts it when small)
-    j = vc.join(fences, keys, "inner")
+    if keys:
+        # fences: one row per group; joined on the group key (AQE broadcasts it when small)
+        j = vc.join(fences, keys, "inner")
+    else:
+        f = fences.select(F.struct("q1", "median", "q3", "__lf", "__uf").alias("__f")).scalar()
+        j = vc.select("*", *[f[c].alias(c) for c in ("q1", "median", "q3", "__lf", "__uf")])
     inside = (F.col("__x") >= F.col("__lf")) & (F.col("__x") <= F.col("__uf"))
     agg = j.groupBy(*keys).agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
@@ -106,7 +117,7 @@ def box_stats(df: DataFrame, col: str, keys: Sequence[str], whisker: float = 1.5
         F.coalesce(F.sum(F.when(~inside, F.col("__c"))), F.lit(0)).cast("bigint").alias("n_outliers"),
         F.sum("__c").cast("bigint").alias("n"),
     )
-    return agg.orderBy(*keys)
+    return agg.orderBy(*keys) if keys else agg
 
 
 def outliers(df: DataFrame, col: str, keys: Sequence[str], whisker: float = 1.5) -> DataFrame:

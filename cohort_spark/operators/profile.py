@@ -120,57 +120,59 @@ def ratio_guarded(n: Column, d: Column) -> Column:
 
 def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
               method: str = "linear", names: Sequence[str] | None = None, weight: str | None = None) -> DataFrame:
-    """Exact quantiles per group without collecting a group.
+    """Exact quantiles per group without gathering a group.
 
     ``linear`` is numpy/pandas interpolation; ``nearest`` picks the element at
     index ``round_half_away((n-1)·q)`` (polars); ``lower`` the element at
-    ``floor((n-1)·q)`` (torch median).  Values are first reduced to
-    (key, value, count) by a partial aggregate; a window over that table gives
-    cumulative counts and a range join picks the ranked elements.
+    ``floor((n-1)·q)`` (torch median).  Values are reduced to (key, value,
+    count) by a partial aggregate; cumulative counts come from range
+    partitions with offsets (``match.running_sums``), so a group holding a
+    third of the rows is still spread over all tasks; each distinct value then
+    emits the quantile positions it covers and one aggregate per group
+    assembles the result.  No join and no single-task ordering.
     """
+    from .match import running_sums
+
     keys = list(keys)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    if not keys:
-        out = quantiles(df.withColumn("__all", F.lit(0)), ["__all"], col, probs, method, names, weight)
-        return out.drop("__all")
     cnt = F.sum(weight) if weight else F.count(F.lit(1))
     vc = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col))) \
-        .groupBy(*keys, col).agg(cnt.alias("__c"))
-    w = Window.partitionBy(*keys).orderBy(col)
-    running = F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = vc.select(
-        *keys, F.col(col).alias("__v"),
-        (running - F.col("__c")).alias("__lo"),
-        running.alias("__hi"),
-    )
-    # group sizes come from a separate partial aggregate (no second window)
-    sizes = vc.groupBy(*keys).agg(F.sum("__c").alias("__n")).select(
-        *keys, "__n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("__pi", "__p"))
-    h = (F.col("__n") - 1) * F.col("__p")
-    if method == "linear":
-        lo_i, hi_i = F.floor(h), F.ceil(h)
-    elif method == "nearest":
-        lo_i = F.floor(h + 0.5)
-        hi_i = lo_i
-    elif method == "lower":
-        lo_i = F.floor(h)
-        hi_i = lo_i
+        .groupBy(*keys, col).agg(cnt.cast("long").alias("__c"))
+    ranked = running_sums(vc, keys, [F.col(col)], ["__c"])
+    if keys:
+        ranked = ranked.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
+        n = F.col("__n")
     else:
-        raise ValueError(f"unknown quantile method {method}")
-    targets = sizes.select(
-        *keys, "__pi", h.alias("__h"), lo_i.cast("bigint").alias("__li"), hi_i.cast("bigint").alias("__hi_i"))
-    r = ranked.select(*keys, "__v", "__lo", "__hi")
-    lo_join = [targets[k].eqNullSafe(r[k]) for k in keys] + [r["__lo"] <= targets["__li"], targets["__li"] < r["__hi"]]
-    t_lo = targets.join(r, lo_join, "inner").select(
-        *[targets[k] for k in keys], "__pi", "__h", "__li", "__hi_i", F.col("__v").alias("__vlo"))
-    r2 = ranked.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__v").alias("__vhi"),
-                       F.col("__lo").alias("__lo2"), F.col("__hi").alias("__hi2"))
-    hi_join = [t_lo[k].eqNullSafe(r2[f"__r_{k}"]) for k in keys] + [r2["__lo2"] <= t_lo["__hi_i"], t_lo["__hi_i"] < r2["__hi2"]]
-    both = t_lo.join(r2, hi_join, "inner")
-    val = F.col("__vlo").cast("double") + (F.col("__h") - F.col("__li")) * (F.col("__vhi").cast("double") - F.col("__vlo").cast("double"))
-    picked = both.select(*keys, "__pi", val.alias("__q"))
-    wide = picked.groupBy(*keys).pivot("__pi", list(range(len(probs)))).agg(F.first("__q"))
-    return wide.select(*keys, *[F.col(str(i)).alias(n) for i, n in enumerate(names)])
+        n = vc.agg(F.sum("__c")).scalar()
+    lo, hi = F.col("cum___c") - F.col("__c"), F.col("cum___c")
+    recs = []
+    for i, p in enumerate(probs):
+        h = (n - 1) * F.lit(float(p))
+        if method == "linear":
+            li, ui = F.floor(h), F.ceil(h)
+        elif method == "nearest":
+            li = F.floor(h + 0.5)
+            ui = li
+        elif method == "lower":
+            li = F.floor(h)
+            ui = li
+        else:
+            raise ValueError(f"unknown quantile method {method}")
+        for side, idx in ((0, li), (1, ui)):
+            rec = F.struct(F.lit(i).alias("k"), F.lit(side).alias("side"), F.col(col).cast("double").alias("v"),
+                           h.cast("double").alias("h"), li.cast("double").alias("li"))
+            recs.append(F.when((lo <= idx) & (idx < hi), rec))
+    e = ranked.select(*keys, F.explode(F.array(*recs)).alias("e")).where(F.col("e").isNotNull())
+
+    def pick(i: int, side: int | None, field: str):
+        cond = F.col("e.k") == i if side is None else (F.col("e.k") == i) & (F.col("e.side") == side)
+        return F.max(F.when(cond, F.col(f"e.{field}")))
+
+    aggs = []
+    for i, name in enumerate(names):
+        vlo, vhi = pick(i, 0, "v"), pick(i, 1, "v")
+        aggs.append((vlo + (pick(i, None, "h") - pick(i, None, "li")) * (vhi - vlo)).alias(name))
+    return e.groupBy(*keys).agg(*aggs)
 
 
 def describe(df: DataFrame, col: str, keys: Sequence[str] = (), flavour: str = "pandas",
@@ -195,13 +197,15 @@ def describe(df: DataFrame, col: str, keys: Sequence[str] = (), flavour: str = "
         F.max(F.when(valid, c)).cast("double").alias("max"),
     ]
     names = list(pct_names or [f"p{int(round(p * 100))}" for p in percentiles])
-    if not keys:
-        out = describe(df.withColumn("__all", F.lit(0)), col, ["__all"], flavour, percentiles, digits, names)
-        return out.drop("__all")
-    base = df.groupBy(*keys).agg(*aggs)
     q = quantiles(df, keys, col, percentiles, "nearest" if flavour == "polars" else "linear", names)
-    out = base.join(q, [base[k].eqNullSafe(q[k]) for k in keys], "left").select(
-        *[base[k] for k in keys], *[c for c in base.columns if c not in keys], *names)
+    if not keys:
+        # one-row statistics: the quantiles enter as one scalar subquery (a struct)
+        qs = q.select(F.struct(*names).alias("__q")).scalar()
+        out = df.agg(*aggs).select("*", *[qs[n].alias(n) for n in names])
+    else:
+        base = df.groupBy(*keys).agg(*aggs)
+        out = base.join(q, [base[k].eqNullSafe(q[k]) for k in keys], "left").select(
+            *[base[k] for k in keys], *[c for c in base.columns if c not in keys], *names)
     order = keys + ["count"] + (["null_count"] if flavour == "polars" else []) + ["mean", "std", "min"] + names + ["max"]
     out = out.select(*order)
     if digits is not None:

@@ -174,15 +174,13 @@ FROM clinical_clean WHERE diagnosis IS NOT NULL GROUP BY diagnosis""", V)
 def q_g14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnosis table: images, first category, share of all rows (1 dp), sorted by images."""
     df = clin(spark, sf_dir)
-    total = df.agg(F.count(F.lit(1)).alias("__total"), F.lit(1).alias("__k"))
+    total = df.agg(F.count(F.lit(1))).scalar()
     g = df.where(F.col("diagnosis").isNotNull()).groupBy("diagnosis").agg(
         F.count("Image_ID").alias("n_images"),
         F.min_by("Benign_Malignant", F.when(F.col("Benign_Malignant").isNotNull(), F.col("file_order"))).alias("category"),
-        F.lit(1).alias("__k"),
     )
-    return (g.join(total, "__k")
-            .select("diagnosis", "n_images", "category",
-                    F.bround(F.col("n_images") / F.col("__total") * 100, 1).alias("pct_total"))
+    return (g.select("diagnosis", "n_images", "category",
+                     F.bround(F.col("n_images") / total * 100, 1).alias("pct_total"))
             .orderBy(F.desc("n_images"), "diagnosis"))
 
 
@@ -361,8 +359,11 @@ def q_g30(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     top = profile.argmax_count(profile.value_counts(df, "diagnosis"), "diagnosis", "count")
     risk = profile.argmax_count(_site_table(spark, sf_dir), "Anatomic_Site", "pct_positive")
-    one = F.lit(1).alias("__k")
-    j = tot.select("*", one).join(top.select("*", one), "__k").join(risk.select("*", one), "__k")
+    # the dominant diagnosis and the riskiest site are one-row results: scalar subqueries
+    t = top.select(F.struct("diagnosis", "count").alias("s")).scalar()
+    r = risk.select(F.struct("Anatomic_Site", "pct_positive").alias("s")).scalar()
+    j = tot.select("*", t["diagnosis"].alias("diagnosis"), t["count"].alias("count"),
+                   r["Anatomic_Site"].alias("Anatomic_Site"), r["pct_positive"].alias("pct_positive"))
     return j.select(
         "n_total", "n_patients",
         profile.ratio_guarded(F.col("n_total"), F.col("n_patients")).alias("imgs_per_patient"),

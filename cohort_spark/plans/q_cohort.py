@@ -193,9 +193,8 @@ def q_w13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("patient_id").isNull()).alias("null_patient_id"),
     )
     per_lesion = profile.group_sizes(df, ["lesion_id"], "n_imgs")
-    multi = per_lesion.agg(F.count_if(F.col("n_imgs") > 1).alias("lesions_multi_image"))
-    one_row = F.lit(1).alias("__k")
-    return summary.select("*", one_row).join(multi.select("*", one_row), "__k").select(
+    multi = per_lesion.agg(F.count_if(F.col("n_imgs") > 1)).scalar()
+    return summary.select("*", multi.alias("lesions_multi_image")).select(
         "n_total", "n_lesions", "n_patients",
         profile.ratio_guarded(F.col("n_total"), F.col("n_lesions")).alias("imgs_per_lesion"),
         profile.ratio_guarded(F.col("n_total"), F.col("n_patients")).alias("imgs_per_patient"),

@@ -94,12 +94,10 @@ def q_x10(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = standins.history(spark, sf_dir)
     es = trainlog.early_stopping(h, patience=PATIENCE)
     s = es.agg(F.max("counter").alias("max_counter"), F.min(F.when(F.col("stop"), F.col("epochs"))).alias("stop_epoch"),
-               F.count(F.lit(1)).alias("n_epochs"), F.lit(1).alias("__k"))
-    bl = trainlog.best_epoch(h, "train_loss", mode="min", last_among_ties=True).select(
-        F.col("epochs").alias("best_loss_epoch"), F.lit(1).alias("__k"))
-    bd = trainlog.best_epoch(h, "val_dice").select(F.col("epochs").alias("best_dice_epoch"), F.lit(1).alias("__k"))
-    return bl.join(bd, "__k").join(s, "__k").select("best_loss_epoch", "best_dice_epoch", "max_counter",
-                                                     "stop_epoch", "n_epochs")
+               F.count(F.lit(1)).alias("n_epochs"))
+    bl = trainlog.best_epoch(h, "train_loss", mode="min", last_among_ties=True).select("epochs").scalar()
+    bd = trainlog.best_epoch(h, "val_dice").select("epochs").scalar()
+    return s.select(bl.alias("best_loss_epoch"), bd.alias("best_dice_epoch"), "max_counter", "stop_epoch", "n_epochs")
 
 
 @register("N9", "SELECT step, meter, value, n FROM train_log WHERE isnan(value) OR isinf(value)", ("train_log",))

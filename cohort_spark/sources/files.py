@@ -190,12 +190,12 @@ def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame,
         annotations.write.mode("overwrite").json(os.path.join(path, "annotations"))
         categories.write.mode("overwrite").json(os.path.join(path, "categories"))
         return
-    one = F.lit(1).alias("__k")
-    i = images.agg(F.collect_list(F.struct(*images.columns)).alias("images"), one)
-    a = annotations.agg(F.collect_list(F.struct(*annotations.columns)).alias("annotations"), one)
-    c = categories.agg(F.collect_list(F.struct(*categories.columns)).alias("categories"), one)
-    doc = i.join(a, "__k").join(c, "__k").select(
+    # three one-row aggregates: annotations and categories enter as scalar subqueries
+    a = annotations.agg(F.collect_list(F.struct(*annotations.columns))).scalar()
+    c = categories.agg(F.collect_list(F.struct(*categories.columns))).scalar()
+    i = images.agg(F.collect_list(F.struct(*images.columns)).alias("images"))
+    doc = i.select(
         F.to_json(F.struct(F.struct(F.lit("lesion masks").alias("description")).alias("info"),
                            F.array().cast("array<string>").alias("licenses"),
-                           "images", "annotations", "categories")).alias("value"))
+                           "images", a.alias("annotations"), c.alias("categories"))).alias("value"))
     doc.coalesce(1).write.mode("overwrite").text(path)
