@@ -14,7 +14,7 @@ THRESHOLD = 0  # annotation / area rule: value > 0 is foreground
 
 _RUNS_SQL = """
 fg AS (SELECT image_id, x, y, x * 8 + y AS p FROM mask_gt WHERE value > 0),
-runs AS (SELECT image_id, 1 AS obj_id, min(p) AS start, count(*) AS len
+runs AS (SELECT image_id, 1 AS obj_id, CAST(min(p) AS BIGINT) AS start, count(*) AS len
          FROM (SELECT *, p - row_number() OVER (PARTITION BY image_id ORDER BY p) AS isl FROM fg)
          GROUP BY image_id, isl)"""
 
@@ -75,7 +75,7 @@ def q_i13(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH u AS (SELECT image_id, x * 8 + y AS p FROM mask_gt WHERE value > 0
            UNION SELECT image_id, x * 8 + y AS p FROM mask_pred WHERE value > 0
              AND image_id IN (SELECT image_id FROM sizes))
-SELECT image_id, 1 AS obj_id, min(p) AS start, count(*) AS len
+SELECT image_id, 1 AS obj_id, CAST(min(p) AS BIGINT) AS start, count(*) AS len
 FROM (SELECT *, p - row_number() OVER (PARTITION BY image_id ORDER BY p) AS isl FROM u) GROUP BY image_id, isl""", VM)
 def q_i14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of two masks into one (merge of overlapping/touching runs)."""
