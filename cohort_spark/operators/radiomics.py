@@ -125,7 +125,7 @@ def firstorder(stats: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------- neighbours ----
 
-def neighbours(roi_g: DataFrame) -> DataFrame:
+def neighbours(roi_g: DataFrame, runs: bool = True) -> DataFrame:
     """Per ROI pixel and direction d ∈ 0..3: previous/next ROI neighbour level
     along the line (``p<d>``/``n<d>``, NULL when the neighbour is outside the
     ROI), the position ``o<d>``, the start position of the current run of equal
@@ -139,6 +139,8 @@ def neighbours(roi_g: DataFrame) -> DataFrame:
         step_next = F.lead(pos).over(w) - F.col(pos)
         prev_g = F.when(step_prev == 1, F.lag("g").over(w))
         out = out.withColumn(f"p{d}", prev_g).withColumn(f"n{d}", F.when(step_next == 1, F.lead("g").over(w)))
+        if not runs:
+            continue
         new_run = F.col(f"p{d}").isNull() | (F.col(f"p{d}") != F.col("g"))
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         # position where the current run started (carried forward along the line)
@@ -148,7 +150,10 @@ def neighbours(roi_g: DataFrame) -> DataFrame:
     return out
 
 
-def texture_stats(roi_g: DataFrame, alpha: int = 0) -> DataFrame:
+ALL_FAMILIES = ("fo", "lvl", "glcm", "glrlm", "gldm", "ngtdm")
+
+
+def texture_stats(roi_g: DataFrame, alpha: int = 0, families: Sequence[str] = ALL_FAMILIES) -> DataFrame:
     """All per-(image, channel) count tables the texture families need, from
     one pass over the neighbour table and one partial/final aggregate:
 
@@ -163,7 +168,8 @@ def texture_stats(roi_g: DataFrame, alpha: int = 0) -> DataFrame:
     persisted so every family reads it instead of recomputing the pixel-level
     windows.
     """
-    nb = neighbours(roi_g)
+    fams = set(families) | {"lvl"}
+    nb = neighbours(roi_g, runs="glrlm" in fams)
     cnt = F.lit(0)
     tot = F.lit(0)
     dep = F.lit(1)
@@ -180,13 +186,20 @@ def texture_stats(roi_g: DataFrame, alpha: int = 0) -> DataFrame:
         return r if keep is None else F.when(keep, r)
 
     g, v = F.col("g"), F.col("v")
-    recs = [rec("fo", -1, v, F.lit(-1)), rec("lvl", -1, g, F.lit(-1)), rec("gldm", -1, g, dep),
-            rec("ngtdm", -1, g, F.lit(-1), F.abs(g - tot / cnt), cnt > 0)]
+    recs = [rec("lvl", -1, g, F.lit(-1))]
+    if "fo" in fams:
+        recs.append(rec("fo", -1, v, F.lit(-1)))
+    if "gldm" in fams:
+        recs.append(rec("gldm", -1, g, dep))
+    if "ngtdm" in fams:
+        recs.append(rec("ngtdm", -1, g, F.lit(-1), F.abs(g - tot / cnt), cnt > 0))
     for d in range(4):
         p = F.col(f"p{d}")
-        recs.append(rec("glcm", d, p, g, keep=p.isNotNull()))
-        recs.append(rec("glcm", d, g, p, keep=p.isNotNull()))
-        recs.append(rec("glrlm", d, g, F.col(f"o{d}") - F.col(f"s{d}") + 1, keep=F.col(f"e{d}")))
+        if "glcm" in fams:
+            recs.append(rec("glcm", d, p, g, keep=p.isNotNull()))
+            recs.append(rec("glcm", d, g, p, keep=p.isNotNull()))
+        if "glrlm" in fams:
+            recs.append(rec("glrlm", d, g, F.col(f"o{d}") - F.col(f"s{d}") + 1, keep=F.col(f"e{d}")))
     exploded = nb.select(*IC, F.explode(F.array(*recs)).alias("r")).where(F.col("r").isNotNull())
     # the neighbour table is partitioned by image, so this aggregate needs no
     # exchange and its output stays partitioned by image for every family
