@@ -127,3 +127,41 @@ def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = iou_types(has_masks=True, has_keypoints=False)
     n = standins.detections(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_predictions"))
     return n.select(F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"), "n_predictions")
+
+
+EPOCHS = (1, 2, 3)
+_EP = ", ".join(f"({e})" for e in EPOCHS)
+
+
+@register("V7", f"""
+WITH ep AS (SELECT e AS epoch FROM (VALUES {_EP}) t(e)),
+p_all AS (SELECT ep.epoch, CAST(vec_id - ep.epoch AS VARCHAR) AS image_id, x, y FROM levels, ep WHERE v > 120),
+t AS (SELECT image_id, x, y FROM mask_gt WHERE value > 0),
+a_t AS (SELECT image_id, count(*) AS area_t FROM t GROUP BY image_id),
+a_p AS (SELECT epoch, image_id, count(*) AS area_p FROM p_all GROUP BY ALL),
+it AS (SELECT p.epoch, t.image_id, count(*) AS inter FROM t JOIN p_all p
+       ON t.image_id = p.image_id AND t.x = p.x AND t.y = p.y GROUP BY ALL),
+conf AS (SELECT ep.epoch, s.image_id, CAST(coalesce(inter, 0) AS DOUBLE) AS TP,
+                CAST(coalesce(area_p, 0) - coalesce(inter, 0) AS DOUBLE) AS FP,
+                CAST(area_t - coalesce(inter, 0) AS DOUBLE) AS FN,
+                CAST(64 - area_t - coalesce(area_p, 0) + coalesce(inter, 0) AS DOUBLE) AS TN
+         FROM sizes s JOIN a_t ON s.image_id = a_t.image_id CROSS JOIN ep
+              LEFT JOIN a_p ON a_p.epoch = ep.epoch AND a_p.image_id = s.image_id
+              LEFT JOIN it ON it.epoch = ep.epoch AND it.image_id = s.image_id)
+SELECT epoch, avg((2 * TP + 1e-6) / (2 * TP + FP + FN + 1e-6)) AS val_dice,
+       avg((TP + 1e-6) / (TP + FP + FN + 1e-6)) AS val_iou, avg((TP + 1e-6) / (TP + FP + 1e-6)) AS val_precision,
+       avg((TP + 1e-6) / (TP + FN + 1e-6)) AS val_recall, avg((TN + 1e-6) / (TN + FP + 1e-6)) AS val_specificity,
+       avg((TP + TN + 1e-6) / (TP + TN + FP + FN + 1e-6)) AS val_accuracy
+FROM conf GROUP BY epoch""", VM)
+def q_v7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation once per epoch → history rows (val_dice … val_accuracy per epoch)."""
+    from ..operators import masks
+    sizes = standins.image_sizes(spark, sf_dir)
+    target = gt_runs(spark, sf_dir)
+    per_image = None
+    for e in EPOCHS:
+        fg = masks.foreground(standins.mask_pixels(spark, sf_dir, "pred", shift=e), 0)
+        m = evaluate.metrics(evaluate.confusion(target, masks.encode_runs(fg, sizes), sizes)).withColumn(
+            "epoch", F.lit(e))
+        per_image = m if per_image is None else per_image.unionByName(m)
+    return evaluate.per_epoch(per_image, "epoch")

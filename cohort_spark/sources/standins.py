@@ -164,7 +164,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mask_pixels(spark: SparkSession, sf_dir: str, which: str = "gt") -> DataFrame:
+def mask_pixels(spark: SparkSession, sf_dir: str, which: str = "gt", shift: int = 1) -> DataFrame:
     """One-channel masks (image_id, x, y, value 0/255).
 
     ``gt``: level of the image itself above ROI_LEVEL; ``pred``: level of the
@@ -172,7 +172,7 @@ def mask_pixels(spark: SparkSession, sf_dir: str, which: str = "gt") -> DataFram
     """
     lv = _levels(spark, sf_dir)
     if which == "pred":
-        lv = lv.withColumn("vec_id", F.col("vec_id") - 1)
+        lv = lv.withColumn("vec_id", F.col("vec_id") - shift)
     return lv.select(
         F.col("vec_id").cast("string").alias("image_id"), "x", "y",
         F.when(F.col("v") > ROI_LEVEL, F.lit(255)).otherwise(F.lit(0)).alias("value"),
