@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +27,8 @@ SQL_SETTINGS = {
     # image_id alone instead of shuffling again.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows with long texts or pixel arrays go to Python in small batches.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -73,6 +77,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that
+    Python functions find it where only the driver has the repository on its path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cohort_package", False):
+        return
+    root = Path(__file__).parent
+    target = os.path.join(tempfile.mkdtemp(prefix="cohort-package-"), "cohort_spark.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, str(Path(root.name) / path.relative_to(root)))
+    sc.addPyFile(target)
+    sc._cohort_package = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
