@@ -15,8 +15,9 @@ are compared:
    alone are verified on the full sets.  Union-find over the true links joins
    nearly all classes that belong together.
 2. Buckets that still hold several components are compared exactly: all their blocks
-   meet, and every pair of different components whose estimate is not clearly too
-   low is verified.  No pair inside a component is looked at again.
+   meet with their full sets, and pairs of different components whose estimate is not
+   clearly too low are verified, the likeliest first, until the two are joined.  Only
+   links leave the task, and no pair inside a component is looked at again.
 
 So the work follows the size of the buckets, not its square, where a bucket is one
 group; and no cap drops a pair.  With 24 bands of five places, a pair at the
@@ -42,7 +43,8 @@ from .components import components
 WIDTH, PLACES, BAND = 5, 120, 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-BLOCK = 512
+#: Classes in a block, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 #: Estimates this far below the threshold are not verified (over 4 deviations).
 MARGIN = 0.15
 _ROUND = np.uint64(56)
@@ -130,21 +132,25 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out - 1 / 256) * (256 / 255)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(columns, signatures) of each run of equal leading ``keys`` columns; a run may
-    go over several batches.  The last column holds the signature bytes."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, numbers: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of equal leading ``keys`` columns; a run may go over
+    several batches.  ``numbers`` columns hold integers, the next one signatures (a
+    matrix), a last one, if any, sets (an array of byte strings)."""
     held: list[list[np.ndarray]] = []
 
-    def give(parts: list) -> tuple[list[np.ndarray], np.ndarray]:
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        return columns[:-1], columns[-1]
+    def give(parts: list) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
-        signature = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), dtype=np.uint8).reshape(n, -1)
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(numbers)]
+        columns.append(np.frombuffer(b"".join(batch.column(numbers).to_pylist()), dtype=np.uint8).reshape(n, -1))
+        if batch.num_columns > numbers + 1:
+            sets = np.empty(n, dtype=object)
+            sets[:] = batch.column(numbers + 1).to_pylist()
+            columns.append(sets)
         change = np.zeros(n, dtype=bool)
         for i in range(keys):
             change[1:] |= columns[i][1:] != columns[i][:-1]
@@ -156,7 +162,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list
             if first and held:
                 yield give(held)
                 held = []
-            held.append([*(c[first:last] for c in columns), signature[first:last]])
+            held.append([c[first:last] for c in columns])
     if held:
         yield give(held)
 
@@ -171,8 +177,7 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     each block by estimate."""
     least = PERCENT / 100 - MARGIN
     found: dict = {}
-    for columns, signature in _groups(batches, 2):
-        node, size = columns[2], columns[3]
+    for _, _, node, size, signature in _groups(batches, 2, 4):
         count = len(node)
         if count < 2:
             continue
@@ -196,23 +201,40 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(found)
 
 
+def _is_link(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, first, second, block, node, n, component, signature): blocks ``first``
-    and ``second`` of a bucket meet -> pairs of different components."""
+    """(bucket, first, second, block, node, n, component, signature, set): blocks
+    ``first`` and ``second`` of a bucket meet -> links between components."""
     least = PERCENT / 100 - MARGIN
     found: dict = {}
-    for columns, signature in _groups(batches, 3):
-        first, second, block, node, size, part = columns[1:]
+    for _, first, second, block, node, size, part, signature, sets in _groups(batches, 3, 7):
         left = np.flatnonzero(block == first[0])
         right = left if first[0] == second[0] else np.flatnonzero(block == second[0])
         if not len(left) or not len(right):
             continue
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
         for i in left.tolist():
             other = right[(part[right] != part[i]) & (100 * np.minimum(size[right], size[i]) >= PERCENT * np.maximum(size[right], size[i]))]
-            if len(other):
-                similar = ((signature[other] == signature[i]).mean(axis=1) - 1 / 256) * (256 / 255)
-                for o in node[other[similar >= least]].tolist():
-                    found[min(node[i], o), max(node[i], o)] = None
+            if not len(other):
+                continue
+            similar = ((signature[other] == signature[i]).mean(axis=1) - 1 / 256) * (256 / 255)
+            other, similar = other[similar >= least], similar[similar >= least]
+            for o in other[np.argsort(-similar, kind="stable")].tolist():
+                x, y = find(int(part[i])), find(int(part[o]))
+                if x != y and _is_link(sets[i], sets[o]):
+                    parent[max(x, y)] = min(x, y)
+                    found[min(node[i], node[o]), max(node[i], node[o])] = None
         if len(found) > 100_000:
             yield _pairs(found)
             found = {}
@@ -222,25 +244,25 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, set of a, set of b) -> the pairs that are links."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        keep = [_is_link(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough.  Only the texts
-    of classes in a pair are read again."""
-    pairs = written(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(classes, "node").select("node", "__dk")
+def _full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, items) of the classes in ``nodes``; only their texts are read again."""
+    wanted = nodes.distinct().join(classes, "node").select("node", "__dk")
     keyed = docs.select(_document_key(id_col, text_col).alias("__dk"), F.col(text_col).alias("__t"))
-    # Copies of a class have one set: any of the rows with this key will do.
+    # Rows with one key have one text, so any of them will do.
     texts = keyed.join(wanted, "__dk").select("node", "__t")
-    sets = written(map_texts(texts, "__t", ["node"], "items binary", lambda: _sets, [pa.binary()])
+    return written(map_texts(texts, "__t", ["node"], "items binary", lambda: _sets, [pa.binary()])
                    .dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
+    pairs = written(pairs.distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = _full_sets(nodes, docs, classes, id_col, text_col)
     return (pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
             .select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint"))
@@ -264,13 +286,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.min(F.struct("__bands", "__sig")).alias("__s")).select(
         *same, "node", "__least", "__dk", "__s.__bands", "__s.__sig"), "classes")
     spread = classes.select("node", "__n", F.explode("__bands").alias("bucket"))
-    shared = written(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("__count"), F.bit_xor(F.xxhash64("node")).alias("__who"))
+    shared = written(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("__count"), F.bit_xor(F.xxhash64("node")).alias("__who"),
+                                                 F.sum("__n").alias("__items"))
                      .where("__count > 1")
+                     .withColumn("__blocks", F.ceil(F.greatest(F.col("__count") / BLOCK, F.col("__items") * 8 / BLOCK_BYTES)).cast("long"))
                      # Buckets with the same classes need one look.
-                     .groupBy("__count", "__who").agg(F.min("bucket").alias("bucket")).drop("__who"), "buckets")
-    members = written(spread.join(shared, "bucket").withColumn("block", F.when(
-        F.col("__count") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("__count") / BLOCK)))
-        .cast("long")).join(classes.select("node", "__sig"), "node").select("bucket", "__count", "block", "node", "__n", "__sig"), "members")
+                     .groupBy("__count", "__who", "__blocks").agg(F.min("bucket").alias("bucket")).select("bucket", "__blocks"), "buckets")
+    members = written(spread.join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("bucket", "node"), F.col("__blocks")))
+                      .join(classes.select("node", "__sig"), "node")
+                      .select("bucket", "__blocks", "block", "node", "__n", "__sig"), "members")
     near = (members.select("bucket", "block", "node", "__n", "__sig").repartition("bucket", "block")
             .sortWithinPartitions("bucket", "block", "node").mapInArrow(_spanning, "a bigint, b bigint"))
     links = written(_verified(near, docs, classes, id_col, text_col), "links")
@@ -278,13 +302,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     rooted = members.join(roots, "node", "left").withColumn("__part", F.coalesce("root", "node"))
     mixed = rooted.groupBy("bucket").agg(F.min("__part").alias("x"), F.max("__part").alias("y")).where("x <> y").select("bucket")
-    blocks = F.when(F.col("__count") <= BLOCK, 1).otherwise(F.ceil(F.col("__count") / BLOCK)).cast("long")
-    meeting = rooted.join(mixed, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    left = written(rooted.join(mixed, "bucket").drop("root"), "mixed-members")
+    sets = _full_sets(left.select("node"), docs, classes, id_col, text_col)
+    meeting = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
     rest = (meeting.select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
-                           "block", "node", "__n", "__part", "__sig")
+                           "block", "node", "__n", "__part", "__sig").join(sets, "node")
+            .select("bucket", "first", "second", "block", "node", "__n", "__part", "__sig", "items")
             .repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second", "block", "node")
             .mapInArrow(_across, "a bigint, b bigint"))
-    more = written(_verified(rest, docs, classes, id_col, text_col), "links")
+    more = written(rest, "links")
     roots = components(links.unionByName(more))
 
     grouped = written(classes.select(*same, "node", "__least").join(roots, "node", "left").select(
