@@ -229,7 +229,7 @@ def load(vocabulary: str) -> PieceEncoder:
 def write_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    vocabulary: str = VOCABULARY, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Encode, order by id and write the segments; the table read back:
-    (part, segment, ids (the documents'), n_ids, data).
+    (part, ids (the documents'), before (ids of the part ahead), n_ids, data).
 
     The range partitioning by id puts the order over all tasks; a partition's
     number is its place in the order.
@@ -238,7 +238,7 @@ def write_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, number = load(vocabulary), TaskContext.get().partitionId(), 0
+        coder, part, before = load(vocabulary), TaskContext.get().partitionId(), 0
         names: list[pa.Array] = []
         held: list[bytes] = []
         size = 0
@@ -248,10 +248,9 @@ def write_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             lengths = np.array([len(x) // 4 for x in held], dtype=np.int64)
             tokens = np.frombuffer(b"".join(held), dtype="<u4")
             return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([number], pa.int32()),
-                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                pa.array([len(tokens)], pa.int64()), pa.array([pack(tokens, lengths)], pa.binary())],
-                names=["part", "segment", "ids", "n_ids", "data"])
+                pa.array([part], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                pa.array([before], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([pack(tokens, lengths)], pa.binary())],
+                names=["part", "ids", "before", "n_ids", "data"])
 
         for batch in batches:
             # Few rows at a time, as a segment may close after any of them.
@@ -263,7 +262,7 @@ def write_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     size += len(ids) // 4 + 1
                 if size >= segment_ids:
                     yield close()
-                    names, held, size, number = [], [], 0, number + 1
+                    names, held, size, before = [], [], 0, before + size
         if held:
             yield close()
 
@@ -271,19 +270,19 @@ def write_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                .repartitionByRange(F.col("__id").asc_nulls_first())
                .sortWithinPartitions(F.col("__id").asc_nulls_first(), F.crc32(F.coalesce("__text", F.lit("")).cast("binary"))))
     return written(ordered.mapInArrow(
-        run, f"part int, segment int, ids array<{kind}>, n_ids bigint, data binary"), "tokens")
+        run, f"part int, ids array<{kind}>, before bigint, n_ids bigint, data binary"), "tokens")
 
 
 def read_segments(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document from the segments: id, start, n_tokens, ids_crc32.
 
-    Offsets come from running sums over the table of segments without their data
-    (one row for each 2^18 ids).
+    The offsets of the parts come from running sums over a table with one row for
+    each written partition, which is small enough to broadcast.
     """
     kind = segments.schema["ids"].dataType.elementType.simpleString()
-    order = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = segments.groupBy("part", "segment").agg(F.sum("n_ids").alias("__n")).select(
-        "part", "segment", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__start"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = segments.groupBy("part").agg(F.sum("n_ids").alias("__n")).select(
+        "part", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,7 +297,8 @@ def read_segments(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
                     names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return segments.join(starts, ["part", "segment"]).select("ids", "data", "__start").mapInArrow(
+    return segments.join(F.broadcast(starts), "part").select(
+        "ids", "data", (F.col("__start") + F.col("before")).alias("__start")).mapInArrow(
         run, f"`{id_col}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
