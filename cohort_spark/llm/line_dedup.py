@@ -6,11 +6,11 @@ document) is equal to it or within one edit (a character changed, added or taken
 away).
 
 1. Equal lines meet by a 128-bit hash; the first of each stays a candidate.
-2. Within one edit, the first or the last half of two lines is equal.  Only lines
-   that share such a half with another line emit deletion variants.
-3. A line is cut into ``SEGMENTS`` parts; one edit touches one of them.  For each
-   part the line emits the hash of the other parts with every deletion variant of
-   this part, so a line of n characters costs n variants of n / SEGMENTS characters.
+2. Within one edit, the first or the last half of two lines is equal.  Lines that
+   share such a half with another are cut into ``SEGMENTS`` parts; one edit touches
+   one of them, so only a part whose surroundings another line shares can hold it.
+3. For each such part the line emits the hash of the other parts with every deletion
+   variant of this part, so the n variants of a line cost n / SEGMENTS characters each.
    Lines that meet with the same place deleted differ in that character; a line
    that meets another's variant as a whole lacks one character.  All that meet are
    within the bound of the earliest, so a minimum for each key does, and no pairs
@@ -76,11 +76,28 @@ def _parts(line: Column, base: Column, extra: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), one)
 
 
-def _variants(line: Column) -> Column:
+def _surroundings(line: Column) -> Column:
+    """Structs (key, kind, s): the line without part s, for parts of the line itself
+    (kind 0) and of a line with one character less (kind 1)."""
+    n = F.length(line)
+
+    def keys(base: Column, kind: int) -> Column:
+        return F.transform(_parts(line, base, kind), lambda p: F.struct(
+            F.xxhash64(base, p["s"], p["rest"]).alias("key"), F.lit(kind).alias("kind"), p["s"].alias("s")))
+
+    return F.concat(keys(n, 0), keys(n - 1, 1))
+
+
+def _variants(line: Column, kinds: list[Column]) -> Column:
     """Structs (key, role): role 0 meets its like, role 1 is a whole line that
-    meets role 2, a line with one character taken away."""
+    meets role 2, a line with one character taken away.  ``kinds`` holds the numbers
+    of the parts to look at, of kind 0 and of kind 1."""
     n = F.length(line)
 
+    def some(kind: int) -> Column:
+        parts = _parts(line, n - kind, kind)
+        return F.filter(parts, lambda p: F.array_contains(kinds[kind], p["s"]))
+
     def places(p: Column) -> Column:
         return F.when(p["size"] > 0, F.sequence(F.lit(1), p["size"])).otherwise(F.array().cast("array<int>"))
 
@@ -90,10 +107,10 @@ def _variants(line: Column) -> Column:
     def row(role: int, *key: Column) -> Column:
         return F.struct(F.xxhash64(*key).alias("key"), F.lit(role).alias("role"))
 
-    changed = F.flatten(F.transform(_parts(line, n, 0), lambda p: F.transform(
+    changed = F.flatten(F.transform(some(0), lambda p: F.transform(
         places(p), lambda i: row(0, F.lit("changed"), n, p["start"] + i, p["rest"], *cut(p, i)))))
-    whole = F.transform(_parts(line, n, 0), lambda p: row(1, F.lit("less"), n, p["s"], p["rest"], p["part"]))
-    less = F.flatten(F.transform(_parts(line, n - 1, 1), lambda p: F.transform(
+    whole = F.transform(some(0), lambda p: row(1, F.lit("less"), n, p["s"], p["rest"], p["part"]))
+    less = F.flatten(F.transform(some(1), lambda p: F.transform(
         places(p), lambda i: row(2, F.lit("less"), n - 1, p["s"], p["rest"], F.concat(*cut(p, i))))))
     return F.concat(changed, whole, less)
 
@@ -118,7 +135,12 @@ def near_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
         F.col("w.__h2").alias("__h2"),
         F.btrim(F.get(F.split("__text", "\n"), F.col("w.__no")), F.lit(_SPACE)).alias("__line"))
         .dropDuplicates(["__h1", "__h2"]), "suspect-lines")
-    emitted = texts.select("__at", F.inline(_variants(F.col("__line"))))
+    around = texts.select("__at", F.inline(_surroundings(F.col("__line"))))
+    common = around.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    kinds = [F.collect_list(F.when(F.col("kind") == k, F.col("s"))).alias(f"k{k}") for k in (0, 1)]
+    places = around.join(common, "key", "left_semi").groupBy("__at").agg(*kinds)
+    emitted = texts.join(places, "__at").select(
+        "__at", F.inline(_variants(F.col("__line"), [F.col("k0"), F.col("k1")])))
     met = Window.partitionBy("key")
 
     def earliest(role: int) -> Column:
