@@ -128,8 +128,9 @@ def near_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
     at = suspects.select(F.col("__first.__id").alias("__id"), F.col("__first.__dk").alias("__dk"),
                          F.col("__first.__no").alias("__no"), "__h1", "__h2").groupBy("__dk").agg(
         F.collect_list(F.struct("__no", "__h1", "__h2")).alias("__wanted"))
-    # Whole texts meet the numbers of their suspect lines; the lines are cut after that.
-    texts = written(lines.join(at, "__dk").select(
+    # Whole texts meet the numbers of their suspect lines; the lines are cut after
+    # that.  What meets the texts grows with the input, so one strategy for all sizes.
+    texts = written(lines.join(at.hint("merge"), "__dk").select(
         F.col("__id"), "__dk", F.explode("__wanted").alias("w"), "__text").select(
         F.struct("__id", "__dk", F.col("w.__no").alias("__no")).alias("__at"), F.col("w.__h1").alias("__h1"),
         F.col("w.__h2").alias("__h2"),
@@ -180,7 +181,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     numbers of the lines taken out of each document."""
     gone = dropped_lines(docs, id_col, text_col)
     none = F.array().cast("array<int>")
-    joined = docs.withColumn("__dk", _document_key(id_col, text_col)).join(gone, "__dk", "left").withColumns({
+    joined = docs.withColumn("__dk", _document_key(id_col, text_col)).join(gone.hint("merge"), "__dk", "left").withColumns({
         "__exact": F.coalesce("__exact", none), "__near": F.coalesce("__near", none)})
     out = F.concat("__exact", "__near")
     kept = F.when(F.size(out) == 0, F.col(text_col)).otherwise(F.array_join(
