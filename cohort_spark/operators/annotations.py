@@ -167,12 +167,11 @@ def hflip(df: DataFrame, width: str = "width", flip_index: Sequence[int] | None
 def random_hflip(df: DataFrame, p: float = 0.5, seed: int = 42, key: str = "image_id", **kw) -> DataFrame:
     """B12 with a seeded per-image decision (probability ``p``)."""
     flip = uniform(F.col(key), seed, 12) < p
-    tagged = df.withColumns({"__flip": flip, "__ox1": F.col("x1"), "__ox2": F.col("x2")})
+    touched = ["x1", "x2", *([kw["keypoints"]] if kw.get("keypoints") else [])]
+    tagged = df.withColumns({"__flip": flip, **{f"__o_{c}": F.col(c) for c in touched}})
     f = hflip(tagged, **kw)
-    return f.withColumns({
-        "x1": F.when(F.col("__flip"), F.col("x1")).otherwise(F.col("__ox1")),
-        "x2": F.when(F.col("__flip"), F.col("x2")).otherwise(F.col("__ox2")),
-    }).drop("__flip", "__ox1", "__ox2")
+    return f.withColumns({c: F.when(F.col("__flip"), F.col(c)).otherwise(F.col(f"__o_{c}")) for c in touched}) \
+        .drop("__flip", *[f"__o_{c}" for c in touched])
 
 
 def zoom_out(df: DataFrame, p: float = 0.5, side_range: tuple[float, float] = (1.0, 4.0), seed: int = 42,

@@ -32,7 +32,8 @@ def reconcile(selected: DataFrame, on_disk: DataFrame, key: str = "id") -> DataF
     """Full outer join of selected ids with ids on disk → one row per id with
     ``status`` kept / missing (selected, not on disk) / unused (on disk only)."""
     s = selected.select(F.col(key).alias("__sid")).distinct()
-    d = on_disk.select(F.col(key).alias("__did"), F.col("length"))
+    # One file for each id, the smallest, where two extensions share a stem.
+    d = on_disk.groupBy(F.col(key).alias("__did")).agg(F.min("length").alias("length"))
     j = s.join(d, s["__sid"] == d["__did"], "full_outer")
     status = (F.when(F.col("__sid").isNotNull() & F.col("__did").isNotNull(), F.lit(KEPT))
               .when(F.col("__sid").isNotNull(), F.lit(MISSING))
@@ -148,7 +149,7 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "id", start: in
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Sequence[str],
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, with_totals: bool = False) -> DataFrame:
     """Cumulative sums of ``values`` per key in ``order`` that stay parallel when
     one key holds a large share of the rows.
 
@@ -156,7 +157,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], va
     checkpoint folder (so retries see the same partitions); per (partition,
     key) totals — one row each — become offsets through a window over that
     small table; each partition then sums only its own rows.  Output columns
-    ``cum_<value>`` are inclusive running sums.
+    ``cum_<value>`` are inclusive running sums; ``with_totals`` adds
+    ``total_<value>``, the sum over the key, from the same small table.
     """
     from ..session import materialize
 
@@ -167,9 +169,16 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], va
     ranged = materialize(df.repartitionByRange(n, *sort_cols).withColumn("__pid", F.spark_partition_id()))
     totals = ranged.groupBy(*keys, "__pid").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
     w_small = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__pid", *[F.coalesce(F.sum(f"__t_{v}").over(w_small), F.lit(0)).alias(f"__o_{v}")
-                                              for v in values])
+    w_key = Window.partitionBy(*keys)
+    offsets = totals.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__pid").alias("__p"),
+        *[F.coalesce(F.sum(f"__t_{v}").over(w_small), F.lit(0)).alias(f"__o_{v}") for v in values],
+        *[F.sum(f"__t_{v}").over(w_key).alias(f"total_{v}") for v in values])
     w = Window.partitionBy("__pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = ranged.join(offsets, keys + ["__pid"], "inner")
+    same = F.col("__pid") == F.col("__p")
+    for k in keys:  # a NULL key is a group like any other
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    j = ranged.join(offsets, same)
     return j.select(*[c for c in ranged.columns if c != "__pid"],
-                    *[(F.sum(v).over(w) + F.col(f"__o_{v}")).alias(f"cum_{v}") for v in values])
+                    *[(F.sum(v).over(w) + F.col(f"__o_{v}")).alias(f"cum_{v}") for v in values],
+                    *([F.col(f"total_{v}") for v in values] if with_totals else []))

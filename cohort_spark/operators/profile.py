@@ -138,10 +138,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[floa
     cnt = F.sum(weight) if weight else F.count(F.lit(1))
     vc = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col))) \
         .groupBy(*keys, col).agg(cnt.cast("long").alias("__c"))
-    ranked = running_sums(vc, keys, [F.col(col)], ["__c"])
+    ranked = running_sums(vc, keys, [F.col(col)], ["__c"], with_totals=bool(keys))
     if keys:
-        ranked = ranked.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
-        n = F.col("__n")
+        n = F.col("total___c")
     else:
         n = vc.agg(F.sum("__c")).scalar()
     lo, hi = F.col("cum___c") - F.col("__c"), F.col("cum___c")

@@ -52,19 +52,31 @@ CLINICAL_COLUMNS = [
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True) -> DataFrame:
     """CSV with a header; with ``schema`` no inference pass is made.
-    Columns are matched by name when a header and schema are both given."""
-    r = spark.read.option("header", header).option("enforceSchema", False)
-    return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
+
+    With a header the columns are matched by name: the file may hold more columns,
+    and in another order.  A column that the file lacks is an error."""
+    if schema is None:
+        return spark.read.option("header", header).option("inferSchema", True).csv(path)
+    if not header:
+        return spark.read.schema(schema).csv(path)
+    names = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema if f.name not in names]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} among {', '.join(names)}")
+    known = {f.name: f.dataType for f in schema}
+    full = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
+    return spark.read.option("header", True).schema(full).csv(path).select(*[f.name for f in schema])
 
 
 def read_banner_csv(spark: SparkSession, path: str, columns: Sequence[str] = CLINICAL_COLUMNS,
-                    header_value: str | None = None) -> DataFrame:
+                    header_value: str | None = None, banner: str | None = None) -> DataFrame:
     """A3: a CSV whose first line is a section banner and second line the header.
 
     The file is read without a header against a positional all-string schema
-    and the banner and header lines are removed by content (the header line
-    repeats a known label in a known column; the banner leaves the other
-    columns empty).  Line position is not used: it is not defined per split.
+    and the banner and header lines are removed by content: the header line
+    repeats a known label in a known column; the banner is a line whose first
+    column holds ``banner`` (by default the first line of the file) and whose other
+    columns are empty, so a data row with an id alone stays.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = spark.read.option("header", False).schema(schema).csv(path)
@@ -72,7 +84,11 @@ def read_banner_csv(spark: SparkSession, path: str, columns: Sequence[str] = CLI
     header_value = header_value or key
     is_header = F.col(key) == F.lit(header_value)
     others_empty = F.coalesce(*[F.col(c) for c in columns[1:]]).isNull()
-    return raw.where(~is_header.eqNullSafe(True) & ~others_empty)
+    if banner is None:
+        first = raw.first()
+        banner = first[0] if first is not None else None
+    is_banner = F.col(columns[0]).eqNullSafe(F.lit(banner)) & others_empty
+    return raw.where(~is_header.eqNullSafe(True) & ~is_banner)
 
 
 def read_id_column(spark: SparkSession, path: str, col: str = "image_id") -> DataFrame:
@@ -180,11 +196,10 @@ def coco_path(root: str, image_set: str, mode: str = "instances", year: int = 20
 
 
 def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str,
-               single_document: bool = True) -> None:
-    """COCO export.  ``single_document`` gathers the three tables into one
-    JSON document (for dataset-sized exports that fit one file, as in the
-    source); otherwise the three tables are written as JSON-lines folders so
-    nothing is gathered into one task."""
+               single_document: bool = False) -> None:
+    """COCO export: three folders of JSON lines, so that nothing is gathered
+    into one task.  ``single_document`` gathers the three tables into one JSON
+    document instead, for small exports that fit one file."""
     if not single_document:
         images.write.mode("overwrite").json(os.path.join(path, "images"))
         annotations.write.mode("overwrite").json(os.path.join(path, "annotations"))

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import file_stem, has_suffix
-from ..session import ensure_checkpoint_dir
 from ..sources import files as FS
 
 LISTING_SCHEMA = T.StructType([
@@ -49,18 +48,18 @@ def _process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, images_
 
 
 def start(spark: SparkSession, masks_dir: str, images_dir: str, out_path: str, errors_path: str,
-          checkpoint: str | None = None, max_files: int = 100, available_now: bool = True):
+          checkpoint: str, max_files: int = 100, available_now: bool = True):
     """Start the incremental extraction; returns the StreamingQuery.
 
     ``available_now`` processes everything present and stops (a resumable batch
-    run); otherwise the query keeps watching the folder.
+    run); otherwise the query keeps watching the folder.  ``checkpoint`` is a fixed
+    shared folder: a restarted stream goes on where it stopped.
     """
-    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "feature-stream")
     stream = (spark.readStream.format("binaryFile").schema(LISTING_SCHEMA)
               .option("maxFilesPerTrigger", max_files).load(masks_dir)
               .select("path", "modificationTime", "length"))
     writer = (stream.writeStream
               .foreachBatch(lambda df, bid: _process_batch(spark, df, bid, images_dir, out_path, errors_path))
-              .option("checkpointLocation", ckpt))
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

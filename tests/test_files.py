@@ -141,7 +141,7 @@ def test_annotation_export(spark, folder):
     assert [r.image_id for r in a] == [0, 1, 3, 4]      # the all-zero mask has no annotation
     assert a[0].area == 4.0 and list(a[0].bbox) == [1.0, 1.0, 2.0, 2.0]
     out = os.path.join(root, "coco")
-    FS.write_coco(images, anns, cats, out)
+    FS.write_coco(images, anns, cats, out, single_document=True)
     doc = json.loads(open([os.path.join(out, f) for f in os.listdir(out) if f.startswith("part-")][0]).read())
     assert doc["categories"] == [{"id": 1, "name": "lesion", "supercategory": "skin"}]
     path = os.path.join(root, "coco.json")
