@@ -1,8 +1,7 @@
 """Mixing sources to target weights by hash order and distributed prefix sums.
 
 Every document gets a hash-random key.  Within its source the documents stand in
-the order of the keys; the key's leading bits name a bucket, so a source that
-holds a third of all rows spreads over as many tasks as it needs.  One aggregate
+the order of the keys within buckets that the key names, so a source that holds a third of all rows spreads over as many tasks as it needs.  One aggregate
 gives words by (source, bucket); running sums over that small table are the
 offsets of the buckets, and running sums inside a bucket finish the position of a
 document.  Each source is cut at its exact budget: whole epochs first, then the
@@ -79,8 +78,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         [(s is None, s or "", sizes[s], float(aim[s]), round(aim[s])) for s in sizes],
         "__none boolean, __s string, __source_size bigint, __target double, __budget bigint")
     ahead = Window.partitionBy("__none", "__s").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("__start", F.coalesce(F.sum("__words").over(ahead), F.lit(0))).join(
-        plan, ["__none", "__s"]).drop("__words")
+    # Written, so that the rows meet it by bucket: partitioned by source as the running
+    # sums leave it, it would draw all rows of a source into one task.
+    starts = written(sums.withColumn("__start", F.coalesce(F.sum("__words").over(ahead), F.lit(0))).join(
+        plan, ["__none", "__s"]).drop("__words"), "mix-starts")
     inside = (Window.partitionBy("__none", "__s", "__bucket").orderBy("__key", F.col(id_col), "__size")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     whole = F.expr("CASE WHEN __source_size > 0 THEN __budget div __source_size ELSE 0 END")

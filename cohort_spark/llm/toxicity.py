@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-POSITIVES, UNLABELLED = 3000, 9000
+POSITIVES, UNLABELLED = 2000, 6000
 #: Hash space of the features, and features kept after screening.
 SPACE, FEATURES = 1 << 22, 4096
 THRESHOLD = 0.7
