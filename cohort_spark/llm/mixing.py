@@ -1,10 +1,10 @@
 """Mixing sources to target weights by hash order and distributed prefix sums.
 
-Every document gets a hash-random key.  Within its source the documents stand in
-the order of the keys within buckets that the key names, so a source that holds a third of all rows spreads over as many tasks as it needs.  One aggregate
-gives words by (source, bucket); running sums over that small table are the
-offsets of the buckets, and running sums inside a bucket finish the position of a
-document.  Each source is cut at its exact budget: whole epochs first, then the
+Every document gets a hash-random key, which also names a bucket.  Within its source
+the documents stand in the order of (bucket, key), so a source that holds a third of
+all rows spreads over as many tasks as it needs.  One aggregate gives words by
+(source, bucket); running sums over that small table are the offsets of the buckets,
+and running sums inside a bucket finish the position of a document.  Each source is cut at its exact budget: whole epochs first, then the
 part of the order that the rest covers.
 
 Sources stand in code-point order (null last) and take the given weights in
