@@ -30,13 +30,19 @@ def best_per_image(preds: DataFrame, key: str, obj: str, score: str) -> DataFram
     return best.select(key, F.col("__b.o").alias(obj), F.col("__b.s").alias(score))
 
 
-def confusion(target_runs: DataFrame, pred_runs: DataFrame, sizes: DataFrame) -> DataFrame:
+def confusion(target_runs: DataFrame, pred_runs: DataFrame, sizes: DataFrame,
+              scores: DataFrame | None = None) -> DataFrame:
     """V1: TP, FP, FN, TN per image.
 
     The target is the union of the image's objects (I14); images with an
     empty target are skipped; an image without prediction counts as an
-    all-zero mask.  TN = w·h − TP − FP − FN.
+    all-zero mask.  TN = w·h − TP − FP − FN.  With ``scores`` (image_id, obj_id,
+    score) only the best prediction of each image counts (W9); without, all of
+    its runs are one prediction.
     """
+    if scores is not None:
+        best = best_per_image(scores, "image_id", "obj_id", "score")
+        pred_runs = pred_runs.join(best.select("image_id", "obj_id"), ["image_id", "obj_id"], "left_semi")
     t = masks.union_runs(target_runs)
     p = masks.union_runs(pred_runs)
     at = t.groupBy("image_id").agg(F.sum("len").alias("area_t"))

@@ -190,14 +190,23 @@ def union_runs(runs: DataFrame, keys: Sequence[str] = ("image_id",), obj_id: int
 def overlap(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Intersection pixels of two run tables per key, without exploding pixels.
 
-    An equi-join on the key with the run-range overlap as a residual
-    predicate (hash/sort-merge join, never a nested loop).
+    Runs are cut at column borders and meet by an equi-join on (key, column), so
+    a run only meets the runs of its own columns; the range overlap is a residual
+    predicate.
     """
     keys = list(keys)
-    ra = a.select(*keys, F.col("start").alias("a_s"), (F.col("start") + F.col("len")).alias("a_e"))
-    rb = b.select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col("start").alias("b_s"),
-                  (F.col("start") + F.col("len")).alias("b_e"))
-    cond = [ra[k] == rb[f"__b_{k}"] for k in keys] + [ra["a_s"] < rb["b_e"], rb["b_s"] < ra["a_e"]]
+
+    def by_column(runs: DataFrame) -> DataFrame:
+        column = F.explode(F.expr("sequence(start div height, (start + len - 1) div height)"))
+        return runs.select(*keys, "start", "len", "height", column.alias("__col")).select(
+            *keys, "__col", F.greatest(F.col("start"), F.col("__col") * F.col("height")).alias("s"),
+            F.least(F.col("start") + F.col("len"), (F.col("__col") + 1) * F.col("height")).alias("e"))
+
+    ra = by_column(a).select(*keys, "__col", F.col("s").alias("a_s"), F.col("e").alias("a_e"))
+    rb = by_column(b).select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col("__col").alias("__b_col"),
+                             F.col("s").alias("b_s"), F.col("e").alias("b_e"))
+    cond = [ra[k] == rb[f"__b_{k}"] for k in keys] + [
+        ra["__col"] == rb["__b_col"], ra["a_s"] < rb["b_e"], rb["b_s"] < ra["a_e"]]
     j = ra.join(rb, cond, "inner")
     return j.groupBy(*keys).agg(
         F.sum(F.least("a_e", "b_e") - F.greatest("a_s", "b_s")).alias("intersection"))

@@ -17,9 +17,6 @@ from pyspark.sql import types as T
 
 from ..functions.clean import is_missing
 
-MAX_PIVOT_VALUES = 1000
-
-
 def _numeric_cols(df: DataFrame) -> set[str]:
     return {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
 
@@ -93,10 +90,11 @@ def value_counts(df: DataFrame, col: str, dropna: bool = True, by: str = "count"
 def share_of_total(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
     """Count and percentage of all non-null rows per value.
 
-    The grand total is a window over the (small) grouped result, not over rows.
+    The grand total is a scalar subquery, so no task sees all values.
     """
-    vc = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
+    known = df.where(F.col(col).isNotNull())
+    vc = known.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    total = known.agg(F.count(F.lit(1))).scalar()
     return vc.select(col, "count", F.bround(F.col("count") / total * 100, digits).alias("pct"))
 
 
@@ -253,12 +251,10 @@ def rowwise_argmax(df: DataFrame, cols: Sequence[str], out: str, strip_prefix: s
 
 # ------------------------------------------------------------- matrices ----
 
-def distinct_values(df: DataFrame, col: str, limit: int = MAX_PIVOT_VALUES) -> list:
-    """Sorted distinct non-null values for a pivot header (bounded)."""
-    vals = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"{col} has more than {limit} distinct values; pass them explicitly")
-    return sorted(vals)
+def distinct_values(df: DataFrame, col: str) -> list:
+    """Sorted distinct non-null values for a pivot header: one value for each column
+    of the caller's result."""
+    return sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().collect())
 
 
 def share_within_group(df: DataFrame, group: str, value: str, out: str = "pct") -> DataFrame:
@@ -266,39 +262,47 @@ def share_within_group(df: DataFrame, group: str, value: str, out: str = "pct")
     return df.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy(group)) * 100)
 
 
+def _matrix(df: DataFrame, row: str, col: str, values: Sequence | None, both_non_null: bool = True) -> DataFrame:
+    """The count matrix and ``__total``, the row's count over all values of ``col``,
+    listed in ``values`` or not."""
+    src = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()) if both_non_null else df
+    values = list(values) if values is not None else distinct_values(src, col)
+    counts = src.groupBy(row, col).agg(F.count(F.lit(1)).alias("__n"))
+    cells = [F.coalesce(F.sum(F.when(F.col(col) == F.lit(v), F.col("__n"))), F.lit(0)).cast("bigint").alias(str(v))
+             for v in values]
+    return counts.groupBy(row).agg(*cells, F.sum("__n").cast("bigint").alias("__total"))
+
+
 def count_matrix(df: DataFrame, row: str, col: str, values: Sequence | None = None,
                  both_non_null: bool = True) -> DataFrame:
     """Two-key count matrix, zero filled (``unstack(fill_value=0)``/crosstab).
 
-    Counting happens before the pivot (partial aggregate on (row, col)), so the
-    pivot only reshapes the grouped counts.
+    Counting happens before the reshaping (partial aggregate on (row, col)).  Without
+    ``values`` every value found is a column.
     """
-    src = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()) if both_non_null else df
-    values = list(values) if values is not None else distinct_values(src, col)
-    counts = src.groupBy(row, col).agg(F.count(F.lit(1)).alias("__n"))
-    m = counts.groupBy(row).pivot(col, values).agg(F.sum("__n"))
-    return m.select(row, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("bigint").alias(str(v)) for v in values])
+    return _matrix(df, row, col, values, both_non_null).drop("__total")
 
 
 def percent_matrix(df: DataFrame, row: str, col: str, values: Sequence | None = None,
                    digits: int | None = None) -> DataFrame:
-    """Percentage of each column value within its row, zero filled."""
-    m = count_matrix(df, row, col, values)
-    vals = [c for c in m.columns if c != row]
-    total = sum((F.col(f"`{v}`") for v in vals), F.lit(0))
-    cells = [(F.col(f"`{v}`") / total * 100) for v in vals]
+    """Percentage of each column value within its row (of all the row's
+    values, also where ``values`` lists only some), zero filled."""
+    m = _matrix(df, row, col, values)
+    vals = [c for c in m.columns if c not in (row, "__total")]
+    cells = [(F.col(f"`{v}`") / F.col("__total") * 100) for v in vals]
     if digits is not None:
         cells = [F.bround(c, digits) for c in cells]
     return m.select(row, *[c.alias(v) for c, v in zip(cells, vals)])
 
 
-def matrix_with_rate(df: DataFrame, row: str, col: str, positive: str, values: Sequence,
+def matrix_with_rate(df: DataFrame, row: str, col: str, positive: str, values: Sequence | None = None,
                      digits: int = 1) -> DataFrame:
-    """Count matrix + Total + % of ``positive``, sorted by Total desc."""
-    m = count_matrix(df, row, col, values)
-    total = sum((F.col(f"`{v}`") for v in values), F.lit(0))
-    return (m.withColumn("Total", total.cast("bigint"))
-            .withColumn("pct_positive", F.bround(F.col(f"`{positive}`") / F.col("Total") * 100, digits))
+    """Count matrix + Total (over all values) + % of ``positive`` (0 where it does
+    not occur), sorted by Total desc."""
+    m = _matrix(df, row, col, values)
+    hits = F.col(f"`{positive}`") if positive in m.columns else F.lit(0)
+    return (m.withColumnRenamed("__total", "Total")
+            .withColumn("pct_positive", F.bround(hits / F.col("Total") * 100, digits))
             .orderBy(F.desc("Total"), row))
 
 

@@ -209,7 +209,7 @@ FROM c GROUP BY {row}"""
 @register("G22", _pct_matrix_sql("Sex"), V)
 def q_g22(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sex × category counts divided by the row sum (percent)."""
-    return profile.percent_matrix(clin(spark, sf_dir), "Sex", "Benign_Malignant", BM)
+    return profile.percent_matrix(clin(spark, sf_dir), "Sex", "Benign_Malignant")
 
 
 def _count_matrix_sql(row: str, col: str, values: list[str]) -> str:
@@ -221,13 +221,13 @@ FROM clinical_clean WHERE {row} IS NOT NULL AND {col} IS NOT NULL GROUP BY {row}
 @register("G23", _count_matrix_sql("Diagnostic_Method", "Benign_Malignant", BM), V)
 def q_g23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnostic method × category count matrix, zero filled."""
-    return profile.count_matrix(clin(spark, sf_dir), "Diagnostic_Method", "Benign_Malignant", BM)
+    return profile.count_matrix(clin(spark, sf_dir), "Diagnostic_Method", "Benign_Malignant")
 
 
 @register("G25", _count_matrix_sql("Anatomic_Site", "diagnosis", ["BCC", "MEL", "NV"]), V)
 def q_g25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-tabulation site × diagnosis (rows with both values)."""
-    return profile.count_matrix(clin(spark, sf_dir), "Anatomic_Site", "diagnosis", ["BCC", "MEL", "NV"])
+    return profile.count_matrix(clin(spark, sf_dir), "Anatomic_Site", "diagnosis")
 
 
 @register("G16", f"""
@@ -249,7 +249,7 @@ site AS (SELECT Anatomic_Site, {", ".join(f"count(*) FILTER (WHERE Benign_Malign
 
 
 def _site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.matrix_with_rate(clin(spark, sf_dir), "Anatomic_Site", "Benign_Malignant", "Malignant", BM, 1)
+    return profile.matrix_with_rate(clin(spark, sf_dir), "Anatomic_Site", "Benign_Malignant", "Malignant", digits=1)
 
 
 @register("G24", f"WITH {_SITE_SQL} SELECT Anatomic_Site, Benign, Malignant, Total, "
@@ -331,7 +331,7 @@ FROM clinical_clean WHERE Year IS NOT NULL AND Benign_Malignant IS NOT NULL GROU
 def q_x6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clinical EDA job, temporal table: images per year and category."""
     df = clin(spark, sf_dir).na.drop(subset=["Year"])
-    return profile.count_matrix(df, "Year", "Benign_Malignant", BM).orderBy("Year")
+    return profile.count_matrix(df, "Year", "Benign_Malignant").orderBy("Year")
 
 
 # -------------------------------------------------------------- summary ----

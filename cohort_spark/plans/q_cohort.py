@@ -148,7 +148,7 @@ FROM c GROUP BY target""", ("meta", "meta_t"))
 def q_g21(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class × site percentage matrix, rows sum to 100, zero filled, class order."""
     df = curate.keep_classes(_cohort_plot(spark, sf_dir))
-    m = profile.percent_matrix(df, "target", "anatom_site", SITES)
+    m = profile.percent_matrix(df, "target", "anatom_site")
     return profile.order_by_list(m, "target", TARGET_CLASSES)
 
 

@@ -127,3 +127,29 @@ def test_union_and_overlap_of_runs(spark):
     assert M.areas(u, per_object=False).collect()[0].area == 5
     conf = E.confusion(ra, rb, sizes).collect()[0]
     assert (conf.TP, conf.FP, conf.FN, conf.TN) == (1.0, 2.0, 2.0, 11.0)
+    # Runs that go over several columns.
+    long = spark.createDataFrame([("i", 1, 2, 9, 4, 4)], "image_id string, obj_id int, start long, len long, height int, width int")
+    other = spark.createDataFrame([("i", 1, 0, 3, 4, 4), ("i", 1, 6, 9, 4, 4)], long.schema)
+    assert M.overlap(long, other).collect()[0].intersection == 6
+
+
+def test_only_the_best_prediction_counts(spark):
+    sizes = spark.createDataFrame([("i", 4, 4)], "image_id string, height int, width int")
+    runs = "image_id string, obj_id int, start long, len long, height int, width int"
+    target = spark.createDataFrame([("i", 1, 0, 4, 4, 4)], runs)
+    preds = spark.createDataFrame([("i", 0, 0, 4, 4, 4), ("i", 1, 8, 6, 4, 4)], runs)
+    scores = spark.createDataFrame([("i", 0, 0.9), ("i", 1, 0.4)], "image_id string, obj_id int, score double")
+    conf = E.confusion(target, preds, sizes, scores).collect()[0]
+    assert (conf.TP, conf.FP, conf.FN, conf.TN) == (4.0, 0.0, 0.0, 12.0)
+
+
+def test_matrices_count_unlisted_values(spark):
+    rows = [("r", "a")] * 2 + [("r", "b")] + [("r", "new")] + [("s", "new")]
+    df = spark.createDataFrame(rows, "r string, c string")
+    pct = {x.r: x for x in profile.percent_matrix(df, "r", "c", ["a", "b"]).collect()}
+    assert (pct["r"].a, pct["r"].b, pct["s"].a) == (50.0, 25.0, 0.0)
+    assert profile.count_matrix(df, "r", "c").columns == ["r", "a", "b", "new"]
+    rate = {x.r: x for x in profile.matrix_with_rate(df, "r", "c", "a").collect()}
+    assert (rate["r"].Total, rate["r"].pct_positive, rate["s"].pct_positive) == (4, 50.0, 0.0)
+    many = spark.range(1001).select(F.col("id").cast("string").alias("c"))
+    assert len(profile.distinct_values(many, "c")) == 1001
