@@ -4,6 +4,7 @@ decides where to write them (``cohort_spark.sources.files`` sinks)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,37 +138,71 @@ def feature_inputs(images: DataFrame, mask_images: DataFrame) -> tuple[DataFrame
     return px, fg, errors
 
 
+#: Pairs that one batch decodes at most (about, batches are dealt by hash).
+BATCH_IMAGES = 2000
+
+
+def listed_files(spark, directory: str, path_col: str) -> DataFrame:
+    """(image_id, path) of a folder's image files from its listing, one file per stem."""
+    return FS.list_files(spark, directory).groupBy(F.col("id").alias("image_id")).agg(F.min("path").alias(path_col))
+
+
+@contextmanager
+def batch_features(spark, pairs: DataFrame):
+    """(wide features or None, errors) of a bounded batch of ``pairs`` (image_id,
+    image_path, mask_path).
+
+    Only the files named there are decoded, and each once: the decoded batch is
+    kept until the block ends.  A mask without an image (NULL path) is an error row.
+    """
+    found = pairs.where(F.col("image_path").isNotNull()).select("image_path", "mask_path").collect()
+    missing = pairs.where(F.col("image_path").isNull()).select(
+        "image_id", F.lit("Could not read image").alias("message"))
+    if not found:
+        yield None, missing
+        return
+    images = FS.read_images(spark, [r["image_path"] for r in found]).persist()
+    mask_images = FS.read_images(spark, [r["mask_path"] for r in found]).persist()
+    try:
+        px, fg, errors = feature_inputs(images, mask_images)
+        yield RAD.to_wide(RAD.all_features(px, fg), RAD_feature_columns()), errors.unionByName(missing)
+    finally:
+        RAD.release()
+        images.unpersist()
+        mask_images.unpersist()
+
+
 def extract_features(spark, images_dir: str, masks_dir: str, out_path: str, errors_path: str,
-                     batches: int = 1) -> dict:
+                     batches: int = 1, batch_images: int = BATCH_IMAGES) -> dict:
     """Resumable feature extraction.
 
-    Pairs images and masks by stem (J2), skips ids already in ``out_path`` (J3,
-    the output table is the checkpoint), computes the 408 features (R0–R8) and
-    appends them in ``batches`` hash batches of ids (A10) together with the
+    Pairs masks and images by stem (J2) on the folder listings, skips ids already
+    in ``out_path`` (J3, the output table is the checkpoint), computes the 408
+    features (R0–R8) and appends them in hash batches of ids (A10; at least
+    ``batches``, more where one would exceed ``batch_images``) together with the
     error side output (X2).  A rerun after a failure resumes where the output
-    ends; a rerun after success adds no rows.
+    ends; a rerun after success adds no rows.  Errors are written before the
+    features of their batch and an error that is already logged is not repeated,
+    so a crash between the two loses none; an image that arrives late is taken
+    by the next run.
     """
-    images = FS.read_images(spark, images_dir)
-    masks_df = FS.read_images(spark, masks_dir)
     done = FS.read_id_column_parquet(spark, out_path)
-    todo_ids = images.select("image_id").join(masks_df.select("image_id"), "image_id").join(
-        done, "image_id", "left_anti")
-    names = RAD_feature_columns()
+    pending = materialize(listed_files(spark, masks_dir, "mask_path")
+                          .join(listed_files(spark, images_dir, "image_path"), "image_id", "left")
+                          .join(done, "image_id", "left_anti"))
+    batches = max(batches, -(-pending.count() // batch_images))
+    logged = FS.read_errors(spark, errors_path)
     counts = {"features": 0, "errors": 0}
     for b in range(batches):
-        ids = todo_ids.where(F.pmod(F.xxhash64("image_id"), F.lit(batches)) == b) if batches > 1 else todo_ids
-        ids = materialize(ids)
-        img_b = images.join(ids, "image_id", "left_semi")
-        msk_b = masks_df.join(ids, "image_id", "left_semi")
-        px, fg, errors = feature_inputs(img_b, msk_b)
-        wide = RAD.to_wide(RAD.all_features(px, fg), names)
-        wide = materialize(wide)
-        wide.write.mode("append").parquet(out_path)
-        RAD.release()
-        errors = materialize(errors)
-        errors.write.mode("append").parquet(errors_path)
-        counts["features"] += wide.count()
-        counts["errors"] += errors.count()
+        pairs = pending.where(F.pmod(F.xxhash64("image_id"), F.lit(batches)) == b)
+        with batch_features(spark, pairs) as (wide, errors):
+            errors = materialize(errors.join(logged, ["image_id", "message"], "left_anti"))
+            errors.write.mode("append").parquet(errors_path)
+            counts["errors"] += errors.count()
+            if wide is not None:
+                wide = materialize(wide)
+                wide.write.mode("append").parquet(out_path)
+                counts["features"] += wide.count()
     return counts
 
 

@@ -113,6 +113,13 @@ def read_id_column_parquet(spark: SparkSession, path: str, col: str = "image_id"
     return spark.read.parquet(path).select(F.col(col).cast("string").alias(col))
 
 
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct rows of an error table, or an empty table when absent."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "image_id string, message string")
+    return spark.read.parquet(path).select("image_id", "message").distinct()
+
+
 def read_parquet_column(spark: SparkSession, path: str, col: str) -> DataFrame:
     """One column of a parquet table (the scan reads only that column)."""
     return spark.read.parquet(path).select(col)
@@ -161,9 +168,9 @@ def list_files(spark: SparkSession, directory: str, exts: Sequence[str] = IMAGE_
     return lst.withColumn("id", file_stem("path"))
 
 
-def read_images(spark: SparkSession, directory: str, exts: Sequence[str] = IMAGE_EXTS,
+def read_images(spark: SparkSession, directory: str | list[str], exts: Sequence[str] = IMAGE_EXTS,
                 id_suffix_re: str | None = None) -> DataFrame:
-    """Decoded images ``(image_id, image)``.
+    """Decoded images ``(image_id, image)`` of a folder or a list of files.
 
     Undecodable files are kept (``dropInvalid=false``); they come back with
     ``height = -1`` and are routed to an error table by the callers.

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import file_stem, has_suffix
+from ..session import materialize
 from ..sources import files as FS
 
 LISTING_SCHEMA = T.StructType([
@@ -30,21 +31,16 @@ LISTING_SCHEMA = T.StructType([
 
 def _process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, images_dir: str, out_path: str,
                    errors_path: str) -> None:
-    from ..operators import radiomics as RAD
-    from ..plans.jobs import RAD_feature_columns, feature_inputs
-
-    new = batch.where(has_suffix("path", FS.IMAGE_EXTS)).select(file_stem("path").alias("image_id"), "path")
-    paths = [r.path for r in new.select("path").collect()]  # bounded by maxFilesPerTrigger
-    if not paths:
-        return
-    masks = (spark.read.format("image").option("dropInvalid", False).load(paths)
-             .select(file_stem(F.col("image.origin")).alias("image_id"), "image"))
-    images = FS.read_images(spark, images_dir).join(new.select("image_id"), "image_id", "left_semi")
-    px, fg, errors = feature_inputs(images, masks)
-    wide = RAD.to_wide(RAD.all_features(px, fg), RAD_feature_columns())
-    wide.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
-    RAD.release()
-    errors.write.mode("overwrite").parquet(os.path.join(errors_path, f"batch={batch_id}"))
+    from ..plans.jobs import batch_features, listed_files
+
+    new = (batch.where(has_suffix("path", FS.IMAGE_EXTS)).groupBy(file_stem("path").alias("image_id"))
+           .agg(F.min("path").alias("mask_path")))
+    # bounded by maxFilesPerTrigger; only the images of this batch are decoded
+    pairs = materialize(new.join(listed_files(spark, images_dir, "image_path"), "image_id", "left"))
+    with batch_features(spark, pairs) as (wide, errors):
+        errors.write.mode("overwrite").parquet(os.path.join(errors_path, f"batch={batch_id}"))
+        if wide is not None:
+            wide.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
 
 
 def start(spark: SparkSession, masks_dir: str, images_dir: str, out_path: str, errors_path: str,

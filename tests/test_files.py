@@ -123,8 +123,27 @@ def test_extract_features_resumes(spark, folder):
     wide = spark.read.parquet(out)
     assert len(wide.columns) == 1 + 408
     again = jobs.extract_features(spark, img_dir, msk_dir, out, errs)
-    assert again["features"] == 0
+    assert again["features"] == 0 and again["errors"] == 0
     assert spark.read.parquet(out).count() == 2
+    logged = [(r.image_id, r.message) for r in spark.read.parquet(errs).collect()]
+    assert sorted(i for i, _ in logged) == ["c", "d", "f"]     # a mask without an image is reported
+    assert dict(logged)["f"] == "Could not read image"
+
+
+def test_late_image_is_taken_by_the_next_run(spark):
+    root = tempfile.mkdtemp(prefix="cohort-late-")
+    img_dir, msk_dir = os.path.join(root, "images"), os.path.join(root, "masks")
+    os.makedirs(img_dir)
+    os.makedirs(msk_dir)
+    with open(os.path.join(img_dir, "notes.txt"), "w") as f:
+        f.write("x")
+    mask = np.zeros((6, 5), dtype=np.uint8)
+    mask[1:4, 1:4] = 255
+    write_png(os.path.join(msk_dir, "late.png"), mask)
+    out, errs = os.path.join(root, "features"), os.path.join(root, "errors")
+    assert jobs.extract_features(spark, img_dir, msk_dir, out, errs) == {"features": 0, "errors": 1}
+    write_png(os.path.join(img_dir, "late.png"), np.random.default_rng(1).integers(0, 256, (6, 5, 3)).astype(np.uint8))
+    assert jobs.extract_features(spark, img_dir, msk_dir, out, errs) == {"features": 1, "errors": 0}
 
 
 def test_annotation_export(spark, folder):
