@@ -3,20 +3,24 @@
 For each language a suffix automaton is built of labelled text (its commonest
 words, each between spaces).  A text is parsed greedily: from the current place
 the longest match in the automaton is one phrase.  Few phrases for its letters
-mean that the text is like the language; the language with the fewest wins.
+mean that the text is like the language.  A phrase is a place in the model text, so
+it costs the logarithm of that text's length (in tenths of a bit, of ``MIN_CHARS`` at
+least: a smaller model is not taken for a better one); the cheapest language wins.
 
 Parsing starts anew at each word, so a word's phrases are counted once for each
 Python worker and looked up afterwards.
 
 The automata are fitted on a bounded sample of the labelled rows: ``SAMPLE``
-documents of each language, chosen by a hash of the id, and ``MODEL_CHARS``
-characters of their words.  A null text or one without letters is ``und`` with
+documents of each language, chosen by a hash of the id, and up to ``MODEL_CHARS``
+characters of their words; a language with less text does not shorten the others.
+A null text or one without letters is ``und`` with
 score 0; so is every text where no language was learned.  Ties go to the first
 language in code-point order.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +34,8 @@ from .common import map_texts
 
 
 SAMPLE, MODEL_CHARS = 400, 30_000
+#: Model text that the cost of a phrase counts at least.
+MIN_CHARS = 2_000
 #: Longest labelled text, in bytes, that the sample takes.
 SAMPLE_BYTES = 20_000
 REMEMBERED = 400_000
@@ -106,6 +112,8 @@ class CrossParser:
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         self.automata = [SuffixAutomaton(texts[x]) for x in self.languages]
+        # Whole numbers, so that languages of about one size can tie.
+        self.cost = np.array([round(10 * math.log2(max(len(texts[x]), MIN_CHARS))) for x in self.languages], dtype=np.int64)
         self.known: dict[str, int] = {}
         self.counts = np.zeros((0, len(texts)), dtype=np.int64)
 
@@ -123,8 +131,8 @@ class CrossParser:
         self.counts = np.concatenate((self.counts, counts))
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        """(language, score) of each text; the score is the share of phrases that
-        the best language saves against the second."""
+        """(language, score) of each text; the score is the share of the cost
+        that the best language saves against the second."""
         cut = [LETTERS.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
         if self.languages:
             self.learn(set().union(*cut))
@@ -133,7 +141,7 @@ class CrossParser:
                 yield "und", 0.0
                 continue
             at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-            total = self.counts[at].sum(axis=0)
+            total = self.counts[at].sum(axis=0) * self.cost
             best = int(total.argmin())
             others = np.delete(total, best)
             yield self.languages[best], float(1 - total[best] / others.min()) if len(others) else 1.0
@@ -155,15 +163,12 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     held: dict[str, Counter] = {}
     for r in ranked.select("l", "w", "count").collect():
         held.setdefault(r["l"], Counter())[r["w"]] = r["count"]
-    # Every language gets the same amount of text, so none matches more by size.
-    room = min([model_chars, *(sum(len(w) + 1 for w in c) for c in held.values())])
     out = {}
     for lang, count in held.items():
         text = " "
         for w in sorted(count, key=lambda w: (-count[w], w)):
-            if len(text) + len(w) + 1 > room + 1:
-                break
-            text += w + " "
+            if len(text) + len(w) <= model_chars:
+                text += w + " "
         out[lang] = text
     return out
 

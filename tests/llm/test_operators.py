@@ -207,6 +207,25 @@ def test_language(docs, empty):
     assert {r.lang_pred for r in language.predict(docs, {}).collect()} == {"und"}
 
 
+def test_a_rare_language_does_not_shorten_the_others(spark):
+    rng = random.Random(3)
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(4, 9))) for _ in range(400)]
+                  for lang, letters in (("aa", "abcdefghij"), ("bb", "fghijklmno"))}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(100)), lang)
+            for i in range(40) for lang in ("aa", "bb")]
+    rare = (1000, "hgfe ihgf jihg abcd bcde", "rare")  # one short row of the letters of "aa"
+    docs = spark.createDataFrame([*rows, rare], "doc_id bigint, text string, lang string")
+    texts = language.learn(docs, model_chars=2500)
+    alone = language.learn(docs.where("lang <> 'rare'"), model_chars=2500)
+    assert {x: texts[x] for x in alone} == alone
+    assert all(2400 < len(x) <= 2501 for x in alone.values()) and len(texts["rare"]) == len(rare[1]) + 2
+    fresh = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(30)), lang) for i in range(50) for lang in ("aa", "bb")]
+    parser = language.CrossParser(texts)
+    assert [p for p, _ in parser.predict([t for _, t, _ in fresh])] == [lang for *_, lang in fresh]
+    assert next(parser.predict([rare[1]]))[0] == "rare"
+    assert len(language.learn(docs.where("lang = 'aa'"), model_chars=2500)["aa"]) > 2400
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(3)
     rows = [(i, " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(20)) + (" nasty" if i % 5 == 0 else "")) for i in range(400)]
