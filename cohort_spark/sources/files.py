@@ -120,6 +120,13 @@ def read_errors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("image_id", "message").distinct()
 
 
+def read_batches(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """``columns`` (DDL) and ``batch`` of a table in ``batch=<id>`` folders, or an
+    empty table when absent."""
+    schema = f"{columns}, batch bigint"
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def read_parquet_column(spark: SparkSession, path: str, col: str) -> DataFrame:
     """One column of a parquet table (the scan reads only that column)."""
     return spark.read.parquet(path).select(col)

@@ -1,11 +1,14 @@
 """Incremental feature extraction (X3, streaming variant).
 
-New masks arriving in a folder are picked up by a file-source Structured
-Streaming query (``binaryFile`` listing, contents not read).  Each micro-batch
-is bounded by ``maxFilesPerTrigger``; ``foreachBatch`` pairs the new masks
-with their images, computes the features and appends them, keyed by the
-micro-batch id so a replayed batch after a failure overwrites its own folder
-instead of duplicating rows.  The streaming checkpoint lives in the shared
+New masks and images arriving in their folders are picked up by file-source
+Structured Streaming (``binaryFile`` listings, contents not read).  Each micro-batch
+is bounded by ``maxFilesPerTrigger`` of either folder; ``foreachBatch`` pairs the ids
+of the new files on the folder listings, computes the features that the output does
+not have yet and appends them, keyed by the micro-batch id so a replayed batch after
+a failure overwrites its own folder instead of duplicating rows.  An image that lands
+after its mask (an error row by then) is a new file itself, so its features are
+computed when it arrives.  A file replaced in place is not offered again; the batch
+job retries such images.  The streaming checkpoint lives in the shared
 checkpoint folder (or a location the caller passes).
 """
 
@@ -29,15 +32,21 @@ LISTING_SCHEMA = T.StructType([
 ])
 
 
-def _process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, images_dir: str, out_path: str,
-                   errors_path: str) -> None:
+def _process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, masks_dir: str, images_dir: str,
+                   out_path: str, errors_path: str) -> None:
     from ..plans.jobs import batch_features, listed_files
 
-    new = (batch.where(has_suffix("path", FS.IMAGE_EXTS)).groupBy(file_stem("path").alias("image_id"))
-           .agg(F.min("path").alias("mask_path")))
-    # bounded by maxFilesPerTrigger; only the images of this batch are decoded
-    pairs = materialize(new.join(listed_files(spark, images_dir, "image_path"), "image_id", "left"))
+    ids = batch.where(has_suffix("path", FS.IMAGE_EXTS)).select(file_stem("path").alias("image_id")).distinct()
+    # a replayed batch must not take its own output for done
+    earlier = F.col("batch") != batch_id
+    done = FS.read_batches(spark, out_path, "image_id string").where(earlier)
+    # bounded by maxFilesPerTrigger; only the files of this batch's ids are decoded
+    pairs = materialize(listed_files(spark, masks_dir, "mask_path").join(ids, "image_id", "left_semi")
+                        .join(listed_files(spark, images_dir, "image_path"), "image_id", "left")
+                        .join(done, "image_id", "left_anti"))
+    logged = FS.read_batches(spark, errors_path, "image_id string, message string").where(earlier)
     with batch_features(spark, pairs) as (wide, errors):
+        errors = materialize(errors.join(logged, ["image_id", "message"], "left_anti"))
         errors.write.mode("overwrite").parquet(os.path.join(errors_path, f"batch={batch_id}"))
         if wide is not None:
             wide.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
@@ -49,13 +58,16 @@ def start(spark: SparkSession, masks_dir: str, images_dir: str, out_path: str, e
 
     ``available_now`` processes everything present and stops (a resumable batch
     run); otherwise the query keeps watching the folder.  ``checkpoint`` is a fixed
-    shared folder: a restarted stream goes on where it stopped.
+    shared folder: a restarted stream goes on where it stopped.  (A checkpoint written
+    when only the masks were watched cannot be continued; begin a new one and new
+    output folders.)
     """
-    stream = (spark.readStream.format("binaryFile").schema(LISTING_SCHEMA)
-              .option("maxFilesPerTrigger", max_files).load(masks_dir)
-              .select("path", "modificationTime", "length"))
-    writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: _process_batch(spark, df, bid, images_dir, out_path, errors_path))
+    def arrivals(directory: str) -> DataFrame:
+        return (spark.readStream.format("binaryFile").schema(LISTING_SCHEMA)
+                .option("maxFilesPerTrigger", max_files).load(directory).select("path"))
+
+    writer = (arrivals(masks_dir).unionByName(arrivals(images_dir)).writeStream
+              .foreachBatch(lambda df, bid: _process_batch(spark, df, bid, masks_dir, images_dir, out_path, errors_path))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

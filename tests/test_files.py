@@ -211,3 +211,38 @@ def test_incremental_extraction_stream(spark, folder):
     q2 = incremental.start(spark, msk_dir, img_dir, out, errs, checkpoint=ckpt, max_files=2)
     q2.awaitTermination(600)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_late_image_is_taken_by_the_stream(spark, monkeypatch):
+    from contextlib import contextmanager
+
+    from cohort_spark.streaming import incremental
+
+    @contextmanager
+    def batch_features(spark, pairs):
+        # the features themselves are tested above; here only which pairs are taken
+        found = F.col("image_path").isNotNull()
+        yield (pairs.where(found).select("image_id"),
+               pairs.where(~found).select("image_id", F.lit("Could not read image").alias("message")))
+
+    monkeypatch.setattr(jobs, "batch_features", batch_features)
+    root = tempfile.mkdtemp(prefix="cohort-late-stream-")
+    img_dir, msk_dir, out, errs, ckpt = (os.path.join(root, d) for d in ("images", "masks", "features", "errors", "ckpt"))
+    os.makedirs(img_dir)
+    os.makedirs(msk_dir)
+    png = np.zeros((2, 2), dtype=np.uint8)
+
+    def run():
+        incremental.start(spark, msk_dir, img_dir, out, errs, checkpoint=ckpt).awaitTermination(120)
+        return [sorted(r.image_id for r in spark.read.parquet(p).select("image_id").collect()) for p in (out, errs)]
+
+    write_png(os.path.join(img_dir, "early.png"), png)
+    for name in ("early.png", "late.png", "later.png"):
+        write_png(os.path.join(msk_dir, name), png)
+    assert run() == [["early"], ["late", "later"]]
+    write_png(os.path.join(img_dir, "late.png"), png)      # no new mask comes with it
+    assert run() == [["early", "late"], ["late", "later"]]
+    for folder in (img_dir, msk_dir):
+        write_png(os.path.join(folder, "new.png"), png)
+    write_png(os.path.join(img_dir, "later.png"), png)
+    assert run() == [["early", "late", "later", "new"], ["late", "later"]]
