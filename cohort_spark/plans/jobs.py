@@ -85,10 +85,12 @@ def clean_clinical(raw: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- X9 ----
 
-def evaluate_segmentation(target_runs: DataFrame, pred_runs: DataFrame, sizes: DataFrame):
-    """Per-image confusion → six metrics → (summary, long per-image table)."""
+def evaluate_segmentation(target_runs: DataFrame, pred_runs: DataFrame, sizes: DataFrame,
+                          scores: DataFrame | None = None):
+    """Per-image confusion → six metrics → (summary, long per-image table).
+    With ``scores`` only the best prediction of each image counts (see ``confusion``)."""
     from ..operators import evaluate
-    per_image = evaluate.metrics(evaluate.confusion(target_runs, pred_runs, sizes))
+    per_image = evaluate.metrics(evaluate.confusion(target_runs, pred_runs, sizes, scores))
     return evaluate.summary(per_image), evaluate.long_scores(per_image)
 
 

@@ -32,8 +32,14 @@ m AS (SELECT image_id,
 METRICS = evaluate.METRICS
 
 
+def scores_of(pred: DataFrame) -> DataFrame:
+    """Scores of the stand-in's predicted objects: the first is the best."""
+    return pred.select("image_id", "obj_id", (F.lit(1.0) / F.col("obj_id")).alias("score")).distinct()
+
+
 def conf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.confusion(gt_runs(spark, sf_dir), pred_runs(spark, sf_dir), standins.image_sizes(spark, sf_dir))
+    pred = pred_runs(spark, sf_dir)
+    return evaluate.confusion(gt_runs(spark, sf_dir), pred, standins.image_sizes(spark, sf_dir), scores_of(pred))
 
 
 def per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +79,8 @@ def q_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_x9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segmentation evaluation job: masks → runs → confusion → metrics → summary report."""
     from .jobs import evaluate_segmentation
-    summary, _ = evaluate_segmentation(gt_runs(spark, sf_dir), pred_runs(spark, sf_dir),
-                                       standins.image_sizes(spark, sf_dir))
+    pred = pred_runs(spark, sf_dir)
+    summary, _ = evaluate_segmentation(gt_runs(spark, sf_dir), pred, standins.image_sizes(spark, sf_dir), scores_of(pred))
     return summary
 
 
@@ -161,7 +167,7 @@ def q_v7(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_image = None
     for e in EPOCHS:
         fg = masks.foreground(standins.mask_pixels(spark, sf_dir, "pred", shift=e), 0)
-        m = evaluate.metrics(evaluate.confusion(target, masks.encode_runs(fg, sizes), sizes)).withColumn(
-            "epoch", F.lit(e))
+        pred = masks.encode_runs(fg, sizes)
+        m = evaluate.metrics(evaluate.confusion(target, pred, sizes, scores_of(pred))).withColumn("epoch", F.lit(e))
         per_image = m if per_image is None else per_image.unionByName(m)
     return evaluate.per_epoch(per_image, "epoch")

@@ -143,6 +143,19 @@ def test_only_the_best_prediction_counts(spark):
     assert (conf.TP, conf.FP, conf.FN, conf.TN) == (4.0, 0.0, 0.0, 12.0)
 
 
+def test_the_evaluation_job_takes_the_best_prediction(spark):
+    from cohort_spark.plans.jobs import evaluate_segmentation
+    # images with none to three scored predictions; the best equals the target
+    sizes = spark.createDataFrame([(str(n), 4, 4) for n in range(4)], "image_id string, height int, width int")
+    runs = "image_id string, obj_id int, start long, len long, height int, width int"
+    target = spark.createDataFrame([(str(n), 1, 0, 4, 4, 4) for n in range(4)], runs)
+    preds = spark.createDataFrame([(str(n), k, 4 * ((k + 1) % n), 4, 4, 4) for n in range(1, 4) for k in range(n)], runs)
+    scores = preds.selectExpr("image_id", "obj_id", "CAST(IF(start = 0, 0.9, 0.1 * obj_id) AS double) AS score")
+    _, long = evaluate_segmentation(target, preds, sizes, scores)
+    dice = {r.image_id: r.value for r in long.where("metric = 'dice_scores'").collect()}
+    assert dice["0"] < 1e-6 and [dice[str(n)] for n in (1, 2, 3)] == [1.0, 1.0, 1.0]
+
+
 def test_matrices_count_unlisted_values(spark):
     rows = [("r", "a")] * 2 + [("r", "b")] + [("r", "new")] + [("s", "new")]
     df = spark.createDataFrame(rows, "r string, c string")
