@@ -124,7 +124,7 @@ def q_v5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("V6")
 def q_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation kinds applied: box always, segm for mask models, keypoints for keypoint models."""
+    """Evaluation kinds that apply to a model with masks, and the number of detections; none is evaluated."""
     return _kinds(spark, sf_dir)
 
 
