@@ -58,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near duplicates", drop_near_copies),
           ("mixing", mix_sources), ("BPE", encode)]
 
-#: SQL cannot train the classifier or encode; tests/llm has a plain Python version.
+#: SQL cannot train the classifier or encode; tests/llm tests the operators, not the stages together.
 ORACLE_SQL = None
 
 
