@@ -37,6 +37,8 @@ WIDTH, SEED, BITS = 3, 42, 64
 DISTANCE, SEGMENTS, HALF = 2, 2, 32
 #: Distinct fingerprints of a key that are compared with each other.
 CROWD = 512
+#: Fingerprints whose keys one task makes.
+TASK_PRINTS = 8000
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -101,7 +103,9 @@ def _finer() -> Column:
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that join all distinct fingerprints (fp) at a distance of at most
     two; in crowded keys not each of them, but enough for the groups."""
-    index = prints.select("fp", F.inline(_variants(F.col("fp")))).withColumn("place", _place(F.col("key")))
+    # A task's map of keys stays small.
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() // TASK_PRINTS))
+    index = prints.repartition(tasks, "fp").select("fp", F.inline(_variants(F.col("fp")))).withColumn("place", _place(F.col("key")))
     # Without a differing bit a key says the same as that of bit 0 of its half.
     shared = written(index.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("bit").alias("low"), F.max("bit").alias("high"))
@@ -115,8 +119,13 @@ def links(prints: DataFrame) -> DataFrame:
              .select("a", "b"))
     finer = (members.where(F.col("n") > CROWD).select("fp", F.inline(_finer()))
              .withColumn("rest", F.expr("fp & ~(shiftleft(1L, p) | shiftleft(1L, q))")))
-    stars = (finer.groupBy("p", "q", "rest").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all"))
-             .where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where((F.col("a") != F.col("b")) & near))
+    # Which of the four fingerprints of a finer key are there, as four bits.
+    there = F.expr("bit_or(shiftleft(1, CAST(2 * getbit(fp, p) + getbit(fp, q) AS int)))")
+    found = finer.groupBy("p", "q", "rest").agg(there.alias("there")).where(F.bit_count("there") > 1)
+    four = F.expr("transform(filter(sequence(0, 3), i -> getbit(there, i) = 1), "
+                  "i -> rest | shiftleft(CAST(i div 2 AS bigint), p) | shiftleft(CAST(i % 2 AS bigint), q))")
+    stars = (found.select(four.alias("all")).select(F.element_at("all", 1).alias("a"), F.explode(F.slice("all", 2, 3)).alias("b"))
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(near))
     return written(pairs.union(stars.select("a", "b")).distinct(), "links")
 
 
