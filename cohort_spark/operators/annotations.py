@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import clamp
+from . import mask_geometry as G
 from . import masks
 from .match import dense_index
 
@@ -164,9 +165,14 @@ def hflip(df: DataFrame, width: str = "width", flip_index: Sequence[int] | None
     return out
 
 
+def flips(k: Column, p: float, seed: int) -> Column:
+    """Is the image mirrored?"""
+    return uniform(k, seed, 12) < p
+
+
 def random_hflip(df: DataFrame, p: float = 0.5, seed: int = 42, key: str = "image_id", **kw) -> DataFrame:
     """B12 with a seeded per-image decision (probability ``p``)."""
-    flip = uniform(F.col(key), seed, 12) < p
+    flip = flips(F.col(key), p, seed)
     touched = ["x1", "x2", *([kw["keypoints"]] if kw.get("keypoints") else [])]
     tagged = df.withColumns({"__flip": flip, **{f"__o_{c}": F.col(c) for c in touched}})
     f = hflip(tagged, **kw)
@@ -174,70 +180,248 @@ def random_hflip(df: DataFrame, p: float = 0.5, seed: int = 42, key: str = "imag
         .drop("__flip", *[f"__o_{c}" for c in touched])
 
 
-def zoom_out(df: DataFrame, p: float = 0.5, side_range: tuple[float, float] = (1.0, 4.0), seed: int = 42,
-             key: str = "image_id") -> DataFrame:
-    """With probability p place the image on a canvas ``r``× larger
-    (r in side_range) at a random offset; boxes shift by the offset."""
-    k = F.col(key)
+def random_hflip_masks(runs: DataFrame, p: float = 0.5, seed: int = 42) -> DataFrame:
+    """B12 on masks: the same images as ``random_hflip`` are mirrored."""
+    flip = flips(F.col("image_id"), p, seed)
+    return runs.where(~flip).unionByName(G.mirror(runs.where(flip)))
+
+
+def zoom(k: Column, p: float, side_range: tuple[float, float], seed: int) -> dict[str, Column]:
+    """The canvas of an image and its place on it; an image that is left alone keeps its size."""
     apply = uniform(k, seed, 150) < p
     r = F.lit(side_range[0]) + (side_range[1] - side_range[0]) * uniform(k, seed, 151)
     cw, ch = (F.col("width") * r).cast("int"), (F.col("height") * r).cast("int")
     left = ((cw - F.col("width")) * uniform(k, seed, 152)).cast("int")
     top = ((ch - F.col("height")) * uniform(k, seed, 153)).cast("int")
+    return {"left": F.when(apply, left).otherwise(0), "top": F.when(apply, top).otherwise(0),
+            "width": F.when(apply, cw).otherwise(F.col("width")), "height": F.when(apply, ch).otherwise(F.col("height"))}
+
+
+def zoom_out(df: DataFrame, p: float = 0.5, side_range: tuple[float, float] = (1.0, 4.0), seed: int = 42,
+             key: str = "image_id") -> DataFrame:
+    """With probability p place the image on a canvas ``r``× larger
+    (r in side_range) at a random offset; boxes shift by the offset."""
+    z = zoom(F.col(key), p, side_range, seed)
     return df.withColumns({
-        "x1": F.when(apply, F.col("x1") + left).otherwise(F.col("x1")),
-        "x2": F.when(apply, F.col("x2") + left).otherwise(F.col("x2")),
-        "y1": F.when(apply, F.col("y1") + top).otherwise(F.col("y1")),
-        "y2": F.when(apply, F.col("y2") + top).otherwise(F.col("y2")),
-        "width": F.when(apply, cw).otherwise(F.col("width")),
-        "height": F.when(apply, ch).otherwise(F.col("height")),
-    })
+        "x1": F.col("x1") + z["left"], "x2": F.col("x2") + z["left"], "y1": F.col("y1") + z["top"],
+        "y2": F.col("y2") + z["top"], "width": z["width"], "height": z["height"]})
+
+
+def zoom_out_masks(runs: DataFrame, p: float = 0.5, side_range: tuple[float, float] = (1.0, 4.0), seed: int = 42) -> DataFrame:
+    """B15 on masks, with the draws of ``zoom_out``."""
+    z = zoom(F.col("image_id"), p, side_range, seed)
+    return G.place(runs, z["left"], z["top"], z["height"], z["width"])
+
+
+def jittered_size(k: Column, target: tuple[int, int], scale_range: tuple[float, float], seed: int) -> tuple[Column, Column]:
+    """New (width, height) of scale jitter."""
+    s = F.lit(scale_range[0]) + (scale_range[1] - scale_range[0]) * uniform(k, seed, 160)
+    r = F.least(F.lit(float(target[1])) / F.col("height"), F.lit(float(target[0])) / F.col("width")) * s
+    return (F.col("width") * r).cast("int"), (F.col("height") * r).cast("int")
 
 
 def scale_jitter(df: DataFrame, target: tuple[int, int], scale_range: tuple[float, float] = (0.1, 2.0),
                  seed: int = 42, key: str = "image_id") -> DataFrame:
     """``r = min(th / h, tw / w) · s`` with the source's index order for
     ``target = (th, tw)``; integer new size; boxes scaled by the realised ratio."""
-    k = F.col(key)
-    s = F.lit(scale_range[0]) + (scale_range[1] - scale_range[0]) * uniform(k, seed, 160)
-    r = F.least(F.lit(float(target[1])) / F.col("height"), F.lit(float(target[0])) / F.col("width")) * s
-    nw, nh = (F.col("width") * r).cast("int"), (F.col("height") * r).cast("int")
+    nw, nh = jittered_size(F.col(key), target, scale_range, seed)
     sx, sy = nw / F.col("width"), nh / F.col("height")
     return df.withColumns({"x1": F.col("x1") * sx, "x2": F.col("x2") * sx, "y1": F.col("y1") * sy,
                            "y2": F.col("y2") * sy, "width": nw, "height": nh})
 
 
+def scale_jitter_masks(runs: DataFrame, target: tuple[int, int], scale_range: tuple[float, float] = (0.1, 2.0), seed: int = 42) -> DataFrame:
+    """B16 on masks (nearest), with the draws of ``scale_jitter``."""
+    nw, nh = jittered_size(F.col("image_id"), target, scale_range, seed)
+    return G.stretch(runs, nh, nw)
+
+
+def crop_window(k: Column, size: tuple[int, int], seed: int) -> dict[str, Column]:
+    """The window of at most ``size = (h, w)``; one draw places it on both axes."""
+    th, tw = size
+    u = uniform(k, seed, 170)
+    return {"width": F.least(F.col("width"), F.lit(tw)), "height": F.least(F.col("height"), F.lit(th)),
+            "left": (F.greatest(F.col("width") - tw, F.lit(0)) * u).cast("int"),
+            "top": (F.greatest(F.col("height") - th, F.lit(0)) * u).cast("int")}
+
+
 def fixed_size_crop(df: DataFrame, size: tuple[int, int], seed: int = 42, key: str = "image_id") -> DataFrame:
     """Random crop of at most ``size = (h, w)``, boxes shifted and clamped,
     degenerate boxes dropped; the canvas is padded right/bottom to ``size``."""
-    k = F.col(key)
-    th, tw = size
-    cw, chh = F.least(F.col("width"), F.lit(tw)), F.least(F.col("height"), F.lit(th))
-    left = ((F.col("width") - cw + 1) * uniform(k, seed, 170)).cast("int")
-    top = ((F.col("height") - chh + 1) * uniform(k, seed, 171)).cast("int")
+    c = crop_window(F.col(key), size, seed)
     out = df.withColumns({
-        "x1": clamp(F.col("x1") - left, F.lit(0.0), cw), "x2": clamp(F.col("x2") - left, F.lit(0.0), cw),
-        "y1": clamp(F.col("y1") - top, F.lit(0.0), chh), "y2": clamp(F.col("y2") - top, F.lit(0.0), chh),
+        "x1": clamp(F.col("x1") - c["left"], F.lit(0.0), c["width"]), "x2": clamp(F.col("x2") - c["left"], F.lit(0.0), c["width"]),
+        "y1": clamp(F.col("y1") - c["top"], F.lit(0.0), c["height"]), "y2": clamp(F.col("y2") - c["top"], F.lit(0.0), c["height"]),
     })
-    return keep_positive(out).withColumns({"width": F.lit(tw), "height": F.lit(th)})
+    return keep_positive(out).withColumns({"width": F.lit(size[1]), "height": F.lit(size[0])})
 
 
-def shortest_size(df: DataFrame, min_sizes: Sequence[int], max_size: int, seed: int = 42,
-                  key: str = "image_id") -> DataFrame:
-    """Resize so the short side is a size drawn from ``min_sizes``, capped
-    so the long side stays ≤ ``max_size``; boxes scaled."""
-    k = F.col(key)
+def fixed_size_crop_masks(runs: DataFrame, size: tuple[int, int], seed: int = 42) -> DataFrame:
+    """B17 on masks, with the window of ``fixed_size_crop``: what lies outside is cut off, and
+    the canvas is ``size``.  Objects whose box is dropped are to be dropped here too (join)."""
+    c = crop_window(F.col("image_id"), size, seed)
+    cut = G.place(runs, -c["left"], -c["top"], c["height"], c["width"])
+    return G.place(cut, F.lit(0), F.lit(0), F.lit(size[0]), F.lit(size[1]))
+
+
+def shortest_side(k: Column, min_sizes: Sequence[int], max_size: int, seed: int) -> tuple[Column, Column]:
+    """New (width, height) of the shortest-side resize."""
     pick = (uniform(k, seed, 180) * len(min_sizes)).cast("int")
     target = F.element_at(F.array(*[F.lit(float(m)) for m in min_sizes]), pick + 1)
     short = F.least(F.col("width"), F.col("height"))
     long = F.greatest(F.col("width"), F.col("height"))
     r = F.least(target / short, F.lit(float(max_size)) / long)
-    nw, nh = (F.col("width") * r).cast("int"), (F.col("height") * r).cast("int")
+    return (F.col("width") * r).cast("int"), (F.col("height") * r).cast("int")
+
+
+def shortest_size(df: DataFrame, min_sizes: Sequence[int], max_size: int, seed: int = 42,
+                  key: str = "image_id") -> DataFrame:
+    """Resize so the short side is a size drawn from ``min_sizes``, capped
+    so the long side stays ≤ ``max_size``; boxes scaled."""
+    nw, nh = shortest_side(F.col(key), min_sizes, max_size, seed)
     return df.withColumns({"x1": F.col("x1") * nw / F.col("width"), "x2": F.col("x2") * nw / F.col("width"),
                            "y1": F.col("y1") * nh / F.col("height"), "y2": F.col("y2") * nh / F.col("height"),
                            "width": nw, "height": nh})
 
 
+def shortest_size_masks(runs: DataFrame, min_sizes: Sequence[int], max_size: int, seed: int = 42) -> DataFrame:
+    """B18 on masks (nearest), with the draws of ``shortest_size``."""
+    nw, nh = shortest_side(F.col("image_id"), min_sizes, max_size, seed)
+    return G.stretch(runs, nh, nw)
+
+
+# ---------------------------------------------------------------- B14 ----
+
+#: Least overlaps to choose from; the last one leaves an image as it is.
+IOU_OPTIONS = (0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0)
+
+
+def iou_crop(boxes: DataFrame, seed: int = 42, options: Sequence[float] = IOU_OPTIONS, scale: tuple[float, float] = (0.3, 1.0),
+             aspect: tuple[float, float] = (0.5, 2.0), trials: int = 40, rounds: int = 8, key: str = "image_id") -> DataFrame:
+    """Crop each image to a window with objects of enough overlap.
+
+    Each round draws an option for each image that is left: 1 or more leaves the image as
+    it is; else ``trials`` windows are drawn, and the first good one is taken: its
+    sides' ratio lies in ``aspect``, it is not empty, at least one box (x1, y1, x2, y2) has its
+    centre strictly inside, and one of those overlaps the window by the option or
+    more.  Images without a good window go to the next round; after ``rounds`` they
+    are left as they are.  Boxes with their centre outside are dropped, the others shifted
+    and clamped.  Extra columns stay; width and height become the window's.
+    """
+    from ..session import materialize
+
+    images = boxes.groupBy(key).agg(F.first("width").alias("width"), F.first("height").alias("height"))
+    k = F.col(key)
+    window = [F.col("left"), F.col("top"), F.col("right"), F.col("bottom")]
+    taken: DataFrame | None = None
+    for n in range(rounds):
+        base = 1400 + 1000 * n
+        option = F.element_at(F.array(*[F.lit(float(o)) for o in options]), (uniform(k, seed, base) * len(options)).cast("int") + 1)
+        drawn = images.withColumn("option", option)
+        tries = drawn.where("option < 1").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+
+        def draw(i: int, base: int = base) -> Column:
+            return F.pmod(F.xxhash64(k, F.lit(seed), F.lit(base + i), F.col("trial")), F.lit(1 << 30)) / float(1 << 30)
+
+        side = [F.lit(scale[0]) + (scale[1] - scale[0]) * draw(i) for i in (1, 2)]
+        tries = tries.withColumns({"w": (F.col("width") * side[0]).cast("int"), "h": (F.col("height") * side[1]).cast("int")})
+        tries = tries.where((F.col("h") > 0) & (F.col("w") > 0) & (F.col("w") / F.col("h")).between(*aspect))
+        tries = tries.withColumns({"left": ((F.col("width") - F.col("w")) * draw(3)).cast("int"),
+                                   "top": ((F.col("height") - F.col("h")) * draw(4)).cast("int")})
+        tries = tries.withColumns({"right": F.col("left") + F.col("w"), "bottom": F.col("top") + F.col("h")})
+        met = tries.select(key, "option", "trial", *window).join(boxes.select(key, "x1", "y1", "x2", "y2"), key).where(_centre_inside())
+        both = ((F.least("x2", "right") - F.greatest("x1", "left")) * (F.least("y2", "bottom") - F.greatest("y1", "top")))
+        area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))
+        good = met.where(both / (area - both) >= F.col("option"))
+        first = good.groupBy(key).agg(F.min_by(F.struct(*window), "trial").alias("window"))
+        left_alone = drawn.where("option >= 1").select(key, F.lit(None).cast("struct<left:int,top:int,right:int,bottom:int>").alias("window"))
+        done = materialize(first.unionByName(left_alone))
+        taken = done if taken is None else taken.unionByName(done)
+        images = images.join(done.select(key), key, "left_anti")
+        if n + 1 < rounds:
+            images = materialize(images)
+            if images.isEmpty():
+                break
+    j = boxes.join(taken, key, "left").select("*", *[F.col(f"window.{c}").alias(c) for c in ("left", "top", "right", "bottom")])
+    cropped = F.col("window").isNotNull()
+    j = j.where(~cropped | _centre_inside())
+    w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
+    moved = {c: F.when(cropped, clamp(F.col(c) - F.col(at), F.lit(0.0), size)).otherwise(F.col(c))
+             for c, at, size in (("x1", "left", w), ("x2", "left", w), ("y1", "top", h), ("y2", "top", h))}
+    return j.withColumns({**moved, "width": F.when(cropped, w).otherwise(F.col("width")),
+                          "height": F.when(cropped, h).otherwise(F.col("height"))}).select(*boxes.columns)
+
+
+def _centre_inside() -> Column:
+    cx, cy = (F.col("x1") + F.col("x2")) * 0.5, (F.col("y1") + F.col("y2")) * 0.5
+    return (F.col("left") < cx) & (cx < F.col("right")) & (F.col("top") < cy) & (cy < F.col("bottom"))
+
+
+# ---------------------------------------------------------------- B19 ----
+
+def copy_paste(images: DataFrame, objects: DataFrame, runs: DataFrame, batch_size: int = 8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Paste objects of the batch's neighbour over each image's own.
+
+    ``images`` (image_id, height, width), ``objects`` (image_id, obj_id, category_id, x1, y1,
+    x2, y2, iscrowd), ``runs`` their masks.  Images in a seeded order make batches of
+    ``batch_size``; each gets objects of the one before it, the first those of the last.
+    Of n objects n are drawn with repetition and each drawn one is pasted once; masks
+    are rescaled (nearest) to the image, boxes by the ratio of the sizes.  What a paste hides
+    leaves the masks below; objects with nothing left go, the others get the box
+    (inclusive corners) of what is left, and all get their mask's area.  Boxes without
+    width or height are dropped.  An image whose neighbour has no object keeps its own as
+    they are, without an area of their own making.
+
+    Returns (objects with ``area`` and ``pasted``, runs); a pasted object's id is the old one
+    after the image's largest.
+    """
+    from ..session import materialize
+
+    k = F.col("image_id")
+    order = dense_index(images.select("image_id", "height", "width", F.xxhash64(k, F.lit(seed)).alias("__draw")),
+                        ["__draw", "image_id"], "__place")
+    placed = materialize(order.select("image_id", "height", "width", F.floor(F.col("__place") / batch_size).alias("batch"),
+                                      (F.col("__place") % batch_size).alias("at")))
+    size = placed.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    before = placed.join(size, "batch").select(
+        "image_id", "height", "width", "batch", F.pmod(F.col("at") - 1, F.col("n")).alias("at"))
+    pairs = before.join(placed.select("batch", "at", F.col("image_id").alias("source"), F.col("height").alias("sh"), F.col("width").alias("sw")),
+                        ["batch", "at"]).select("image_id", "height", "width", "source", "sh", "sw")
+    # The draws of a source: its objects by rank, n draws of a rank.
+    ranked = objects.withColumn("r", F.row_number().over(Window.partitionBy("image_id").orderBy("obj_id")))
+    count = objects.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.max("obj_id").alias("most"))
+    drawn = count.select("image_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("draw"), "n").select(
+        "image_id", ((F.pmod(F.xxhash64(k, F.lit(seed), F.lit(190), F.col("draw")), F.lit(1 << 30)) / float(1 << 30)) * F.col("n"))
+        .cast("long").alias("r0")).select("image_id", (F.col("r0") + 1).cast("int").alias("r")).distinct()
+    chosen = ranked.join(drawn, ["image_id", "r"], "left_semi").drop("r").withColumnRenamed("image_id", "source")
+    sx, sy = F.col("width") / F.col("sw"), F.col("height") / F.col("sh")
+    offset = count.select("image_id", (F.col("most") + 1).alias("shift"))
+    to = materialize(pairs.join(offset, "image_id", "left").fillna(0, ["shift"]))
+    pasted = chosen.join(to, "source").select(
+        "image_id", (F.col("obj_id") + F.col("shift")).alias("obj_id"), "category_id", (F.col("x1") * sx).alias("x1"), (F.col("y1") * sy).alias("y1"),
+        (F.col("x2") * sx).alias("x2"), (F.col("y2") * sy).alias("y2"), "iscrowd", F.lit(True).alias("pasted"))
+    source_runs = runs.join(chosen.select(F.col("source").alias("image_id"), "obj_id"), ["image_id", "obj_id"], "left_semi").withColumnRenamed(
+        "image_id", "source").drop("height", "width")
+    stretched = G.stretch(source_runs.join(to, "source").select(
+        "image_id", (F.col("obj_id") + F.col("shift")).alias("obj_id"), "start", "len", F.col("sh").alias("height"), F.col("sw").alias("width"),
+        F.col("height").alias("__h"), F.col("width").alias("__w")), F.col("__h"), F.col("__w"))
+    paste_runs = materialize(stretched)
+    cover = masks.union_runs(paste_runs)
+    own = materialize(G.subtract(runs, cover))
+    touched = to.join(count.select(F.col("image_id").alias("source")), "source").select("image_id").distinct()
+    box = masks.boxes(own).select("image_id", "obj_id", *[F.col(a).cast("double").alias(b) for a, b in (
+        ("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2"))])
+    covered = objects.join(touched, "image_id", "left_semi").drop("x1", "y1", "x2", "y2").join(box, ["image_id", "obj_id"])
+    same = objects.join(touched, "image_id", "left_anti")
+    columns = ["image_id", "obj_id", "category_id", "x1", "y1", "x2", "y2", "iscrowd"]
+    every_run = own.unionByName(paste_runs)
+    area = every_run.groupBy("image_id", "obj_id").agg(F.sum("len").cast("double").alias("area"))
+    out = (covered.select(*columns, F.lit(False).alias("pasted")).unionByName(pasted)).where(
+        (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).unionByName(same.select(*columns, F.lit(False).alias("pasted")))
+    out = out.join(area, ["image_id", "obj_id"], "left").fillna(0.0, ["area"])
+    return out, every_run.join(out.select("image_id", "obj_id"), ["image_id", "obj_id"], "left_semi")
+
+
 def compose(df: DataFrame, *steps) -> DataFrame:
     """Apply transforms in order (``DataFrame.transform`` chain)."""
     for s in steps:

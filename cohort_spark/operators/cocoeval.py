@@ -1,30 +1,40 @@
-"""COCO-style detection evaluation (V5, V6): average precision and recall.
-
-Rules from the COCO evaluation description (Lin et al. 2014): IoU thresholds
-.50:.05:.95, 101 recall points, max detections 1/10/100 per image and
-category, area ranges all / small / medium / large.  Per (image, category)
-detections are taken in score order and greedily matched to the best
-still-free target with IoU ≥ t (non-ignored targets first; a crowd target can
-absorb many detections and its overlap is divided by the detection area).
-Crowd targets and targets outside the area range are ignored, as are
-unmatched detections outside the range.
-
-Spark layout: detections and targets are gathered per (image, category) —
-bounded by the detection limit and the objects of one image — and matched in
-a vectorised pandas UDF, the one sequential step.  Accumulation over images
-is distributed: running TP/FP sums use range partitions with offsets
-(``match.running_sums``), so a category holding most detections is still
-spread over all tasks; the precision envelope and the 101-point
-interpolation are aggregates over at most 101 recall buckets.
+"""COCO-style detection evaluation (V5, V6): average precision and recall of boxes,
+masks and keypoints.
+
+Rules from the COCO evaluation description (Lin et al. 2014): similarity thresholds
+.50:.05:.95, 101 recall points, a number of detections per image and category, area
+ranges.  Per (image, category) detections are taken in score order; each takes the most
+similar free target of at least t, targets that count before ignored ones (a crowd target
+can absorb many detections).  Crowd targets, targets outside the area range and, for
+keypoints, targets without a labelled point are ignored, as are unmatched detections
+outside the range.  The similarity is
+
+* ``bbox``: box overlap (IoU; a crowd target's overlap is divided by the detection),
+* ``segm``: the same on masks given as runs, which meet by (image, category, column),
+* ``keypoints``: object keypoint similarity, by the target's labelled points; a target
+  without any is compared by its box, doubled on each side.
+
+Spark layout: similar pairs come from equi-joins on (image, category); only pairs of at
+least the lowest threshold are kept.  They are gathered per (image, category) — bounded by
+the detection limit and the objects of one image — and matched in a vectorised pandas
+UDF, the one sequential step, for all ranges and thresholds at once.  Accumulation over
+images is distributed: running TP/FP sums use range partitions with offsets
+(``match.running_sums``), so a category holding most detections is still spread over all
+tasks; the precision envelope and the 101-point interpolation are aggregates over at most
+101 recall buckets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import masks
 from .match import running_sums
 
 # Fixed evaluation parameters of the COCO protocol.
@@ -33,147 +43,263 @@ REC_THRS = [float(x) for x in np.linspace(0.0, 1.0, 101)]
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0 ** 2), "medium": (32.0 ** 2, 96.0 ** 2), "large": (96.0 ** 2, 1e10)}
 AREA_NAMES = list(AREAS)
 MAX_DETS = [1, 10, 100]
+KEYPOINT_MAX_DETS = [20]
+# Spread of the 17 person keypoints, fixed values of the protocol.
+SIGMAS = [0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089]
 EPS = float(np.spacing(1))
+FALSE, TRUE, IGNORED = 0, 1, 2
+_GROUP = ["image_id", "category_id"]
+
+
+@dataclass(frozen=True)
+class Report:
+    """Area ranges of a kind, its numbers of detections, and its lines: (metric, value,
+    area range, detections, threshold or None for the mean)."""
+
+    areas: list[str]
+    max_dets: list[int]
+    lines: list[tuple[str, str, str, int, float | None]]
+
+
+def report(kind: str, max_dets: Sequence[int] | None = None) -> Report:
+    """The summary of a kind.  ``max_dets`` is ascending; the last one limits matching."""
+    if kind == "keypoints":
+        most = list(max_dets or KEYPOINT_MAX_DETS)
+        n = most[-1]
+        lines = [(name + label, column, area, n, t) for name, column in (("AP", "ap"), ("AR", "recall"))
+                 for label, area, t in (("", "all", None), ("50", "all", 0.5), ("75", "all", 0.75), ("m", "medium", None), ("l", "large", None))]
+        return Report(["all", "medium", "large"], most, lines)
+    if kind not in ("bbox", "segm"):
+        raise ValueError(f"unknown kind {kind}")
+    most = list(max_dets or MAX_DETS)
+    n = most[-1]
+    lines = [("AP", "ap", "all", n, None), ("AP50", "ap", "all", n, 0.5), ("AP75", "ap", "all", n, 0.75)]
+    lines += [(f"AP{a[0]}", "ap", a, n, None) for a in AREA_NAMES[1:]]
+    lines += [(f"AR{m}", "recall", "all", m, None) for m in most]
+    lines += [(f"AR{a[0]}", "recall", a, n, None) for a in AREA_NAMES[1:]]
+    return Report(AREA_NAMES, most, lines)
+
+
+# ---------------------------------------------------------------- similarity ----
+
+def top_detections(dets: DataFrame, most: int) -> DataFrame:
+    """The best ``most`` detections per (image, category) with their ``rank``."""
+    w = Window.partitionBy(*_GROUP).orderBy(F.desc("score"), "det_id")
+    return dets.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def numbered_targets(gts: DataFrame) -> DataFrame:
+    """Targets with their number ``g`` in (image, category): by obj_id, else by all columns."""
+    order = ["obj_id"] if "obj_id" in gts.columns else sorted(c for c in gts.columns if c not in _GROUP)
+    return gts.withColumn("g", F.row_number().over(Window.partitionBy(*_GROUP).orderBy(*order)))
+
+
+def box_similarity(top: DataFrame, targets: DataFrame) -> DataFrame:
+    """(image_id, category_id, rank, g, iou) of the boxes (x, y, w, h) that overlap."""
+    d = top.select(*_GROUP, "rank", *[F.col(c).alias(f"d{c}") for c in "xywh"])
+    t = targets.select(*_GROUP, "g", "iscrowd", *[F.col(c).alias(f"g{c}") for c in "xywh"])
+
+    def side(at: str, size: str) -> Column:
+        end = F.least(F.col(f"d{at}") + F.col(f"d{size}"), F.col(f"g{at}") + F.col(f"g{size}"))
+        return F.greatest(F.lit(0.0), end - F.greatest(f"d{at}", f"g{at}"))
+
+    both, own = side("x", "w") * side("y", "h"), F.col("dw") * F.col("dh")
+    return d.join(t, _GROUP).select(*_GROUP, "rank", "g", _iou(both, own, F.col("gw") * F.col("gh")).alias("iou"))
+
+
+def _iou(both: Column, own: Column, target: Column) -> Column:
+    union = F.when(F.col("iscrowd") == 1, own).otherwise(own + target - both)
+    return F.when(union > 0, both / union).otherwise(F.lit(0.0))
+
+
+def mask_similarity(top: DataFrame, targets: DataFrame, det_runs: DataFrame, gt_runs: DataFrame) -> DataFrame:
+    """(image_id, category_id, rank, g, iou) of the masks that overlap; runs are
+    (image_id, det_id or obj_id, start, len, height, width)."""
+    d = det_runs.join(top.select(*_GROUP, "det_id", "rank"), ["image_id", "det_id"])
+    t = gt_runs.join(targets.select(*_GROUP, "obj_id", "g"), ["image_id", "obj_id"])
+    both = masks.overlap(d, t, _GROUP, ["rank"], ["g"])
+    own = d.groupBy(*_GROUP, "rank").agg(F.sum("len").alias("own"))
+    other = t.groupBy(*_GROUP, "g").agg(F.sum("len").alias("target"))
+    return (both.join(own, [*_GROUP, "rank"]).join(other, [*_GROUP, "g"])
+            .join(targets.select(*_GROUP, "g", "iscrowd"), [*_GROUP, "g"])
+            .select(*_GROUP, "rank", "g", _iou(F.col("intersection"), F.col("own"), F.col("target")).alias("iou")))
 
 
-def _match_one(d_box, d_area, g_box, g_crowd, g_area) -> np.ndarray:
-    """Codes per (detection, area range, threshold): 1 TP, 0 FP, 2 ignored."""
-    nd, ng = len(d_box), len(g_box)
-    out = np.zeros((nd, len(AREA_NAMES), len(IOU_THRS)), dtype=np.int8)
-    if nd == 0:
-        return out
-    if ng:
-        dx1, dy1 = d_box[:, 0], d_box[:, 1]
-        dx2, dy2 = dx1 + d_box[:, 2], dy1 + d_box[:, 3]
-        gx1, gy1 = g_box[:, 0], g_box[:, 1]
-        gx2, gy2 = gx1 + g_box[:, 2], gy1 + g_box[:, 3]
-        iw = np.clip(np.minimum(dx2[:, None], gx2[None, :]) - np.maximum(dx1[:, None], gx1[None, :]), 0, None)
-        ih = np.clip(np.minimum(dy2[:, None], gy2[None, :]) - np.maximum(dy1[:, None], gy1[None, :]), 0, None)
-        inter = iw * ih
-        da = (d_box[:, 2] * d_box[:, 3])[:, None]
-        ga = (g_box[:, 2] * g_box[:, 3])[None, :]
-        union = np.where(g_crowd[None, :], da, da + ga - inter)
-        ious = np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
-    for a, name in enumerate(AREA_NAMES):
-        lo, hi = AREAS[name]
-        g_ig = g_crowd | (g_area < lo) | (g_area > hi)
-        order = np.argsort(g_ig, kind="stable")  # non-ignored targets first
-        d_out = (d_area < lo) | (d_area > hi)
-        for t, thr in enumerate(IOU_THRS):
-            taken = np.zeros(ng, dtype=bool)
-            for d in range(nd):
-                best, best_iou = -1, min(thr, 1 - 1e-10)
-                for g in order:
-                    if taken[g] and not g_crowd[g]:
-                        continue
-                    if best > -1 and not g_ig[best] and g_ig[g]:
-                        break
-                    if ious[d, g] < best_iou:
-                        continue
-                    best_iou, best = ious[d, g], g
-                if best == -1:
-                    out[d, a, t] = 2 if d_out[d] else 0
-                else:
-                    taken[best] = True
-                    out[d, a, t] = 2 if g_ig[best] else 1
+def keypoint_similarity(top: DataFrame, targets: DataFrame, sigmas: Sequence[float] = SIGMAS) -> DataFrame:
+    """(image_id, category_id, rank, g, iou): keypoint similarity.
+
+    ``keypoints`` are arrays of structs (x, y, v); targets also have a box and ``area``.
+    """
+    d = top.select(*_GROUP, "rank", F.col("keypoints").alias("dk"))
+    t = targets.select(*_GROUP, "g", "x", "y", "w", "h", "area", F.col("keypoints").alias("gk"),
+                       F.exists("keypoints", lambda k: k["v"] > 0).alias("labelled"))
+
+    def outside(at: Column, start: str, size: str) -> Column:
+        low, high = F.col(start) - F.col(size), F.col(start) + 2 * F.col(size)
+        return F.greatest(F.lit(0.0), low - at) + F.greatest(F.lit(0.0), at - high)
+
+    spread = F.array(*[F.lit((2 * s) ** 2) for s in sigmas])
+
+    def one(p: Column) -> Column:
+        dx = F.when(F.col("labelled"), p["dk"]["x"] - p["gk"]["x"]).otherwise(outside(p["dk"]["x"], "x", "w"))
+        dy = F.when(F.col("labelled"), p["dk"]["y"] - p["gk"]["y"]).otherwise(outside(p["dk"]["y"], "y", "h"))
+        e = (dx * dx + dy * dy) / p["spread"] / (F.col("area") + F.lit(EPS)) / 2
+        return F.struct((~F.col("labelled") | (p["gk"]["v"] > 0)).alias("counts"), F.exp(-e).alias("value"))
+
+    terms = F.filter(F.transform(F.arrays_zip("dk", "gk", spread.alias("spread")), one), lambda s: s["counts"])
+    total = F.aggregate(terms, F.lit(0.0), lambda acc, s: acc + s["value"])
+    return d.join(t, _GROUP).select(*_GROUP, "rank", "g", (total / F.size(terms)).alias("iou"))
+
+
+# ------------------------------------------------------------------- matching ----
+
+def _codes(d_area: np.ndarray, g_ignored: np.ndarray, g_crowd: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]],
+           ranges: np.ndarray) -> np.ndarray:
+    """Codes (detection, area range, threshold).  ``g_ignored`` is (range, target);
+    ``pairs`` holds for each detection its candidate targets and similarities.
+
+    All ranges and thresholds are decided at once for a detection; the order of
+    preference is (target that counts, similarity, later target).
+    """
+    limits = np.minimum(np.array(IOU_THRS), 1 - 1e-10)
+    free = np.ones((len(ranges), len(limits), len(g_crowd)), dtype=bool)
+    out = np.full((len(d_area), len(ranges), len(limits)), FALSE, dtype=np.int32)
+    beyond = (d_area[:, None] < ranges[:, 0]) | (d_area[:, None] > ranges[:, 1])
+    rows, columns = np.indices(out.shape[1:])
+    for d, (mine, similar) in enumerate(pairs):
+        out[d][beyond[d]] = IGNORED
+        if not len(mine):
+            continue
+        ignored = g_ignored[:, mine]
+        allowed = (similar >= limits[:, None])[None] & (free[:, :, mine] | g_crowd[mine])
+        value = np.where(allowed, (similar + 2 * ~ignored)[:, None, :], -1)
+        last = value.shape[2] - 1 - value[:, :, ::-1].argmax(axis=2)
+        hit = np.take_along_axis(value, last[:, :, None], 2)[:, :, 0] >= 0
+        out[d][hit] = np.where(np.take_along_axis(ignored, last, 1), IGNORED, TRUE)[hit]
+        free[rows[hit], columns[hit], mine[last[hit]]] = False
     return out
 
 
-def _match_series(dbox: pd.Series, darea: pd.Series, gbox: pd.Series, gcrowd: pd.Series,
-                  garea: pd.Series) -> pd.Series:
-    res = []
-    for db, dar, gb, gc, ga in zip(dbox, darea, gbox, gcrowd, garea):
-        d_box = np.array([list(b) for b in db], dtype=float).reshape(-1, 4) if db is not None else np.zeros((0, 4))
-        g_box = np.array([list(b) for b in gb], dtype=float).reshape(-1, 4) if gb is not None else np.zeros((0, 4))
-        codes = _match_one(d_box, np.asarray(dar if dar is not None else [], dtype=float), g_box,
-                           np.asarray(gc if gc is not None else [], dtype=bool),
-                           np.asarray(ga if ga is not None else [], dtype=float))
-        res.append([c.reshape(-1).astype(np.int32) for c in codes])
-    return pd.Series(res)
+def _matcher(names: Sequence[str]):
+    ranges = np.array([AREAS[n] for n in names])
+
+    def run(d_areas: pd.Series, ignores: pd.Series, crowds: pd.Series, g_areas: pd.Series,
+            pair_ranks: pd.Series, pair_targets: pd.Series, pair_values: pd.Series) -> pd.Series:
+        out = []
+        for da, ig, crowd, ga, pr, pg, pv in zip(d_areas, ignores, crowds, g_areas, pair_ranks, pair_targets, pair_values, strict=True):
+            da, ga = np.asarray(da, dtype=float), np.asarray([] if ga is None else ga, dtype=float)
+            crowd = np.asarray([] if crowd is None else crowd, dtype=bool)
+            ig = np.asarray([] if ig is None else ig, dtype=bool) | (ga < ranges[:, :1]) | (ga > ranges[:, 1:])
+            rank, target, value = (np.asarray([] if x is None else x) for x in (pr, pg, pv))
+            order = np.lexsort((target, rank)) if len(rank) else np.zeros(0, dtype=np.int64)
+            cuts = np.searchsorted(rank[order], np.arange(1, len(da) + 2)) if len(rank) else np.zeros(len(da) + 1, dtype=np.int64)
+            pairs = [(target[order[a:b]].astype(np.int64) - 1, value[order[a:b]].astype(float)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            out.append([c.reshape(-1) for c in _codes(da, ig, crowd, pairs, ranges)])
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<array<int>>")
 
 
-def match(dets: DataFrame, gts: DataFrame) -> DataFrame:
+def match(top: DataFrame, targets: DataFrame, similar: DataFrame, areas: Sequence[str] = AREA_NAMES) -> DataFrame:
     """Per detection: ``(image_id, category_id, det_id, score, rank, codes)`` with
-    ``codes[a·10 + t]`` ∈ {0 FP, 1 TP, 2 ignored} for area range a and IoU
-    threshold t.  Detections are the top 100 per (image, category)."""
-    w = Window.partitionBy("image_id", "category_id").orderBy(F.desc("score"), "det_id")
-    top = dets.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(MAX_DETS))
-    box = F.array(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    dg = top.groupBy("image_id", "category_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "det_id", "score", box.alias("box"),
-                                             (F.col("w") * F.col("h")).alias("area")))).alias("d"))
-    gg = gts.groupBy("image_id", "category_id").agg(
-        F.collect_list(F.struct(box.alias("box"), (F.col("iscrowd") == 1).alias("crowd"),
-                                F.col("area").alias("area"))).alias("g"))
-    j = dg.join(gg, ["image_id", "category_id"], "left")
-    udf = F.pandas_udf(_match_series, "array<array<int>>")
-    m = j.select("image_id", "category_id", "d", udf(
-        F.transform("d", lambda s: s["box"]), F.transform("d", lambda s: s["area"]),
-        F.transform("g", lambda s: s["box"]), F.transform("g", lambda s: s["crowd"]),
-        F.transform("g", lambda s: s["area"])).alias("codes"))
-    z = m.select("image_id", "category_id", F.explode(F.arrays_zip("d", "codes")).alias("z"))
-    return z.select("image_id", "category_id", F.col("z.d.det_id").alias("det_id"),
-                    F.col("z.d.score").alias("score"), F.col("z.d.rank").alias("rank"), F.col("z.codes").alias("codes"))
-
-
-def targets_per_range(gts: DataFrame) -> DataFrame:
-    """Non-ignored targets per (category, area range): the recall denominators."""
-    rows = gts.select("category_id", "iscrowd", "area", F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-        for a, (lo, hi) in enumerate(AREAS.values())])).alias("r"))
-    ok = (F.col("iscrowd") == 0) & (F.col("area") >= F.col("r.lo")) & (F.col("area") <= F.col("r.hi"))
+    ``codes[a·10 + t]`` ∈ {0 FP, 1 TP, 2 ignored} for area range a and threshold t.
+
+    ``top`` has ``area``, ``targets`` ``iscrowd``, ``area`` and, where some do not count,
+    ``ignore``."""
+    def each(name: str, *columns: Column) -> list[Column]:
+        return [F.array_sort(F.collect_list(F.struct(*columns))).alias(name)]
+
+    ignore = F.col("ignore") if "ignore" in targets.columns else F.lit(False)
+    d = top.groupBy(*_GROUP).agg(*each("d", F.col("rank"), F.col("det_id"), F.col("score"), F.col("area").cast("double").alias("area")))
+    g = targets.groupBy(*_GROUP).agg(*each("t", F.col("g"), ((F.col("iscrowd") == 1) | ignore).alias("ignored"),
+                                           (F.col("iscrowd") == 1).alias("crowd"), F.col("area").cast("double").alias("area")))
+    p = similar.where(F.col("iou") >= IOU_THRS[0]).groupBy(*_GROUP).agg(*each("p", F.col("rank"), F.col("g"), F.col("iou")))
+    j = d.join(g, _GROUP, "left").join(p, _GROUP, "left")
+    codes = _matcher(areas)(*[F.col(c) for c in ("d.area", "t.ignored", "t.crowd", "t.area", "p.rank", "p.g", "p.iou")])
+    z = j.select(*_GROUP, "d", codes.alias("codes")).select(*_GROUP, F.explode(F.arrays_zip("d", "codes")).alias("z"))
+    return z.select(*_GROUP, "z.d.det_id", "z.d.score", "z.d.rank", "z.codes")
+
+
+# --------------------------------------------------------------- accumulation ----
+
+def targets_per_range(gts: DataFrame, areas: Sequence[str] = AREA_NAMES) -> DataFrame:
+    """Targets that count per (category, area range): the recall denominators."""
+    ignore = F.col("ignore") if "ignore" in gts.columns else F.lit(False)
+    rows = gts.select("category_id", "iscrowd", "area", ignore.alias("ignore"), F.explode(F.array(*[
+        F.struct(F.lit(a).alias("a"), F.lit(AREAS[name][0]).alias("lo"), F.lit(AREAS[name][1]).alias("hi"))
+        for a, name in enumerate(areas)])).alias("r"))
+    ok = (F.col("iscrowd") == 0) & ~F.col("ignore") & (F.col("area") >= F.col("r.lo")) & (F.col("area") <= F.col("r.hi"))
     return rows.groupBy("category_id", F.col("r.a").alias("a")).agg(F.count_if(ok).alias("npig"))
 
 
-def evaluate(dets: DataFrame, gts: DataFrame) -> DataFrame:
-    """V5 (bbox): the 12 summary numbers ``(metric, value)`` of the COCO protocol."""
-    m = match(dets, gts)
-    # one record per (detection, area range, threshold, max detections)
-    recs = m.select("image_id", "category_id", "det_id", "score", "rank",
-                    F.posexplode("codes").alias("pos", "code")).where(F.col("code") != 2)
-    recs = recs.select("*", (F.col("pos") / len(IOU_THRS)).cast("int").alias("a"),
-                       (F.col("pos") % len(IOU_THRS)).alias("t"),
-                       F.explode(F.array(*[F.lit(x) for x in MAX_DETS])).alias("m"))
-    recs = recs.where(F.col("rank") <= F.col("m")).select(
-        "category_id", "a", "t", "m", "score", "image_id", "rank",
-        (F.col("code") == 1).cast("long").alias("tp"), (F.col("code") == 0).cast("long").alias("fp"))
-    keys = ["category_id", "a", "t", "m"]
+def summarise(matched: DataFrame, gts: DataFrame, form: Report) -> DataFrame:
+    """The summary numbers ``(metric, value)`` of matched detections."""
+    t_of = len(IOU_THRS)
+    recs = matched.select("image_id", "category_id", "score", "rank", F.posexplode("codes").alias("pos", "code")).where(
+        F.col("code") != IGNORED).select(
+        "category_id", (F.col("pos") / t_of).cast("int").alias("a"), (F.col("pos") % t_of).alias("t"), "score", "image_id", "rank",
+        (F.col("code") == TRUE).cast("long").alias("tp"), (F.col("code") == FALSE).cast("long").alias("fp"))
+    keys = ["category_id", "a", "t"]
     cum = running_sums(recs, keys, [F.desc("score"), F.col("image_id"), F.col("rank")], ["tp", "fp"])
-    npig = targets_per_range(gts)
-    c = cum.join(npig, ["category_id", "a"]).where(F.col("npig") > 0)
+    npig = targets_per_range(gts, form.areas).where(F.col("npig") > 0)
+    c = cum.join(npig, ["category_id", "a"])
     rc = F.col("cum_tp") / F.col("npig")
     pr = F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp") + F.lit(EPS))
     thr = F.array(*[F.lit(x) for x in REC_THRS])
     k0 = F.least(F.floor(rc * 100).cast("int"), F.lit(100))
     kb = (F.when((k0 < 100) & (F.element_at(thr, k0 + 2) <= rc), k0 + 1)
           .when(F.element_at(thr, k0 + 1) > rc, k0 - 1).otherwise(k0))
-    buckets = c.select(*keys, kb.alias("kb"), pr.alias("pr"), rc.alias("rc")).groupBy(*keys, "kb").agg(
-        F.max("pr").alias("bm"), F.max("rc").alias("rcmax"))
+    # Recall needs no order: the true ones among the first m of each image.
+    buckets = c.select(*keys, kb.alias("kb"), pr.alias("pr"), "rank", "tp").groupBy(*keys, "kb").agg(
+        F.max("pr").alias("bm"), *[F.sum(F.when(F.col("rank") <= m, F.col("tp")).otherwise(0)).alias(f"tp{m}") for m in form.max_dets])
     # precision at recall threshold k = max precision over buckets ≥ k (≤ 101 rows per key)
     q = buckets.where(F.col("kb") >= 0).select(*keys, "bm", F.explode(F.sequence(F.lit(0), F.col("kb"))).alias("k"))
-    ap_key = q.groupBy(*keys, "k").agg(F.max("bm").alias("q")).groupBy(*keys).agg(
-        (F.sum("q") / len(REC_THRS)).alias("ap"))
-    rec_key = buckets.groupBy(*keys).agg(F.max("rcmax").alias("recall"))
-    # every (category with targets, a, t, m) counts, with AP and recall 0 when it has no detection
-    grid = npig.where(F.col("npig") > 0).select("category_id", "a", F.explode(
-        F.sequence(F.lit(0), F.lit(len(IOU_THRS) - 1))).alias("t")).select(
-        "*", F.explode(F.array(*[F.lit(x) for x in MAX_DETS])).alias("m"))
-    full = grid.join(ap_key, keys, "left").join(rec_key, keys, "left").select(
-        *keys, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
-    a_all, a_s, a_m, a_l = 0, 1, 2, 3
-    t50, t75 = IOU_THRS.index(0.5), IOU_THRS.index(0.75)
-    specs = [
-        ("AP", "ap", a_all, 100, None), ("AP50", "ap", a_all, 100, t50), ("AP75", "ap", a_all, 100, t75),
-        ("APs", "ap", a_s, 100, None), ("APm", "ap", a_m, 100, None), ("APl", "ap", a_l, 100, None),
-        ("AR1", "recall", a_all, 1, None), ("AR10", "recall", a_all, 10, None), ("AR100", "recall", a_all, 100, None),
-        ("ARs", "recall", a_s, 100, None), ("ARm", "recall", a_m, 100, None), ("ARl", "recall", a_l, 100, None),
-    ]
-    out = None
-    for pos, (name, col, a, mx, t) in enumerate(specs):
-        cond = (F.col("a") == a) & (F.col("m") == mx)
+    ap = q.groupBy(*keys, "k").agg(F.max("bm").alias("q")).groupBy(*keys).agg((F.sum("q") / len(REC_THRS)).alias("ap"))
+    found = buckets.groupBy(*keys).agg(*[F.sum(f"tp{m}").alias(f"tp{m}") for m in form.max_dets])
+    # every (category with targets, a, t) counts, with AP and recall 0 when it has no detection
+    grid = npig.select("category_id", "a", "npig", F.explode(F.sequence(F.lit(0), F.lit(t_of - 1))).alias("t"))
+    full = grid.join(ap, keys, "left").join(found, keys, "left").select(
+        "a", "t", F.coalesce("ap", F.lit(0.0)).alias("ap"),
+        *[F.coalesce(F.col(f"tp{m}") / F.col("npig"), F.lit(0.0)).alias(f"recall{m}") for m in form.max_dets])
+    values = []
+    for metric, column, area, m, t in form.lines:
+        mine = F.col("a") == form.areas.index(area)
         if t is not None:
-            cond = cond & (F.col("t") == t)
-        row = full.where(cond).agg(F.lit(pos).alias("pos"), F.lit(name).alias("metric"),
-                                   F.coalesce(F.avg(col), F.lit(-1.0)).alias("value"))
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy("pos").drop("pos")
+            mine &= F.col("t") == IOU_THRS.index(t)
+        value = F.col("ap" if column == "ap" else f"recall{m}")
+        values.append(F.struct(F.lit(metric).alias("metric"), F.coalesce(F.avg(F.when(mine, value)), F.lit(-1.0)).alias("value")))
+    return full.agg(F.array(*values).alias("v")).select(F.inline("v"))
+
+
+def evaluate(dets: DataFrame, gts: DataFrame, kind: str = "bbox", det_runs: DataFrame | None = None, gt_runs: DataFrame | None = None,
+             max_dets: Sequence[int] | None = None, sigmas: Sequence[float] = SIGMAS) -> DataFrame:
+    """V5: the summary numbers ``(metric, value)`` of one kind.
+
+    ``dets`` (image_id, category_id, det_id, score and x, y, w, h, or keypoints), ``gts``
+    (image_id, category_id, obj_id, iscrowd, area and the same).  ``segm`` takes the masks
+    as runs; a detection's area is its mask's, its box's, or that of its points' box.
+    """
+    form = report(kind, max_dets)
+    top = top_detections(dets, form.max_dets[-1])
+    if kind == "segm":
+        if det_runs is None or gt_runs is None:
+            raise ValueError("segm needs the masks as runs")
+        targets = numbered_targets(gts)
+        size = det_runs.groupBy("image_id", "det_id").agg(F.sum("len").alias("area"))
+        top = top.drop("area").join(size, ["image_id", "det_id"], "left").fillna(0, ["area"])
+        similar = mask_similarity(top, targets, det_runs, gt_runs)
+    elif kind == "keypoints":
+        gts = gts.withColumn("ignore", ~F.exists("keypoints", lambda k: k["v"] > 0))
+        targets = numbered_targets(gts)
+
+        def side(name: str) -> Column:
+            of = F.transform("keypoints", lambda k: k[name])
+            return F.array_max(of) - F.array_min(of)
+
+        top = top.withColumn("area", side("x") * side("y"))
+        similar = keypoint_similarity(top, targets, sigmas)
+    else:
+        targets = numbered_targets(gts)
+        top = top.withColumn("area", F.col("w") * F.col("h"))
+        similar = box_similarity(top, targets)
+    return summarise(match(top, targets, similar, form.areas), gts, form)

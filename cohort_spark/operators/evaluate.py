@@ -30,6 +30,23 @@ def best_per_image(preds: DataFrame, key: str, obj: str, score: str) -> DataFram
     return best.select(key, F.col("__b.o").alias(obj), F.col("__b.s").alias(score))
 
 
+def best_masks(objects: DataFrame, probabilities: DataFrame, sizes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The predicted mask of every image as runs of the image's own size.
+
+    ``objects`` (image_id, obj_id, score, height, width: of the object's mask) has none or
+    more rows for an image, ``probabilities`` (image_id, obj_id, x, y, value) their soft
+    masks, ``sizes`` (image_id, height, width) the target's size.  The best object is
+    picked on the narrow object table before any pixel is touched (W9); its soft mask is
+    resized bilinearly (I16) and then cut at ``threshold``.
+    """
+    best = best_per_image(objects, "image_id", "obj_id", "score").select("image_id", "obj_id")
+    chosen = objects.join(best, ["image_id", "obj_id"], "left_semi")
+    to = chosen.select("image_id", "height", "width").join(
+        sizes.select("image_id", F.col("height").alias("out_height"), F.col("width").alias("out_width")), "image_id")
+    px = probabilities.join(best, ["image_id", "obj_id"], "left_semi").select("image_id", "x", "y", "value")
+    return masks.encode_runs(masks.foreground(masks.resize_bilinear(px, to), threshold), sizes)
+
+
 def confusion(target_runs: DataFrame, pred_runs: DataFrame, sizes: DataFrame,
               scores: DataFrame | None = None) -> DataFrame:
     """V1: TP, FP, FN, TN per image.
@@ -38,20 +55,31 @@ def confusion(target_runs: DataFrame, pred_runs: DataFrame, sizes: DataFrame,
     empty target are skipped; an image without prediction counts as an
     all-zero mask.  TN = w·h − TP − FP − FN.  With ``scores`` (image_id, obj_id,
     score) only the best prediction of each image counts (W9); without, all of
-    its runs are one prediction.
+    its runs are one prediction.  Target and prediction must have the image's size
+    (``best_masks`` resizes); the query fails on any other.
     """
     if scores is not None:
         best = best_per_image(scores, "image_id", "obj_id", "score")
         pred_runs = pred_runs.join(best.select("image_id", "obj_id"), ["image_id", "obj_id"], "left_semi")
     t = masks.union_runs(target_runs)
     p = masks.union_runs(pred_runs)
-    at = t.groupBy("image_id").agg(F.sum("len").alias("area_t"))
-    ap = p.groupBy("image_id").agg(F.sum("len").alias("area_p"))
+
+    def area(runs: DataFrame, name: str) -> DataFrame:
+        size = F.struct("height", "width")
+        return runs.groupBy("image_id").agg(
+            F.sum("len").alias(f"area_{name}"), F.min(size).alias(f"low_{name}"), F.max(size).alias(f"high_{name}"))
+
+    at, ap = area(t, "t"), area(p, "p")
     tp = masks.overlap(t, p)
     j = (sizes.join(at, "image_id", "inner")
          .join(ap, "image_id", "left")
          .join(tp, "image_id", "left"))
-    TP = F.coalesce("intersection", F.lit(0))
+    size = F.struct("height", "width")
+    unequal = F.lit(False)
+    for name in ("t", "p"):
+        unequal |= F.coalesce((F.col(f"low_{name}") != size) | (F.col(f"high_{name}") != size), F.lit(False))
+    TP = F.when(unequal, F.raise_error(F.concat(F.lit("masks of image "), F.col("image_id").cast("string"), F.lit(
+        " do not have its size; resize them first")))).otherwise(F.coalesce("intersection", F.lit(0)))
     FP = F.coalesce("area_p", F.lit(0)) - TP
     FN = F.col("area_t") - TP
     TN = F.col("height") * F.col("width") - TP - FP - FN

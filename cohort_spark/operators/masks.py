@@ -90,14 +90,18 @@ def foreground(mask_px: DataFrame, threshold: float = 0, value_col: str = "value
 
 # ----------------------------------------------------------------- runs ----
 
+def _size_keys(sizes: DataFrame) -> list[str]:
+    return [c for c in ("image_id", "obj_id") if c in sizes.columns]
+
+
 def encode_runs(fg: DataFrame, sizes: DataFrame) -> DataFrame:
     """Column-major run-length encoding of foreground pixels.
 
     ``p = x·height + y``; consecutive positions form a run (gaps and islands:
     ``p - row_number()`` is constant along a run).  ``sizes`` gives
-    ``(image_id, height, width)``.
+    ``(image_id, height, width)``, with ``obj_id`` if sizes differ by object.
     """
-    j = fg.join(sizes, "image_id")
+    j = fg.join(sizes, _size_keys(sizes))
     p = (F.col("x") * F.col("height") + F.col("y")).cast("bigint")
     w = Window.partitionBy("image_id", "obj_id").orderBy("p")
     isl = j.select("image_id", "obj_id", "height", "width", p.alias("p")) \
@@ -125,7 +129,7 @@ def coco_counts(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     g = runs.groupBy("image_id", "obj_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "len"))).alias("r"))
-    g = g.join(sizes, "image_id")
+    g = g.join(sizes, _size_keys(sizes))
     ends = F.transform("r", lambda s: s["start"] + s["len"])
     pairs = F.flatten(F.transform("r", lambda s, i: F.array(
         s["start"] - F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.element_at(ends, i)),
@@ -170,7 +174,7 @@ def boxes(runs: DataFrame) -> DataFrame:
 
 
 def union_runs(runs: DataFrame, keys: Sequence[str] = ("image_id",), obj_id: int = 1) -> DataFrame:
-    """Union of several objects' masks into one mask per image.
+    """Union of several objects' masks into one mask per image (or other ``keys``).
 
     Overlapping or touching runs are merged: a new island starts where a run
     begins after the furthest end seen so far (running max over the image).
@@ -181,34 +185,37 @@ def union_runs(runs: DataFrame, keys: Sequence[str] = ("image_id",), obj_id: int
     prev_max = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = runs.withColumn("__new", F.when(prev_max.isNull() | (F.col("start") > prev_max), 1).otherwise(0))
     isl = flagged.withColumn("__isl", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    named = [] if "obj_id" in keys else [F.lit(obj_id).alias("obj_id")]
     return isl.groupBy(*keys, "__isl").agg(
         F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("len"),
         F.first("height").alias("height"), F.first("width").alias("width"),
-    ).select(*keys, F.lit(obj_id).alias("obj_id"), "start", "len", "height", "width")
+    ).select(*keys, *named, "start", "len", "height", "width")
 
 
-def overlap(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def overlap(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("image_id",),
+            left: Sequence[str] = (), right: Sequence[str] = ()) -> DataFrame:
     """Intersection pixels of two run tables per key, without exploding pixels.
 
     Runs are cut at column borders and meet by an equi-join on (key, column), so
     a run only meets the runs of its own columns; the range overlap is a residual
-    predicate.
+    predicate.  ``left`` and ``right`` name further columns of ``a`` and ``b`` (objects) to
+    tell apart in the result.
     """
-    keys = list(keys)
+    keys, left, right = list(keys), list(left), list(right)
 
-    def by_column(runs: DataFrame) -> DataFrame:
+    def by_column(runs: DataFrame, own: list[str]) -> DataFrame:
         column = F.explode(F.expr("sequence(start div height, (start + len - 1) div height)"))
-        return runs.select(*keys, "start", "len", "height", column.alias("__col")).select(
-            *keys, "__col", F.greatest(F.col("start"), F.col("__col") * F.col("height")).alias("s"),
+        return runs.select(*keys, *own, "start", "len", "height", column.alias("__col")).select(
+            *keys, *own, "__col", F.greatest(F.col("start"), F.col("__col") * F.col("height")).alias("s"),
             F.least(F.col("start") + F.col("len"), (F.col("__col") + 1) * F.col("height")).alias("e"))
 
-    ra = by_column(a).select(*keys, "__col", F.col("s").alias("a_s"), F.col("e").alias("a_e"))
-    rb = by_column(b).select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col("__col").alias("__b_col"),
-                             F.col("s").alias("b_s"), F.col("e").alias("b_e"))
+    ra = by_column(a, left).select(*keys, *left, "__col", F.col("s").alias("a_s"), F.col("e").alias("a_e"))
+    rb = by_column(b, right).select(*[F.col(k).alias(f"__b_{k}") for k in keys], *right, F.col("__col").alias("__b_col"),
+                                    F.col("s").alias("b_s"), F.col("e").alias("b_e"))
     cond = [ra[k] == rb[f"__b_{k}"] for k in keys] + [
         ra["__col"] == rb["__b_col"], ra["a_s"] < rb["b_e"], rb["b_s"] < ra["a_e"]]
     j = ra.join(rb, cond, "inner")
-    return j.groupBy(*keys).agg(
+    return j.groupBy(*keys, *left, *right).agg(
         F.sum(F.least("a_e", "b_e") - F.greatest("a_s", "b_s")).alias("intersection"))
 
 
@@ -233,3 +240,37 @@ def resize_nearest(mask_px: DataFrame, sizes_to: DataFrame) -> DataFrame:
     src = mask_px.select(F.col("image_id").alias("__id"), F.col("x").alias("sx"), F.col("y").alias("sy"), "value")
     return grid.join(src, (grid["image_id"] == src["__id"]) & (grid["sx"] == src["sx"]) & (grid["sy"] == src["sy"]),
                      "left").select("image_id", "x", "y", F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def _axis(sizes_to: DataFrame, size: str, out: str, name: str) -> DataFrame:
+    """Linear interpolation along one axis: (image_id, source place, output place,
+    weight), two rows for each output place.  Half-pixel coordinates: the source of
+    output place i is (i + 0.5) * size / out - 0.5, clamped to the image."""
+    at = F.greatest((F.col("i") + F.lit(0.5)) * F.col(size) / F.col(out) - F.lit(0.5), F.lit(0.0))
+    grid = sizes_to.select("image_id", size, F.col(out), F.explode(F.sequence(F.lit(0), F.col(out) - 1)).alias("i")).select(
+        "image_id", size, F.col("i").alias(name), at.alias("at")).withColumn("first", F.floor("at").cast("int"))
+    part = F.col("at") - F.col("first")
+    both = F.array(F.struct(F.col("first").alias("s"), (F.lit(1.0) - part).alias("weight")),
+                   F.struct(F.least(F.col("first") + 1, F.col(size) - 1).alias("s"), part.alias("weight")))
+    return grid.select("image_id", name, F.inline(both)).where("weight > 0")
+
+
+def resize_bilinear(px: DataFrame, sizes_to: DataFrame) -> DataFrame:
+    """I16 (bilinear): ``value`` at every target pixel, half-pixel centres, edges clamped.
+
+    ``sizes_to``: (image_id, height, width, out_height, out_width).  One axis after the
+    other: each is an equi-join of pixels and weights on (image, place) and a sum of two
+    products, so a target pixel costs four products and no image is gathered.
+    Images that keep their size pass through.  Missing source pixels count as 0.
+    """
+    same = (F.col("height") == F.col("out_height")) & (F.col("width") == F.col("out_width"))
+    keep = px.join(sizes_to.where(same).select("image_id"), "image_id", "left_semi")
+    sizes_to = sizes_to.where(~same)
+    wx = _axis(sizes_to, "width", "out_width", "to_x").withColumnsRenamed({"s": "x", "weight": "wx"})
+    wy = _axis(sizes_to, "height", "out_height", "to_y").withColumnsRenamed({"s": "y", "weight": "wy"})
+    across = px.join(wx, ["image_id", "x"]).groupBy("image_id", "to_x", "y").agg(
+        F.sum(F.col("value") * F.col("wx")).alias("value"))
+    down = across.join(wy, ["image_id", "y"]).groupBy("image_id", "to_x", "to_y").agg(
+        F.sum(F.col("value") * F.col("wy")).alias("value"))
+    return keep.select("image_id", "x", "y", F.col("value").cast("double").alias("value")).unionByName(
+        down.select("image_id", F.col("to_x").alias("x"), F.col("to_y").alias("y"), "value"))

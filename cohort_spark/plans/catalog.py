@@ -32,5 +32,5 @@ def register(qid: str, sql: str | None = None, views: tuple[str, ...] = ()) -> C
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
     from . import (  # noqa: F401
-        q_cohort, q_clinical, q_match, q_sampling, q_masks, q_boxes, q_radiomics, q_eval, q_trainlog,
+        q_cohort, q_clinical, q_match, q_sampling, q_masks, q_boxes, q_moves, q_radiomics, q_eval, q_trainlog,
     )

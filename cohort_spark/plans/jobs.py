@@ -85,12 +85,14 @@ def clean_clinical(raw: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- X9 ----
 
-def evaluate_segmentation(target_runs: DataFrame, pred_runs: DataFrame, sizes: DataFrame,
-                          scores: DataFrame | None = None):
-    """Per-image confusion → six metrics → (summary, long per-image table).
-    With ``scores`` only the best prediction of each image counts (see ``confusion``)."""
+def evaluate_segmentation(target_runs: DataFrame, objects: DataFrame, probabilities: DataFrame, sizes: DataFrame,
+                          threshold: float = 0.5):
+    """Best predicted object of each image, resized to the target → per-image
+    confusion → six metrics → (summary, long per-image table).  See ``best_masks`` for
+    the inputs."""
     from ..operators import evaluate
-    per_image = evaluate.metrics(evaluate.confusion(target_runs, pred_runs, sizes, scores))
+    pred_runs = evaluate.best_masks(objects, probabilities, sizes, threshold)
+    per_image = evaluate.metrics(evaluate.confusion(target_runs, pred_runs, sizes))
     return evaluate.summary(per_image), evaluate.long_scores(per_image)
 
 
@@ -104,6 +106,17 @@ def iou_types(has_masks: bool, has_keypoints: bool) -> list[str]:
     return kinds
 
 
+def evaluate_detector(dets: DataFrame, gts: DataFrame, kinds: Sequence[str], det_runs: DataFrame | None = None,
+                      gt_runs: DataFrame | None = None) -> DataFrame:
+    """V6: the summary ``(kind, metric, value)`` of every kind in ``kinds`` (``iou_types``)."""
+    from ..operators import cocoeval
+    out = None
+    for kind in kinds:
+        one = cocoeval.evaluate(dets, gts, kind, det_runs, gt_runs).select(F.lit(kind).alias("kind"), "metric", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ------------------------------------------------------------- X2 / X3 ----
 
 from ..operators import masks as M  # noqa: E402

@@ -114,6 +114,38 @@ VIEWS["mask_pred"] = """
 SELECT CAST(vec_id - 1 AS VARCHAR) AS image_id, x, y, CASE WHEN v > 120 THEN 255 ELSE 0 END AS value FROM levels
 """
 
+# Predicted objects for several shifts: (shift, image, j) is the object's key.
+VIEWS["pred_objects"] = """
+SELECT shift, vec_id - j + 1 - shift AS image, CAST(vec_id - j + 1 - shift AS VARCHAR) AS image_id, j AS obj_id, vec_id,
+       ((((vec_id - j + 1 - shift) * 7 + j * 13) % 5 + 5) % 5) / 4 AS score,
+       CASE WHEN ((vec_id - j + 1 - shift) % 3 + 3) % 3 = 1 THEN 2 ELSE 1 END AS step
+FROM embeddings, (VALUES (1), (2), (3)) o(j), (VALUES (1), (2), (3)) s(shift)
+WHERE j <= ((vec_id - j + 1 - shift) % 4 + 4) % 4
+"""
+
+VIEWS["pred_best"] = """
+SELECT * FROM pred_objects QUALIFY row_number() OVER (PARTITION BY shift, image ORDER BY score DESC, obj_id) = 1
+"""
+
+VIEWS["pred_soft"] = """
+SELECT shift, image_id, x // step AS x, y // step AS y, step, v / 256 AS value
+FROM pred_best JOIN levels USING (vec_id) WHERE x % step = 0 AND y % step = 0
+"""
+
+# The soft mask at 8 x 8: four neighbours, half-pixel centres, clamped edges.
+VIEWS["pred_resized"] = """
+SELECT g.shift, g.image_id, g.x, g.y,
+       (1 - ly) * ((1 - lx) * a.value + lx * b.value) + ly * ((1 - lx) * c.value + lx * d.value) AS value
+FROM (SELECT shift, image_id, x, y, step, sx, sy, sx - floor(sx) AS lx, sy - floor(sy) AS ly, 8 // step - 1 AS top
+      FROM (SELECT shift, image_id, step, x, y, greatest((x + 0.5) / step - 0.5, 0.0) AS sx,
+                   greatest((y + 0.5) / step - 0.5, 0.0) AS sy
+            FROM (SELECT DISTINCT shift, image_id, step FROM pred_soft), range(8) q(x), range(8) r(y))) g
+JOIN pred_soft a ON a.shift = g.shift AND a.image_id = g.image_id AND a.x = floor(sx) AND a.y = floor(sy)
+JOIN pred_soft b ON b.shift = g.shift AND b.image_id = g.image_id AND b.x = least(floor(sx) + 1, top) AND b.y = floor(sy)
+JOIN pred_soft c ON c.shift = g.shift AND c.image_id = g.image_id AND c.x = floor(sx) AND c.y = least(floor(sy) + 1, top)
+JOIN pred_soft d ON d.shift = g.shift AND d.image_id = g.image_id AND d.x = least(floor(sx) + 1, top) AND d.y = least(floor(sy) + 1, top)
+"""
+
 VIEWS["sizes"] = """
 SELECT CAST(vec_id AS VARCHAR) AS image_id, 8 AS height, 8 AS width FROM embeddings
 """
@@ -134,6 +166,33 @@ SELECT l_orderkey AS image_id, CAST(l_linenumber AS INTEGER) AS det_id, CAST(1 +
 FROM lineitem
 """
 
+# Boxes with ids that tell apart the objects of an image.
+for _name, _of, _id in (("gt_named", "gt_boxes", "obj_id"), ("det_named", "detections", "det_id")):
+    VIEWS[_name] = f"""
+SELECT * REPLACE (CAST((({_id} * 1000 + x) * 1000 + y) * 1000 + w AS BIGINT) AS {_id}) FROM {_of}
+"""
+
+for _name, _of, _id in (("gt_runs", "gt_named", "obj_id"), ("det_runs", "det_named", "det_id")):
+    VIEWS[_name] = f"""
+SELECT image_id, {_id}, category_id, c, c * 32 + top AS s, c * 32 + top + greatest(1, bottom - top + 1 - c % 2) AS e
+FROM (SELECT image_id, {_id}, category_id, unnest(range(x0, x1 + 1)) AS c, top, bottom
+      FROM (SELECT *, CAST(greatest(floor(x / 4), 0) AS BIGINT) AS x0, CAST(greatest(floor((x + w) / 4), 0) AS BIGINT) AS x1,
+                   CAST(greatest(floor(y / 4), 0) AS BIGINT) AS top, CAST(greatest(floor((y + h) / 4), 0) AS BIGINT) AS bottom
+            FROM {_of}))
+"""
+
+VIEWS["gt_points"] = """
+SELECT image_id, obj_id, category_id, x AS bx, y AS by_, w AS bw, h AS bh, w * h AS area, i,
+       x + w * i / 16 AS kx, y + h * ((i * 5) % 17) / 16 AS ky,
+       CASE WHEN (image_id + obj_id) % 13 = 0 THEN 0 ELSE (image_id + obj_id + i) % 3 END AS v
+FROM gt_named, range(17) r(i)
+"""
+
+VIEWS["det_points"] = """
+SELECT image_id, det_id, category_id, i, x + w * i / 16 AS kx, y + h * ((i * 5) % 17) / 16 AS ky
+FROM det_named, range(17) r(i)
+"""
+
 VIEWS["train_log"] = """
 SELECT event_id AS step, event_type AS meter, value, CAST(1 + user_id % 3 AS INTEGER) AS n FROM events
 """
@@ -161,6 +220,15 @@ DEPENDS = {
     "pixels": ["levels"],
     "mask_gt": ["levels"],
     "mask_pred": ["levels"],
+    "gt_named": ["gt_boxes"],
+    "det_named": ["detections"],
+    "gt_runs": ["gt_named"],
+    "det_runs": ["det_named"],
+    "gt_points": ["gt_named"],
+    "det_points": ["det_named"],
+    "pred_best": ["pred_objects"],
+    "pred_soft": ["levels", "pred_best"],
+    "pred_resized": ["pred_soft"],
 }
 
 

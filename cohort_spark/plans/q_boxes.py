@@ -92,3 +92,35 @@ def q_b9(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds = d.select("image_id", "category_id", "score", F.col("x").alias("x1"), F.col("y").alias("y1"),
                      (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
     return A.predictions_to_results(preds, "bbox")
+
+
+@register("B9_keypoints", """SELECT image_id, category_id, score, list(kx ORDER BY i)[17] AS last_x, list(ky ORDER BY i)[2] AS second_y,
+  count(*) * 3 AS n FROM det_points JOIN det_named USING (image_id, det_id, category_id) GROUP BY image_id, det_id, category_id, score""",
+          ("det_points",))
+def q_b9_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keypoint predictions → COCO result rows (flat x, y, v lists): length and two of the values."""
+    d = standins.box_keypoints(standins.named_by_box(standins.detections(spark, sf_dir), "det_id"), "det_id", False)
+    rows = A.predictions_to_results(d.withColumn("keypoints", A.keypoints_to_flat("keypoints")), "keypoints")
+    k = F.col("keypoints")
+    return rows.select("image_id", "category_id", "score", F.element_at(k, 49).alias("last_x"), F.element_at(k, 5).alias("second_y"),
+                       F.size(k).cast("long").alias("n"))
+
+
+@register("B9_segm", """
+WITH fg AS (SELECT image_id, obj_id, x * (8 // step) + y AS p, step FROM
+              (SELECT o.image_id, obj_id, step, x // step AS x, y // step AS y, v FROM pred_objects o JOIN levels USING (vec_id)
+               WHERE shift = 1 AND x % step = 0 AND y % step = 0) WHERE v > 128),
+runs AS (SELECT image_id, obj_id, min(p) AS s, count(*) AS n FROM
+           (SELECT *, p - row_number() OVER (PARTITION BY image_id, obj_id ORDER BY p) AS isl FROM fg) GROUP BY image_id, obj_id, isl)
+SELECT image_id, obj_id, 1 AS category_id, score, any_value(8 // step) AS height, sum(n) AS area, count(*) AS n_runs, min(s) AS first_zeros
+FROM runs JOIN pred_objects USING (image_id, obj_id) WHERE shift = 1 GROUP BY image_id, obj_id, score""", ("levels", "pred_objects"))
+def q_b9_segm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask predictions → COCO result rows (thresholded, counts of runs): size, area and runs of each."""
+    objects = standins.predicted_objects(spark, sf_dir).withColumn("category_id", F.lit(1))
+    soft = standins.predicted_masks(spark, sf_dir).withColumnRenamed("value", "prob")
+    rows = A.segm_results(objects, soft, objects.select("image_id", "obj_id", "height", "width"))
+    counts = F.col("segmentation.counts")
+    inside = F.filter(counts, lambda c, i: i % 2 == 1)
+    return rows.select("image_id", "obj_id", "category_id", "score", F.col("segmentation.size")[0].alias("height"),
+                       F.aggregate(inside, F.lit(0).cast("long"), lambda a, x: a + x).alias("area"),
+                       F.size(inside).cast("long").alias("n_runs"), counts[0].alias("first_zeros"))

@@ -121,6 +121,19 @@ def q_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.resize_nearest(standins.mask_pixels(spark, sf_dir, "gt"), sizes)
 
 
+@register("I16_bilinear", "SELECT image_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, value FROM pred_resized WHERE shift = 1",
+          ("levels", "pred_resized"))
+def q_i16_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bilinear resize of each image's best predicted soft mask (8×8 or 4×4) to 8×8."""
+    from ..operators.evaluate import best_per_image
+    objects = standins.predicted_objects(spark, sf_dir)
+    best = best_per_image(objects, "image_id", "obj_id", "score").select("image_id", "obj_id")
+    to = objects.join(best, ["image_id", "obj_id"], "left_semi").select(
+        "image_id", "height", "width", F.lit(standins.PATCH).alias("out_height"), F.lit(standins.PATCH).alias("out_width"))
+    px = standins.predicted_masks(spark, sf_dir).join(best, ["image_id", "obj_id"], "left_semi")
+    return masks.resize_bilinear(px, to)
+
+
 @register("I2", "SELECT p.image_id, p.x, p.y, blue, green, red, gray FROM pixels p SEMI JOIN "
           "(SELECT * FROM mask_gt WHERE value > 127) m ON p.image_id = m.image_id AND p.x = m.x AND p.y = m.y",
           VM + ("pixels",))

@@ -185,6 +185,39 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(PATCH).alias("height"), F.lit(PATCH).alias("width"))
 
 
+def _of_objects(rows: DataFrame, shift: int) -> DataFrame:
+    """Rows of a vector for each predicted object it shows: image v has v mod 4 objects
+    and object j shows vector v + j - 1 + shift."""
+    j = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("obj_id")
+    shown = rows.select("*", j).withColumn("image", F.col("vec_id") - F.col("obj_id") + 1 - shift)
+    return shown.where(F.col("obj_id") <= F.pmod("image", F.lit(4)))
+
+
+def _small(image: str = "image") -> Column:
+    """Every third image has predictions of half its size."""
+    return F.pmod(F.col(image), F.lit(3)) == 1
+
+
+def predicted_objects(spark: SparkSession, sf_dir: str, shift: int = 1) -> DataFrame:
+    """None to three scored objects per image (ties occur) with their masks' size."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id")
+    side = F.when(_small(), F.lit(PATCH // 2)).otherwise(F.lit(PATCH))
+    return _of_objects(vectors, shift).select(
+        F.col("image").cast("string").alias("image_id"), "obj_id",
+        (F.pmod(F.col("image") * 7 + F.col("obj_id") * 13, F.lit(5)) / 4).alias("score"),
+        side.alias("height"), side.alias("width"))
+
+
+def predicted_masks(spark: SparkSession, sf_dir: str, shift: int = 1) -> DataFrame:
+    """Soft masks (image_id, obj_id, x, y, value 0-1) of the predicted objects; a small one
+    has every other row and column of the vector."""
+    rows = _of_objects(_levels(spark, sf_dir), shift)
+    step = F.when(_small(), F.lit(2)).otherwise(F.lit(1))
+    return rows.where((F.col("x") % step == 0) & (F.col("y") % step == 0)).select(
+        F.col("image").cast("string").alias("image_id"), "obj_id", (F.col("x") / step).cast("int").alias("x"),
+        (F.col("y") / step).cast("int").alias("y"), (F.col("v") / 256).alias("value"))
+
+
 # ------------------------------------------------------- boxes / objects ----
 
 def gt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +252,41 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def named_by_box(boxes: DataFrame, obj: str) -> DataFrame:
+    """``boxes`` with ids that tell apart the objects of an image (line numbers repeat)."""
+    return boxes.withColumn(obj, (((F.col(obj) * 1000 + F.col("x")) * 1000 + F.col("y")) * 1000 + F.col("w")).cast("long"))
+
+
+MASK_HEIGHT = 32  # rows of the box images' masks, a quarter of the boxes' scale
+
+
+def box_runs(boxes: DataFrame, obj: str) -> DataFrame:
+    """Masks of boxes as runs on a canvas of a quarter of the scale: one run for each
+    column, one row less in odd columns (so masks are no boxes)."""
+    def quarter(c: Column) -> Column:
+        return F.greatest(F.floor(c / 4), F.lit(0))
+
+    spans = boxes.select("image_id", obj, F.explode(F.sequence(quarter(F.col("x")), quarter(F.col("x") + F.col("w")))).alias("c"),
+                         quarter(F.col("y")).alias("top"), quarter(F.col("y") + F.col("h")).alias("bottom"))
+    return spans.select(
+        "image_id", obj, (F.col("c") * MASK_HEIGHT + F.col("top")).alias("start"),
+        F.greatest(F.lit(1), F.col("bottom") - F.col("top") + 1 - F.col("c") % 2).alias("len"),
+        F.lit(MASK_HEIGHT).alias("height"), F.lit(64).alias("width"))
+
+
+def box_keypoints(boxes: DataFrame, obj: str, labelled: bool) -> DataFrame:
+    """``boxes`` with 17 keypoints spread over each box; of targets some points, and all
+    of every thirteenth target's, are not labelled."""
+    n = F.col("image_id") + F.col(obj)
+
+    def point(i: Column) -> Column:
+        v = F.when(n % 13 == 0, F.lit(0)).otherwise((n + i) % 3) if labelled else F.lit(2)
+        return F.struct((F.col("x") + F.col("w") * i / 16).alias("x"), (F.col("y") + F.col("h") * ((i * 5) % 17) / 16).alias("y"),
+                        v.cast("int").alias("v"))
+
+    return boxes.withColumn("keypoints", F.transform(F.sequence(F.lit(0), F.lit(16)), point))
+
+
 # ------------------------------------------------------------ training ----
 
 def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:

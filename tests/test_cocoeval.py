@@ -6,9 +6,6 @@ import pytest
 
 from cohort_spark.operators import cocoeval as C
 
-AREAS = list(C.AREAS.values())
-
-
 def _iou(d, g, crowd):
     ix = max(0.0, min(d[0] + d[2], g[0] + g[2]) - max(d[0], g[0]))
     iy = max(0.0, min(d[1] + d[3], g[1] + g[3]) - max(d[1], g[1]))
@@ -17,21 +14,45 @@ def _iou(d, g, crowd):
     return inter / union if union > 0 else 0.0
 
 
-def reference(dets, gts):
-    """dets: (img, cat, id, score, box); gts: (img, cat, box, crowd, area). Returns the 12 stats."""
+def _mask_iou(d, g, crowd):
+    inter = (d & g).sum()
+    union = d.sum() if crowd else (d | g).sum()
+    return inter / union if union else 0.0
+
+
+def _oks(d, g, crowd):
+    points, box, area = g
+    var = (2 * np.array(C.SIGMAS)) ** 2
+    if (points[:, 2] > 0).any():
+        dx, dy = d[:, 0] - points[:, 0], d[:, 1] - points[:, 1]
+    else:
+        x, y, w, h = box
+        dx = np.maximum(0, x - w - d[:, 0]) + np.maximum(0, d[:, 0] - x - 2 * w)
+        dy = np.maximum(0, y - h - d[:, 1]) + np.maximum(0, d[:, 1] - y - 2 * h)
+    e = (dx ** 2 + dy ** 2) / var / (area + np.spacing(1)) / 2
+    if (points[:, 2] > 0).any():
+        e = e[points[:, 2] > 0]
+    return np.exp(-e).mean()
+
+
+def reference(dets, gts, similarity=_iou, form=None):
+    """dets: (img, cat, id, score, shape, area); gts: (img, cat, shape, crowd, area, ignored).
+    Returns the summary numbers of ``form``."""
+    form = form or C.report("bbox")
+    areas = [C.AREAS[n] for n in form.areas]
     imgs = sorted({g[0] for g in gts} | {d[0] for d in dets})
     cats = sorted({g[1] for g in gts})
-    T, R, K, A, M = len(C.IOU_THRS), len(C.REC_THRS), len(cats), len(AREAS), len(C.MAX_DETS)
+    T, R, K, A, M = len(C.IOU_THRS), len(C.REC_THRS), len(cats), len(areas), len(form.max_dets)
     precision = -np.ones((T, R, K, A, M))
     recall = -np.ones((T, K, A, M))
     for k, cat in enumerate(cats):
-        for a, (lo, hi) in enumerate(AREAS):
+        for a, (lo, hi) in enumerate(areas):
             per_img = []
             npig = 0
             for img in imgs:
                 g = [x for x in gts if x[0] == img and x[1] == cat]
-                d = sorted([x for x in dets if x[0] == img and x[1] == cat], key=lambda x: (-x[3], x[2]))[:100]
-                g_ig = [x[3] or not (lo <= x[4] <= hi) for x in g]
+                d = sorted([x for x in dets if x[0] == img and x[1] == cat], key=lambda x: (-x[3], x[2]))[:form.max_dets[-1]]
+                g_ig = [x[3] or x[5] or not (lo <= x[4] <= hi) for x in g]
                 order = sorted(range(len(g)), key=lambda i: g_ig[i])
                 npig += sum(1 for v in g_ig if not v)
                 codes = np.zeros((T, len(d)), dtype=int)  # 1 tp, 0 fp, 2 ignore
@@ -44,20 +65,19 @@ def reference(dets, gts):
                                 continue
                             if best > -1 and not g_ig[best] and g_ig[gi]:
                                 break
-                            v = _iou(dd[4], g[gi][2], g[gi][3])
+                            v = similarity(dd[4], g[gi][2], g[gi][3])
                             if v < best_iou:
                                 continue
                             best_iou, best = v, gi
-                        d_area = dd[4][2] * dd[4][3]
                         if best == -1:
-                            codes[t, di] = 2 if not (lo <= d_area <= hi) else 0
+                            codes[t, di] = 2 if not (lo <= dd[5] <= hi) else 0
                         else:
                             taken[best] = True
                             codes[t, di] = 2 if g_ig[best] else 1
                 per_img.append((img, d, codes))
             if npig == 0:
                 continue
-            for m, md in enumerate(C.MAX_DETS):
+            for m, md in enumerate(form.max_dets):
                 rows = []
                 for img, d, codes in per_img:
                     for di, dd in enumerate(d[:md]):
@@ -80,19 +100,14 @@ def reference(dets, gts):
                         if pi < len(pr):
                             q[ri] = pr[pi]
                     precision[t, :, k, a, m] = q
-
-    def summarize(ap, t=None, a=0, m=2):
-        if ap:
-            s = precision[:, :, :, a, m] if t is None else precision[[t], :, :, a, m]
-        else:
-            s = recall[:, :, a, m]
-        s = s[s > -1]
-        return float(np.mean(s)) if s.size else -1.0
-
-    t50, t75 = C.IOU_THRS.index(0.5), C.IOU_THRS.index(0.75)
-    return [summarize(True), summarize(True, t50), summarize(True, t75), summarize(True, a=1),
-            summarize(True, a=2), summarize(True, a=3), summarize(False, m=0), summarize(False, m=1),
-            summarize(False, m=2), summarize(False, a=1), summarize(False, a=2), summarize(False, a=3)]
+    out = []
+    for _, column, area, n, t in form.lines:
+        a, m = form.areas.index(area), form.max_dets.index(n)
+        x = precision[:, :, :, a, m] if column == "ap" else recall[:, :, a, m]
+        x = x if t is None else x[[C.IOU_THRS.index(t)]]
+        x = x[x > -1]
+        out.append(float(np.mean(x)) if x.size else -1.0)
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -106,27 +121,102 @@ def fixture():
             box = [float(rng.integers(0, 150)), float(rng.integers(0, 150)), float(rng.integers(2, 120)),
                    float(rng.integers(2, 120))]
             crowd = bool(rng.random() < 0.1)
-            gts.append((img, cat, box, crowd, box[2] * box[3]))
+            gts.append((img, cat, box, crowd, box[2] * box[3], False))
             for _ in range(rng.integers(0, 3)):
                 jit = [box[0] + rng.normal(0, 6), box[1] + rng.normal(0, 6), max(1.0, box[2] + rng.normal(0, 8)),
                        max(1.0, box[3] + rng.normal(0, 8))]
-                dets.append((img, cat, did, float(round(rng.random(), 2)), jit))
+                dets.append((img, cat, did, float(round(rng.random(), 2)), jit, jit[2] * jit[3]))
                 did += 1
         for _ in range(rng.integers(0, 2)):  # false positives
             box = [float(rng.integers(0, 150)), float(rng.integers(0, 150)), 20.0, 20.0]
-            dets.append((img, int(rng.integers(1, 3)), did, float(round(rng.random(), 2)), box))
+            dets.append((img, int(rng.integers(1, 3)), did, float(round(rng.random(), 2)), box, 400.0))
             did += 1
     return dets, gts
 
 
 def test_coco_summary_matches_reference(spark, fixture):
     dets, gts = fixture
-    d = spark.createDataFrame([(i, c, k, s, b[0], b[1], b[2], b[3]) for i, c, k, s, b in dets],
+    d = spark.createDataFrame([(i, c, k, s, b[0], b[1], b[2], b[3]) for i, c, k, s, b, _ in dets],
                               "image_id long, category_id int, det_id long, score double, x double, y double, "
                               "w double, h double")
-    g = spark.createDataFrame([(i, c, b[0], b[1], b[2], b[3], int(cr), a) for i, c, b, cr, a in gts],
+    g = spark.createDataFrame([(i, c, b[0], b[1], b[2], b[3], int(cr), a) for i, c, b, cr, a, _ in gts],
                               "image_id long, category_id int, x double, y double, w double, h double, "
                               "iscrowd int, area double")
     got = [r.value for r in C.evaluate(d, g).collect()]
     want = reference(dets, gts)
     assert got == pytest.approx(want, abs=1e-9)
+    got = [r.value for r in C.evaluate(d, g, max_dets=[2, 5]).collect()]
+    assert got == pytest.approx(reference(dets, gts, form=C.report("bbox", [2, 5])), abs=1e-9)
+
+
+def _runs(shapes, id_name):
+    rows = []
+    for (img, k), m in shapes.items():
+        flat = np.flatnonzero(np.diff(np.concatenate(([0], m.T.reshape(-1).astype(np.int8), [0]))))
+        rows += [(img, k, int(s), int(e - s), m.shape[0], m.shape[1]) for s, e in zip(flat[::2], flat[1::2], strict=True)]
+    return rows, f"image_id long, {id_name} long, start long, len long, height int, width int"
+
+
+def test_mask_summary_matches_reference(spark):
+    """Crowds, tied scores, repeated shapes, all area bands, objects without pixels."""
+    rng = np.random.default_rng(5)
+    gts, dets, g_shapes, d_shapes = [], [], {}, {}
+    did = 0
+    for img in range(18):
+        h, w = (130, 110) if img % 3 else (40, 50)
+        for k in range(rng.integers(0, 5)):
+            m = np.zeros((h, w), dtype=bool)
+            y, x = rng.integers(0, h - 8), rng.integers(0, w - 8)
+            m[y:y + rng.integers(3, h), x:x + rng.integers(3, w)] = True
+            m[y + 2:y + 4, x:x + 3] = False
+            cat, crowd = int(rng.integers(1, 3)), bool(rng.random() < 0.2)
+            gts.append((img, cat, m, crowd, float(m.sum()), False))
+            g_shapes[img, k] = m
+            for _ in range(rng.integers(0, 4)):
+                n = np.roll(m, (rng.integers(-2, 3), rng.integers(-2, 3)), (0, 1)) if rng.random() < 0.7 else m.copy()
+                if rng.random() < 0.1:
+                    n[:] = False
+                dets.append((img, cat, did, [0.25, 0.5, 0.75][rng.integers(0, 3)], n, float(n.sum())))
+                d_shapes[img, did] = n
+                did += 1
+    numbers = list(g_shapes)
+    d = spark.createDataFrame([x[:4] for x in dets], "image_id long, category_id int, det_id long, score double")
+    g = spark.createDataFrame([(i, c, k, int(cr), a) for (i, c, _, cr, a, _), (_, k) in zip(gts, numbers, strict=True)],
+                              "image_id long, category_id int, obj_id long, iscrowd int, area double")
+    dr, gr = (spark.createDataFrame(*_runs(x, n)) for x, n in ((d_shapes, "det_id"), (g_shapes, "obj_id")))
+    got = [r.value for r in C.evaluate(d, g, "segm", dr, gr).collect()]
+    want = reference(dets, gts, _mask_iou, C.report("segm"))
+    assert got == pytest.approx(want, abs=1e-9) and all(0 < x < 1 for x in want[:3])
+
+
+def test_keypoint_summary_matches_reference(spark):
+    """Unlabelled points, targets without any, crowds, ties, small targets."""
+    rng = np.random.default_rng(9)
+    gts, dets = [], []
+    for img in range(20):
+        for k in range(rng.integers(0, 4)):
+            box = (float(rng.integers(0, 80)), float(rng.integers(0, 80)), float(rng.integers(20, 200)), float(rng.integers(20, 200)))
+            points = np.stack([box[0] + rng.random(17) * box[2], box[1] + rng.random(17) * box[3], rng.integers(0, 3, 17)], axis=1)
+            if rng.random() < 0.2:
+                points[:, 2] = 0
+            area, crowd = box[2] * box[3] * 0.7, bool(rng.random() < 0.15)
+            gts.append((img, 1, (points, box, area), crowd, area, not (points[:, 2] > 0).any()))
+            for _ in range(rng.integers(0, 4)):
+                at = points.copy()
+                at[:, :2] += rng.normal(0, [1, 4, 12][rng.integers(0, 3)], (17, 2))
+                side = at[:, :2].max(0) - at[:, :2].min(0)
+                dets.append((img, 1, len(dets), float(rng.integers(0, 4)) / 4, at, side[0] * side[1]))
+    kp = "array<struct<x double, y double, v int>>"
+
+    def structs(p):
+        return [(float(x), float(y), int(v)) for x, y, v in p]
+
+    d = spark.createDataFrame([(i, c, k, s, structs(p)) for i, c, k, s, p, _ in dets],
+                              f"image_id long, category_id int, det_id long, score double, keypoints {kp}")
+    g = spark.createDataFrame([(i, c, n, int(cr), float(a), *box, structs(p)) for n, (i, c, (p, box, _), cr, a, _) in enumerate(gts)],
+                              f"image_id long, category_id int, obj_id long, iscrowd int, area double, x double, y double, w double, h double, keypoints {kp}")
+    got = [r.value for r in C.evaluate(d, g, "keypoints").collect()]
+    want = reference(dets, gts, _oks, C.report("keypoints"))
+    assert got == pytest.approx(want, abs=1e-9) and 0 < want[0] < 1
+    with pytest.raises(ValueError):
+        C.evaluate(d, g, "panoptic")

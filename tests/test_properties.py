@@ -143,17 +143,56 @@ def test_only_the_best_prediction_counts(spark):
     assert (conf.TP, conf.FP, conf.FN, conf.TN) == (4.0, 0.0, 0.0, 12.0)
 
 
-def test_the_evaluation_job_takes_the_best_prediction(spark):
+def _bilinear(mask, h, w):
+    def axis(n, out):
+        at = np.maximum((np.arange(out) + 0.5) * n / out - 0.5, 0)
+        low = at.astype(int)
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    y0, y1, fy = axis(mask.shape[0], h)
+    x0, x1, fx = axis(mask.shape[1], w)
+    top = mask[y0][:, x0] * (1 - fx) + mask[y0][:, x1] * fx
+    low = mask[y1][:, x0] * (1 - fx) + mask[y1][:, x1] * fx
+    return top * (1 - fy[:, None]) + low * fy[:, None]
+
+
+def test_the_evaluation_job_resizes_the_best_prediction(spark):
+    """None to three scored predictions of several sizes; ties, up, down and uneven scaling."""
     from cohort_spark.plans.jobs import evaluate_segmentation
-    # images with none to three scored predictions; the best equals the target
-    sizes = spark.createDataFrame([(str(n), 4, 4) for n in range(4)], "image_id string, height int, width int")
+    rng = np.random.default_rng(7)
+    shapes = [(4, 4), (6, 3), (9, 10), (3, 8), (6, 7), (12, 13), (1, 1)]
+    objects, soft, targets, sizes, want = [], [], [], [], {}
+    for n, (h, w) in enumerate(shapes * 2):
+        name, target = f"i{n}", rng.random((6, 7)) < 0.4
+        target[0, 0] = True
+        sizes.append((name, 6, 7))
+        targets += [(name, 1, int(x), int(y)) for y, x in zip(*np.nonzero(target), strict=True)]
+        best = np.zeros((6, 7))
+        for k in range(n % 4):
+            mask, score = rng.random((h, w)), [0.5, 0.9, 0.9][k]
+            objects.append((name, k, score, h, w))
+            soft += [(name, k, x, y, float(mask[y, x])) for y in range(h) for x in range(w)]
+            if k == 0 or k == 1:
+                best = _bilinear(mask, 6, 7)
+        p = best > 0.5
+        tp, fp, fn = (p & target).sum(), (p & ~target).sum(), (~p & target).sum()
+        want[name] = (2 * tp + 1e-6) / (2 * tp + fp + fn + 1e-6)
+    sizes = spark.createDataFrame(sizes, "image_id string, height int, width int")
+    target = M.encode_runs(spark.createDataFrame(targets, "image_id string, obj_id int, x int, y int"), sizes)
+    objects = spark.createDataFrame(objects, "image_id string, obj_id int, score double, height int, width int")
+    soft = spark.createDataFrame(soft, "image_id string, obj_id int, x int, y int, value double")
+    _, long = evaluate_segmentation(target, objects, soft, sizes)
+    got = {r.image_id: r.value for r in long.where("metric = 'dice_scores'").collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_masks_of_another_size_are_refused(spark):
+    sizes = spark.createDataFrame([("i", 8, 8)], "image_id string, height int, width int")
     runs = "image_id string, obj_id int, start long, len long, height int, width int"
-    target = spark.createDataFrame([(str(n), 1, 0, 4, 4, 4) for n in range(4)], runs)
-    preds = spark.createDataFrame([(str(n), k, 4 * ((k + 1) % n), 4, 4, 4) for n in range(1, 4) for k in range(n)], runs)
-    scores = preds.selectExpr("image_id", "obj_id", "CAST(IF(start = 0, 0.9, 0.1 * obj_id) AS double) AS score")
-    _, long = evaluate_segmentation(target, preds, sizes, scores)
-    dice = {r.image_id: r.value for r in long.where("metric = 'dice_scores'").collect()}
-    assert dice["0"] < 1e-6 and [dice[str(n)] for n in (1, 2, 3)] == [1.0, 1.0, 1.0]
+    target = spark.createDataFrame([("i", 1, 0, 8, 8, 8)], runs)
+    pred = spark.createDataFrame([("i", 1, 0, 4, 4, 4)], runs)
+    with pytest.raises(Exception, match="resize them first"):
+        E.confusion(target, pred, sizes).collect()
 
 
 def test_matrices_count_unlisted_values(spark):
