@@ -9,8 +9,10 @@ away).
 2. Within one edit, the first or the last half of two lines is equal.  Lines that
    share such a half with another are cut into ``SEGMENTS`` parts; one edit touches
    one of them, so only a part whose surroundings another line shares can hold it.
-3. For each such part the line emits the hash of the other parts with every deletion
-   variant of this part, so the n variants of a line cost n / SEGMENTS characters each.
+   Parts of over ``LEAF`` characters are cut again in the same way, so only short parts
+   are left and a line of n characters costs n for each level of cutting.
+3. For each such part the line emits the hash of its surroundings with every deletion
+   variant of the part, so a variant costs ``LEAF`` characters, however long the line.
    Lines that meet with the same place deleted differ in that character; a line
    that meets another's variant as a whole lacks one character.  All that meet are
    within the bound of the earliest, so a minimum for each key does, and no pairs
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, written
 
 SEGMENTS = 16
+#: Parts of up to so many characters are not cut again.
+LEAF = 32
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -63,56 +67,83 @@ def _halves(line: Column) -> Column:
     return F.array_distinct(F.concat(pair(k), pair(less)))
 
 
-def _parts(line: Column, base: Column, extra: int) -> Column:
-    """Parts of the line as structs (s, before, part, after, from): part s starts at
-    s * base / SEGMENTS and takes ``extra`` characters of the next."""
+def _parts(text: Column, size: Column, extra: Column | int, rest: Column, start: Column) -> Column:
+    """Parts of ``text`` as structs (s, start, size, part, rest): part s starts at
+    s * size / SEGMENTS and takes ``extra`` characters of the next; ``rest`` is the hash of
+    all around it, and ``start`` its place in the line."""
     def one(s: Column) -> Column:
-        start = F.floor(s * base / SEGMENTS).cast("int")
-        size = F.floor((s + 1) * base / SEGMENTS).cast("int") - start + extra
+        at = F.floor(s * size / SEGMENTS).cast("int")
+        own = F.floor((s + 1) * size / SEGMENTS).cast("int") - at
         return F.struct(
-            s.alias("s"), start.alias("start"), size.alias("size"), F.substring(line, start + 1, size).alias("part"),
-            F.xxhash64(F.substring(line, F.lit(1), start), F.substring(line, start + size + 1, F.length(line))).alias("rest"))
+            s.alias("s"), (start + at).alias("start"), own.alias("size"), F.substring(text, at + 1, own + extra).alias("part"),
+            F.xxhash64(rest, F.substring(text, F.lit(1), at), F.substring(text, at + own + extra + 1, F.length(text))).alias("rest"))
 
     return F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), one)
 
 
-def _surroundings(line: Column) -> Column:
-    """Structs (key, kind, s): the line without part s, for parts of the line itself
-    (kind 0) and of a line with one character less (kind 1)."""
-    n = F.length(line)
+def _whole(line: Column, kind: int) -> Column:
+    """Parts of the line itself (kind 0), or of a line with one character less (kind 1)."""
+    size = F.length(line) - kind
+    return _parts(line, size, kind, size, F.lit(0))
 
-    def keys(base: Column, kind: int) -> Column:
-        return F.transform(_parts(line, base, kind), lambda p: F.struct(
-            F.xxhash64(base, p["s"], p["rest"]).alias("key"), F.lit(kind).alias("kind"), p["s"].alias("s")))
 
-    return F.concat(keys(n, 0), keys(n - 1, 1))
+def _key(part: Column) -> Column:
+    return F.xxhash64(part["start"], part["size"], part["rest"])
 
 
-def _variants(line: Column, kinds: list[Column]) -> Column:
-    """Structs (key, role): role 0 meets its like, role 1 is a whole line that
-    meets role 2, a line with one character taken away.  ``kinds`` holds the numbers
-    of the parts to look at, of kind 0 and of kind 1."""
-    n = F.length(line)
+def _surroundings(line: Column) -> Column:
+    """Structs (key, kind, s): the line without part s."""
+    def keys(kind: int) -> Column:
+        return F.transform(_whole(line, kind), lambda p: F.struct(
+            _key(p).alias("key"), F.lit(kind).alias("kind"), p["s"].alias("s")))
+
+    return F.concat(keys(0), keys(1))
+
 
+def _chosen(line: Column, kinds: list[Column]) -> Column:
+    """Structs (kind, part) of the parts whose numbers ``kinds`` holds, of kind 0 and 1."""
     def some(kind: int) -> Column:
-        parts = _parts(line, n - kind, kind)
-        return F.filter(parts, lambda p: F.array_contains(kinds[kind], p["s"]))
+        return F.transform(F.filter(_whole(line, kind), lambda p: F.array_contains(kinds[kind], p["s"])),
+                           lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("part")))
+
+    return F.concat(some(0), some(1))
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Those rows of ``keyed`` whose key another row has."""
+    common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return keyed.join(common, "key", "left_semi")
+
+
+def _short_parts(parts: DataFrame) -> DataFrame:
+    """(__at, kind, part) cut again until every part is short; of the smaller parts
+    only those with shared surroundings stay."""
+    done, left = parts.where(F.col("part.size") <= LEAF), parts.where(F.col("part.size") > LEAF)
+    while not left.isEmpty():
+        p = F.col("part")
+        cut = left.select("__at", "kind", F.explode(_parts(p["part"], p["size"], F.col("kind"), p["rest"], p["start"])).alias("part"))
+        cut = written(_shared(cut.withColumn("key", _key(F.col("part")))).select("__at", "kind", "part"), "parts")
+        done, left = done.unionByName(cut.where(F.col("part.size") <= LEAF)), cut.where(F.col("part.size") > LEAF)
+    return done
+
 
-    def places(p: Column) -> Column:
-        return F.when(p["size"] > 0, F.sequence(F.lit(1), p["size"])).otherwise(F.array().cast("array<int>"))
+def _variants(kind: Column, p: Column) -> Column:
+    """Structs (key, role): role 0 meets its like, role 1 is a whole part that meets
+    role 2, a part with one character taken away."""
+    n = F.length(p["part"])
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
-    def cut(p: Column, i: Column) -> list[Column]:
-        return [F.substring(p["part"], F.lit(1), i - 1), F.substring(p["part"], i + 1, p["size"])]
+    def cut(i: Column) -> list[Column]:
+        return [F.substring(p["part"], F.lit(1), i - 1), F.substring(p["part"], i + 1, n)]
 
     def row(role: int, *key: Column) -> Column:
         return F.struct(F.xxhash64(*key).alias("key"), F.lit(role).alias("role"))
 
-    changed = F.flatten(F.transform(some(0), lambda p: F.transform(
-        places(p), lambda i: row(0, F.lit("changed"), n, p["start"] + i, p["rest"], *cut(p, i)))))
-    whole = F.transform(some(0), lambda p: row(1, F.lit("less"), n, p["s"], p["rest"], p["part"]))
-    less = F.flatten(F.transform(some(1), lambda p: F.transform(
-        places(p), lambda i: row(2, F.lit("less"), n - 1, p["s"], p["rest"], F.concat(*cut(p, i))))))
-    return F.concat(changed, whole, less)
+    around = [p["start"], p["size"], p["rest"]]
+    changed = F.transform(places, lambda i: row(0, F.lit("changed"), i, *around, *cut(i)))
+    whole = F.array(row(1, F.lit("less"), *around, p["part"]))
+    less = F.transform(places, lambda i: row(2, F.lit("less"), *around, F.concat(*cut(i))))
+    return F.when(kind == 0, F.concat(changed, whole)).otherwise(less)
 
 
 def near_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -137,11 +168,11 @@ def near_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
         F.btrim(F.get(F.split("__text", "\n"), F.col("w.__no")), F.lit(_SPACE)).alias("__line"))
         .dropDuplicates(["__h1", "__h2"]), "suspect-lines")
     around = texts.select("__at", F.inline(_surroundings(F.col("__line"))))
-    common = around.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     kinds = [F.collect_list(F.when(F.col("kind") == k, F.col("s"))).alias(f"k{k}") for k in (0, 1)]
-    places = around.join(common, "key", "left_semi").groupBy("__at").agg(*kinds)
-    emitted = texts.join(places, "__at").select(
-        "__at", F.inline(_variants(F.col("__line"), [F.col("k0"), F.col("k1")])))
+    places = _shared(around).groupBy("__at").agg(*kinds)
+    parts = written(texts.join(places, "__at").select(
+        "__at", F.inline(_chosen(F.col("__line"), [F.col("k0"), F.col("k1")]))), "parts")
+    emitted = _short_parts(parts).select("__at", F.inline(_variants(F.col("kind"), F.col("part"))))
     met = Window.partitionBy("key")
 
     def earliest(role: int) -> Column:
