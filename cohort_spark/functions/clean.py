@@ -166,3 +166,9 @@ def non_finite(c: Column | str) -> Column:
     """NaN or ±infinity."""
     c = _c(c)
     return F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+
+
+def without_part(c: Column | str, part: str) -> Column:
+    """Condition that keeps names that do not contain ``part`` (a literal, not a
+    pattern); NULL names are dropped."""
+    return ~_c(c).contains(F.lit(part))

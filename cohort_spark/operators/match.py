@@ -117,6 +117,16 @@ def with_object_counts(images: DataFrame, objects: DataFrame, key: str = "image_
     return images.join(counts, key, "left").withColumn("n_objects", F.coalesce("n_objects", F.lit(0)))
 
 
+def with_objects(images: DataFrame, objects: DataFrame, columns: Sequence[str], key: str = "image_id",
+                 order: str = "obj_id") -> DataFrame:
+    """Images with the list of their objects as structs of ``columns`` (first
+    ``order``), empty when there is none.  A list is bounded by the objects of one image."""
+    fields = [order, *[c for c in columns if c != order]]
+    lists = objects.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("objects"))
+    empty = F.array().cast(lists.schema["objects"].dataType)
+    return images.join(lists, key, "left").withColumn("objects", F.coalesce("objects", empty))
+
+
 def sorted_distinct(df: DataFrame, col: str) -> DataFrame:
     """J11."""
     return df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col)

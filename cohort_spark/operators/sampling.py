@@ -92,10 +92,44 @@ def split_by_group(df: DataFrame, group: str, seed: int = 42, train_frac: float
     return df.withColumn("split", split)
 
 
+def leak_free_split(df: DataFrame, id_col: str, links: Sequence[str], seed: int = 42, train_frac: float = 0.7,
+                    val_share: float = 0.3333) -> DataFrame:
+    """A split that no id of ``links`` spans, with sizes as near to ``split_sizes`` as whole
+    groups allow.
+
+    Rows that share ids, directly or by others, form groups (``groups.connected``).  Groups
+    stand by size, largest first, then by a seeded draw; a group goes to the part in
+    which its middle row falls.  So large groups fill train, and small ones
+    meet the cuts closely.
+    """
+    from .groups import connected
+    from .match import running_sums
+
+    named = connected(df, id_col, links)
+    sizes = named.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    one = sizes.withColumns({"__all": F.lit(0), "__draw": F.xxhash64("group", F.lit(seed))})
+    placed = running_sums(one, ["__all"], [F.desc("n"), F.col("__draw"), F.col("group")], ["n"], with_totals=True)
+    middle = F.col("cum_n") - F.col("n") / 2
+    train = F.floor(F.lit(train_frac) * F.col("total_n"))
+    val = F.floor(F.lit(val_share) * (F.col("total_n") - train))
+    split = F.when(middle < train, F.lit("train")).when(middle < train + val, F.lit("val")).otherwise(F.lit("test"))
+    parts = placed.select("group", split.alias("split"))
+    return df.join(named, id_col).join(parts, "group").select(*df.columns, "group", "split")
+
+
+def shared_ids(df: DataFrame, links: Sequence[str], split_col: str = "split") -> DataFrame:
+    """(key, id, n_splits, n_images) of the ids of ``links`` that more than one part holds."""
+    out = None
+    for c in links:
+        one = leak_check(df, c, split_col).select(F.lit(c).alias("key"), F.col(c).cast("string").alias("id"), "n_splits", "n_images")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def leak_check(df: DataFrame, group: str, split_col: str = "split") -> DataFrame:
     """Groups present in more than one split."""
     return (df.where(F.col(group).isNotNull())
-            .groupBy(group).agg(F.count_distinct(split_col).alias("n_splits"))
+            .groupBy(group).agg(F.count_distinct(split_col).alias("n_splits"), F.count(F.lit(1)).alias("n_images"))
             .where(F.col("n_splits") > 1))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW_SIZE = 20
+#: Consecutive rows of a meter that one window partition smooths.
+BUCKET = 10_000
 
 
 def smoothed(log: DataFrame, window: int = WINDOW_SIZE, key: str = "meter", order: str = "step",
@@ -24,9 +26,9 @@ def smoothed(log: DataFrame, window: int = WINDOW_SIZE, key: str = "meter", orde
     Nothing is ordered inside one task per meter: ranks and running sums come
     from range partitions with offsets (``match.running_sums``), so a meter
     holding most of the log is still spread over all tasks.  Rows are then cut
-    into buckets of ``window`` consecutive ranks; each row meets the rows of
-    its own and the previous bucket through an equi-join on (meter, bucket) —
-    at most ``2·window`` partners — and keeps the last ``window`` of them.
+    into buckets of ``BUCKET`` consecutive ranks; the last ``window - 1`` rows of a
+    bucket also go to the next one as its halo, and a frame of ``window`` rows slides
+    inside each bucket.
     """
     from .match import running_sums
 
@@ -34,21 +36,19 @@ def smoothed(log: DataFrame, window: int = WINDOW_SIZE, key: str = "meter", orde
     base = log.select(key, order, F.col(value).cast("double").alias(value), n.alias("__w"),
                       (F.col(value).cast("double") * n).alias("__vw"), F.lit(1).cast("long").alias("__one"))
     ranked = running_sums(base, [key], [F.col(order)], ["__one", "__w", "__vw"])
+    size = max(BUCKET, window)
+    place = F.col("cum___one") - 1
     ranked = ranked.select(key, order, value, F.col("cum___one").alias("__rank"),
-                           (F.col("cum___vw") / F.col("cum___w")).alias("global_avg"),
-                           ((F.col("cum___one") - 1) / window).cast("long").alias("__b"))
-    # partners: rows of the same and the next bucket see this row
-    partners = ranked.select(F.col(key).alias("__k"), F.col("__rank").alias("__pr"), F.col(value).alias("__pv"),
-                             F.explode(F.array(F.col("__b"), F.col("__b") + 1)).alias("__pb"))
-    j = ranked.join(partners, (ranked[key] == partners["__k"]) & (ranked["__b"] == partners["__pb"]), "inner").where(
-        (F.col("__pr") <= F.col("__rank")) & (F.col("__pr") > F.col("__rank") - window))
-    last = F.sort_array(F.collect_list("__pv"))
-    agg = j.groupBy(key, "__rank").agg(
-        F.first(order).alias(order), F.first(value).alias(value), F.first("global_avg").alias("global_avg"),
-        last.alias("__vals"), F.avg("__pv").alias("avg"), F.max("__pv").alias("max"))
-    return agg.select(key, order, value,
-                      F.element_at("__vals", F.floor((F.size("__vals") - 1) / 2).cast("int") + 1).alias("median"),
-                      "avg", "max", "global_avg")
+                           (F.col("cum___vw") / F.col("cum___w")).alias("global_avg"), (place / size).cast("long").alias("__b"))
+    halo = ranked.where((F.col("__rank") - 1) % size >= size - window + 1).withColumn("__b", F.col("__b") + 1)
+    both = ranked.withColumn("__own", F.lit(True)).unionByName(halo.withColumn("__own", F.lit(False)))
+    frame = Window.partitionBy(key, "__b").orderBy("__rank").rowsBetween(1 - window, Window.currentRow)
+    stats = both.select(
+        key, order, value, "__own", "global_avg", F.sort_array(F.collect_list(value).over(frame)).alias("__vals"),
+        F.avg(value).over(frame).alias("avg"), F.max(value).over(frame).alias("max"))
+    return stats.where("__own").select(
+        key, order, value, F.element_at("__vals", F.floor((F.size("__vals") - 1) / 2).cast("int") + 1).alias("median"),
+        "avg", "max", "global_avg")
 
 
 def to_long(wide: DataFrame, id_col: str, metrics: Sequence[str], key: str = "meter") -> DataFrame:
@@ -57,36 +57,43 @@ def to_long(wide: DataFrame, id_col: str, metrics: Sequence[str], key: str = "me
 
 
 def early_stopping(history: DataFrame, loss: str = "train_loss", epoch: str = "epochs",
-                   patience: int = 8, delta: float = 0.0) -> DataFrame:
-    """The early-stopping rule replayed over the history.
+                   patience: int = 8, delta: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
+    """The early-stopping rule replayed over the history (of each run, named by
+    ``keys``).
 
     ``score = -loss``; an epoch improves when ``score >= best + delta`` (ties
     improve); otherwise the counter grows and the run stops when it reaches
-    ``patience``.  ``best`` only moves on improvement, so the rule is a fold.
-    The history has one row per epoch, so folding its array is bounded.
+    ``patience``.  ``best`` only moves on improvement.  Without ``delta`` the best is the
+    smallest loss so far, so windows do; with it, which epochs improve depends on
+    earlier ones, and each run's losses go through one linear pass.
     Output per epoch: improved, counter, best_loss, stop (first epoch that
     triggers the stop and every later one).
     """
-    arr = history.agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"),
-                                                          F.col(loss).cast("double").alias("l")))).alias("h"))
-    init = F.array().cast("array<struct<e:int,l:double,improved:boolean,counter:int,best:double,stop:boolean>>")
-
-    def step(acc, r):
-        prev = F.try_element_at(acc, F.lit(-1))
-        has_prev = F.size(acc) > 0
-        best_score = F.when(has_prev, -prev["best"])
-        improved = ~has_prev | (-r["l"] >= best_score + F.lit(delta))
-        counter = F.when(improved, F.lit(0)).otherwise(prev["counter"] + 1)
-        best = F.when(improved, r["l"]).otherwise(prev["best"])
-        stop = F.coalesce(prev["stop"], F.lit(False)) | (counter >= patience)
-        return F.concat(acc, F.array(F.struct(
-            r["e"].cast("int").alias("e"), r["l"].alias("l"), improved.alias("improved"),
-            counter.cast("int").alias("counter"), best.alias("best"), stop.alias("stop"))))
-
-    folded = arr.select(F.explode(F.aggregate("h", init, step)).alias("s"))
-    return folded.select(F.col("s.e").alias(epoch), F.col("s.l").alias(loss), F.col("s.improved").alias("improved"),
-                         F.col("s.counter").alias("counter"), F.col("s.best").alias("best_loss"),
-                         F.col("s.stop").alias("stop"))
+    keys = list(keys)
+    rows = history.select(*keys, F.col(epoch), F.col(loss).cast("double").alias(loss))
+    so_far = Window.partitionBy(*keys).orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
+    if delta:
+        rows = rows.groupBy(*keys).applyInPandas(
+            lambda pdf: _improved(pdf.sort_values(epoch), loss, delta),
+            ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", improved boolean")
+    else:
+        best = F.min(loss).over(before)
+        rows = rows.withColumn("improved", best.isNull() | (F.col(loss) <= best))
+    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(epoch)))
+    last = F.last(F.when(F.col("improved"), F.struct("__n", F.col(loss).alias("l"))), ignorenulls=True).over(so_far)
+    counted = numbered.withColumn("__last", last).withColumn("counter", (F.col("__n") - F.col("__last.__n")).cast("int"))
+    return counted.select(*keys, epoch, loss, "improved", "counter", F.col("__last.l").alias("best_loss"),
+                          (F.max("counter").over(so_far) >= patience).alias("stop"))
+
+
+def _improved(pdf, loss: str, delta: float):
+    """Which epochs improve on the last improvement by ``delta``."""
+    best, out = None, []
+    for value in pdf[loss]:
+        out.append(best is None or -value >= -best + delta)
+        best = value if out[-1] else best
+    return pdf.assign(improved=out)
 
 
 def best_epoch(history: DataFrame, metric: str, epoch: str = "epochs", mode: str = "max",

@@ -228,42 +228,80 @@ def RAD_feature_columns() -> list[str]:
 
 # ----------------------------------------------------------------- X4 ----
 
-def score_images(images: DataFrame, predict_fn, threshold: float = 0.5) -> DataFrame:
+def score_image_table(images: DataFrame, make_model, threshold: float = 0.5, batch_size: int = 16) -> DataFrame:
     """Batch scoring of an image table with a user-supplied model.
 
-    ``predict_fn(pdf) -> Series of probability arrays`` gets a pandas frame of
-    (height, width, gray pixels as a flat array) per Arrow batch and returns the
-    first predicted mask per image (empty array when nothing is detected).
-    The mask is thresholded at 0.5 and stored as runs keyed by the image id;
-    images without a detection keep their row with no runs (area 0 later).
+    ``make_model()`` runs once for each Python worker (it loads the weights) and gives a
+    function from a list of images — arrays (height, width, channels), bytes as stored, sizes
+    may differ — to a list with each image's first predicted soft mask (height, width), or
+    None where nothing is detected.  Spark's batch inference hands it ``batch_size`` images
+    at a time as bytes, so memory is bounded by the batch; the mask is cut at ``threshold`` and
+    leaves the worker as runs.
+
+    One row for every readable image: (image_id, height, width, detected, starts, lens); an
+    image without a detection has no runs.
     """
-    px = M.pixels_from_images(images, "image_id")
-    flat = px.groupBy("image_id").agg(
-        F.first(F.col("image_id")).alias("__id"),
-        F.array_sort(F.collect_list(F.struct("y", "x", "gray"))).alias("__px"))
-    dims = M.image_dims(images, "image_id")
-    src = flat.join(dims, "image_id").select(
-        "image_id", "height", "width", F.transform("__px", lambda s: s["gray"]).alias("pixels"))
-
-    def run(pdf_iter):
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+
+    result = StructType([StructField("detected", IntegerType()), StructField("starts", ArrayType(LongType())),
+                         StructField("lens", ArrayType(LongType()))])
+
+    def make():
         import numpy as np
-        import pandas as pd
-        for pdf in pdf_iter:
-            probs = predict_fn(pdf)
+
+        model = make_model()
+
+        def predict(height, width, channels, data):
+            pictures = [np.frombuffer(d, dtype=np.uint8).reshape(h, w, c) for h, w, c, d in zip(height, width, channels, data, strict=True)]
             out = []
-            for iid, h, w, pr in zip(pdf["image_id"], pdf["height"], pdf["width"], probs):
-                if pr is None or len(pr) == 0:
-                    continue
-                m = (np.asarray(pr, dtype=float).reshape(h, w) > threshold)
-                ys, xs = np.nonzero(m)
-                out.append(pd.DataFrame({"image_id": iid, "x": xs.astype("int32"), "y": ys.astype("int32")}))
-            yield pd.concat(out) if out else pd.DataFrame({"image_id": pd.Series([], dtype=str),
-                                                           "x": pd.Series([], dtype="int32"),
-                                                           "y": pd.Series([], dtype="int32")})
-
-    fg = src.mapInPandas(run, "image_id string, x int, y int").withColumn("obj_id", F.lit(1))
-    sizes = dims.select("image_id", "height", "width")
-    return M.encode_runs(fg.select("image_id", "obj_id", "x", "y"), sizes)
+            for picture, soft in zip(pictures, model(pictures), strict=True):
+                inside = np.zeros(picture.shape[:2], dtype=bool) if soft is None else np.asarray(soft) > threshold
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.T.reshape(-1).view(np.int8), [0]))))
+                out.append({"detected": int(soft is not None), "starts": edge[::2], "lens": edge[1::2] - edge[::2]})
+            return out
+
+        return predict
+
+    score = predict_batch_udf(make, return_type=result, batch_size=batch_size)
+    readable = images.where(F.col("image.height") >= 0)
+    return readable.select(
+        "image_id", F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+        score("image.height", "image.width", "image.nChannels", "image.data").alias("r")).select(
+        "image_id", "height", "width", (F.col("r.detected") == 1).alias("detected"), "r.starts", "r.lens")
+
+
+def scored_runs(scored: DataFrame) -> DataFrame:
+    """The masks of ``score_image_table`` as runs."""
+    return scored.select("image_id", F.lit(1).alias("obj_id"), "height", "width",
+                         F.inline(F.arrays_zip(F.col("starts").alias("start"), F.col("lens").alias("len"))))
+
+
+def score_images(images: DataFrame, predict_fn, threshold: float = 0.5) -> DataFrame:
+    """X4 with a model of gray pixels: ``predict_fn(pdf) -> Series of probability arrays``
+    gets a frame of (height, width, flat gray pixels) and returns the first predicted
+    mask of each image (empty array when nothing is detected).  Returns the runs;
+    ``score_image_table`` also keeps a row for images without a detection."""
+    def make_model():
+        import numpy as np
+        import pandas as pd
+
+        def gray(picture):
+            if picture.shape[2] < 3:
+                return picture[:, :, 0].reshape(-1).astype(np.int32)
+            b, g, r = (picture[:, :, i].astype(np.int32) for i in range(3))
+            return ((r * 299 + g * 587 + b * 114 + 500) // 1000).reshape(-1)
+
+        def run(pictures):
+            pdf = pd.DataFrame({"height": [p.shape[0] for p in pictures], "width": [p.shape[1] for p in pictures],
+                                "pixels": [gray(p) for p in pictures]})
+            found = predict_fn(pdf)
+            return [None if f is None or len(f) == 0 else np.asarray(f, dtype=float).reshape(p.shape[:2])
+                    for f, p in zip(found, pictures, strict=True)]
+
+        return run
+
+    return scored_runs(score_image_table(images, make_model, threshold))
 
 
 # ------------------------------------------------------------- X7 / X8 ----

@@ -147,8 +147,11 @@ SELECT target, {", ".join(f"coalesce(sum(n) FILTER (WHERE anatom_site = '{s}'),
 FROM c GROUP BY target""", ("meta", "meta_t"))
 def q_g21(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class × site percentage matrix, rows sum to 100, zero filled, class order."""
-    df = curate.keep_classes(_cohort_plot(spark, sf_dir))
-    m = profile.percent_matrix(df, "target", "anatom_site")
+    hot = cohort(spark, sf_dir)
+    # The sites are the names of the one-hot columns.
+    sites = [c.removeprefix("anatom_site_") for c in hot.columns if c.startswith("anatom_site_")]
+    df = curate.keep_classes(curate.from_one_hot(hot, "anatom_site_", "anatom_site"))
+    m = profile.percent_matrix(df, "target", "anatom_site", sites)
     return profile.order_by_list(m, "target", TARGET_CLASSES)
 
 

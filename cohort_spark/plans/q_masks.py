@@ -92,11 +92,14 @@ def q_i7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.areas(runs).select("image_id", "obj_id", "area")
 
 
-@register("I5", "SELECT image_id FROM sizes WHERE image_id NOT IN (SELECT image_id FROM mask_gt WHERE value > 127)", VM)
+_I5_LEVEL = 165  # some images have no brighter pixel
+
+
+@register("I5", f"SELECT image_id FROM sizes WHERE image_id NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM levels WHERE v > {_I5_LEVEL})", VM)
 def q_i5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images whose mask is empty after thresholding at 127."""
-    fg = masks.foreground(standins.mask_pixels(spark, sf_dir, "gt"), 127)
-    runs = masks.encode_runs(fg, standins.image_sizes(spark, sf_dir))
+    """Images whose mask is empty after thresholding (soft masks of the levels, cut high)."""
+    soft = standins.images(spark, sf_dir).select("image_id", "x", "y", F.col("blue").alias("value"))
+    runs = masks.encode_runs(masks.foreground(soft, _I5_LEVEL), standins.image_sizes(spark, sf_dir))
     return masks.empty_masks(standins.image_sizes(spark, sf_dir), runs).select("image_id")
 
 

@@ -185,6 +185,27 @@ def q_j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.with_object_counts(images, objects, "image_id")
 
 
+@register("J10_lists", """
+WITH o AS (SELECT image_id, string_agg(obj_id || ':' || category_id || ':' || CAST(x AS INTEGER), ' ' ORDER BY obj_id, category_id, x) AS objects
+           FROM gt_boxes GROUP BY image_id)
+SELECT o_orderkey AS image_id, coalesce(objects, '') AS objects FROM orders LEFT JOIN o ON o_orderkey = image_id""", ("gt_boxes",))
+def q_j10_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with the list of their objects (as text: id, category and left edge of each)."""
+    from ..sources.tables import table
+    images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"))
+    lists = match.with_objects(images, standins.gt_boxes(spark, sf_dir), ["category_id", "x"])
+    return lists.select("image_id", F.array_join(F.transform("objects", lambda o: F.concat_ws(
+        ":", o["obj_id"], o["category_id"], o["x"].cast("int"))), " ").alias("objects"))
+
+
+@register("S10", "SELECT p_partkey, p_name FROM part WHERE p_name NOT LIKE '%ring%'")
+def q_s10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that do not contain a given part."""
+    from ..functions.clean import without_part
+    from ..sources.tables import table
+    return table(spark, sf_dir, "part").where(without_part("p_name", "ring")).select("p_partkey", "p_name")
+
+
 @register("P7", """SELECT isic_id, target FROM meta_t WHERE target IS NOT NULL AND target NOT IN
 ('Malignant-melanocytic', 'Benign-melanocytic', 'Benign-non-melanocytic', 'Malignant-non-melanocytic')""",
           ("meta", "meta_t"))

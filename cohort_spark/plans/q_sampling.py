@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import match, sampling
 from ..operators.sampling import MINSTD_A, MINSTD_P
+from ..session import materialize
 from ..sources import standins
 from .catalog import register
 from .q_cohort import _BASE_SQL, cohort
@@ -71,3 +72,32 @@ def q_w9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best prediction per image: highest score, first index among ties."""
     from ..operators.evaluate import best_per_image
     return best_per_image(standins.detections(spark, sf_dir), "image_id", "det_id", "score")
+
+
+_SPLIT_SQL = f"""
+r AS (SELECT isic_id, lesion_id, patient_id, row_number() OVER (ORDER BY {draw_sql('isic_id')}, isic_id) - 1 AS rk,
+             count(*) OVER () AS n FROM final),
+c AS (SELECT *, CAST(floor(0.7 * n) AS BIGINT) AS tr FROM r),
+d AS (SELECT *, CASE WHEN rk < tr THEN 'train' WHEN rk < tr + CAST(floor(0.3333 * (n - tr)) AS BIGINT) THEN 'val' ELSE 'test' END AS split
+      FROM c)"""
+
+
+@register("W13_leak", f"WITH {_BASE_SQL}, {_SPLIT_SQL}" + " UNION ALL ".join(
+    f"SELECT '{c}' AS key, {c} AS id, CAST(count(DISTINCT split) AS BIGINT) AS n_splits, count(*) AS n_images FROM d WHERE {c} IS NOT NULL "
+    f"GROUP BY {c} HAVING count(DISTINCT split) > 1" for c in ("lesion_id", "patient_id")), ("meta", "meta_t"))
+def q_w13_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lesion and patient ids that the split by rows shares between train, val and test."""
+    df = cohort(spark, sf_dir).select("isic_id", "lesion_id", "patient_id")
+    split = sampling.exact_split(df, _draw(), "isic_id")
+    return sampling.shared_ids(split, ["lesion_id", "patient_id"])
+
+
+@register("W13_groups", f"""WITH {_BASE_SQL}
+SELECT count(*) AS n_images, CAST(0 AS BIGINT) AS shared_ids, true AS train_holds_most FROM final""", ("meta", "meta_t"))
+def q_w13_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split by connected groups of lesions and patients: no id is shared, train is the largest part."""
+    df = cohort(spark, sf_dir).select("isic_id", "lesion_id", "patient_id")
+    split = materialize(sampling.leak_free_split(df, "isic_id", ["lesion_id", "patient_id"]))
+    shared = sampling.shared_ids(split, ["lesion_id", "patient_id"]).agg(F.count(F.lit(1))).scalar()
+    most = split.groupBy("split").count().orderBy(F.desc("count"), F.desc("split")).limit(1).select("split").scalar()
+    return split.agg(F.count(F.lit(1)).alias("n_images")).select("n_images", shared.alias("shared_ids"), (most == "train").alias("train_holds_most"))

@@ -198,6 +198,25 @@ def test_score_images_threshold_model(spark, folder):
     assert area == {r.image_id: r["count"] for r in px}
 
 
+def test_image_table_keeps_images_without_a_detection(spark, folder):
+    """Images of several sizes; the model is loaded by the worker and sees batches of images."""
+    _, img_dir, _, ramp, _ = folder
+
+    def make_model():
+        def model(pictures):
+            assert len(pictures) <= 2
+            return [None if p.shape[0] == 12 else p[:, :, 2] / 255 for p in pictures]  # stored as B, G, R
+
+        return model
+
+    scored = jobs.score_image_table(FS.read_images(spark, img_dir), make_model, threshold=0.3, batch_size=2)
+    rows = {r.image_id: r for r in scored.collect()}
+    assert set(rows) == {"a", "b", "c", "d", "e"}  # an unreadable file is no image
+    assert [rows[k].detected for k in "abcde"] == [True, False, False, False, False] and rows["b"].starts == [] and rows["b"].height == 12
+    area = {r.image_id: r.area for r in M.areas(jobs.scored_runs(scored), per_object=False).collect()}
+    assert area == {"a": (ramp[:, :, 0] / 255 > 0.3).sum()}
+
+
 def test_incremental_extraction_stream(spark, folder):
     from cohort_spark.streaming import incremental
 

@@ -205,3 +205,70 @@ def test_matrices_count_unlisted_values(spark):
     assert (rate["r"].Total, rate["r"].pct_positive, rate["s"].pct_positive) == (4, 50.0, 0.0)
     many = spark.range(1001).select(F.col("id").cast("string").alias("c"))
     assert len(profile.distinct_values(many, "c")) == 1001
+
+
+def test_connected_groups_and_leak_free_split(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"i{n:04d}", None if n % 5 == 0 else f"l{rng.integers(0, 260)}", None if n % 7 == 0 else int(rng.integers(0, 400))) for n in range(400)]
+    rows += [(f"chain{n:02d}", f"c{n // 2}", 10_000 + (n + 1) // 2) for n in range(40)]
+    df = spark.createDataFrame(rows, "id string, lesion string, patient long").repartition(5)
+    from cohort_spark.operators.groups import connected
+    got = {r.id: r.group for r in connected(df, "id", ["lesion", "patient"]).collect()}
+    root = {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for c in (1, 2):
+        first = {}
+        for r in rows:
+            if r[c] is not None:
+                a, b = sorted((find(r[0]), find(first.setdefault(r[c], r[0]))))
+                root[b] = a
+    assert got == {i: find(i) for i in root} and len({v for k, v in got.items() if k.startswith("chain")}) == 1
+    split = sampling.leak_free_split(df, "id", ["lesion", "patient"])
+    rows = split.collect()
+    assert len(rows) == 440 and sampling.shared_ids(split, ["lesion", "patient"]).count() == 0
+    share = {s: sum(r.split == s for r in rows) / 440 for s in ("train", "val", "test")}
+    largest = max(list(got.values()).count(g) for g in set(got.values())) / 440
+    assert abs(share["train"] - 0.7) <= largest and abs(share["val"] - 0.1) <= largest and abs(share["test"] - 0.2) <= largest
+    rowwise = sampling.exact_split(df, sampling.draw("id"), "id")
+    leaks = {(r.key, str(r.id)): r for r in sampling.shared_ids(rowwise, ["lesion", "patient"]).collect()}
+    assert leaks and all(r.n_splits > 1 and r.n_images > 1 for r in leaks.values())
+    assert connected(df.limit(0), "id", ["lesion"]).count() == 0
+
+
+def test_early_stopping_with_and_without_delta(spark):
+    rng = np.random.default_rng(1)
+    rows = [(run, e, float(v)) for run in ("a", "b") for e, v in enumerate(rng.integers(0, 30, 60) / 10 + 3 / (1 + np.arange(60)))]
+    df = spark.createDataFrame(rows, "run string, epochs int, train_loss double").repartition(3)
+    for delta in (0.0, 0.3):
+        got = {(r.run, r.epochs): r for r in trainlog.early_stopping(df, patience=4, delta=delta, keys=["run"]).collect()}
+        for run in ("a", "b"):
+            best, counter, stop = None, 0, False
+            for r, e, v in rows:
+                if r != run:
+                    continue
+                improved = best is None or -v >= -best + delta
+                best, counter = (v, 0) if improved else (best, counter + 1)
+                stop |= counter >= 4
+                x = got[run, e]
+                assert (x.improved, x.counter, x.best_loss, x.stop) == (improved, counter, best, stop)
+
+
+def test_smoothing_over_bucket_borders(spark, monkeypatch):
+    monkeypatch.setattr(trainlog, "BUCKET", 25)
+    rng = np.random.default_rng(2)
+    rows = [("a" if i % 4 else "b", i, float(v), 1 + i % 3) for i, v in enumerate(rng.random(300))]
+    got = {(r.meter, r.step): r for r in trainlog.smoothed(spark.createDataFrame(rows, "meter string, step int, value double, n int")).collect()}
+    assert len(got) == 300
+    for meter in ("a", "b"):
+        mine = [r for r in rows if r[0] == meter]
+        for k, (_, step, value, _) in enumerate(mine):
+            last = [v for *_, v, _ in mine[max(0, k - 19):k + 1]]
+            r = got[meter, step]
+            assert (r.value, r.max, r.median) == (value, max(last), sorted(last)[(len(last) - 1) // 2])
+            assert r.avg == pytest.approx(np.mean(last))
+            assert r.global_avg == pytest.approx(sum(v * n for *_, v, n in mine[:k + 1]) / sum(n for *_, n in mine[:k + 1]))
