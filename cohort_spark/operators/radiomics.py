@@ -5,14 +5,11 @@ Thibault 2009; Sun & Wee 1983; Amadasun & King 1989; IBSI, Zwanenburg 2020;
 van Griethuysen 2017) with the extractor's default settings restated below.
 
 Data flow: ROI pixels ``(image_id, channel, x, y, v)`` → discretised level
-``g`` → one neighbour table computed by four window orderings (horizontal,
-vertical and both diagonals; ``lag``/``lead`` with a step check give all eight
-neighbours) → small per-(image, channel) tables (level histograms, GLCM cells,
-runs, dependence counts) → aggregates.  Every window is partitioned by
-``image_id`` first, so one repartition by image serves all of them; an image
-is bounded by its own size.  Level tables are bounded by the bin count.
-Grouped pandas is used only for connected zones (a sequential labelling) and
-the GLCM eigenvalue (MCC), both on one image/channel at a time.
+``g`` → per (image, channel) small count tables (level histograms, GLCM cells, runs,
+dependence counts) → aggregates.  The ROI of one image and channel goes through array
+shifts in a vectorised UDF (also the connected zones, a sequential labelling, and the
+GLCM eigenvalue); an image is bounded by its own size, level tables by the bin count, and
+Arrow batches by their bytes (``session``).
 """
 
 from __future__ import annotations
@@ -22,7 +19,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,104 +119,105 @@ def firstorder(stats: DataFrame) -> DataFrame:
     return _long(a, IC, "firstorder", feats)
 
 
-# --------------------------------------------------------- neighbours ----
-
-def neighbours(roi_g: DataFrame, runs: bool = True) -> DataFrame:
-    """Per ROI pixel and direction d ∈ 0..3: previous/next ROI neighbour level
-    along the line (``p<d>``/``n<d>``, NULL when the neighbour is outside the
-    ROI), the position ``o<d>``, the start position of the current run of equal
-    levels ``s<d>`` and whether the pixel ends its run ``e<d>``.  Four windows,
-    each partitioned by image first."""
-    out = roi_g
-    for d, (_, line, pos) in enumerate(DIRECTIONS):
-        out = out.withColumn(f"l{d}", line())
-        w = Window.partitionBy("image_id", "channel", f"l{d}").orderBy(pos)
-        step_prev = F.col(pos) - F.lag(pos).over(w)
-        step_next = F.lead(pos).over(w) - F.col(pos)
-        prev_g = F.when(step_prev == 1, F.lag("g").over(w))
-        out = out.withColumn(f"p{d}", prev_g).withColumn(f"n{d}", F.when(step_next == 1, F.lead("g").over(w)))
-        if not runs:
-            continue
-        new_run = F.col(f"p{d}").isNull() | (F.col(f"p{d}") != F.col("g"))
-        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        # position where the current run started (carried forward along the line)
-        out = out.withColumn(f"s{d}", F.last(F.when(new_run, F.col(pos)), ignorenulls=True).over(upto))
-        out = out.withColumn(f"e{d}", F.col(f"n{d}").isNull() | (F.col(f"n{d}") != F.col("g")))
-        out = out.withColumn(f"o{d}", F.col(pos))
+# --------------------------------------------------------- count tables ----
+
+ALL_FAMILIES = ("fo", "lvl", "glcm", "glrlm", "gldm", "ngtdm")
+_STATS = "fam string, angle int, a int, b int, n bigint, val double"
+
+
+def _tally(a: np.ndarray, b: np.ndarray | None = None, val: np.ndarray | None = None) -> tuple:
+    """(a, b, count, sum of val) of the distinct pairs of small non-negative integers."""
+    if b is None:
+        keys, inverse = np.unique(a, return_inverse=True)
+        first, second = keys, np.full(len(keys), -1)
+    else:
+        wide = int(b.max()) + 1 if len(b) else 1
+        keys, inverse = np.unique(a * wide + b, return_inverse=True)
+        first, second = keys // wide, keys % wide
+    total = np.zeros(len(keys)) if val is None else np.bincount(inverse, weights=val, minlength=len(keys))
+    return first, second, np.bincount(inverse, minlength=len(keys)), total
+
+
+def _count_tables(xs: np.ndarray, ys: np.ndarray, vs: np.ndarray, gs: np.ndarray, families: set, alpha: int) -> list[tuple]:
+    """The count tables of one image and channel as (family, angle, a, b, n, val) columns.
+
+    ROI levels lie on a grid with a border of zeros (levels start at 1), so a neighbour
+    is one shifted look-up; runs are the breaks of pixels sorted along each direction.
+    """
+    out = [("lvl", -1, *_tally(gs))]
+    if "fo" in families:
+        out.append(("fo", -1, *_tally(vs)))
+    x, y = xs - xs.min() + 1, ys - ys.min() + 1
+    wide = int(x.max()) + 2
+    grid = np.zeros((int(y.max()) + 2) * wide, dtype=gs.dtype)
+    at = y * wide + x
+    grid[at] = gs
+    steps = (1, wide + 1, wide, 1 - wide)  # to the next pixel in each of DIRECTIONS
+    cnt, tot, dep = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64), np.ones(len(at), dtype=np.int64)
+    for d, step in enumerate(steps):
+        after, before = grid[at + step], grid[at - step]
+        for other in (after, before):
+            there = other > 0
+            cnt += there
+            tot += other
+            dep += there & (np.abs(other - gs) <= alpha)
+        if "glcm" in families:
+            i, j = before[before > 0], gs[before > 0]
+            out.append(("glcm", d, *_tally(np.concatenate((i, j)), np.concatenate((j, i)))))
+        if "glrlm" in families:
+            starts = at[before != gs]
+            level, length = grid[starts], np.zeros(len(starts), dtype=np.int64)
+            here, going = starts, np.arange(len(starts))
+            while len(going):  # as often as the longest run is long
+                length[going] += 1
+                here = here + step
+                more = grid[here] == level[going]
+                going, here = going[more], here[more]
+            out.append(("glrlm", d, *_tally(level, length)))
+    if "gldm" in families:
+        out.append(("gldm", -1, *_tally(gs, dep)))
+    if "ngtdm" in families:
+        met = cnt > 0
+        out.append(("ngtdm", -1, *_tally(gs[met], None, np.abs(gs[met] - tot[met] / cnt[met]))))
     return out
 
 
-ALL_FAMILIES = ("fo", "lvl", "glcm", "glrlm", "gldm", "ngtdm")
+def _stats_udf(families: set, alpha: int):
+    names = ["fam", "angle", "a", "b", "n", "val"]
+
+    def run(xs: pd.Series, ys: pd.Series, vs: pd.Series, gs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y, v, g in zip(xs, ys, vs, gs, strict=True):
+            parts = _count_tables(*(np.asarray(c, dtype=np.int64) for c in (x, y, v, g)), families, alpha)
+            sizes = [len(p[2]) for p in parts]
+            rows.append([np.repeat([p[0] for p in parts], sizes), np.repeat([p[1] for p in parts], sizes).astype(np.int32),
+                         *(np.concatenate([p[k] for p in parts]).astype(t) for k, t in ((2, np.int32), (3, np.int32), (4, np.int64), (5, np.float64)))])
+        return pd.DataFrame({n: [r[k] for r in rows] for k, n in enumerate(names)})
+
+    return F.pandas_udf(run, "struct<fam:array<string>, angle:array<int>, a:array<int>, b:array<int>, n:array<bigint>, val:array<double>>")
 
 
 def texture_stats(roi_g: DataFrame, alpha: int = 0, families: Sequence[str] = ALL_FAMILIES) -> DataFrame:
-    """All per-(image, channel) count tables the texture families need, from
-    one pass over the neighbour table and one partial/final aggregate:
+    """All per-(image, channel) count tables the texture families need:
 
     * ``fo``   (a = intensity)                  — first order
     * ``lvl``  (a = level)                      — level histogram
     * ``glcm`` (angle, a = i, b = j)            — symmetric co-occurrences
-    * ``glrlm`` (angle, a = level, b = length)  — one record per run end
+    * ``glrlm`` (angle, a = level, b = length)  — runs
     * ``gldm`` (a = level, b = dependence)
     * ``ngtdm`` (a = level, val = |g − neighbour mean|)
 
-    The result is small (bounded by levels² per image and channel) and is
-    persisted so every family reads it instead of recomputing the pixel-level
-    windows.
+    The ROI of one image and channel (bounded by the image) goes through array shifts
+    that give the counts alone.  The result is small (bounded by levels² per image and
+    channel) and is written to the shared checkpoint folder, so that the families
+    that branch from it do not repeat the pixel work and no cache is left behind.
     """
-    fams = set(families) | {"lvl"}
-    nb = neighbours(roi_g, runs="glrlm" in fams)
-    cnt = F.lit(0)
-    tot = F.lit(0)
-    dep = F.lit(1)
-    for d in range(4):
-        for side in ("p", "n"):
-            c = F.col(f"{side}{d}")
-            cnt = cnt + F.when(c.isNotNull(), 1).otherwise(0)
-            tot = tot + F.coalesce(c, F.lit(0))
-            dep = dep + F.when(c.isNotNull() & (F.abs(c - F.col("g")) <= alpha), 1).otherwise(0)
-
-    def rec(fam: str, angle, a, b, val=None, keep=None) -> Column:
-        r = F.struct(F.lit(fam).alias("fam"), F.lit(angle).cast("int").alias("angle"), a.cast("int").alias("a"),
-                     b.cast("int").alias("b"), (val if val is not None else F.lit(0.0)).cast("double").alias("val"))
-        return r if keep is None else F.when(keep, r)
-
-    g, v = F.col("g"), F.col("v")
-    recs = [rec("lvl", -1, g, F.lit(-1))]
-    if "fo" in fams:
-        recs.append(rec("fo", -1, v, F.lit(-1)))
-    if "gldm" in fams:
-        recs.append(rec("gldm", -1, g, dep))
-    if "ngtdm" in fams:
-        recs.append(rec("ngtdm", -1, g, F.lit(-1), F.abs(g - tot / cnt), cnt > 0))
-    for d in range(4):
-        p = F.col(f"p{d}")
-        if "glcm" in fams:
-            recs.append(rec("glcm", d, p, g, keep=p.isNotNull()))
-            recs.append(rec("glcm", d, g, p, keep=p.isNotNull()))
-        if "glrlm" in fams:
-            recs.append(rec("glrlm", d, g, F.col(f"o{d}") - F.col(f"s{d}") + 1, keep=F.col(f"e{d}")))
-    exploded = nb.select(*IC, F.explode(F.array(*recs)).alias("r")).where(F.col("r").isNotNull())
-    # the neighbour table is partitioned by image, so this aggregate needs no
-    # exchange and its output stays partitioned by image for every family
-    stats = exploded.groupBy(*IC, "r.fam", "r.angle", "r.a", "r.b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("r.val").alias("val"))
-    # kept in memory/disk for the families that branch from it: the cached
-    # plan keeps its partitioning by image, so no family shuffles again, and a
-    # lost block is recomputed from lineage; ``release()`` frees it
-    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
-    stats.count()  # fill the cache once, before the families read it in parallel
-    _PERSISTED.append(stats)
-    return stats
-
-
-_PERSISTED: list[DataFrame] = []
-
-
-def release() -> None:
-    """Unpersist the count tables built by ``texture_stats`` (call after writing)."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
+    from ..session import materialize
+
+    per_ic = roi_g.groupBy(*IC).agg(*[F.collect_list(F.col(c).cast("int")).alias(f"{c}s") for c in "xyvg"])
+    made = per_ic.select(*IC, _stats_udf(set(families) | {"lvl"}, alpha)("xs", "ys", "vs", "gs").alias("t"))
+    fields = [c.split()[0] for c in _STATS.split(", ")]
+    return materialize(made.select(*IC, F.inline(F.arrays_zip(*[F.col(f"t.{c}").alias(c) for c in fields]))))
 
 
 # ------------------------------------------------------------------ R2 ----

@@ -182,7 +182,6 @@ def batch_features(spark, pairs: DataFrame):
         px, fg, errors = feature_inputs(images, mask_images)
         yield RAD.to_wide(RAD.all_features(px, fg), RAD_feature_columns()), errors.unionByName(missing)
     finally:
-        RAD.release()
         images.unpersist()
         mask_images.unpersist()
 

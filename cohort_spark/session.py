@@ -29,6 +29,7 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Rows with long texts or pixel arrays go to Python in small batches.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
