@@ -245,6 +245,8 @@ def test_late_image_is_taken_by_the_stream(spark, monkeypatch):
                pairs.where(~found).select("image_id", F.lit("Could not read image").alias("message")))
 
     monkeypatch.setattr(jobs, "batch_features", batch_features)
+    # No batch lists a whole folder.
+    monkeypatch.setattr(FS, "list_files", lambda *a, **k: pytest.fail("a folder was listed"))
     root = tempfile.mkdtemp(prefix="cohort-late-stream-")
     img_dir, msk_dir, out, errs, ckpt = (os.path.join(root, d) for d in ("images", "masks", "features", "errors", "ckpt"))
     os.makedirs(img_dir)
