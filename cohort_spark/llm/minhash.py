@@ -14,10 +14,12 @@ are compared:
    a block the estimated similarities give a maximum spanning forest, whose edges
    alone are verified on the full sets.  Union-find over the true links joins
    nearly all classes that belong together.
-2. Buckets that still hold several components are compared exactly: all their blocks
-   meet with their full sets, and pairs of different components whose estimate is not
-   clearly too low are verified, the likeliest first, until the two are joined.  Only
-   links leave the task, and no pair inside a component is looked at again.
+2. Buckets that still hold several components are compared exactly: the classes of
+   all but the bucket's largest component visit every block with their full sets, and
+   pairs of different components whose estimate is not clearly too low are verified,
+   the likeliest first, until the two are joined.  Only links leave the task, no pair
+   inside a component is looked at again, and the largest component stays where it is,
+   so a few odd classes in a bucket of many copies cost their number times its blocks.
 
 So the work follows the size of the buckets, not its square, where a bucket is one
 group; and no cap drops a pair.  With 24 bands of five places, a pair at the
@@ -134,8 +136,8 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int, numbers: int) -> Iterator[list[np.ndarray]]:
     """The columns of each run of equal leading ``keys`` columns; a run may go over
-    several batches.  ``numbers`` columns hold integers, the next one signatures (a
-    matrix), a last one, if any, sets (an array of byte strings)."""
+    several batches.  ``numbers`` columns hold integers, the last one signatures (a
+    matrix)."""
     held: list[list[np.ndarray]] = []
 
     def give(parts: list) -> list[np.ndarray]:
@@ -147,10 +149,6 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int, numbers: int) -> Itera
             continue
         columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(numbers)]
         columns.append(np.frombuffer(b"".join(batch.column(numbers).to_pylist()), dtype=np.uint8).reshape(n, -1))
-        if batch.num_columns > numbers + 1:
-            sets = np.empty(n, dtype=object)
-            sets[:] = batch.column(numbers + 1).to_pylist()
-            columns.append(sets)
         change = np.zeros(n, dtype=bool)
         for i in range(keys):
             change[1:] |= columns[i][1:] != columns[i][:-1]
@@ -167,6 +165,22 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int, numbers: int) -> Itera
         yield give(held)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(bucket, block, visits, then arrays: node, n, component, signatures, sets) of each
+    run of equal (bucket, block, visits) within a batch."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys = [batch.column(i).to_numpy() for i in range(3)]
+        columns = [batch.column(i).to_numpy() for i in range(3, 6)]
+        columns.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint8).reshape(n, -1))
+        columns.append(np.array([None, *batch.column(7).to_pylist()], dtype=object)[1:])
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for first, last in zip([0, *change.tolist()], [*change.tolist(), n], strict=True):
+            yield (*(int(k[first]) for k in keys), *(c[first:last] for c in columns))
+
+
 def _pairs(found: dict) -> pa.RecordBatch:
     pairs = np.array(list(found), dtype=np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -208,33 +222,40 @@ def _is_link(x: bytes, y: bytes) -> bool:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, first, second, block, node, n, component, signature, set): blocks
-    ``first`` and ``second`` of a bucket meet -> links between components."""
+    """(bucket, block, visits, node, n, component, signature, set), sorted by the first
+    three: those at home in a block come first and are held (a block is bounded), then
+    each visitor passes by -> links between components."""
     least = PERCENT / 100 - MARGIN
     found: dict = {}
-    for _, first, second, block, node, size, part, signature, sets in _groups(batches, 3, 7):
-        left = np.flatnonzero(block == first[0])
-        right = left if first[0] == second[0] else np.flatnonzero(block == second[0])
-        if not len(left) or not len(right):
+    key, held, parent, home = None, [], {}, None
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for bucket, block, visits, node, size, part, signature, sets in _runs(batches):
+        if (bucket, block) != key:
+            key, held, parent, home = (bucket, block), [], {}, None
+        if not visits:
+            held.append((node, size, part, signature, sets))
             continue
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        for i in left.tolist():
-            other = right[(part[right] != part[i]) & (100 * np.minimum(size[right], size[i]) >= PERCENT * np.maximum(size[right], size[i]))]
+        if home is None:
+            home = [np.concatenate(x) for x in zip(*held, strict=True)] if held else []
+        if not home:
+            continue
+        nodes, sizes, parts, signatures, full = home
+        for i in range(len(node)):
+            other = np.flatnonzero((parts != part[i]) & (100 * np.minimum(sizes, size[i]) >= PERCENT * np.maximum(sizes, size[i])))
             if not len(other):
                 continue
-            similar = ((signature[other] == signature[i]).mean(axis=1) - 1 / 256) * (256 / 255)
+            similar = ((signatures[other] == signature[i]).mean(axis=1) - 1 / 256) * (256 / 255)
             other, similar = other[similar >= least], similar[similar >= least]
             for o in other[np.argsort(-similar, kind="stable")].tolist():
-                x, y = find(int(part[i])), find(int(part[o]))
-                if x != y and _is_link(sets[i], sets[o]):
+                x, y = find(int(part[i])), find(int(parts[o]))
+                if x != y and _is_link(sets[i], full[o]):
                     parent[max(x, y)] = min(x, y)
-                    found[min(node[i], node[o]), max(node[i], node[o])] = None
+                    found[min(node[i], nodes[o]), max(node[i], nodes[o])] = None
         if len(found) > 100_000:
             yield _pairs(found)
             found = {}
@@ -272,8 +293,14 @@ def _document_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (smallest id of the group) and kept of every row."""
+def _place():
+    """A row's place in the order of ids; a null id comes last."""
+    return F.struct(F.col("__id").isNull().alias("none"), F.col("__id"), F.col("__dk"))
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __dk, __n, __first: id and key of the group's first row) of every row;
+    __first is null for empty sets."""
     made = "__n bigint, __d1 bigint, __d2 bigint, __bands array<bigint>, __sig binary"
     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
     prepared = docs.select(F.col(id_col).alias("__id"), _document_key(id_col, text_col).alias("__dk"), F.col(text_col).alias("__t"))
@@ -282,7 +309,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     same = ["__n", "__d1", "__d2"]
     # One class for each set; its node is the smallest row number.
     classes = written(signed.where("__n > 0").groupBy(*same).agg(
-        F.min("__row").alias("node"), F.min("__id").alias("__least"), F.min("__dk").alias("__dk"),
+        F.min("__row").alias("node"), F.min(_place()).alias("__least"), F.min("__dk").alias("__dk"),
         F.min(F.struct("__bands", "__sig")).alias("__s")).select(
         *same, "node", "__least", "__dk", "__s.__bands", "__s.__sig"), "classes")
     spread = classes.select("node", "__n", F.explode("__bands").alias("bucket"))
@@ -300,31 +327,43 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     links = written(_verified(near, docs, classes, id_col, text_col), "links")
     roots = components(links)
 
-    rooted = members.join(roots, "node", "left").withColumn("__part", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("bucket").agg(F.min("__part").alias("x"), F.max("__part").alias("y")).where("x <> y").select("bucket")
-    left = written(rooted.join(mixed, "bucket").drop("root"), "mixed-members")
+    rooted = members.join(roots, "node", "left").withColumn("__part", F.coalesce("root", "node")).drop("root")
+    sizes = rooted.groupBy("bucket", "__part").agg(F.count(F.lit(1)).alias("c"))
+    mixed = written(sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "__part")).alias("most"))
+                    .where("parts > 1").select("bucket", F.col("most.__part").alias("__most")), "mixed-buckets")
+    left = written(rooted.join(mixed, "bucket"), "mixed-members")
     sets = _full_sets(left.select("node"), docs, classes, id_col, text_col)
-    meeting = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
-    rest = (meeting.select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
-                           "block", "node", "__n", "__part", "__sig").join(sets, "node")
-            .select("bucket", "first", "second", "block", "node", "__n", "__part", "__sig", "items")
-            .repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second", "block", "node")
+    everyone = F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)
+    travels = left.where("__part <> __most").withColumn("block", F.explode(everyone)).withColumn("__visits", F.lit(1))
+    rest = (left.withColumn("__visits", F.lit(0)).unionByName(travels)
+            .select("bucket", "block", "__visits", "node", "__n", "__part", "__sig").join(sets, "node")
+            .select("bucket", "block", "__visits", "node", "__n", "__part", "__sig", "items")
+            .repartition("bucket", "block").sortWithinPartitions("bucket", "block", "__visits", "node")
             .mapInArrow(_across, "a bigint, b bigint"))
     more = written(rest, "links")
     roots = components(links.unionByName(more))
 
     grouped = written(classes.select(*same, "node", "__least").join(roots, "node", "left").select(
         *same, F.coalesce("root", "node").alias("__root"), "__least"), "grouped")
-    ids = grouped.groupBy("__root").agg(F.min("__least").alias("__component"))
-    named = grouped.join(ids, "__root").select(*same, "__component")
-    return signed.select("__id", *same).join(named, same, "left").select(
+    ids = grouped.groupBy("__root").agg(F.min("__least").alias("__first"))
+    named = grouped.join(ids, "__root").select(*same, "__first")
+    return signed.select("__id", "__dk", *same).join(named, same, "left").select("__id", "__dk", "__n", "__first")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (smallest id of the group) and kept of every row."""
+    return _named(docs, id_col, text_col).select(
         F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"),
-        F.coalesce("__component", "__id").alias("component_id")).withColumn(
+        F.coalesce("__first.__id", "__id").alias("component_id")).withColumn(
         "kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of each group (ids must be
-    unique; rows without an id stay)."""
-    gone = groups(docs, id_col, text_col).where("NOT kept").select(id_col)
-    return docs.join(written(gone, "near-copies"), id_col, "left_anti")
+    """The rows of ``docs`` that stay: the first of each group by id, then by a hash of
+    id and text, and all rows without a word.  Ids may repeat: rows of one id are told
+    apart by their texts, and only rows repeated whole stay or go together."""
+    # Rows without a word have no group.
+    gone = written(_named(docs, id_col, text_col).where(F.col("__first").isNotNull() & ~F.col("__first").eqNullSafe(_place()))
+                   .select("__id", "__dk").distinct(), "near-copies")
+    keyed = docs.withColumn("__key", _document_key(id_col, text_col))
+    return keyed.join(gone, (keyed["__key"] == gone["__dk"]) & keyed[id_col].eqNullSafe(gone["__id"]), "left_anti").drop("__key")
