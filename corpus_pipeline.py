@@ -6,7 +6,8 @@ return the columns of ``documents``.  ``run`` writes what each stage returns as
 Parquet to the shared folder and reads it as the next one's input.
 
 Nulls, empty texts, repeated rows and empty tables are handled as the operators
-say.  Repeated rows: exact dedup leaves one of them.
+say.  Repeated rows: exact dedup leaves one of them.  Ids may repeat: rows of one id are
+told apart by their texts.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohort_spark.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from cohort_spark.llm.common import read_table, written
-from cohort_spark.session import apply_sql_settings, ensure_checkpoint_dir
+from cohort_spark.session import apply_sql_settings, ensure_checkpoint_dir, ship_package
 
 
 def _ready(spark: SparkSession) -> None:
     apply_sql_settings(spark)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near duplicates", drop_near_copies),
           ("mixing", mix_sources), ("BPE", encode)]
 
-#: SQL cannot train the classifier or encode; tests/llm tests the operators, not the stages together.
+#: SQL cannot train the classifier or encode; tests/llm has a plain Python version of all stages.
 ORACLE_SQL = None
 
 
