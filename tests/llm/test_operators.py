@@ -136,6 +136,72 @@ def test_lines_within_one_edit(spark, empty):
     assert line_dedup.report(empty).count() == 0
 
 
+def _near_line(a, b):
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[k + (len(a) >= len(b)):] == b[k + (len(b) >= len(a)):]
+
+
+def _plain_lines(rows):
+    """{(id, text): numbers of the lines that go, equal ones and near ones}."""
+    lines = sorted({(i, common_key, n, line.strip(" \t\n\x0b\x0c\r")) for i, t, common_key in rows for n, line in enumerate((t or "").split("\n"))
+                    if WORD.search(line)})
+    firsts: list = []
+    seen: dict = {}
+    near: dict = {}
+    out: dict = {}
+    for place in lines:
+        line = place[3]
+        if line not in seen:
+            seen[line] = place
+            near[line] = any(_near_line(line, x) for x in firsts)
+            firsts.append(line)
+        kind = "equal" if seen[line] != place else "near" if near[line] else None
+        if kind:
+            out.setdefault(place[:2], {"equal": [], "near": []})[kind].append(place[2])
+    return out
+
+
+def test_lines_by_brute_force(spark):
+    """Long lines of all kinds of edit, ties, repeated rows and ids, nulls, clashing columns."""
+    rng = random.Random(12)
+    texts = [None, "", " \n\t"]
+    for size in (1, 2, 3, 15, 16, 17, 33, 40, 520, 700, 9000):
+        base = "".join(rng.choices("abé ", k=size)).strip() or "a"
+        lines = [base, "a" * size, "a" * (size + 1)]
+        for _ in range(4):
+            at = rng.randrange(len(base))
+            lines += [base[:at] + base[at + 1:], base[:at] + rng.choice("xé") + base[at:], base[:at] + "z" + base[at + 1:]]
+        lines.append(lines[-1][:1] + "qq" + lines[-1][1:])
+        rng.shuffle(lines)
+        texts += ["\n".join(lines[:5]), " \n" + "\n".join(lines[5:]) + "\r"]
+    rows = [(i, t, 1, "x", 2) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[8], (3, texts[9], 1, "x", 2), (None, texts[12], 1, "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __line_no int, kind string, part int").repartition(4)
+    keyed = {(r.doc_id, r.text): r.k for r in docs.withColumn("k", line_dedup._document_key("doc_id", "text")).collect()}
+    # Null ids come first in Spark's order.
+    plain = _plain_lines([(-1 if i is None else i, t, keyed[i, t]) for i, t, *_ in rows])
+    out = line_dedup.dedup_lines(docs).collect()
+    assert len(out) == len(rows) and any(v["near"] for v in plain.values())
+    for r in out:
+        text = {k: t for (i, t), k in keyed.items()}
+        mine = [(k, plain.get((-1 if r.doc_id is None else r.doc_id, k), {"equal": [], "near": []})) for (i, t), k in keyed.items() if i == r.doc_id]
+        kept = [(("\n".join(x for n, x in enumerate(text[k].split("\n")) if n not in g["equal"] + g["near"])) if text[k] is not None else None,
+                 g["equal"], g["near"]) for k, g in mine]
+        assert (r.text, r["__exact"], r["__near"]) in kept
+
+
+def test_long_lines_cost_no_square(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choices("abcdefgh ", k=160_000)).strip()
+    rows = [(1, long), (2, long[:70_000] + "Z" + long[70_001:]), (3, long[:90_000] + long[90_001:]), (4, "y" + long), (5, long[1:-1])]
+    got = {r.doc_id: r for r in line_dedup.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [(got[i].n_exact, got[i].n_near) for i in range(1, 6)] == [(0, 0), (0, 1), (0, 1), (0, 1), (0, 0)]
+
+
 def test_quality_figures(docs, empty):
     got = {r.doc_id: r for r in quality.decide(docs).collect()}
     for i, t in enumerate(_texts()):
