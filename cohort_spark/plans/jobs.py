@@ -314,3 +314,15 @@ def mask_dataset_profile(sample_ids: DataFrame, sizes: DataFrame, mask_px: DataF
     return s.join(ar, "image_id", "left").select(
         "image_id", "width", "height", F.coalesce("area", F.lit(0)).cast("bigint").alias("area_px"),
         (F.coalesce("area", F.lit(0)) / (F.col("width") * F.col("height")) * 100).alias("area_pct"))
+
+
+def mask_dataset_report(profile_rows: DataFrame) -> DataFrame:
+    """Describe of the sampled images' dimensions and lesion areas, one row a
+    measure, and a row ``empty_masks`` with their number."""
+    from ..operators import profile
+    measures = ["width", "height", "area_px", "area_pct"]
+    long = profile_rows.select(F.stack(F.lit(len(measures)), *[
+        x for c in measures for x in (F.lit(c), F.col(c).cast("double"))]).alias("measure", "value"))
+    d = profile.describe(long, "value", ["measure"])
+    empty = profile_rows.agg(F.lit("empty_masks").alias("measure"), F.count_if(F.col("area_px") == 0).alias("count"))
+    return d.unionByName(empty, allowMissingColumns=True)

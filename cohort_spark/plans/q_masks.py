@@ -185,3 +185,29 @@ def q_x7(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = sampling.sample_n(sizes.select("image_id"), 500,
                                sampling.draw(F.col("image_id").cast("bigint"), 42, "minstd"), "image_id")
     return mask_dataset_profile(sample, sizes, standins.mask_pixels(spark, sf_dir, "gt"))
+
+
+_AREAS_SQL = """
+s AS (SELECT image_id FROM sizes ORDER BY (((((CAST(image_id AS BIGINT) + 42) % 2147483647) * 48271)
+        % 2147483647) * 48271) % 2147483647, image_id LIMIT 500),
+a AS (SELECT CAST(vec_id AS VARCHAR) AS image_id, count(*) AS area FROM levels WHERE v > 165 GROUP BY vec_id),
+f AS (SELECT s.image_id, coalesce(a.area, 0) AS area FROM s LEFT JOIN a USING (image_id)),
+l AS (SELECT 'width' AS measure, 8.0 AS value FROM f UNION ALL SELECT 'height', 8.0 FROM f
+      UNION ALL SELECT 'area_px', area FROM f UNION ALL SELECT 'area_pct', area / 64 * 100 FROM f)"""
+
+
+@register("X7_report", f"""WITH {_AREAS_SQL}
+SELECT measure, count(*) AS count, avg(value) AS mean, stddev_samp(value) AS std, CAST(min(value) AS DOUBLE) AS min,
+       quantile_cont(CAST(value AS DOUBLE), 0.25) AS p25, quantile_cont(CAST(value AS DOUBLE), 0.5) AS p50,
+       quantile_cont(CAST(value AS DOUBLE), 0.75) AS p75, CAST(max(value) AS DOUBLE) AS max
+FROM l GROUP BY measure
+UNION ALL SELECT 'empty_masks', count(*) FILTER (WHERE area = 0), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f""", VM)
+def q_x7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask-dataset report: describe of dimensions and areas of a seeded sample, and its empty masks."""
+    from ..operators import sampling
+    from .jobs import mask_dataset_profile, mask_dataset_report
+    sizes = standins.image_sizes(spark, sf_dir)
+    sample = sampling.sample_n(sizes.select("image_id"), 500,
+                               sampling.draw(F.col("image_id").cast("bigint"), 42, "minstd"), "image_id")
+    soft = standins.images(spark, sf_dir).select("image_id", "x", "y", (F.col("blue") > _I5_LEVEL).cast("int").alias("value"))
+    return mask_dataset_report(mask_dataset_profile(sample, sizes, soft))
