@@ -132,6 +132,19 @@ def sorted_distinct(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col)
 
 
+#: Input bytes that one range of an ordering covers, and the size of an input that is not known.
+RANGE_BYTES, UNKNOWN_BYTES = 128 << 20, 1 << 50
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Ranges for an ordering of ``df``: as many as its input files call for, and no fewer
+    than ``spark.sql.shuffle.partitions`` (the adaptive planner does not split ranges)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    total = sum(s for s in sizes if s < UNKNOWN_BYTES)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+
+
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "id", start: int = 0,
                 partitions: int | None = None) -> DataFrame:
     """Consecutive ids in ``order`` (unique) without a single-partition window.
@@ -143,8 +156,7 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "id", start: in
     """
     from ..session import materialize
 
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_partitions(df)
     ranged = materialize(df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()))
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
@@ -173,8 +185,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], va
     from ..session import materialize
 
     keys = list(keys)
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_partitions(df)
     sort_cols = [F.col(k) for k in keys] + list(order)
     ranged = materialize(df.repartitionByRange(n, *sort_cols).withColumn("__pid", F.spark_partition_id()))
     totals = ranged.groupBy(*keys, "__pid").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])

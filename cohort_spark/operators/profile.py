@@ -251,10 +251,26 @@ def rowwise_argmax(df: DataFrame, cols: Sequence[str], out: str, strip_prefix: s
 
 # ------------------------------------------------------------- matrices ----
 
+#: Most columns of a matrix; more values are for the long form.
+MAX_HEADER = 5000
+
+
 def distinct_values(df: DataFrame, col: str) -> list:
     """Sorted distinct non-null values for a pivot header: one value for each column
-    of the caller's result."""
-    return sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().collect())
+    of the caller's result.  Over ``MAX_HEADER`` values are an error, as no plan holds so many
+    columns; ``count_long`` gives the same counts as rows."""
+    found = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(MAX_HEADER + 1).collect()]
+    if len(found) > MAX_HEADER:
+        raise ValueError(f"column {col} has over {MAX_HEADER} values; use count_long")
+    return sorted(found)
+
+
+def count_long(df: DataFrame, row: str, col: str) -> DataFrame:
+    """The counts of ``count_matrix`` and the shares of ``percent_matrix`` as rows (row, col,
+    count, pct), without a header and so for any number of values; zero cells are left out."""
+    counts = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row, col).agg(F.count(F.lit(1)).alias("count"))
+    total = counts.groupBy(row).agg(F.sum("count").alias("__total"))
+    return counts.join(total, row).select(row, col, "count", (F.col("count") / F.col("__total") * 100).alias("pct"))
 
 
 def share_within_group(df: DataFrame, group: str, value: str, out: str = "pct") -> DataFrame:

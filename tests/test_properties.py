@@ -205,6 +205,19 @@ def test_matrices_count_unlisted_values(spark):
     assert (rate["r"].Total, rate["r"].pct_positive, rate["s"].pct_positive) == (4, 50.0, 0.0)
     many = spark.range(1001).select(F.col("id").cast("string").alias("c"))
     assert len(profile.distinct_values(many, "c")) == 1001
+    with pytest.raises(ValueError, match="count_long"):
+        profile.distinct_values(spark.range(profile.MAX_HEADER + 1).withColumn("c", F.col("id")), "c")
+    long = {(x.r, x.c): (x["count"], x.pct) for x in profile.count_long(df, "r", "c").collect()}
+    assert long == {("r", "a"): (2, 50.0), ("r", "b"): (1, 25.0), ("r", "new"): (1, 25.0), ("s", "new"): (1, 100.0)}
+
+
+def test_ranges_follow_the_input(spark, monkeypatch):
+    df = spark.range(1000).withColumn("k", F.col("id") % 7)
+    base = match.range_partitions(df)
+    monkeypatch.setattr(match, "RANGE_BYTES", 100)
+    assert match.range_partitions(df) == max(base, -(-1000 * 8 // 100))
+    got = match.running_sums(df, ["k"], [F.col("id")], ["id"]).where("k = 3").orderBy("id").collect()
+    assert [r.cum_id for r in got] == np.cumsum(np.arange(3, 1000, 7)).tolist()
 
 
 def test_connected_groups_and_leak_free_split(spark):
