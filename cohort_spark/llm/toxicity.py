@@ -10,7 +10,8 @@ corrects the unlabelled part for the toxic text in it; where that part would tur
 negative (overfitting), the step goes the other way (Kiryo et al., 2017).
 
 The fit uses a bounded sample: ``POSITIVES`` toxic and ``UNLABELLED`` other
-training rows, chosen by a hash of the id.  The prior is the share of toxic labels
+training rows, chosen by a hash of the id whatever the length of the text, with up to
+``TEXT_CHARS`` characters of each.  Scores are of whole texts.  The prior is the share of toxic labels
 among the labelled training rows, over all of them.  Null text counts as empty; an empty
 text has no features and gets the score of the bias.  With no toxic example every
 score is 0.  An empty table gives no rows.
@@ -34,8 +35,8 @@ POSITIVES, UNLABELLED = 2000, 6000
 #: Hash space of the features, and features kept after screening.
 SPACE, FEATURES = 1 << 22, 4096
 THRESHOLD = 0.7
-#: Longest text, in bytes, that the sample takes.
-SAMPLE_BYTES = 40_000
+#: Characters of a sampled text that the fit sees.
+TEXT_CHARS = 40_000
 REMEMBERED = 500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features of their own.
@@ -86,21 +87,23 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     """nnPU on feature sets of documents, full batches, Adam, logistic loss."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model()
-    in_p = np.bincount(np.concatenate(positive), minlength=SPACE) / len(positive)
-    in_u = np.bincount(np.concatenate(unlabelled), minlength=SPACE) / len(unlabelled)
+    # Only features of toxic text can be kept, so the others are not counted.
+    names, seen = np.unique(np.concatenate(positive), return_counts=True)
+    flat = np.concatenate(unlabelled)
+    at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+    in_p = seen / len(positive)
+    in_u = np.bincount(at[names[at] == flat], minlength=len(names)) / len(unlabelled)
     # Screening: features more frequent in toxic text than chance explains.
     spread = np.sqrt((in_p + 1 / len(positive)) / len(positive) + (in_u + 1 / len(unlabelled)) / len(unlabelled))
     lift = (in_p - in_u) / spread
     lift[(in_p * len(positive) < 2.5) | (in_p < 2 * in_u)] = 0
-    kept = np.argsort(-lift, kind="stable")[:FEATURES]
-    kept = np.sort(kept[lift[kept] > 1.5])
+    best = np.argsort(-lift, kind="stable")[:FEATURES]
+    kept = names[np.sort(best[lift[best] > 1.5])]
     if not len(kept):
         return Model()
-    place = np.full(SPACE, -1, dtype=np.int64)
-    place[kept] = np.arange(len(kept))
 
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [c[c >= 0] for c in (place[r] for r in rows)]
+        cols = [np.searchsorted(kept, r[np.isin(r, kept)]) for r in rows]
         return np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols)
 
     (prow, pcol), (urow, ucol) = matrix(positive), matrix(unlabelled)
@@ -133,7 +136,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+          label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, text_chars: int = TEXT_CHARS) -> Model:
     """Fit on ``docs`` (training rows only) with ``labels`` (id, 0/1).  Labels with
     a null id or label are left out; of repeated labels of an id the largest holds."""
     spark = docs.sparkSession
@@ -144,8 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not counts["n"] or not counts["y"]:
         return Model()
     prior = min(max(counts["y"] / counts["n"], 1e-4), 0.9)
-    fits = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= SAMPLE_BYTES
-    rows = docs.where(fits).select(F.col(id_col).alias("__id"))
+    rows = docs.select(F.col(id_col).alias("__id"))
     draw = F.xxhash64(F.lit("draw"), "__id")
     # Two bounded lists of ids; their texts are then read by a broadcast join.
     p_ids = rows.join(known.where("__y = 1"), "__id", "left_semi").distinct().orderBy(draw, "__id").limit(positives)
@@ -164,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return work
 
-    sampled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where(
-        F.octet_length(F.coalesce("__t", F.lit(""))) <= SAMPLE_BYTES).join(F.broadcast(names), "__id")
+    sampled = docs.select(F.col(id_col).alias("__id"), F.substring(F.col(text_col), 1, text_chars).alias("__t")).join(
+        F.broadcast(names), "__id")
     found = map_texts(sampled, "__t", ["__id", "__p"], "f binary", start, [pa.binary()])
     held: dict[bool, list] = {True: [], False: []}
     for r in found.collect():
