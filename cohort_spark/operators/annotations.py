@@ -307,43 +307,50 @@ def iou_crop(boxes: DataFrame, seed: int = 42, options: Sequence[float] = IOU_OP
     more.  Images without a good window go to the next round; after ``rounds`` they
     are left as they are.  Boxes with their centre outside are dropped, the others shifted
     and clamped.  Extra columns stay; width and height become the window's.
-    """
-    from ..session import materialize
 
-    images = boxes.groupBy(key).agg(F.first("width").alias("width"), F.first("height").alias("height"))
+    The boxes of an image (bounded by it) stand in one row, where all rounds are drawn:
+    the plan does not grow with the rounds.
+    """
     k = F.col(key)
-    window = [F.col("left"), F.col("top"), F.col("right"), F.col("bottom")]
-    taken: DataFrame | None = None
-    for n in range(rounds):
+    corners = ["left", "top", "right", "bottom"]
+    images = boxes.groupBy(key).agg(F.first("width").alias("width"), F.first("height").alias("height"),
+                                    F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("boxes"))
+
+    def window(n: int) -> Column:
+        """The first good window of round n; one of nulls leaves the image as it is."""
         base = 1400 + 1000 * n
         option = F.element_at(F.array(*[F.lit(float(o)) for o in options]), (uniform(k, seed, base) * len(options)).cast("int") + 1)
-        drawn = images.withColumn("option", option)
-        tries = drawn.where("option < 1").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-
-        def draw(i: int, base: int = base) -> Column:
-            return F.pmod(F.xxhash64(k, F.lit(seed), F.lit(base + i), F.col("trial")), F.lit(1 << 30)) / float(1 << 30)
-
-        side = [F.lit(scale[0]) + (scale[1] - scale[0]) * draw(i) for i in (1, 2)]
-        tries = tries.withColumns({"w": (F.col("width") * side[0]).cast("int"), "h": (F.col("height") * side[1]).cast("int")})
-        tries = tries.where((F.col("h") > 0) & (F.col("w") > 0) & (F.col("w") / F.col("h")).between(*aspect))
-        tries = tries.withColumns({"left": ((F.col("width") - F.col("w")) * draw(3)).cast("int"),
-                                   "top": ((F.col("height") - F.col("h")) * draw(4)).cast("int")})
-        tries = tries.withColumns({"right": F.col("left") + F.col("w"), "bottom": F.col("top") + F.col("h")})
-        met = tries.select(key, "option", "trial", *window).join(boxes.select(key, "x1", "y1", "x2", "y2"), key).where(_centre_inside())
-        both = ((F.least("x2", "right") - F.greatest("x1", "left")) * (F.least("y2", "bottom") - F.greatest("y1", "top")))
-        area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))
-        good = met.where(both / (area - both) >= F.col("option"))
-        first = good.groupBy(key).agg(F.min_by(F.struct(*window), "trial").alias("window"))
-        left_alone = drawn.where("option >= 1").select(key, F.lit(None).cast("struct<left:int,top:int,right:int,bottom:int>").alias("window"))
-        done = materialize(first.unionByName(left_alone))
-        taken = done if taken is None else taken.unionByName(done)
-        images = images.join(done.select(key), key, "left_anti")
-        if n + 1 < rounds:
-            images = materialize(images)
-            if images.isEmpty():
-                break
+
+        def draw(i: int, trial: Column) -> Column:
+            return F.pmod(F.xxhash64(k, F.lit(seed), F.lit(base + i), trial), F.lit(1 << 30)) / float(1 << 30)
+
+        def sides(t: Column) -> Column:
+            w, h = (F.lit(scale[0]) + (scale[1] - scale[0]) * draw(i, t) for i in (1, 2))
+            return F.struct(t.alias("t"), (F.col("width") * w).cast("int").alias("w"), (F.col("height") * h).cast("int").alias("h"))
+
+        def place(s: Column) -> Column:
+            left, top = (((F.col(of) - s[c]) * draw(i, s["t"])).cast("int") for of, c, i in (("width", "w", 3), ("height", "h", 4)))
+            return F.struct(left.alias("left"), top.alias("top"), (left + s["w"]).alias("right"), (top + s["h"]).alias("bottom"))
+
+        def met(b: Column, r: Column) -> Column:
+            both = ((F.least(b["x2"], r["right"]) - F.greatest(b["x1"], r["left"]))
+                    * (F.least(b["y2"], r["bottom"]) - F.greatest(b["y1"], r["top"])))
+            area = (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) + (r["right"] - r["left"]) * (r["bottom"] - r["top"])
+            return F.coalesce(F.when(_centre_inside(b, r), both / (area - both) >= option), F.lit(False))
+
+        def first_good(low: int, high: int) -> Column:
+            drawn = F.filter(F.transform(F.sequence(F.lit(low), F.lit(high - 1)), sides),
+                             lambda s: (s["h"] > 0) & (s["w"] > 0) & (s["w"] / s["h"]).between(*aspect))
+            return F.get(F.filter(F.transform(drawn, place), lambda r: F.exists("boxes", lambda b: met(b, r))), F.lit(0))
+
+        none = F.struct(*[F.lit(None).cast("int").alias(c) for c in corners])
+        cuts = [0, *[c for c in (4, 12) if c < trials], trials]  # most images need few trials
+        return F.when(option >= 1, none).otherwise(F.coalesce(*[first_good(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]))
+
+    # A later round is drawn only where those before found nothing: coalesce stops there.
+    taken = images.select(key, F.coalesce(*[window(n) for n in range(rounds)]).alias("window"))
     j = boxes.join(taken, key, "left").select("*", *[F.col(f"window.{c}").alias(c) for c in ("left", "top", "right", "bottom")])
-    cropped = F.col("window").isNotNull()
+    cropped = F.col("left").isNotNull()
     j = j.where(~cropped | _centre_inside())
     w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
     moved = {c: F.when(cropped, clamp(F.col(c) - F.col(at), F.lit(0.0), size)).otherwise(F.col(c))
@@ -352,9 +359,12 @@ def iou_crop(boxes: DataFrame, seed: int = 42, options: Sequence[float] = IOU_OP
                           "height": F.when(cropped, h).otherwise(F.col("height"))}).select(*boxes.columns)
 
 
-def _centre_inside() -> Column:
-    cx, cy = (F.col("x1") + F.col("x2")) * 0.5, (F.col("y1") + F.col("y2")) * 0.5
-    return (F.col("left") < cx) & (cx < F.col("right")) & (F.col("top") < cy) & (cy < F.col("bottom"))
+def _centre_inside(box: Column | None = None, window: Column | None = None) -> Column:
+    """A box's centre lies strictly inside the window: structs, or columns of the row."""
+    x1, y1, x2, y2 = (F.col(c) if box is None else box[c] for c in ("x1", "y1", "x2", "y2"))
+    left, top, right, bottom = (F.col(c) if window is None else window[c] for c in ("left", "top", "right", "bottom"))
+    cx, cy = (x1 + x2) * 0.5, (y1 + y2) * 0.5
+    return (left < cx) & (cx < right) & (top < cy) & (cy < bottom)
 
 
 # ---------------------------------------------------------------- B19 ----

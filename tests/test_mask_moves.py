@@ -200,6 +200,20 @@ def test_iou_crop(spark):
     assert A.iou_crop(df.limit(0)).count() == 0
 
 
+def test_iou_crop_is_one_plan(spark, monkeypatch):
+    """No job runs and no table is kept while the rounds are planned; boxes without an image stay as they are."""
+    def refused(df):
+        raise AssertionError("a round was written")
+
+    monkeypatch.setattr("cohort_spark.session.materialize", refused)
+    schema = "image_id string, obj_id int, x1 double, y1 double, x2 double, y2 double, width int, height int"
+    rows = [(f"i{i}", 1, 10.0, 10.0, 60.0, 50.0, 100, 80) for i in range(30)]
+    lost = [(None, 1, 1.0, 1.0, 2.0, 2.0, 100, 80), ("x", 2, None, 1.0, 2.0, 2.0, 100, 80)]
+    out = A.iou_crop(spark.createDataFrame(rows + lost, schema), options=[0.3]).collect()
+    assert lost[0] in [tuple(r) for r in out] and {r.image_id for r in out} >= {r[0] for r in rows}
+    assert sum(r.width < 100 or r.height < 80 for r in out) == 30
+
+
 def test_copy_paste(spark):
     rng = np.random.default_rng(3)
     shapes, objects, images = {}, [], []
