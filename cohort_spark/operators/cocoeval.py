@@ -17,25 +17,27 @@ outside the range.  The similarity is
 Spark layout: similar pairs come from equi-joins on (image, category); only pairs of at
 least the lowest threshold are kept.  They are gathered per (image, category) — bounded by
 the detection limit and the objects of one image — and matched in a vectorised pandas
-UDF, the one sequential step, for all ranges and thresholds at once.  Accumulation over
-images is distributed: running TP/FP sums use range partitions with offsets
-(``match.running_sums``), so a category holding most detections is still spread over all
-tasks; the precision envelope and the 101-point interpolation are aggregates over at most
+UDF, rank by rank for all groups of a batch, ranges and thresholds at once.  Accumulation over
+images is distributed: detections with their codes are sorted once by range over
+(category, score), so a category holding most detections is still spread over all
+tasks, and running TP/FP sums start at the sums of the parts before; the precision envelope and the 101-point interpolation are aggregates over at most
 101 recall buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import masks
-from .match import running_sums
+from .match import range_partitions
 
 # Fixed evaluation parameters of the COCO protocol.
 IOU_THRS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
@@ -48,6 +50,7 @@ KEYPOINT_MAX_DETS = [20]
 SIGMAS = [0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089]
 EPS = float(np.spacing(1))
 FALSE, TRUE, IGNORED = 0, 1, 2
+STEP = 20000  # pairs decided at once
 _GROUP = ["image_id", "category_id"]
 
 
@@ -153,49 +156,68 @@ def keypoint_similarity(top: DataFrame, targets: DataFrame, sigmas: Sequence[flo
 
 # ------------------------------------------------------------------- matching ----
 
-def _codes(d_area: np.ndarray, g_ignored: np.ndarray, g_crowd: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]],
-           ranges: np.ndarray) -> np.ndarray:
-    """Codes (detection, area range, threshold).  ``g_ignored`` is (range, target);
-    ``pairs`` holds for each detection its candidate targets and similarities.
+def _joined(lists: Sequence, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of many lists (or nulls) end to end, and the length of each."""
+    sizes = np.array([0 if x is None else len(x) for x in lists], dtype=np.int64)
+    full = [np.asarray(x, dtype=kind) for x in lists if x is not None and len(x)]
+    return np.concatenate(full) if full else np.zeros(0, dtype=kind), sizes
 
-    All ranges and thresholds are decided at once for a detection; the order of
-    preference is (target that counts, similarity, later target).
+
+def _codes(d_area: np.ndarray, d_rank: np.ndarray, g_ignored: np.ndarray, g_crowd: np.ndarray, of: np.ndarray, target: np.ndarray,
+           similar: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    """Codes (detection, area range, threshold) of the detections of many groups.
+    ``g_ignored`` is (target, range); pairs (``of`` a detection, ``target``) are sorted.
+
+    Groups share no target, so the detections of one rank are decided at once, for all ranges
+    and thresholds; the order of preference is (target that counts, similarity, later target).
     """
     limits = np.minimum(np.array(IOU_THRS), 1 - 1e-10)
-    free = np.ones((len(ranges), len(limits), len(g_crowd)), dtype=bool)
+    free = np.ones((len(g_crowd), len(ranges), len(limits)), dtype=bool)
     out = np.full((len(d_area), len(ranges), len(limits)), FALSE, dtype=np.int32)
     beyond = (d_area[:, None] < ranges[:, 0]) | (d_area[:, None] > ranges[:, 1])
-    rows, columns = np.indices(out.shape[1:])
-    for d, (mine, similar) in enumerate(pairs):
-        out[d][beyond[d]] = IGNORED
-        if not len(mine):
-            continue
-        ignored = g_ignored[:, mine]
-        allowed = (similar >= limits[:, None])[None] & (free[:, :, mine] | g_crowd[mine])
-        value = np.where(allowed, (similar + 2 * ~ignored)[:, None, :], -1)
-        last = value.shape[2] - 1 - value[:, :, ::-1].argmax(axis=2)
-        hit = np.take_along_axis(value, last[:, :, None], 2)[:, :, 0] >= 0
-        out[d][hit] = np.where(np.take_along_axis(ignored, last, 1), IGNORED, TRUE)[hit]
-        free[rows[hit], columns[hit], mine[last[hit]]] = False
+    out[beyond] = IGNORED
+    turn = np.argsort(d_rank[of], kind="stable")
+    for pairs in np.split(turn, np.flatnonzero(np.diff(d_rank[of][turn])) + 1) if len(turn) else []:
+        # A rank has at most one detection of a group; a detection's pairs stay together.
+        heads = np.flatnonzero(np.diff(of[pairs], prepend=-1))
+        high = 0
+        while high < len(heads):
+            low, high = high, max(high + 1, int(np.searchsorted(heads, heads[high] + STEP)))
+            end = heads[high] if high < len(heads) else len(pairs)
+            mine, first = pairs[heads[low]:end], heads[low:high] - heads[low]
+            g, d, value = target[mine], of[mine[first]], similar[mine]
+            ignored = g_ignored[g][:, :, None]
+            allowed = (value[:, None] >= limits)[:, None, :] & (free[g] | g_crowd[g][:, None, None])
+            value = np.where(allowed, value[:, None, None] + 2 * ~ignored, -1)
+            best = np.maximum.reduceat(value, first)
+            held = np.repeat(best, np.diff(first, append=len(mine)), axis=0)
+            last = np.maximum.reduceat(np.where(value == held, np.arange(len(mine))[:, None, None], -1), first)
+            hit = best >= 0
+            at = np.nonzero(hit)
+            won = g[last[at]]
+            out[d[at[0]], at[1], at[2]] = np.where(g_ignored[won, at[1]], IGNORED, TRUE)
+            free[won, at[1], at[2]] = False
     return out
 
 
 def _matcher(names: Sequence[str]):
     ranges = np.array([AREAS[n] for n in names])
 
-    def run(d_areas: pd.Series, ignores: pd.Series, crowds: pd.Series, g_areas: pd.Series,
+    def run(d_areas: pd.Series, d_ranks: pd.Series, ignores: pd.Series, crowds: pd.Series, g_areas: pd.Series,
             pair_ranks: pd.Series, pair_targets: pd.Series, pair_values: pd.Series) -> pd.Series:
-        out = []
-        for da, ig, crowd, ga, pr, pg, pv in zip(d_areas, ignores, crowds, g_areas, pair_ranks, pair_targets, pair_values, strict=True):
-            da, ga = np.asarray(da, dtype=float), np.asarray([] if ga is None else ga, dtype=float)
-            crowd = np.asarray([] if crowd is None else crowd, dtype=bool)
-            ig = np.asarray([] if ig is None else ig, dtype=bool) | (ga < ranges[:, :1]) | (ga > ranges[:, 1:])
-            rank, target, value = (np.asarray([] if x is None else x) for x in (pr, pg, pv))
-            order = np.lexsort((target, rank)) if len(rank) else np.zeros(0, dtype=np.int64)
-            cuts = np.searchsorted(rank[order], np.arange(1, len(da) + 2)) if len(rank) else np.zeros(len(da) + 1, dtype=np.int64)
-            pairs = [(target[order[a:b]].astype(np.int64) - 1, value[order[a:b]].astype(float)) for a, b in zip(cuts, cuts[1:], strict=False)]
-            out.append([c.reshape(-1) for c in _codes(da, ig, crowd, pairs, ranges)])
-        return pd.Series(out)
+        da, nd = _joined(d_areas, float)
+        rank = _joined(d_ranks, np.int64)[0]
+        ga, ng = _joined(g_areas, float)
+        crowd, ignore = _joined(crowds, bool)[0], _joined(ignores, bool)[0]
+        ignored = ignore[:, None] | (ga[:, None] < ranges[:, 0]) | (ga[:, None] > ranges[:, 1])
+        pr, np_ = _joined(pair_ranks, np.int64)
+        pg, pv = _joined(pair_targets, np.int64)[0], _joined(pair_values, float)[0]
+        # Ranks and target numbers count from 1 in a group.
+        of = pr - 1 + np.repeat(np.cumsum(nd) - nd, np_)
+        target = pg - 1 + np.repeat(np.cumsum(ng) - ng, np_)
+        order = np.lexsort((target, of))
+        codes = _codes(da, rank, ignored, crowd, of[order], target[order], pv[order], ranges).reshape(len(da), -1)
+        return pd.Series([list(c) for c in np.split(codes, np.cumsum(nd)[:-1])])
 
     return F.pandas_udf(run, "array<array<int>>")
 
@@ -215,7 +237,7 @@ def match(top: DataFrame, targets: DataFrame, similar: DataFrame, areas: Sequenc
                                            (F.col("iscrowd") == 1).alias("crowd"), F.col("area").cast("double").alias("area")))
     p = similar.where(F.col("iou") >= IOU_THRS[0]).groupBy(*_GROUP).agg(*each("p", F.col("rank"), F.col("g"), F.col("iou")))
     j = d.join(g, _GROUP, "left").join(p, _GROUP, "left")
-    codes = _matcher(areas)(*[F.col(c) for c in ("d.area", "t.ignored", "t.crowd", "t.area", "p.rank", "p.g", "p.iou")])
+    codes = _matcher(areas)(*[F.col(c) for c in ("d.area", "d.rank", "t.ignored", "t.crowd", "t.area", "p.rank", "p.g", "p.iou")])
     z = j.select(*_GROUP, "d", codes.alias("codes")).select(*_GROUP, F.explode(F.arrays_zip("d", "codes")).alias("z"))
     return z.select(*_GROUP, "z.d.det_id", "z.d.score", "z.d.rank", "z.codes")
 
@@ -232,32 +254,111 @@ def targets_per_range(gts: DataFrame, areas: Sequence[str] = AREA_NAMES) -> Data
     return rows.groupBy("category_id", F.col("r.a").alias("a")).agg(F.count_if(ok).alias("npig"))
 
 
+def _flags(codes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """True and false positives (detection, column) of codes."""
+    c = np.stack(codes.to_numpy()) if len(codes) else np.zeros((0, 1), dtype=np.int32)
+    return c == TRUE, c == FALSE
+
+
+def _part_totals():
+    """Per (part, category) of sorted rows: sums of TP and FP in each column of codes."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if not len(rows):
+                continue
+            tp, fp = _flags(rows["codes"])
+            both = np.concatenate((tp, fp), axis=1)
+            category = rows["category_id"].to_numpy()
+            first = np.concatenate(([0], np.flatnonzero(category[1:] != category[:-1]) + 1))
+            sums = np.add.reduceat(both, first, axis=0, dtype=np.int64)
+            yield pd.DataFrame({"__pid": rows["__pid"].to_numpy()[first], "category_id": category[first],
+                                "first": rows["__at"].to_numpy()[first], "sums": list(sums)})
+
+    return run
+
+
+def _part_buckets(n_thr: int, max_dets: Sequence[int]):
+    """Highest precision and found targets in each (category, range, threshold, recall bucket) of sorted rows.
+    The first row of a (part, category) carries the sums before it and the targets of each range."""
+    thr = np.array(REC_THRS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        category, before, goal = None, None, None
+        for rows in batches:
+            if not len(rows):
+                continue
+            tp, fp = _flags(rows["codes"])
+            of, rank, starts = rows["category_id"].to_numpy(), rows["rank"].to_numpy(), rows["before"]
+            for low, high in pairwise([0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)]):
+                if category is None or of[low] != category:
+                    category, before = of[low], np.asarray(starts.iloc[low], dtype=np.int64)
+                    goal = np.repeat(np.asarray(rows["goal"].iloc[low], dtype=np.float64), n_thr)
+                t, f, r = tp[low:high], fp[low:high], rank[low:high]
+                width = t.shape[1]
+                cum_tp, cum_fp = np.cumsum(t, axis=0) + before[:width], np.cumsum(f, axis=0) + before[width:]
+                before = np.concatenate((cum_tp[-1], cum_fp[-1]))
+                row, column = np.nonzero((t | f) & (goal > 0))
+                if not len(row):
+                    continue
+                true = cum_tp[row, column].astype(np.float64)
+                recall, precision = true / goal[column], true / (true + cum_fp[row, column] + EPS)
+                k = np.searchsorted(thr, recall, side="right") - 1
+                cell = column * (len(thr) + 1) + k + 1
+                order = np.argsort(cell, kind="stable")
+                head = np.concatenate(([0], np.flatnonzero(np.diff(cell[order])) + 1))
+                hit = t[row, column][order]
+                found = {f"tp{m}": np.add.reduceat(hit & (r[row][order] <= m), head, dtype=np.int64) for m in max_dets}
+                c = column[order][head]
+                yield pd.DataFrame({"category_id": np.repeat(of[low:low + 1], len(head)), "a": (c // n_thr).astype(np.int32), "t": (c % n_thr).astype(np.int32),
+                                    "kb": k[order][head].astype(np.int32), "bm": np.maximum.reduceat(precision[order], head), **found})
+
+    return run
+
+
+def recall_buckets(matched: DataFrame, npig: DataFrame, form: Report) -> DataFrame:
+    """(category_id, a, t, kb, bm, tp<m>…): the highest precision in each recall bucket
+    (kb: the last recall threshold reached) and its true positives among the first m of an image.
+
+    All ranges and thresholds share one order of the detections, so each is sorted once
+    with its codes, by range over (category, score): a category with most detections is spread
+    over all tasks.  Sums of each (part, category) become the sums before it; running sums
+    and the buckets of a batch are array sums in the tasks.
+    """
+    width, n_thr = len(form.areas) * len(IOU_THRS), len(IOU_THRS)
+    order = ["category_id", F.desc("score"), "image_id", "rank"]
+    rows = matched.select("category_id", "score", "image_id", "rank", F.col("codes").cast("array<tinyint>").alias("codes")).join(
+        npig.select("category_id").distinct(), "category_id", "left_semi")
+    ranged = materialize(rows.repartitionByRange(range_partitions(rows), *order).sortWithinPartitions(*order)
+                         .withColumns({"__pid": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    kind = ranged.schema["category_id"].dataType.simpleString()
+    sums = ranged.select("__pid", "category_id", "__at", "codes").mapInPandas(
+        _part_totals(), f"__pid int, category_id {kind}, first long, sums array<long>")
+    each = [F.min("first").alias("first"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(2 * width)]]
+    totals = sums.groupBy("__pid", "category_id").agg(*each)
+    w = Window.partitionBy("category_id").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__pid", "category_id", "first", F.array(*[F.coalesce(F.sum(f"s{i}").over(w), F.lit(0)) for i in range(2 * width)]).alias("before"))
+    goals = npig.groupBy("category_id").agg(*[F.sum(F.when(F.col("a") == a, F.col("npig")).otherwise(0)).alias(f"n{a}") for a in range(len(form.areas))])
+    before = before.join(goals, "category_id").select(
+        "__pid", "category_id", "first", "before", F.array(*[f"n{a}" for a in range(len(form.areas))]).alias("goal"))
+    # One row for each (part, category), and parts hold whole stretches of categories: a bounded table.
+    known = ranged.join(F.broadcast(before), ["__pid", "category_id"]).select(
+        "category_id", "rank", "codes", *[F.when(F.col("__at") == F.col("first"), F.col(c)).alias(c) for c in ("before", "goal")])
+    fields = ", ".join(f"tp{m} long" for m in form.max_dets)
+    parts = known.mapInPandas(_part_buckets(n_thr, form.max_dets), f"category_id {kind}, a int, t int, kb int, bm double, {fields}")
+    return parts.groupBy("category_id", "a", "t", "kb").agg(F.max("bm").alias("bm"), *[F.sum(f"tp{m}").alias(f"tp{m}") for m in form.max_dets])
+
+
 def summarise(matched: DataFrame, gts: DataFrame, form: Report) -> DataFrame:
     """The summary numbers ``(metric, value)`` of matched detections."""
-    t_of = len(IOU_THRS)
-    recs = matched.select("image_id", "category_id", "score", "rank", F.posexplode("codes").alias("pos", "code")).where(
-        F.col("code") != IGNORED).select(
-        "category_id", (F.col("pos") / t_of).cast("int").alias("a"), (F.col("pos") % t_of).alias("t"), "score", "image_id", "rank",
-        (F.col("code") == TRUE).cast("long").alias("tp"), (F.col("code") == FALSE).cast("long").alias("fp"))
     keys = ["category_id", "a", "t"]
-    cum = running_sums(recs, keys, [F.desc("score"), F.col("image_id"), F.col("rank")], ["tp", "fp"])
-    npig = targets_per_range(gts, form.areas).where(F.col("npig") > 0)
-    c = cum.join(npig, ["category_id", "a"])
-    rc = F.col("cum_tp") / F.col("npig")
-    pr = F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp") + F.lit(EPS))
-    thr = F.array(*[F.lit(x) for x in REC_THRS])
-    k0 = F.least(F.floor(rc * 100).cast("int"), F.lit(100))
-    kb = (F.when((k0 < 100) & (F.element_at(thr, k0 + 2) <= rc), k0 + 1)
-          .when(F.element_at(thr, k0 + 1) > rc, k0 - 1).otherwise(k0))
-    # Recall needs no order: the true ones among the first m of each image.
-    buckets = c.select(*keys, kb.alias("kb"), pr.alias("pr"), "rank", "tp").groupBy(*keys, "kb").agg(
-        F.max("pr").alias("bm"), *[F.sum(F.when(F.col("rank") <= m, F.col("tp")).otherwise(0)).alias(f"tp{m}") for m in form.max_dets])
+    npig = materialize(targets_per_range(gts, form.areas).where(F.col("npig") > 0))
+    buckets = recall_buckets(matched, npig, form)
     # precision at recall threshold k = max precision over buckets ≥ k (≤ 101 rows per key)
     q = buckets.where(F.col("kb") >= 0).select(*keys, "bm", F.explode(F.sequence(F.lit(0), F.col("kb"))).alias("k"))
     ap = q.groupBy(*keys, "k").agg(F.max("bm").alias("q")).groupBy(*keys).agg((F.sum("q") / len(REC_THRS)).alias("ap"))
     found = buckets.groupBy(*keys).agg(*[F.sum(f"tp{m}").alias(f"tp{m}") for m in form.max_dets])
     # every (category with targets, a, t) counts, with AP and recall 0 when it has no detection
-    grid = npig.select("category_id", "a", "npig", F.explode(F.sequence(F.lit(0), F.lit(t_of - 1))).alias("t"))
+    grid = npig.select("category_id", "a", "npig", F.explode(F.sequence(F.lit(0), F.lit(len(IOU_THRS) - 1))).alias("t"))
     full = grid.join(ap, keys, "left").join(found, keys, "left").select(
         "a", "t", F.coalesce("ap", F.lit(0.0)).alias("ap"),
         *[F.coalesce(F.col(f"tp{m}") / F.col("npig"), F.lit(0.0)).alias(f"recall{m}") for m in form.max_dets])

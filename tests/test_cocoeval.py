@@ -220,3 +220,27 @@ def test_keypoint_summary_matches_reference(spark):
     assert got == pytest.approx(want, abs=1e-9) and 0 < want[0] < 1
     with pytest.raises(ValueError):
         C.evaluate(d, g, "panoptic")
+
+
+def test_accumulation_keeps_one_row_a_detection(spark, fixture, monkeypatch):
+    """Codes of all ranges and thresholds travel in one row; many parts of one category give the same numbers."""
+    dets, gts = fixture
+    sizes = []
+    real = C.materialize
+
+    def counted(df):
+        made = real(df)
+        sizes.append(made.count())
+        return made
+
+    monkeypatch.setattr(C, "materialize", counted)
+    d = spark.createDataFrame([(i, c, k, s, *b) for i, c, k, s, b, _ in dets],
+                              "image_id long, category_id int, det_id long, score double, x double, y double, w double, h double")
+    g = spark.createDataFrame([(i, c, *b, int(cr), a) for i, c, b, cr, a, _ in gts],
+                              "image_id long, category_id int, x double, y double, w double, h double, iscrowd int, area double")
+    want = {r.metric: r.value for r in C.evaluate(d, g).collect()}
+    assert max(sizes) <= len(dets)
+    monkeypatch.setattr(C, "range_partitions", lambda df: 40)
+    monkeypatch.setattr(C, "STEP", 1)
+    got = {r.metric: r.value for r in C.evaluate(d, g).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
