@@ -84,16 +84,17 @@ def with_fallback_dims(masks: DataFrame, images: DataFrame, key: str = "id") ->
         "height", F.coalesce("__ih", "height")).drop("__k", "__iw", "__ih")
 
 
-def first_by_order(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
+def first_by_order(df: DataFrame, keys: Sequence[str], order: Column | str, columns: Sequence[str] | None = None) -> DataFrame:
     """Keep the first row per key in ``order`` (``drop_duplicates`` keep first,
-    ``np.unique(return_index=True)``).
+    ``np.unique(return_index=True)``).  With ``columns`` only these are
+    kept beside the keys: the aggregate sorts all that it carries.
 
     ``min_by`` over a struct of the row is a partial aggregate, so a key that
     holds a large share of the rows is reduced before the shuffle instead of
     being sorted in one task.
     """
     o = F.col(order) if isinstance(order, str) else order
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in (df.columns if columns is None else columns) if c not in keys]
     g = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), o).alias("__row"))
     return g.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..operators import figures, match, profile
+from ..session import materialize
 from ..sources import standins
 from .catalog import register
 from .jobs import clean_clinical
@@ -37,9 +38,11 @@ def clin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_clinical(standins.clinical(spark, sf_dir))
 
 
-def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per patient, the first in file order."""
-    return match.first_by_order(clin(spark, sf_dir), ["Patient_ID"], "file_order")
+def patients(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """One row per patient, the first in file order, with ``columns`` alone: what the
+    aggregate does not carry is neither sorted nor spilled."""
+    rows = clin(spark, sf_dir).select("Patient_ID", *columns, F.col("file_order").alias("__order"))
+    return match.first_by_order(rows, ["Patient_ID"], "__order", columns)
 
 
 _PATIENTS_SQL = f"""
@@ -110,14 +113,14 @@ def q_p16(spark: SparkSession, sf_dir: str) -> DataFrame:
           V)
 def q_j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First row per patient in file order (``drop_duplicates`` keep first)."""
-    return patients(spark, sf_dir).select("Patient_ID", "Age", "Sex", "Skin_Phototype", "Family_History_Melanoma")
+    return patients(spark, sf_dir, "Age", "Sex", "Skin_Phototype", "Family_History_Melanoma")
 
 
 @register("G2", f"WITH {_PATIENTS_SQL} SELECT Skin_Phototype, count(*) AS count FROM patients "
           "WHERE Skin_Phototype IS NOT NULL GROUP BY Skin_Phototype", V)
 def q_g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phototype counts per patient, ordered by value."""
-    return profile.value_counts(patients(spark, sf_dir), "Skin_Phototype", by="value")
+    return profile.value_counts(patients(spark, sf_dir, "Skin_Phototype"), "Skin_Phototype", by="value")
 
 
 @register("G10", f"""WITH {_PATIENTS_SQL}
@@ -127,13 +130,13 @@ SELECT count(Age) AS count, {sround('avg(Age)', 1)} AS mean, {sround('stddev_sam
   {sround('max(Age)', 1)} AS max FROM patients""", V)
 def q_g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age describe per patient (pandas flavour), rounded to 1."""
-    return profile.describe(patients(spark, sf_dir), "Age", [], "pandas", digits=1)
+    return profile.describe(materialize(patients(spark, sf_dir, "Age")), "Age", [], "pandas", digits=1)
 
 
 @register("N8", f"WITH {_PATIENTS_SQL} SELECT Family_History_Melanoma, count(*) AS count FROM patients GROUP BY 1", V)
 def q_n8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family history value counts keeping NULL as a category."""
-    return profile.value_counts(patients(spark, sf_dir), "Family_History_Melanoma", dropna=False)
+    return profile.value_counts(patients(spark, sf_dir, "Family_History_Melanoma"), "Family_History_Melanoma", dropna=False)
 
 
 @register("G17", """
@@ -390,7 +393,7 @@ SELECT b.bin, mn + b.bin * ((mx - mn) / 15) AS lo,
 FROM b CROSS JOIN r LEFT JOIN c ON b.bin = c.bin""", V)
 def q_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age histogram of patients, 15 equal-width bins over the data range."""
-    return figures.histogram(patients(spark, sf_dir), "Age", 15)
+    return figures.histogram(materialize(patients(spark, sf_dir, "Age")), "Age", 15)
 
 
 @register("H3", f"""

@@ -285,3 +285,16 @@ def test_smoothing_over_bucket_borders(spark, monkeypatch):
             assert (r.value, r.max, r.median) == (value, max(last), sorted(last)[(len(last) - 1) // 2])
             assert r.avg == pytest.approx(np.mean(last))
             assert r.global_avg == pytest.approx(sum(v * n for *_, v, n in mine[:k + 1]) / sum(n for *_, n in mine[:k + 1]))
+
+
+def test_patients_carry_wanted_columns_only(spark, tmp_path):
+    """The first row of a patient is found on the wanted columns; others are not even read."""
+    from cohort_spark.plans import q_clinical
+
+    rows = [(o, o, 7, n, "N", "F", 5.0, 100.0 + n, 0.05, "1996-03-0%d" % n) for o in (9, 4) for n in (2, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, "
+                          "l_quantity double, l_extendedprice double, l_discount double, l_shipdate string") \
+        .withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    first = q_clinical.patients(spark, str(tmp_path), "Age", "Sex")
+    assert [tuple(r) for r in first.collect()] == [("7", 24.0, "F")]
+    assert "l_shipdate" not in first._jdf.queryExecution().executedPlan().toString()
