@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cohort_spark.operators import radiomics as R
@@ -98,3 +99,46 @@ def test_shape_square():
     # edge cells carry length 1, corner cells √2/2; interior cells 1 area, edges 1/2, corners 1/8
     assert math.isclose(perim, 4 * (k - 1) + 4 * math.sqrt(2) / 2)
     assert math.isclose(area, (k - 1) ** 2 + 4 * (k - 1) * 0.5 + 4 * 0.125)
+
+
+def _zones(x, y, g):
+    """Size-zone counts of one ROI by flood fill."""
+    level, out = dict(zip(zip(x, y), g)), {}
+    while level:
+        at, v = level.popitem()
+        todo, size = [at], 1
+        while todo:
+            a, b = todo.pop()
+            for near in [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                if level.get(near) == v:
+                    del level[near]
+                    todo.append(near)
+                    size += 1
+        out[v, size] = out.get((v, size), 0) + 1
+    return out
+
+
+def test_rois_of_a_batch_are_counted_together(monkeypatch):
+    """Zones and counts of many ROIs in few array passes, whatever number of grids is held at once."""
+    rng = np.random.default_rng(5)
+    rois = []
+    for _ in range(60):
+        y, x = np.nonzero(rng.random(rng.integers(1, 9, 2)) < 0.8)
+        if len(x):
+            rois.append((x + rng.integers(0, 9), y, rng.integers(1, 4, len(x))))
+    xs, ys, gs = (pd.Series([r[k] for r in rois]) for k in range(3))
+    passes = []
+    real = R._zone_tables
+    monkeypatch.setattr(R, "_zone_tables", lambda *a: passes.append(1) or real(*a))
+    for cells, most in ((1 << 21, 1), (200, len(rois))):
+        monkeypatch.setattr(R, "GRID_CELLS", cells)
+        passes.clear()
+        got = R._zones_series(xs, ys, gs)
+        assert 1 <= len(passes) <= most
+        for k, (x, y, g) in enumerate(rois):
+            mine = {(i, j): n for i, j, n in zip(got["i"][k], got["j"][k], got["P"][k], strict=True)}
+            assert mine == _zones(x.tolist(), y.tolist(), g.tolist())
+    tables = R._count_tables(*(np.concatenate([r[k] for r in rois]) for k in (0, 1, 2, 2)), np.array([len(r[0]) for r in rois]), {"gldm"}, 0)
+    assert [t[0] for t in tables] == ["lvl", "gldm"]
+    for t in tables:
+        assert np.bincount(t[2], weights=t[5]).tolist() == [len(r[0]) for r in rois]
