@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import masks
@@ -93,6 +95,67 @@ def compressed(segmentations: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- polygons ----
 
+def _polygon_spans(rows: pa.Array) -> pa.Array:
+    """Lists of (height, width, polygons), one of each object → lists of its merged runs."""
+    objects, rows_of = len(rows), pc.list_parent_indices(rows).to_numpy()
+    items = pc.list_flatten(rows)
+    height, width = (pc.struct_field(items, c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("height", "width"))
+    polygons = pc.struct_field(items, "polygons")
+    row = pc.list_parent_indices(polygons).to_numpy()
+    rings = pc.list_flatten(polygons)
+    ring = np.arange(len(rings)) - np.searchsorted(row, row)
+    xy = pc.list_flatten(rings).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    counts = np.bincount(pc.list_parent_indices(rings).to_numpy(), minlength=len(rings))
+    first_xy, n = np.cumsum(counts) - counts, np.where(counts // 2 > 2, counts // 2, 0)
+    r = np.repeat(np.arange(len(rings)), n)
+    i = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+    at, to = first_xy[r] + 2 * i, first_xy[r] + 2 * ((i + 1) % n[r])
+    x1, y1, x2, y2 = xy[at], xy[at + 1], xy[to], xy[to + 1]
+    # Bounds pass over what is null, as least and greatest do; null crossings come first.
+    first = np.fmax(np.ceil(np.fmin(x1, x2) - 0.5), 0)
+    last = np.fmin(np.ceil(np.fmax(x1, x2) - 0.5), width[row[r]]) - 1
+    e = np.flatnonzero(first <= last)
+    many = (last[e] - first[e]).astype(np.int64) + 1
+    column = np.repeat(first[e].astype(np.int64), many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    e = np.repeat(e, many)
+    y = y1[e] + (column + 0.5 - x1[e]) * (y2[e] - y1[e]) / (x2[e] - x1[e])
+    of, k = rows_of[row[r[e]]], ring[r[e]]
+    order = np.lexsort((np.where(np.isnan(y), -np.inf, y), column, k, of))
+    y, column, of, k, item = y[order], column[order], of[order], k[order], row[r[e]][order]
+    same = np.zeros(len(y) + 1, dtype=bool)
+    same[1:-1] = (column[1:] == column[:-1]) & (k[1:] == k[:-1]) & (of[1:] == of[:-1])
+    place = np.arange(len(y))
+    opens = (place - np.maximum.accumulate(np.where(same[:-1], 0, place))) % 2 == 0
+    end = np.where(same[1:], np.append(y[1:], np.nan), np.nan)
+    top, bottom = np.fmax(np.ceil(y - 0.5), 0), np.fmin(np.ceil(end - 0.5), height[item])
+    s = np.flatnonzero(opens & (top < bottom))
+    start, of, item = column[s] * height[item[s]].astype(np.int64) + top[s].astype(np.int64), of[s], item[s]
+    end = start + (bottom[s] - top[s]).astype(np.int64)
+    # What overlaps or touches within an object is one run.
+    order = np.lexsort((end, start, of))
+    start, end, of, item = start[order], end[order], of[order], item[order]
+    apart = of * (end.max(initial=0) + 2)
+    reach = np.maximum.accumulate(end + apart)
+    new = np.flatnonzero(np.append(True, (start + apart)[1:] > reach[:-1])[:len(start)])
+    end = np.maximum.reduceat(end, new) if len(new) else end
+    runs = pa.StructArray.from_arrays(
+        [pa.array(start[new]), pa.array(end - start[new]), *[pa.array(v[item[new]].astype(np.int64)) for v in (height, width)]],
+        names=["start", "len", "height", "width"])
+    offsets = np.append(0, np.cumsum(np.bincount(of[new], minlength=objects)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)
+
+
+#: Objects whose outlines are crossed with their columns in one go.
+OBJECTS = 500
+
+
+def _spans(polygons: Column) -> Column:
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_polygon_spans(rows.slice(i, OBJECTS)) for i in range(0, max(len(rows), 1), OBJECTS)])
+
+    return F.arrow_udf(run, "array<struct<start:bigint,len:bigint,height:bigint,width:bigint>>")(polygons)
+
+
 def polygon_runs(objects: DataFrame, sizes: DataFrame) -> DataFrame:
     """(image_id, obj_id, polygons: arrays of x, y, x, y, …) → runs.
 
@@ -100,30 +163,14 @@ def polygon_runs(objects: DataFrame, sizes: DataFrame) -> DataFrame:
     polygons are united).  Each edge meets the columns whose centre line it crosses; in
     a column the crossings of a polygon, by rank, open and close runs in turn.  So work
     follows the outline, not the area, and an outline is bounded by its image's width.
+    Outlines are shuffled, not their crossings: those of many objects are ranked
+    together where the objects lie, and only runs leave.
     """
-    rings = objects.join(sizes, "image_id").select(
-        "image_id", "obj_id", "height", "width", F.posexplode("polygons").alias("ring", "p"))
-    n = (F.size("p") / 2).cast("int")
-    at = F.when(n > 2, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def corner(i: Column, axis: int) -> Column:
-        return F.element_at("p", (i % n) * 2 + 1 + axis)
-
-    edges = rings.select("image_id", "obj_id", "height", "width", "ring", F.inline(F.transform(at, lambda i: F.struct(
-        corner(i, 0).alias("x1"), corner(i, 1).alias("y1"), corner(i + 1, 0).alias("x2"), corner(i + 1, 1).alias("y2")))))
-    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
-    first = F.greatest(F.ceil(low - 0.5), F.lit(0)).cast("long")
-    last = F.least(F.ceil(high - 0.5), F.col("width")).cast("long") - 1
-    crossed = edges.where(first <= last).select(
-        "image_id", "obj_id", "height", "width", "ring", "x1", "y1", "x2", "y2", F.explode(F.sequence(first, last)).alias("column"))
-    y = F.col("y1") + (F.col("column") + 0.5 - F.col("x1")) * (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
-    w = Window.partitionBy("image_id", "obj_id", "ring", "column").orderBy("y")
-    pairs = crossed.withColumn("y", y).withColumns({"rank": F.row_number().over(w), "end": F.lead("y").over(w)}).where("rank % 2 = 1")
-    top = F.greatest(F.ceil(F.col("y") - 0.5), F.lit(0)).cast("long")
-    bottom = F.least(F.ceil(F.col("end") - 0.5), F.col("height")).cast("long")
-    spans = pairs.where(top < bottom).select(
-        "image_id", "obj_id", (F.col("column") * F.col("height") + top).alias("start"), (bottom - top).alias("len"), "height", "width")
-    return merged(spans)
+    size = [F.col(c).cast(sizes.schema[c].dataType) for c in ("height", "width")]
+    outlines = objects.join(sizes, "image_id").groupBy("image_id", "obj_id").agg(
+        F.collect_list(F.struct("height", "width", "polygons")).alias("rows"))
+    runs = outlines.select("image_id", "obj_id", F.inline(_spans(F.col("rows"))))
+    return runs.select("image_id", "obj_id", "start", "len", *size)
 
 
 def merged(runs: DataFrame) -> DataFrame:

@@ -268,3 +268,35 @@ def test_copy_paste(spark):
         assert (r.area, r.category_id, r.iscrowd, r.pasted) == (mask.sum(), category, crowd, pasted)
         if mask.any():
             assert (moved[r.image_id, r.obj_id] == mask).all()
+
+
+def test_polygons_shuffle_outlines_not_crossings(spark):
+    rows = [("a", 1, [[0.0, 0.0, 9.0, 4.0, 0.0, 8.0, 4.5, 4.0], [6.0, 1.0, 9.5, 1.0, 9.5, 7.0, 6.0, 7.0]]), ("a", 2, [[1.0, 1.0, 3.0, 1.0]]),
+            ("b", 1, [[-4.0, -3.0, 40.0, -3.0, 40.0, 50.0, -4.0, 50.0]]), ("b", 2, None), ("c", None, [[2.0, 2.0, 6.0, 2.0, 6.0, 6.0]]),
+            # Rows of the same object cross each other: what two of them cover is outside.
+            ("d", 1, [[0.0, 0.0, 4.0, 0.0, 4.0, 4.0, 0.0, 4.0]]), ("d", 1, [[2.0, 0.0, 6.0, 0.0, 6.0, 4.0, 2.0, 4.0]])]
+    objects = spark.createDataFrame(rows, "image_id string, obj_id int, polygons array<array<double>>")
+    sizes = spark.createDataFrame([(i, 12, 16) for i in "abcd"], "image_id string, height int, width int")
+    x, y = np.meshgrid(np.arange(16) + 0.5, np.arange(12) + 0.5)
+    want = {}
+    for k in {r[:2] for r in rows}:
+        lists = [r[2] or [] for r in rows if r[:2] == k]
+        mask = np.zeros((12, 16), dtype=bool)
+        for n in range(max(len(p) for p in lists)):
+            inside = np.zeros((12, 16), dtype=int)
+            for p in (p[n] for p in lists if len(p) > n and len(p[n]) > 4):
+                q = list(zip(p[::2], p[1::2], strict=True))
+                for (x1, y1), (x2, y2) in zip(q, q[1:] + q[:1], strict=True):
+                    if x1 != x2:
+                        inside += (min(x1, x2) <= x) & (x < max(x1, x2)) & (y1 + (x - x1) * (y2 - y1) / (x2 - x1) <= y)
+            mask |= inside % 2 == 1
+        if mask.any():
+            want[k] = mask
+    runs = C.polygon_runs(objects, sizes)
+    assert runs.dtypes == [("image_id", "string"), ("obj_id", "int"), ("start", "bigint"), ("len", "bigint"), ("height", "int"), ("width", "int")]
+    got = shapes_of(runs)
+    assert set(got) == set(want)
+    assert all((got[k] == want[k]).all() for k in want)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert plan.index("Exchange") > plan.index("Generate inline")
