@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import masks
@@ -61,26 +61,33 @@ def confusion(target_runs: DataFrame, pred_runs: DataFrame, sizes: DataFrame,
     if scores is not None:
         best = best_per_image(scores, "image_id", "obj_id", "score")
         pred_runs = pred_runs.join(best.select("image_id", "obj_id"), ["image_id", "obj_id"], "left_semi")
-    t = masks.union_runs(target_runs)
-    p = masks.union_runs(pred_runs)
-
-    def area(runs: DataFrame, name: str) -> DataFrame:
-        size = F.struct("height", "width")
-        return runs.groupBy("image_id").agg(
-            F.sum("len").alias(f"area_{name}"), F.min(size).alias(f"low_{name}"), F.max(size).alias(f"high_{name}"))
-
-    at, ap = area(t, "t"), area(p, "p")
-    tp = masks.overlap(t, p)
-    j = (sizes.join(at, "image_id", "inner")
-         .join(ap, "image_id", "left")
-         .join(tp, "image_id", "left"))
-    size = F.struct("height", "width")
+
+    # Ends of runs in their order: between two ends the running counts tell which masks cover
+    # the pixels, so unions, areas and overlap take one sort.  Only ends go on, in stages of their own.
+    def ends(runs: DataFrame, t: int, p: int) -> DataFrame:
+        return runs.select("image_id", "height", "width", F.lit(t == 1).alias("target"), F.inline(F.array(
+            F.struct(F.col("start").alias("at"), F.lit(t).alias("t"), F.lit(p).alias("p")),
+            F.struct((F.col("start") + F.col("len")).alias("at"), F.lit(-t).alias("t"), F.lit(-p).alias("p")))))
+
+    both = ends(target_runs, 1, 0).unionByName(ends(pred_runs, 0, 1)).where(F.col("image_id").isNotNull()).repartition("image_id")
+    w = Window.partitionBy("image_id").orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = both.withColumns({"t": F.sum("t").over(upto), "p": F.sum("p").over(upto), "n": F.lead("at").over(w) - F.col("at")})
+
+    def pixels(covered: Column) -> Column:
+        return F.coalesce(F.sum(F.when(covered, F.col("n"))), F.lit(0))
+
+    in_t, in_p = F.col("t") > 0, F.col("p") > 0
+    sums = pieces.groupBy("image_id").agg(
+        pixels(in_t).alias("area_t"), pixels(in_p).alias("area_p"), pixels(in_t & in_p).alias("intersection"),
+        F.bool_or("target").alias("has_target"), *[f(c).alias(f"{n}_{c}") for c in ("height", "width") for n, f in (("low", F.min), ("high", F.max))])
+    j = sizes.join(sums.where("has_target"), "image_id")
     unequal = F.lit(False)
-    for name in ("t", "p"):
-        unequal |= F.coalesce((F.col(f"low_{name}") != size) | (F.col(f"high_{name}") != size), F.lit(False))
+    for c in ("height", "width"):
+        unequal |= F.coalesce((F.col(f"low_{c}") != F.col(c)) | (F.col(f"high_{c}") != F.col(c)), F.lit(False))
     TP = F.when(unequal, F.raise_error(F.concat(F.lit("masks of image "), F.col("image_id").cast("string"), F.lit(
-        " do not have its size; resize them first")))).otherwise(F.coalesce("intersection", F.lit(0)))
-    FP = F.coalesce("area_p", F.lit(0)) - TP
+        " do not have its size; resize them first")))).otherwise(F.col("intersection"))
+    FP = F.col("area_p") - TP
     FN = F.col("area_t") - TP
     TN = F.col("height") * F.col("width") - TP - FP - FN
     return j.select("image_id", TP.cast("double").alias("TP"), FP.cast("double").alias("FP"),

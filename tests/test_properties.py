@@ -298,3 +298,27 @@ def test_patients_carry_wanted_columns_only(spark, tmp_path):
     first = q_clinical.patients(spark, str(tmp_path), "Age", "Sex")
     assert [tuple(r) for r in first.collect()] == [("7", 24.0, "F")]
     assert "l_shipdate" not in first._jdf.queryExecution().executedPlan().toString()
+
+
+def test_confusion_takes_one_sort_of_run_ends(spark):
+    from cohort_spark.operators import evaluate
+    rng = np.random.default_rng(8)
+    sizes = [(f"i{n}", 6, 5) for n in range(12)]
+    t, p, want = [], [], {}
+    for n, (k, h, w) in enumerate(sizes):
+        masks_of = np.zeros((2, h * w), dtype=bool)
+        for which, rows in ((0, t), (1, p)):
+            if (n + which) % 6:  # some images have no target or no prediction
+                for obj in range(3):
+                    start = int(rng.integers(0, h * w - 1))
+                    rows.append((k, obj, start, n_len := int(rng.integers(1, h * w - start + 1)), h, w))
+                    masks_of[which, start:start + n_len] = True
+        a, b = masks_of
+        if a.any():
+            want[k] = tuple(float(x.sum()) for x in (a & b, b & ~a, a & ~b, ~a & ~b))
+    schema = "image_id string, obj_id int, start long, len long, height int, width int"
+    sized = spark.createDataFrame(sizes, "image_id string, height int, width int")
+    conf = evaluate.confusion(spark.createDataFrame(t, schema), spark.createDataFrame(p, schema), sized)
+    assert {r.image_id: (r.TP, r.FP, r.FN, r.TN) for r in conf.collect()} == want and len(want) == 10
+    plan = conf._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and plan.count("Join") == 1
