@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import match, sampling
 from ..operators.sampling import MINSTD_A, MINSTD_P
-from ..session import materialize
+from ..session import stored
 from ..sources import standins
 from .catalog import register
 from .q_cohort import _BASE_SQL, cohort
@@ -96,8 +96,8 @@ def q_w13_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS n_images, CAST(0 AS BIGINT) AS shared_ids, true AS train_holds_most FROM final""", ("meta", "meta_t"))
 def q_w13_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split by connected groups of lesions and patients: no id is shared, train is the largest part."""
-    df = cohort(spark, sf_dir).select("isic_id", "lesion_id", "patient_id")
-    split = materialize(sampling.leak_free_split(df, "isic_id", ["lesion_id", "patient_id"]))
+    df = stored(cohort(spark, sf_dir).select("isic_id", "lesion_id", "patient_id"), "cohort")
+    split = stored(sampling.leak_free_split(df, "isic_id", ["lesion_id", "patient_id"]), "split")
     shared = sampling.shared_ids(split, ["lesion_id", "patient_id"]).agg(F.count(F.lit(1))).scalar()
     most = split.groupBy("split").count().orderBy(F.desc("count"), F.desc("split")).limit(1).select("split").scalar()
     return split.agg(F.count(F.lit(1)).alias("n_images")).select("n_images", shared.alias("shared_ids"), (most == "train").alias("train_holds_most"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -121,3 +122,15 @@ def materialize(df):
         return df.checkpoint(eager=True)
     finally:
         df.unpersist()
+
+
+def stored(df, name: str):
+    """The rows of ``df``, written once as Parquet under the shared checkpoint folder.
+
+    Unlike ``materialize`` the files are columns, cheap to write and read, their size is
+    known to the planner and small shuffles are merged before the write; the
+    physical partitioning is not kept.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -253,6 +253,33 @@ def test_connected_groups_and_leak_free_split(spark):
     assert connected(df.limit(0), "id", ["lesion"]).count() == 0
 
 
+def test_connected_groups_keep_fewer_rows_each_round(spark, monkeypatch):
+    from cohort_spark.operators import groups
+    kept = []
+
+    def recorder(keep):
+        def run(df, *name):
+            out = keep(df, *name)
+            kept.append(out.count())
+            return out
+        return run
+
+    for name in ("materialize", "stored"):
+        if hasattr(groups, name):
+            monkeypatch.setattr(groups, name, recorder(getattr(groups, name)))
+    df = spark.createDataFrame([(n, n // 2, (n + 1) // 2) for n in range(600)], "id long, lesion long, patient long").repartition(4)
+    assert {r.group for r in groups.connected(df, "id", ["lesion", "patient"]).collect()} == {0}
+    assert sum(kept) <= 7 * 1200
+
+
+def test_connected_groups_of_repeated_and_null_ids(spark):
+    from cohort_spark.operators.groups import connected
+    df = spark.createDataFrame([(1, "a", None), (1, None, 7), (2, "a", None), (3, None, 7), (4, "b", 8), (4, "b", 8), (5, None, None), (None, "a", 8),
+                                (6, "7", None)], "id long, lesion string, patient long")
+    got = sorted((r.id, r.group) for r in connected(df, "id", ["lesion", "patient"]).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6)]
+
+
 def test_early_stopping_with_and_without_delta(spark):
     rng = np.random.default_rng(1)
     rows = [(run, e, float(v)) for run in ("a", "b") for e, v in enumerate(rng.integers(0, 30, 60) / 10 + 3 / (1 + np.arange(60)))]
