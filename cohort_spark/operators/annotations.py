@@ -385,28 +385,35 @@ def copy_paste(images: DataFrame, objects: DataFrame, runs: DataFrame, batch_siz
     Returns (objects with ``area`` and ``pasted``, runs); a pasted object's id is the old one
     after the image's largest.
     """
-    from ..session import materialize
+    from ..session import stored
 
     k = F.col("image_id")
     order = dense_index(images.select("image_id", "height", "width", F.xxhash64(k, F.lit(seed)).alias("__draw")),
                         ["__draw", "image_id"], "__place")
-    placed = materialize(order.select("image_id", "height", "width", F.floor(F.col("__place") / batch_size).alias("batch"),
-                                      (F.col("__place") % batch_size).alias("at")))
+    placed = stored(order.select("image_id", "height", "width", F.floor(F.col("__place") / batch_size).alias("batch"),
+                                 (F.col("__place") % batch_size).alias("at")), "placed")
     size = placed.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
     before = placed.join(size, "batch").select(
         "image_id", "height", "width", "batch", F.pmod(F.col("at") - 1, F.col("n")).alias("at"))
     pairs = before.join(placed.select("batch", "at", F.col("image_id").alias("source"), F.col("height").alias("sh"), F.col("width").alias("sw")),
                         ["batch", "at"]).select("image_id", "height", "width", "source", "sh", "sw")
-    # The draws of a source: its objects by rank, n draws of a rank.
-    ranked = objects.withColumn("r", F.row_number().over(Window.partitionBy("image_id").orderBy("obj_id")))
+    # The draws of a source: its objects (bounded by the image) in order, n draws of a rank.
+    objects = stored(objects, "objects")
     count = objects.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.max("obj_id").alias("most"))
-    drawn = count.select("image_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("draw"), "n").select(
-        "image_id", ((F.pmod(F.xxhash64(k, F.lit(seed), F.lit(190), F.col("draw")), F.lit(1 << 30)) / float(1 << 30)) * F.col("n"))
-        .cast("long").alias("r0")).select("image_id", (F.col("r0") + 1).cast("int").alias("r")).distinct()
-    chosen = ranked.join(drawn, ["image_id", "r"], "left_semi").drop("r").withColumnRenamed("image_id", "source")
+    rest = [c for c in objects.columns if c not in ("image_id", "obj_id")]
+    lists = objects.where(F.col("image_id").isNotNull()).groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.struct("obj_id", *rest))).alias("o"))
+
+    def rank(draw: Column) -> Column:
+        u = F.pmod(F.xxhash64(k, F.lit(seed), F.lit(190), draw), F.lit(1 << 30)) / float(1 << 30)
+        return (u * F.size("o").cast("long")).cast("long")
+
+    ranks = F.array_distinct(F.transform(F.sequence(F.lit(1).cast("long"), F.size("o").cast("long")), rank))
+    picked = lists.select(k.alias("source"), "o", F.explode(ranks).alias("r")).select("source", F.get("o", F.col("r").cast("int")).alias("o"))
+    chosen = stored(picked.select("source", "o.*"), "chosen")
     sx, sy = F.col("width") / F.col("sw"), F.col("height") / F.col("sh")
     offset = count.select("image_id", (F.col("most") + 1).alias("shift"))
-    to = materialize(pairs.join(offset, "image_id", "left").fillna(0, ["shift"]))
+    to = stored(pairs.join(offset, "image_id", "left").fillna(0, ["shift"]), "pairs")
     pasted = chosen.join(to, "source").select(
         "image_id", (F.col("obj_id") + F.col("shift")).alias("obj_id"), "category_id", (F.col("x1") * sx).alias("x1"), (F.col("y1") * sy).alias("y1"),
         (F.col("x2") * sx).alias("x2"), (F.col("y2") * sy).alias("y2"), "iscrowd", F.lit(True).alias("pasted"))
@@ -415,9 +422,9 @@ def copy_paste(images: DataFrame, objects: DataFrame, runs: DataFrame, batch_siz
     stretched = G.stretch(source_runs.join(to, "source").select(
         "image_id", (F.col("obj_id") + F.col("shift")).alias("obj_id"), "start", "len", F.col("sh").alias("height"), F.col("sw").alias("width"),
         F.col("height").alias("__h"), F.col("width").alias("__w")), F.col("__h"), F.col("__w"))
-    paste_runs = materialize(stretched)
+    paste_runs = stored(stretched, "pasted")
     cover = masks.union_runs(paste_runs)
-    own = materialize(G.subtract(runs, cover))
+    own = stored(G.subtract(runs, cover), "left")
     touched = to.join(count.select(F.col("image_id").alias("source")), "source").select("image_id").distinct()
     box = masks.boxes(own).select("image_id", "obj_id", *[F.col(a).cast("double").alias(b) for a, b in (
         ("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2"))])

@@ -67,15 +67,17 @@ def stretch(runs: DataFrame, height: Column, width: Column) -> DataFrame:
 def subtract(runs: DataFrame, cover: DataFrame) -> DataFrame:
     """The runs less what ``cover`` (one mask an image, merged) hides.
 
-    Spans meet the cover's spans of their own column; what is left of a span lies between
-    the covers that touch it, in order.
+    The cover's spans of a column stand in one row, in order (bounded by the image's height), and a span
+    meets that row alone: what is left of it lies between the covers that touch it.  No span of
+    ``runs`` is gathered.
     """
     own = spans(runs)
-    other = spans(cover).select("image_id", "column", F.col("top").alias("t"), F.col("bottom").alias("b"))
-    near = own.join(other, (own["image_id"] == other["image_id"]) & (own["column"] == other["column"]) & (other["t"] < own["bottom"])
-                    & (other["b"] > own["top"]), "left").select(own["*"], "t", "b")
-    held = near.groupBy(*own.columns).agg(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "b")))).alias("c"))
+    other = spans(cover).groupBy("image_id", "column").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("top").alias("t"), F.col("bottom").alias("b")))).alias("c"))
+    none = F.array().cast(other.schema["c"].dataType)
+    near = own.join(other, ["image_id", "column"], "left").withColumn("c", F.filter(
+        F.coalesce("c", none), lambda x: (x["t"] < F.col("bottom")) & (x["b"] > F.col("top"))))
     begins = F.concat(F.array("top"), F.transform("c", lambda x: x["b"]))
     ends = F.concat(F.transform("c", lambda x: x["t"]), F.array("bottom"))
-    pieces = held.select(*_KEYS, "height", "width", "column", F.inline(F.arrays_zip(begins.alias("begin"), ends.alias("end"))))
+    pieces = near.select(*_KEYS, "height", "width", "column", F.inline(F.arrays_zip(begins.alias("begin"), ends.alias("end"))))
     return to_runs(pieces.select(*_KEYS, "height", "width", "column", F.col("begin").alias("top"), F.col("end").alias("bottom")))

@@ -300,3 +300,32 @@ def test_polygons_shuffle_outlines_not_crossings(spark):
     plan = runs._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert plan.index("Exchange") > plan.index("Generate inline")
+
+
+def test_copy_paste_checkpoints_no_runs(spark, monkeypatch):
+    """Only the order of the images goes through a checkpoint of rows; runs are kept as columns."""
+    from cohort_spark import session
+    kept, materialize = [], session.materialize
+
+    def record(df):
+        out = materialize(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(session, "materialize", record)
+    runs = spark.createDataFrame([(i, k, 10 * c, 4, 10, 30) for i in ("a", "b") for k in (1, 2) for c in range(30)], RUNS)
+    images = runs.select("image_id", "height", "width").distinct()
+    objects = runs.groupBy("image_id", "obj_id").agg(*[F.lit(v).alias(c) for c, v in (
+        ("category_id", 1), ("x1", 0.0), ("y1", 0.0), ("x2", 29.0), ("y2", 3.0), ("iscrowd", 0))])
+    rows, moved = A.copy_paste(images, objects, runs)
+    assert rows.where("pasted").count() > 0 and moved.count() > 0
+    assert max(kept) <= 2
+
+
+def test_subtract_of_repeated_runs(spark):
+    """Runs and covers that come twice hide and leave what they do once."""
+    runs = spark.createDataFrame([("a", 1, 0, 20, 10, 4), ("a", 2, 32, 3, 10, 4), ("b", 1, 5, 30, 10, 4)], RUNS)
+    cover = spark.createDataFrame([("a", 1, 2, 3, 10, 4), ("a", 1, 8, 4, 10, 4), ("a", 1, 31, 9, 10, 4)], RUNS)
+    want = [("a", 1, 0, 2), ("a", 1, 5, 3), ("a", 1, 12, 8), ("b", 1, 5, 30)]
+    for a, b in ((runs, cover), (runs.union(runs), cover), (runs, cover.union(cover)), (runs.union(runs), cover.union(cover))):
+        assert sorted((r.image_id, r.obj_id, r.start, r.len) for r in G.subtract(a, b).collect()) == want
