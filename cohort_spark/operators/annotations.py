@@ -369,6 +369,17 @@ def _centre_inside(box: Column | None = None, window: Column | None = None) -> C
 
 # ---------------------------------------------------------------- B19 ----
 
+#: Runs that one partition of images is to hold.
+RUNS_A_PART = 1 << 19
+
+
+def _by_image(df: DataFrame, runs: int) -> DataFrame:
+    """``df`` dealt by image into as many partitions as this number of runs calls for: the
+    adaptive planner merges the default partitions but does not split them for a window."""
+    n = -(-runs // RUNS_A_PART)
+    return df.repartition(n, "image_id") if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def copy_paste(images: DataFrame, objects: DataFrame, runs: DataFrame, batch_size: int = 8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Paste objects of the batch's neighbour over each image's own.
 
@@ -419,12 +430,13 @@ def copy_paste(images: DataFrame, objects: DataFrame, runs: DataFrame, batch_siz
         (F.col("x2") * sx).alias("x2"), (F.col("y2") * sy).alias("y2"), "iscrowd", F.lit(True).alias("pasted"))
     source_runs = runs.join(chosen.select(F.col("source").alias("image_id"), "obj_id"), ["image_id", "obj_id"], "left_semi").withColumnRenamed(
         "image_id", "source").drop("height", "width")
-    stretched = G.stretch(source_runs.join(to, "source").select(
+    n_runs = runs.count()
+    stretched = G.stretch(_by_image(source_runs.join(to, "source").select(
         "image_id", (F.col("obj_id") + F.col("shift")).alias("obj_id"), "start", "len", F.col("sh").alias("height"), F.col("sw").alias("width"),
-        F.col("height").alias("__h"), F.col("width").alias("__w")), F.col("__h"), F.col("__w"))
+        F.col("height").alias("__h"), F.col("width").alias("__w")), n_runs), F.col("__h"), F.col("__w"))
     paste_runs = stored(stretched, "pasted")
-    cover = masks.union_runs(paste_runs)
-    own = stored(G.subtract(runs, cover), "left")
+    cover = masks.union_runs(_by_image(paste_runs, n_runs))
+    own = stored(G.subtract(_by_image(runs, n_runs), cover), "left")
     touched = to.join(count.select(F.col("image_id").alias("source")), "source").select("image_id").distinct()
     box = masks.boxes(own).select("image_id", "obj_id", *[F.col(a).cast("double").alias(b) for a, b in (
         ("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2"))])

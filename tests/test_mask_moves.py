@@ -329,3 +329,26 @@ def test_subtract_of_repeated_runs(spark):
     want = [("a", 1, 0, 2), ("a", 1, 5, 3), ("a", 1, 12, 8), ("b", 1, 5, 30)]
     for a, b in ((runs, cover), (runs.union(runs), cover), (runs, cover.union(cover)), (runs.union(runs), cover.union(cover))):
         assert sorted((r.image_id, r.obj_id, r.start, r.len) for r in G.subtract(a, b).collect()) == want
+
+
+def test_copy_paste_partitions_grow_with_the_runs(spark, monkeypatch):
+    """The largest partition of a step holds a share of the runs, however few partitions are the default."""
+    from cohort_spark import session
+    rows = [(f"i{i:02d}", k, 10 * c + i % 7, 4 - k, 10, 30) for i in range(40) for k in (1, 2) for c in range(30)]
+    runs = spark.createDataFrame(rows, RUNS)
+    images = runs.select("image_id", "height", "width").distinct()
+    objects = runs.groupBy("image_id", "obj_id").agg(*[F.lit(v).alias(c) for c, v in (
+        ("category_id", 1), ("x1", 0.0), ("y1", 0.0), ("x2", 29.0), ("y2", 3.0), ("iscrowd", 0))])
+    want = sorted(tuple(r) for r in A.copy_paste(images, objects, runs)[0].collect())
+    files, stored = {}, session.stored
+
+    def record(df, name):
+        out = stored(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(session, "stored", record)
+    monkeypatch.setattr(A, "RUNS_A_PART", 60)
+    assert sorted(tuple(r) for r in A.copy_paste(images, objects, runs)[0].collect()) == want
+    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert files["pasted"] > default and files["left"] > default
