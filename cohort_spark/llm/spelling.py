@@ -18,7 +18,9 @@ occur at least ``MIN_COUNT`` times.
 4. Only the positives are shuffled: an equality join with the vocabulary on the hash,
    and an edit distance of exactly one, remove the false ones.
 
-A word's near words are at most its possible edits, so no key of a word is hot.
+A word's near words are at most its possible edits, so no key of a word is hot.  Only
+what is read more than once is written (vocabulary, pairs, forms, each round of roots):
+on a local file system each file costs its executor a few processes.
 
 Null and empty texts have no words.  A null id counts as empty in the checksum.  Rows
 repeated whole count each time.  Ties for the form go to the smaller word in code-point
@@ -233,20 +235,26 @@ def edits(words: list[str], alphabet: np.ndarray) -> Iterator[tuple[int, np.ndar
             yield n, first + row, _final(changed, n)
 
 
+def keyed(words: DataFrame) -> DataFrame:
+    """(word, n, key): the words with their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(word_keys(batch.column(0).to_pylist()).astype(np.int64))], names=["word", "n", "key"])
+
+    return words.mapInArrow(run, "word string, n bigint, key bigint")
+
+
 def near_words(words: DataFrame, filters: Filters) -> DataFrame:
     """(word, n, near, near_n) for each word and each word one edit away, from the
-    written vocabulary."""
+    written vocabulary with its keys."""
     spark = words.sparkSession
     shared = spark.sparkContext.broadcast(filters)
     # At most the code points of the pattern.
     used = sorted(ord(r[0]) for r in words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct().collect())
     alphabet = np.array(used, dtype=np.uint64)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(word_keys(batch.column(0).to_pylist()).astype(np.int64))], names=["word", "n", "key"])
-
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = shared.value
         for batch in batches:
@@ -259,20 +267,20 @@ def near_words(words: DataFrame, filters: Filters) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(mine[places[word[hit]]]), pa.array(keys[hit].astype(np.int64))], names=["key", "near_key"])
 
-    keys = written(words.mapInArrow(keyed, "word string, n bigint, key bigint"), "word-keys")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-keys.count() // TASK_WORDS))
-    found = written(keys.select("word", "key").repartition(tasks, "key").mapInArrow(probe, "key bigint, near_key bigint"), "positives")
-    other = keys.select(F.col("key").alias("near_key"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = written(found.join(other, "near_key").join(keys, "key").where(F.levenshtein("word", "near", 1) == 1)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-words.count() // TASK_WORDS))
+    found = words.select("word", "key").repartition(tasks, "key").mapInArrow(probe, "key bigint, near_key bigint")
+    other = words.select(F.col("key").alias("near_key"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    pairs = written(found.join(other, "near_key").join(words, "key").where(F.levenshtein("word", "near", 1) == 1)
                     .select("word", "n", "near", "near_n"), "near-words")
     return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"),
                                           F.col("word").alias("near"), F.col("n").alias("near_n")))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
-    """(word, root) of the words with a form: pointers double until none moves.  A
-    form occurs ``RATIO`` times as often as its word, so chains are short and end."""
-    roots, moving = written(forms.select("word", F.col("form").alias("root")), "roots"), True
+    """(word, root) of the words with a form, from a written table: pointers double
+    until none moves.  A form occurs ``RATIO`` times as often as its word, so chains
+    are short and end."""
+    roots, moving = forms.select("word", F.col("form").alias("root")), True
     while moving:
         jump = roots.select(F.col("word").alias("root"), F.col("root").alias("__next"))
         roots = written(roots.join(jump, "root", "left").select(
@@ -288,7 +296,7 @@ def _largest() -> Column:
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """word, form, root, n, n_near, form_n of every vocabulary word."""
-    words = written(vocabulary(docs, id_col, text_col), "words")
+    words = written(keyed(vocabulary(docs, id_col, text_col)), "words")
     near = near_words(words, build_filters(words))
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), _largest().alias("best"))
     is_form = -F.col("best.minus") >= RATIO * F.col("n")

@@ -97,6 +97,16 @@ def test_counts_are_flushed(spark, monkeypatch):
     assert {tuple(r) for r in spelling.vocabulary(_frame(spark, texts)).collect()} == want
 
 
+def test_only_tables_read_again_are_written(spark, monkeypatch):
+    # On a local file system each file costs its executor a few processes.
+    names, write = [], spelling.written
+    monkeypatch.setattr(spelling, "written", lambda df, name: names.append(name) or write(df, name))
+    texts = _word_texts()
+    rows = spelling.variants(_frame(spark, texts)).collect()
+    assert {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows} == _plain_variants(texts)
+    assert names[:3] == ["words", "near-words", "forms"] and set(names[3:]) == {"roots"}
+
+
 def test_filters_have_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 2**64, 5000, dtype=np.uint64)
