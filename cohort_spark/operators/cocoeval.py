@@ -14,11 +14,12 @@ outside the range.  The similarity is
 * ``keypoints``: object keypoint similarity, by the target's labelled points; a target
   without any is compared by its box, doubled on each side.
 
-Spark layout: similar pairs come from equi-joins on (image, category); only pairs of at
-least the lowest threshold are kept.  They are gathered per (image, category) — bounded by
-the detection limit and the objects of one image — and matched in a vectorised pandas
-UDF, rank by rank for all groups of a batch, ranges and thresholds at once.  Accumulation over
-images is distributed: detections with their codes are sorted once by range over
+Spark layout: detections and targets are shuffled once, by image, in a compact form (runs and
+keypoints as packed bytes), and meet in sorted order (image, category, side, number).  Array
+passes over many whole (image, category) groups form the pairs, a bounded number at
+once, and decide them rank by rank, ranges and thresholds together: pairs are never shuffled.
+A group is bounded by the detection limit and the objects of one image.  Accumulation over
+images is distributed: detections with their codes, two words of bits, are written once and sorted by range over
 (category, score), so a category holding most detections is still spread over all
 tasks, and running TP/FP sums start at the sums of the parts before; the precision envelope and the 101-point interpolation are aggregates over at most
 101 recall buckets.
@@ -26,17 +27,18 @@ tasks, and running TP/FP sums start at the sums of the parts before; the precisi
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from . import masks
+from ..session import materialize, stored
+from .coco_packed import ABSENT, LABELLED, changes, flags, no_labels, numbers, pack_points, pack_runs, unpack_points, unpack_runs
 from .match import range_partitions
 
 # Fixed evaluation parameters of the COCO protocol.
@@ -50,7 +52,7 @@ KEYPOINT_MAX_DETS = [20]
 SIGMAS = [0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089]
 EPS = float(np.spacing(1))
 FALSE, TRUE, IGNORED = 0, 1, 2
-STEP = 20000  # pairs decided at once
+STEP = 20000  # pairs formed and decided at once, and rows of whole groups taken together
 _GROUP = ["image_id", "category_id"]
 
 
@@ -86,83 +88,245 @@ def report(kind: str, max_dets: Sequence[int] | None = None) -> Report:
 # ---------------------------------------------------------------- similarity ----
 
 def top_detections(dets: DataFrame, most: int) -> DataFrame:
-    """The best ``most`` detections per (image, category) with their ``rank``."""
+    """The best ``most`` detections per (image, category) with their ``rank``, dealt by image."""
     w = Window.partitionBy(*_GROUP).orderBy(F.desc("score"), "det_id")
-    return dets.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return dets.repartition("image_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def numbered_targets(gts: DataFrame) -> DataFrame:
-    """Targets with their number ``g`` in (image, category): by obj_id, else by all columns."""
+    """Targets with their number ``g`` in (image, category), by obj_id, else by all columns; dealt by image."""
     order = ["obj_id"] if "obj_id" in gts.columns else sorted(c for c in gts.columns if c not in _GROUP)
-    return gts.withColumn("g", F.row_number().over(Window.partitionBy(*_GROUP).orderBy(*order)))
+    return gts.repartition("image_id").withColumn("g", F.row_number().over(Window.partitionBy(*_GROUP).orderBy(*order)))
 
 
-def box_similarity(top: DataFrame, targets: DataFrame) -> DataFrame:
-    """(image_id, category_id, rank, g, iou) of the boxes (x, y, w, h) that overlap."""
-    d = top.select(*_GROUP, "rank", *[F.col(c).alias(f"d{c}") for c in "xywh"])
-    t = targets.select(*_GROUP, "g", "iscrowd", *[F.col(c).alias(f"g{c}") for c in "xywh"])
+def compact_points(objects: DataFrame, sigmas: Sequence[float] = SIGMAS) -> DataFrame:
+    """``objects`` with their keypoints as packed bytes, to be shuffled."""
+    if objects.schema["keypoints"].dataType.simpleString() == "binary":
+        return objects
+    return objects.withColumn("keypoints", pack_points(F.col("keypoints"), len(sigmas)))
+
 
-    def side(at: str, size: str) -> Column:
-        end = F.least(F.col(f"d{at}") + F.col(f"d{size}"), F.col(f"g{at}") + F.col(f"g{size}"))
-        return F.greatest(F.lit(0.0), end - F.greatest(f"d{at}", f"g{at}"))
+@dataclass(frozen=True)
+class _Kind:
+    """What a similarity takes of detections and targets, and the function that makes it from their
+    sorted rows: ``of(table, first, target)`` → (areas of the detections, function of pairs).
+
+    A row is one object, or a part of it (masks); ``first`` marks an object's first row.  A
+    pair is the place of a detection and that of a target in ``table``'s objects."""
+
+    dets: list[Column]
+    targets: list[Column]
+    of: Callable
+
+
+def _ious(both: np.ndarray, own: np.ndarray, target: np.ndarray, crowd: np.ndarray) -> np.ndarray:
+    union = np.where(crowd, own, own + target - both)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(union > 0, both / union, 0.0)
+
+
+def _box_kind() -> _Kind:
+    def of(table: pa.Table, first: np.ndarray, target: np.ndarray) -> tuple:
+        x, y, w, h = (numbers(table.column(c)) for c in "xywh")
+        crowd = flags(table.column("crowd"))
+
+        def similar(d: np.ndarray, g: np.ndarray) -> np.ndarray:
+            # Bounds pass over what is null, as least and greatest do.
+            both = 1.0
+            for at, size in ((x, w), (y, h)):
+                both = both * np.fmax(0.0, np.fmin(at[d] + size[d], at[g] + size[g]) - np.fmax(at[d], at[g]))
+            return _ious(both, w[d] * h[d], w[g] * h[g], crowd[g])
+
+        return w * h, similar
+
+    sides = [F.col(c).cast("double").alias(c) for c in "xywh"]
+    return _Kind(sides, [*sides, _crowd()], of)
+
+
+def _crowd() -> Column:
+    return F.coalesce(F.col("iscrowd") == 1, F.lit(False)).alias("crowd")
+
+
+def _mask_kind() -> _Kind:
+    def of(table: pa.Table, first: np.ndarray, target: np.ndarray) -> tuple:
+        row, start, length = unpack_runs(table.column("runs"))
+        item = (np.cumsum(first) - 1)[row]
+        n = int(first.sum())
+        area = np.bincount(item, weights=length, minlength=n)
+        crowd = flags(table.column("crowd"))[first]
+        # Runs of one object lie together; ends are sorted on their own, so runs may overlap.
+        span = int((start + length).max(initial=0)) + 2
+        held = np.bincount(item, minlength=n)
+        offset = np.concatenate(([0], np.cumsum(held)))
+        edges = [np.sort(item * span + e) for e in (start, start + length)]
+        sums = [np.concatenate(([0], np.cumsum(e - item * span))) for e in edges]
+        low, high = np.full(n, span), np.full(n, -1)
+        np.minimum.at(low, item, start)
+        np.maximum.at(high, item, start + length)
+
+        def below(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Pixels of object g before ``at``, each run for itself."""
+            total = np.zeros(len(g), dtype=np.int64)
+            for sign, edge, s in ((1, edges[0], sums[0]), (-1, edges[1], sums[1])):
+                k = np.searchsorted(edge, g * span + np.clip(at, 0, span - 1))
+                total += sign * ((k - offset[g]) * at - (s[k] - s[offset[g]]))
+            return total
+
+        def similar(d: np.ndarray, g: np.ndarray) -> np.ndarray:
+            both = np.zeros(len(d), dtype=np.int64)
+            meet = np.flatnonzero((low[d] < high[g]) & (low[g] < high[d]))
+            while len(meet):  # as many pairs at a time as STEP runs hold, at least one
+                runs = np.cumsum(held[d[meet]])
+                now, meet = np.split(meet, [max(1, int(np.searchsorted(runs, STEP, side="right")))])
+                many = held[d[now]]
+                pair = np.repeat(np.arange(len(now)), many)
+                r = np.repeat(offset[d[now]], many) + np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+                with_g = g[now][pair]
+                covered = below(with_g, start[r] + length[r]) - below(with_g, start[r])
+                both[now] = np.bincount(pair, weights=covered, minlength=len(now)).astype(np.int64)
+            return _ious(both, area[d], area[g], crowd[g])
+
+        return area, similar
+
+    return _Kind([F.col("runs")], [F.col("runs"), _crowd()], of)
+
+
+def _point_kind(sigmas: Sequence[float]) -> _Kind:
+    spread = (2 * np.array(sigmas)) ** 2
+
+    def of(table: pa.Table, first: np.ndarray, target: np.ndarray) -> tuple:
+        at, shown, state = unpack_points(table.column("keypoints"), len(spread))
+        corner, size = (np.stack([numbers(table.column(c)) for c in pair], axis=1)[:, :, None] for pair in (("x", "y"), ("w", "h")))
+        area = numbers(table.column("t_area")) + EPS
+        # The side of the points' box on each axis; an axis without points has none.
+        extent = np.where(np.isnan(at), -np.inf, at).max(2) - np.where(np.isnan(at), np.inf, at).min(2)
+        extent[np.isinf(extent)] = np.nan
+
+        def similar(d: np.ndarray, g: np.ndarray) -> np.ndarray:
+            labelled = state[g] == LABELLED
+            apart = at[d] - at[g]
+            bare = np.flatnonzero(~labelled)
+            low, high = corner[g[bare]] - size[g[bare]], corner[g[bare]] + 2 * size[g[bare]]
+            apart[bare] = np.fmax(0.0, low - at[d[bare]]) + np.fmax(0.0, at[d[bare]] - high)
+            value = np.exp(-((apart ** 2).sum(1) / spread / area[g][:, None] / 2))
+            counts = shown[g] | (state[g] == ABSENT)[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.where(counts, value, 0.0).sum(1) / counts.sum(1)
+
+        return extent[:, 0] * extent[:, 1], similar
+
+    sides = [F.col(c).cast("double").alias(c) for c in "xywh"]
+    return _Kind([F.col("keypoints")], [F.col("keypoints"), *sides, F.col("area").cast("double").alias("t_area")], of)
+
+
+def _sides(top: DataFrame, targets: DataFrame, dets: Sequence[Column | str], theirs: Sequence[Column | str]) -> DataFrame:
+    """Detections and targets, all of an image in one task, in the order (image, category, ``target``, number ``n``)."""
+    known = F.col("image_id").isNotNull() & F.col("category_id").isNotNull()  # no null meets another
+    both = top.select(*_GROUP, F.lit(False).alias("target"), F.col("rank").alias("n"), *dets).unionByName(
+        targets.where(known).select(*_GROUP, F.lit(True).alias("target"), F.col("g").alias("n"), *theirs), allowMissingColumns=True)
+    order = [*_GROUP, "target", "n"]
+    # The window asks for an image's rows in one task, wherever the planner put those of the union.
+    w = Window.partitionBy(*_GROUP, "target").orderBy("n")
+    return both.withColumn("place", F.row_number().over(w)).sortWithinPartitions(*order)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows in tables of whole (image, category) groups, ``STEP`` rows or more."""
+    held, rows, least = [], 0, STEP
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = int(np.flatnonzero(changes(*(table.column(c) for c in _GROUP)))[-1])
+        if cut:
+            yield table.slice(0, cut)
+        held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        least = max(STEP, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _pairs(table: pa.Table, of: Callable) -> tuple:
+    """Of whole groups: the objects' first rows, which of them are targets, areas, and the
+    pairs of each group as blocks (detection, target, similarity), sorted by detection and target."""
+    group = np.cumsum(changes(*(table.column(c) for c in _GROUP))) - 1
+    target = flags(table.column("target"))
+    n = table.column("n").to_numpy()
+    first = np.ones(len(n), dtype=bool)
+    first[1:] = (group[1:] != group[:-1]) | (target[1:] != target[:-1]) | (n[1:] != n[:-1])
+    area, similar = of(table, first, target)
+    group, target = group[first], target[first]
+    dets, ours = np.flatnonzero(~target), np.flatnonzero(target)
+    low, high = (np.searchsorted(group[ours], group[dets], side=s) for s in ("left", "right"))
+
+    def blocks() -> Iterator[tuple]:
+        ends = np.concatenate(([0], np.cumsum(high - low)))
+        at = 0
+        while at < len(dets):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP, side="right")) - 1)
+            many = (high - low)[at:to]
+            d = np.repeat(dets[at:to], many)
+            if len(d):
+                g = ours[np.repeat(low[at:to], many) + np.arange(len(d)) - np.repeat(np.cumsum(many) - many, many)]
+                yield d, g, similar(d, g)
+            at = to
+
+    return first, target, area, blocks()
+
+
+def _similarities(top: DataFrame, targets: DataFrame, kind: _Kind, overlapping: bool = False) -> DataFrame:
+    """(image_id, category_id, rank, g, iou) of all pairs of a group, with det_id and obj_id where they are known."""
+    named = [[c for c in (name,) if c in side.columns] for name, side in (("det_id", top), ("obj_id", targets))]
+    rows = _sides(top, targets, [*kind.dets, *named[0]], [*kind.targets, *named[1]])
+    ids, of = [*named[0], *named[1]], kind.of
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            first, _, _, blocks = _pairs(table, of)
+            rows_of = np.flatnonzero(first)
+            for d, g, iou in blocks:
+                if overlapping:
+                    d, g, iou = (v[iou > 0] for v in (d, g, iou))
+                d, g = pa.array(rows_of[d]), pa.array(rows_of[g])
+                own = [table.column(c).take(d) for c in _GROUP]
+                names = [table.column(c).take(d if c == "det_id" else g) for c in ids]
+                yield from pa.table([*own, table.column("n").take(d), table.column("n").take(g), *names, pa.array(iou, from_pandas=True)],
+                                    names=[*_GROUP, "rank", "g", *ids, "iou"]).to_batches()
+
+    kinds = {c: f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*_GROUP, *ids)}
+    return rows.mapInArrow(run, ", ".join([*[kinds[c] for c in _GROUP], "rank int", "g int", *[kinds[c] for c in ids], "iou double"]))
 
-    both, own = side("x", "w") * side("y", "h"), F.col("dw") * F.col("dh")
-    return d.join(t, _GROUP).select(*_GROUP, "rank", "g", _iou(both, own, F.col("gw") * F.col("gh")).alias("iou"))
+
+def box_similarity(top: DataFrame, targets: DataFrame) -> DataFrame:
+    """(image_id, category_id, rank, g, iou) of the boxes (x, y, w, h) of a group."""
+    return _similarities(top, targets, _box_kind())
 
 
-def _iou(both: Column, own: Column, target: Column) -> Column:
-    union = F.when(F.col("iscrowd") == 1, own).otherwise(own + target - both)
-    return F.when(union > 0, both / union).otherwise(F.lit(0.0))
+def with_runs(objects: DataFrame, runs: DataFrame, obj: str) -> DataFrame:
+    """Objects dealt by image with their packed ``runs``, in one row or more; null without any."""
+    packed = pack_runs(runs, obj).repartition("image_id")
+    return objects.join(packed, ["image_id", obj], "left")
 
 
 def mask_similarity(top: DataFrame, targets: DataFrame, det_runs: DataFrame, gt_runs: DataFrame) -> DataFrame:
     """(image_id, category_id, rank, g, iou) of the masks that overlap; runs are
-    (image_id, det_id or obj_id, start, len, height, width)."""
-    d = det_runs.join(top.select(*_GROUP, "det_id", "rank"), ["image_id", "det_id"])
-    t = gt_runs.join(targets.select(*_GROUP, "obj_id", "g"), ["image_id", "obj_id"])
-    both = masks.overlap(d, t, _GROUP, ["rank"], ["g"])
-    own = d.groupBy(*_GROUP, "rank").agg(F.sum("len").alias("own"))
-    other = t.groupBy(*_GROUP, "g").agg(F.sum("len").alias("target"))
-    return (both.join(own, [*_GROUP, "rank"]).join(other, [*_GROUP, "g"])
-            .join(targets.select(*_GROUP, "g", "iscrowd"), [*_GROUP, "g"])
-            .select(*_GROUP, "rank", "g", _iou(F.col("intersection"), F.col("own"), F.col("target")).alias("iou")))
+    (image_id, det_id or obj_id, start, len, height, width), of one height in an image."""
+    return _similarities(with_runs(top, det_runs, "det_id"), with_runs(targets, gt_runs, "obj_id"), _mask_kind(), overlapping=True)
 
 
 def keypoint_similarity(top: DataFrame, targets: DataFrame, sigmas: Sequence[float] = SIGMAS) -> DataFrame:
     """(image_id, category_id, rank, g, iou): keypoint similarity.
 
-    ``keypoints`` are arrays of structs (x, y, v); targets also have a box and ``area``.
+    ``keypoints`` are arrays of structs (x, y, v), or packed (``compact_points``); targets also
+    have a box and ``area``.
     """
-    d = top.select(*_GROUP, "rank", F.col("keypoints").alias("dk"))
-    t = targets.select(*_GROUP, "g", "x", "y", "w", "h", "area", F.col("keypoints").alias("gk"),
-                       F.exists("keypoints", lambda k: k["v"] > 0).alias("labelled"))
-
-    def outside(at: Column, start: str, size: str) -> Column:
-        low, high = F.col(start) - F.col(size), F.col(start) + 2 * F.col(size)
-        return F.greatest(F.lit(0.0), low - at) + F.greatest(F.lit(0.0), at - high)
-
-    spread = F.array(*[F.lit((2 * s) ** 2) for s in sigmas])
-
-    def one(p: Column) -> Column:
-        dx = F.when(F.col("labelled"), p["dk"]["x"] - p["gk"]["x"]).otherwise(outside(p["dk"]["x"], "x", "w"))
-        dy = F.when(F.col("labelled"), p["dk"]["y"] - p["gk"]["y"]).otherwise(outside(p["dk"]["y"], "y", "h"))
-        e = (dx * dx + dy * dy) / p["spread"] / (F.col("area") + F.lit(EPS)) / 2
-        return F.struct((~F.col("labelled") | (p["gk"]["v"] > 0)).alias("counts"), F.exp(-e).alias("value"))
-
-    terms = F.filter(F.transform(F.arrays_zip("dk", "gk", spread.alias("spread")), one), lambda s: s["counts"])
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, s: acc + s["value"])
-    return d.join(t, _GROUP).select(*_GROUP, "rank", "g", (total / F.size(terms)).alias("iou"))
+    return _similarities(compact_points(top, sigmas), compact_points(targets, sigmas), _point_kind(sigmas))
 
 
 # ------------------------------------------------------------------- matching ----
 
-def _joined(lists: Sequence, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """The values of many lists (or nulls) end to end, and the length of each."""
-    sizes = np.array([0 if x is None else len(x) for x in lists], dtype=np.int64)
-    full = [np.asarray(x, dtype=kind) for x in lists if x is not None and len(x)]
-    return np.concatenate(full) if full else np.zeros(0, dtype=kind), sizes
-
-
 def _codes(d_area: np.ndarray, d_rank: np.ndarray, g_ignored: np.ndarray, g_crowd: np.ndarray, of: np.ndarray, target: np.ndarray,
            similar: np.ndarray, ranges: np.ndarray) -> np.ndarray:
     """Codes (detection, area range, threshold) of the detections of many groups.
@@ -200,46 +364,45 @@ def _codes(d_area: np.ndarray, d_rank: np.ndarray, g_ignored: np.ndarray, g_crow
     return out
 
 
-def _matcher(names: Sequence[str]):
-    ranges = np.array([AREAS[n] for n in names])
-
-    def run(d_areas: pd.Series, d_ranks: pd.Series, ignores: pd.Series, crowds: pd.Series, g_areas: pd.Series,
-            pair_ranks: pd.Series, pair_targets: pd.Series, pair_values: pd.Series) -> pd.Series:
-        da, nd = _joined(d_areas, float)
-        rank = _joined(d_ranks, np.int64)[0]
-        ga, ng = _joined(g_areas, float)
-        crowd, ignore = _joined(crowds, bool)[0], _joined(ignores, bool)[0]
-        ignored = ignore[:, None] | (ga[:, None] < ranges[:, 0]) | (ga[:, None] > ranges[:, 1])
-        pr, np_ = _joined(pair_ranks, np.int64)
-        pg, pv = _joined(pair_targets, np.int64)[0], _joined(pair_values, float)[0]
-        # Ranks and target numbers count from 1 in a group.
-        of = pr - 1 + np.repeat(np.cumsum(nd) - nd, np_)
-        target = pg - 1 + np.repeat(np.cumsum(ng) - ng, np_)
-        order = np.lexsort((target, of))
-        codes = _codes(da, rank, ignored, crowd, of[order], target[order], pv[order], ranges).reshape(len(da), -1)
-        return pd.Series([list(c) for c in np.split(codes, np.cumsum(nd)[:-1])])
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """Rows of at most 63 truth values as numbers, the first value the lowest bit."""
+    return flags @ (np.int64(1) << np.arange(flags.shape[1], dtype=np.int64))
 
-    return F.pandas_udf(run, "array<array<int>>")
 
+def _values(bits: np.ndarray, width: int) -> np.ndarray:
+    """Numbers → rows of ``width`` truth values."""
+    return np.unpackbits(np.ascontiguousarray(bits, dtype="<i8").view(np.uint8).reshape(-1, 8), axis=1, count=width, bitorder="little").astype(bool)
 
-def match(top: DataFrame, targets: DataFrame, similar: DataFrame, areas: Sequence[str] = AREA_NAMES) -> DataFrame:
-    """Per detection: ``(image_id, category_id, det_id, score, rank, codes)`` with
-    ``codes[a·10 + t]`` ∈ {0 FP, 1 TP, 2 ignored} for area range a and threshold t.
 
-    ``top`` has ``area``, ``targets`` ``iscrowd``, ``area`` and, where some do not count,
-    ``ignore``."""
-    def each(name: str, *columns: Column) -> list[Column]:
-        return [F.array_sort(F.collect_list(F.struct(*columns))).alias(name)]
+def match(top: DataFrame, targets: DataFrame, kind: _Kind, areas: Sequence[str] = AREA_NAMES) -> DataFrame:
+    """Per detection: ``(image_id, category_id, score, rank, hits, misses)``; bit a·10 + t of ``hits`` (TP) and
+    ``misses`` (FP) stands for area range a and threshold t, and neither is set where it is ignored.
 
+    ``targets`` have ``iscrowd``, ``area`` and, where some do not count, ``ignore``."""
+    ranges = np.array([AREAS[n] for n in areas])
     ignore = F.col("ignore") if "ignore" in targets.columns else F.lit(False)
-    d = top.groupBy(*_GROUP).agg(*each("d", F.col("rank"), F.col("det_id"), F.col("score"), F.col("area").cast("double").alias("area")))
-    g = targets.groupBy(*_GROUP).agg(*each("t", F.col("g"), ((F.col("iscrowd") == 1) | ignore).alias("ignored"),
-                                           (F.col("iscrowd") == 1).alias("crowd"), F.col("area").cast("double").alias("area")))
-    p = similar.where(F.col("iou") >= IOU_THRS[0]).groupBy(*_GROUP).agg(*each("p", F.col("rank"), F.col("g"), F.col("iou")))
-    j = d.join(g, _GROUP, "left").join(p, _GROUP, "left")
-    codes = _matcher(areas)(*[F.col(c) for c in ("d.area", "d.rank", "t.ignored", "t.crowd", "t.area", "p.rank", "p.g", "p.iou")])
-    z = j.select(*_GROUP, "d", codes.alias("codes")).select(*_GROUP, F.explode(F.arrays_zip("d", "codes")).alias("z"))
-    return z.select(*_GROUP, "z.d.det_id", "z.d.score", "z.d.rank", "z.codes")
+    out_of = F.coalesce((F.col("iscrowd") == 1) | ignore, F.lit(False)).alias("out_of")
+    theirs = [*kind.targets, out_of, F.col("area").cast("double").alias("of_area"), _crowd().alias("of_crowd")]
+    rows, of = _sides(top, targets, [F.col("score"), *kind.dets], theirs), kind.of
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            first, target, area, blocks = _pairs(table, of)
+            kept = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+            kept += [tuple(v[iou >= IOU_THRS[0]] for v in (d, g, iou)) for d, g, iou in blocks]
+            d, g, iou = (np.concatenate(v) for v in zip(*kept, strict=True))
+            place = np.where(target, np.cumsum(target), np.cumsum(~target)) - 1
+            objects = table.filter(pa.array(first))
+            theirs, own = objects.filter(pa.array(target)), objects.filter(pa.array(~target))
+            size = numbers(theirs.column("of_area"))
+            ignored = flags(theirs.column("out_of"))[:, None] | (size[:, None] < ranges[:, 0]) | (size[:, None] > ranges[:, 1])
+            codes = _codes(area[~target], own.column("n").to_numpy(), ignored, flags(theirs.column("of_crowd")),
+                           place[d], place[g], iou, ranges).reshape(own.num_rows, len(ranges) * len(IOU_THRS))
+            yield from pa.table([*[own.column(c) for c in (*_GROUP, "score", "n")], *(pa.array(_bits(codes == c)) for c in (TRUE, FALSE))],
+                                names=[*_GROUP, "score", "rank", "hits", "misses"]).to_batches()
+
+    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*_GROUP, "score")]
+    return rows.mapInArrow(run, ", ".join([*fields, "rank int", "hits long", "misses long"]))
 
 
 # --------------------------------------------------------------- accumulation ----
@@ -247,32 +410,27 @@ def match(top: DataFrame, targets: DataFrame, similar: DataFrame, areas: Sequenc
 def targets_per_range(gts: DataFrame, areas: Sequence[str] = AREA_NAMES) -> DataFrame:
     """Targets that count per (category, area range): the recall denominators."""
     ignore = F.col("ignore") if "ignore" in gts.columns else F.lit(False)
-    rows = gts.select("category_id", "iscrowd", "area", ignore.alias("ignore"), F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(AREAS[name][0]).alias("lo"), F.lit(AREAS[name][1]).alias("hi"))
-        for a, name in enumerate(areas)])).alias("r"))
-    ok = (F.col("iscrowd") == 0) & ~F.col("ignore") & (F.col("area") >= F.col("r.lo")) & (F.col("area") <= F.col("r.hi"))
-    return rows.groupBy("category_id", F.col("r.a").alias("a")).agg(F.count_if(ok).alias("npig"))
-
-
-def _flags(codes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """True and false positives (detection, column) of codes."""
-    c = np.stack(codes.to_numpy()) if len(codes) else np.zeros((0, 1), dtype=np.int32)
-    return c == TRUE, c == FALSE
+    ok = (F.col("iscrowd") == 0) & ~ignore
+    counts = gts.groupBy("category_id").agg(*[
+        F.count_if(ok & (F.col("area") >= AREAS[name][0]) & (F.col("area") <= AREAS[name][1])).alias(f"n{a}")
+        for a, name in enumerate(areas)])
+    return counts.select("category_id", F.inline(F.array(*[
+        F.struct(F.lit(a).alias("a"), F.col(f"n{a}").alias("npig")) for a in range(len(areas))])))
 
 
-def _part_totals():
-    """Per (part, category) of sorted rows: sums of TP and FP in each column of codes."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _part_totals(width: int):
+    """Per (part, category) of sorted rows: sums of TP and FP in each range and threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            if not len(rows):
+            if not rows.num_rows:
                 continue
-            tp, fp = _flags(rows["codes"])
-            both = np.concatenate((tp, fp), axis=1)
-            category = rows["category_id"].to_numpy()
-            first = np.concatenate(([0], np.flatnonzero(category[1:] != category[:-1]) + 1))
+            both = np.concatenate([_values(rows.column(c).to_numpy(), width) for c in ("hits", "misses")], axis=1)
+            first = np.flatnonzero(changes(rows.column("category_id")))
             sums = np.add.reduceat(both, first, axis=0, dtype=np.int64)
-            yield pd.DataFrame({"__pid": rows["__pid"].to_numpy()[first], "category_id": category[first],
-                                "first": rows["__at"].to_numpy()[first], "sums": list(sums)})
+            at = pa.array(first)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * 2 * width), pa.array(sums.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(at) for c in ("__pid", "category_id", "__at")), listed],
+                                             names=["__pid", "category_id", "first", "sums"])
 
     return run
 
@@ -282,35 +440,46 @@ def _part_buckets(n_thr: int, max_dets: Sequence[int]):
     The first row of a (part, category) carries the sums before it and the targets of each range."""
     thr = np.array(REC_THRS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        category, before, goal = None, None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        category = before = goal = best = found = None
+
+        def made() -> Iterator[pa.RecordBatch]:
+            cell = np.flatnonzero(found.any(axis=0)) if category is not None else []
+            if len(cell):
+                column, k = cell // len(thr), cell % len(thr)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([category] * len(cell)), *(pa.array(v.astype(np.int32)) for v in (column // n_thr, column % n_thr, k)),
+                     pa.array(best[cell]), *(pa.array(n[cell]) for n in found)],
+                    names=["category_id", "a", "t", "kb", "bm", *[f"tp{m}" for m in max_dets]])
+
         for rows in batches:
-            if not len(rows):
+            if not rows.num_rows:
                 continue
-            tp, fp = _flags(rows["codes"])
-            of, rank, starts = rows["category_id"].to_numpy(), rows["rank"].to_numpy(), rows["before"]
-            for low, high in pairwise([0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)]):
-                if category is None or of[low] != category:
-                    category, before = of[low], np.asarray(starts.iloc[low], dtype=np.int64)
-                    goal = np.repeat(np.asarray(rows["goal"].iloc[low], dtype=np.float64), n_thr)
-                t, f, r = tp[low:high], fp[low:high], rank[low:high]
-                width = t.shape[1]
-                cum_tp, cum_fp = np.cumsum(t, axis=0) + before[:width], np.cumsum(f, axis=0) + before[width:]
-                before = np.concatenate((cum_tp[-1], cum_fp[-1]))
-                row, column = np.nonzero((t | f) & (goal > 0))
-                if not len(row):
+            of, rank, starts = rows.column("category_id"), rows.column("rank").to_numpy(), rows.column("before")
+            heads = np.flatnonzero(changes(of))
+            for low, high in pairwise([*heads, rows.num_rows]):
+                if category is None or not of.slice(low, 1).equals(category):
+                    yield from made()
+                    category, before = of.slice(low, 1), np.array(starts[int(low)].as_py(), dtype=np.int64)
+                    goal = np.repeat(np.array(rows.column("goal")[int(low)].as_py(), dtype=np.float64), n_thr)
+                    best, found = np.zeros(len(goal) * len(thr)), np.zeros((len(max_dets), len(goal) * len(thr)), dtype=np.int64)
+                width = len(goal)
+                t, f = (_values(rows.column(c).to_numpy()[low:high], width).T for c in ("hits", "misses"))
+                # Precision is highest, and recall new, at true positives alone.
+                column, row = np.nonzero(t & (goal > 0)[:, None])
+                many = t.sum(axis=1)
+                true = before[column] + np.arange(len(column)) - np.searchsorted(column, column) + 1.0
+                wrong = (np.cumsum(f, axis=1, dtype=np.int32)[column, row] + before[width + column]).astype(np.float64)
+                before = before + np.concatenate((many, f.sum(axis=1)))
+                if not len(column):
                     continue
-                true = cum_tp[row, column].astype(np.float64)
-                recall, precision = true / goal[column], true / (true + cum_fp[row, column] + EPS)
-                k = np.searchsorted(thr, recall, side="right") - 1
-                cell = column * (len(thr) + 1) + k + 1
-                order = np.argsort(cell, kind="stable")
-                head = np.concatenate(([0], np.flatnonzero(np.diff(cell[order])) + 1))
-                hit = t[row, column][order]
-                found = {f"tp{m}": np.add.reduceat(hit & (r[row][order] <= m), head, dtype=np.int64) for m in max_dets}
-                c = column[order][head]
-                yield pd.DataFrame({"category_id": np.repeat(of[low:low + 1], len(head)), "a": (c // n_thr).astype(np.int32), "t": (c % n_thr).astype(np.int32),
-                                    "kb": k[order][head].astype(np.int32), "bm": np.maximum.reduceat(precision[order], head), **found})
+                recall, precision = true / goal[column], true / (true + wrong + EPS)
+                cell = column * len(thr) + np.searchsorted(thr, recall, side="right") - 1
+                head = np.flatnonzero(np.diff(cell, prepend=-1))
+                best[cell[head]] = np.maximum(best[cell[head]], np.maximum.reduceat(precision, head))
+                for n, m in zip(found, max_dets, strict=True):
+                    n[cell[head]] += np.add.reduceat(rank[low:high][row] <= m, head, dtype=np.int64)
+        yield from made()
 
     return run
 
@@ -321,18 +490,20 @@ def recall_buckets(matched: DataFrame, npig: DataFrame, form: Report) -> DataFra
 
     All ranges and thresholds share one order of the detections, so each is sorted once
     with its codes, by range over (category, score): a category with most detections is spread
-    over all tasks.  Sums of each (part, category) become the sums before it; running sums
+    over all tasks.  The ranges are drawn from the written rows, so nothing is matched twice.  Sums of each
+    (part, category) become the sums before it; running sums
     and the buckets of a batch are array sums in the tasks.
     """
     width, n_thr = len(form.areas) * len(IOU_THRS), len(IOU_THRS)
     order = ["category_id", F.desc("score"), "image_id", "rank"]
-    rows = matched.select("category_id", "score", "image_id", "rank", F.col("codes").cast("array<tinyint>").alias("codes")).join(
-        npig.select("category_id").distinct(), "category_id", "left_semi")
+    # One row for each category that has targets.
+    known = F.broadcast(npig.select("category_id").distinct())
+    rows = stored(matched.select("category_id", "score", "image_id", "rank", "hits", "misses").join(known, "category_id", "left_semi"), "matched")
     ranged = materialize(rows.repartitionByRange(range_partitions(rows), *order).sortWithinPartitions(*order)
                          .withColumns({"__pid": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
     kind = ranged.schema["category_id"].dataType.simpleString()
-    sums = ranged.select("__pid", "category_id", "__at", "codes").mapInPandas(
-        _part_totals(), f"__pid int, category_id {kind}, first long, sums array<long>")
+    sums = ranged.select("__pid", "category_id", "__at", "hits", "misses").mapInArrow(
+        _part_totals(width), f"__pid int, category_id {kind}, first long, sums array<long>")
     each = [F.min("first").alias("first"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(2 * width)]]
     totals = sums.groupBy("__pid", "category_id").agg(*each)
     w = Window.partitionBy("category_id").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -342,9 +513,9 @@ def recall_buckets(matched: DataFrame, npig: DataFrame, form: Report) -> DataFra
         "__pid", "category_id", "first", "before", F.array(*[f"n{a}" for a in range(len(form.areas))]).alias("goal"))
     # One row for each (part, category), and parts hold whole stretches of categories: a bounded table.
     known = ranged.join(F.broadcast(before), ["__pid", "category_id"]).select(
-        "category_id", "rank", "codes", *[F.when(F.col("__at") == F.col("first"), F.col(c)).alias(c) for c in ("before", "goal")])
+        "category_id", "rank", "hits", "misses", *[F.when(F.col("__at") == F.col("first"), F.col(c)).alias(c) for c in ("before", "goal")])
     fields = ", ".join(f"tp{m} long" for m in form.max_dets)
-    parts = known.mapInPandas(_part_buckets(n_thr, form.max_dets), f"category_id {kind}, a int, t int, kb int, bm double, {fields}")
+    parts = known.mapInArrow(_part_buckets(n_thr, form.max_dets), f"category_id {kind}, a int, t int, kb int, bm double, {fields}")
     return parts.groupBy("category_id", "a", "t", "kb").agg(F.max("bm").alias("bm"), *[F.sum(f"tp{m}").alias(f"tp{m}") for m in form.max_dets])
 
 
@@ -352,7 +523,7 @@ def summarise(matched: DataFrame, gts: DataFrame, form: Report) -> DataFrame:
     """The summary numbers ``(metric, value)`` of matched detections."""
     keys = ["category_id", "a", "t"]
     npig = materialize(targets_per_range(gts, form.areas).where(F.col("npig") > 0))
-    buckets = recall_buckets(matched, npig, form)
+    buckets = stored(recall_buckets(matched, npig, form), "buckets")
     # precision at recall threshold k = max precision over buckets ≥ k (≤ 101 rows per key)
     q = buckets.where(F.col("kb") >= 0).select(*keys, "bm", F.explode(F.sequence(F.lit(0), F.col("kb"))).alias("k"))
     ap = q.groupBy(*keys, "k").agg(F.max("bm").alias("q")).groupBy(*keys).agg((F.sum("q") / len(REC_THRS)).alias("ap"))
@@ -381,26 +552,17 @@ def evaluate(dets: DataFrame, gts: DataFrame, kind: str = "bbox", det_runs: Data
     as runs; a detection's area is its mask's, its box's, or that of its points' box.
     """
     form = report(kind, max_dets)
-    top = top_detections(dets, form.max_dets[-1])
     if kind == "segm":
         if det_runs is None or gt_runs is None:
             raise ValueError("segm needs the masks as runs")
-        targets = numbered_targets(gts)
-        size = det_runs.groupBy("image_id", "det_id").agg(F.sum("len").alias("area"))
-        top = top.drop("area").join(size, ["image_id", "det_id"], "left").fillna(0, ["area"])
-        similar = mask_similarity(top, targets, det_runs, gt_runs)
+        top, targets = top_detections(dets, form.max_dets[-1]), numbered_targets(gts)
+        matched = match(with_runs(top, det_runs, "det_id"), with_runs(targets, gt_runs, "obj_id"), _mask_kind(), form.areas)
     elif kind == "keypoints":
+        packed = compact_points(gts, sigmas)
+        top, targets = top_detections(compact_points(dets, sigmas), form.max_dets[-1]), numbered_targets(
+            packed.withColumn("ignore", no_labels(F.col("keypoints"))))
         gts = gts.withColumn("ignore", ~F.exists("keypoints", lambda k: k["v"] > 0))
-        targets = numbered_targets(gts)
-
-        def side(name: str) -> Column:
-            of = F.transform("keypoints", lambda k: k[name])
-            return F.array_max(of) - F.array_min(of)
-
-        top = top.withColumn("area", side("x") * side("y"))
-        similar = keypoint_similarity(top, targets, sigmas)
+        matched = match(top, targets, _point_kind(sigmas), form.areas)
     else:
-        targets = numbered_targets(gts)
-        top = top.withColumn("area", F.col("w") * F.col("h"))
-        similar = box_similarity(top, targets)
-    return summarise(match(top, targets, similar, form.areas), gts, form)
+        matched = match(top_detections(dets, form.max_dets[-1]), numbered_targets(gts), _box_kind(), form.areas)
+    return summarise(matched, gts, form)

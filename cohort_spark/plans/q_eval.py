@@ -148,11 +148,9 @@ def q_v5_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cocoeval.evaluate(*_point_inputs(spark, sf_dir), "keypoints")
 
 
-def _similar(similar: DataFrame, top: DataFrame, targets: DataFrame) -> DataFrame:
+def _similar(similar: DataFrame) -> DataFrame:
     """Pairs with the names of their objects."""
-    pair = ["image_id", "category_id"]
-    return (similar.join(top.select(*pair, "rank", "det_id"), [*pair, "rank"]).join(targets.select(*pair, "g", "obj_id"), [*pair, "g"])
-            .select("image_id", "category_id", "det_id", "obj_id", "iou"))
+    return similar.select("image_id", "category_id", "det_id", "obj_id", "iou")
 
 
 @register("V5_mask_iou", """
@@ -168,7 +166,7 @@ def q_v5_mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mask IoU of every overlapping detection/target pair of an image and category, from runs."""
     d, g, dr, gr = _mask_inputs(spark, sf_dir)
     top, targets = cocoeval.top_detections(d, cocoeval.MAX_DETS[-1]), cocoeval.numbered_targets(g)
-    return _similar(cocoeval.mask_similarity(top, targets, dr, gr), top, targets)
+    return _similar(cocoeval.mask_similarity(top, targets, dr, gr))
 
 
 @register("V5_oks", f"""
@@ -184,8 +182,9 @@ SELECT image_id, category_id, det_id, obj_id, avg(exp(-e)) AS iou FROM e GROUP B
 def q_v5_oks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object keypoint similarity of every detection/target pair of an image and category."""
     d, g = _point_inputs(spark, sf_dir)
+    d, g = cocoeval.compact_points(d), cocoeval.compact_points(g)
     top, targets = cocoeval.top_detections(d, cocoeval.MAX_DETS[-1]), cocoeval.numbered_targets(g)
-    return _similar(cocoeval.keypoint_similarity(top, targets), top, targets)
+    return _similar(cocoeval.keypoint_similarity(top, targets))
 
 
 @register("V6")

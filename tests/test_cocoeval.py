@@ -244,3 +244,71 @@ def test_accumulation_keeps_one_row_a_detection(spark, fixture, monkeypatch):
     monkeypatch.setattr(C, "STEP", 1)
     got = {r.metric: r.value for r in C.evaluate(d, g).collect()}
     assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_packed_runs_and_points_give_back_their_numbers():
+    """Scattered, overlapping and touching runs; whole, narrow and wide coordinates, missing points."""
+    import pyarrow as pa
+
+    from cohort_spark.operators import coco_packed as P
+    rng = np.random.default_rng(3)
+    start, length = rng.integers(0, 1 << 40, 200), rng.integers(0, 1 << 20, 200)
+    start[:50] = np.sort(start[:50])
+    new = rng.random(200) < 0.3
+    new[0] = True
+    row, s, n = P.unpack_runs(P.encode_runs(start, length, new))
+    assert (row == np.cumsum(new) - 1).all() and (s == start).all() and (n == length).all()
+    points = [[(float(i), 2.0 * i, i % 2) for i in range(17)], [(i / 16, i / 3, 0) for i in range(17)], [(0.5, 0.25, 1)] * 17,
+              None, [], [(1e9, None, None)] * 17, [(7.0, 8.0, 2)] * 3]
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("v", pa.int32())]))
+    at, shown, state = P.unpack_points(P.encode_points(pa.array([p and [dict(zip("xyv", q, strict=True)) for q in p] for p in points], kind), 17), 17)
+    for k, p in enumerate(points):
+        want = np.full((2, 17), np.nan)
+        for i, q in enumerate(p or []):
+            want[:, i] = [np.nan if c is None else c for c in q[:2]]
+        assert np.array_equal(at[k], want, equal_nan=True)
+        assert shown[k].tolist() == [bool(q[2]) for q in p or []] + [False] * (17 - len(p or []))
+    assert state.tolist() == [P.LABELLED, P.ABSENT, P.LABELLED, P.UNKNOWN, P.ABSENT, P.UNKNOWN, P.LABELLED]
+
+
+@pytest.mark.parametrize("kind", ["bbox", "segm", "keypoints"])
+def test_matching_shuffles_each_input_once(spark, monkeypatch, kind):
+    """Neither pairs nor runs by column are shuffled, and the ordering is drawn from written rows."""
+    plans = []
+    real = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    kp = [(float(i), float(i), 2) for i in range(17)]
+    rows = [(i // 4, i % 2, i, i / 50, 1.0, 1.0, 8.0, 8.0, 64.0, 0, kp) for i in range(50)]
+    fields = "image_id long, category_id int, det_id long, score double, x double, y double, w double, h double, area double, iscrowd int, keypoints array<struct<x double, y double, v int>>"
+    d = spark.createDataFrame(rows, fields)
+    g = d.drop("score").withColumnRenamed("det_id", "obj_id")
+    runs = spark.createDataFrame([(i // 4, i, i % 4 * 10 + c * 50, 8, 50, 9) for i in range(50) for c in range(3)],
+                                 "image_id long, det_id long, start long, len long, height int, width int")
+    got = {r.metric: r.value for r in C.evaluate(d, g, kind, runs, runs.withColumnRenamed("det_id", "obj_id")).collect()}
+    assert got["AP"] == pytest.approx(1.0)
+    [matched] = [p for name, p in plans if name == "matched"]
+    assert matched.count("Exchange hashpartitioning(image_id") == (4 if kind == "segm" else 2)
+
+
+def test_masks_with_overlapping_and_scattered_runs(spark):
+    """A mask's runs may overlap, each counting for itself, and lie anywhere in the table."""
+    rng = np.random.default_rng(8)
+    parts = {(side, o): [(int(s), int(n)) for s, n in zip(rng.integers(0, 80, 6), rng.integers(1, 15, 6), strict=True)]
+             for side in "dg" for o in range(5)}
+    want = {}
+    for d in range(5):
+        for g in range(5):
+            both = sum(max(0, min(a + m, b + n) - max(a, b)) for a, m in parts["d", d] for b, n in parts["g", g])
+            own, other = (sum(n for _, n in parts[k]) for k in (("d", d), ("g", g)))
+            if both:
+                want[d, g] = both / (own if g == 0 else own + other - both) if (own if g == 0 else own + other - both) > 0 else 0.0
+    runs = {}
+    for side, name in (("d", "det_id"), ("g", "obj_id")):
+        rows = [(1, o, s, n, 100, 1) for k in range(6) for (x, o), p in parts.items() if x == side for s, n in [p[k]]]
+        runs[side] = spark.createDataFrame(rows, f"image_id long, {name} long, start long, len long, height int, width int")
+    top = C.top_detections(spark.createDataFrame([(1, 1, o, 0.5) for o in range(5)], "image_id long, category_id int, det_id long, score double"), 100)
+    targets = C.numbered_targets(spark.createDataFrame([(1, 1, o, int(o == 0), 9.0) for o in range(5)],
+                                                       "image_id long, category_id int, obj_id long, iscrowd int, area double"))
+    got = {(r.det_id, r.obj_id): r.iou for r in C.mask_similarity(top, targets, runs["d"], runs["g"]).collect()}
+    want = {k: v for k, v in want.items() if v > 0}
+    assert got == pytest.approx(want)
