@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -296,6 +299,89 @@ def shortest_size_masks(runs: DataFrame, min_sizes: Sequence[int], max_size: int
 IOU_OPTIONS = (0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0)
 
 
+#: Boxes and trials that are compared at once.
+CROP_CELLS = 1 << 20
+
+_P1, _P2, _P3, _P5 = (np.array([p], dtype=np.uint64) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _hash_int(value: int | np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """``xxhash64`` of one more integer column: ``seed`` is the hash of those before it."""
+    h = seed + _P5 + np.uint64(4)
+    h = h ^ (np.asarray(value, dtype=np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF)) * _P1
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * _P2 + _P3
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def _unit(h: np.ndarray) -> np.ndarray:
+    """A hash as a number in [0, 1), as ``uniform`` makes it."""
+    return (h & np.uint64((1 << 30) - 1)).astype(np.float64) / float(1 << 30)
+
+
+def _crop_windows(options: tuple[float, ...], scale: tuple[float, float], aspect: tuple[float, float], trials: int, rounds: int):
+    """(hash of the image and the seed, width, height, boxes) → the window of each image, null where it stays."""
+    cuts = [0, *[c for c in (4, 12) if c < trials], trials]  # most images need few trials
+
+    def first_good(h: np.ndarray, size: np.ndarray, base: int, option: np.ndarray, low: int, high: int, xy: np.ndarray,
+                   first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these images have a good window among the trials, and the first one."""
+        t = np.arange(low, high)
+        u = [_unit(_hash_int(t, _hash_int(base + i, h)[:, None])) for i in (1, 2, 3, 4)]
+        w, hi = (np.trunc(np.nan_to_num(size[:, i, None] * (scale[0] + (scale[1] - scale[0]) * u[i]))) for i in (0, 1))
+        left, top = (np.trunc((size[:, i, None] - side) * u[2 + i]) for i, side in ((0, w), (1, hi)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = w / hi
+            image, trial = np.nonzero((hi > 0) & (w > 0) & (ratio >= aspect[0]) & (ratio <= aspect[1]))
+        cell = np.repeat(np.arange(len(image)), many[image])
+        box = np.repeat(first[image], many[image]) + np.arange(len(cell)) - np.repeat(np.cumsum(many[image]) - many[image], many[image])
+        windows = np.stack([left, top, left + w, top + hi])[:, image, trial]
+        x1, y1, x2, y2 = xy[:, box]
+        l, t_, r, b = windows[:, cell]
+        cx, cy = (x1 + x2) * 0.5, (y1 + y2) * 0.5
+        both = (np.minimum(x2, r) - np.maximum(x1, l)) * (np.minimum(y2, b) - np.maximum(y1, t_))
+        area = (x2 - x1) * (y2 - y1) + (r - l) * (b - t_)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            met = (l < cx) & (cx < r) & (t_ < cy) & (cy < b) & (both / (area - both) >= option[image][cell])
+        good = np.flatnonzero(np.bincount(cell[met], minlength=len(image)))
+        found, at = np.unique(image[good], return_index=True)
+        return found, windows[:, good[at]]
+
+    def run(hashes: pa.Array, widths: pa.Array, heights: pa.Array, boxes: pa.Array) -> pa.Array:
+        h = hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        size = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in (widths, heights)], axis=1)
+        many = pc.fill_null(boxes.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first, items = np.cumsum(many) - many, boxes.flatten()
+        xy = np.stack([items.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x1", "y1", "x2", "y2")])
+        out = np.full((4, len(h)), np.nan)
+        left = np.arange(len(h))
+        for n in range(rounds):
+            base = 1400 + 1000 * n
+            option = np.array(options)[(_unit(_hash_int(base, h[left])) * len(options)).astype(np.int64)]
+            left, option = left[option < 1], option[option < 1]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                cells = np.cumsum((many[left] + 1) * (high - low))
+                missed, at = [], 0
+                while at < len(left):
+                    to = max(at + 1, int(np.searchsorted(cells, (cells[at - 1] if at else 0) + CROP_CELLS, side="right")))
+                    mine = left[at:to]
+                    found, windows = first_good(h[mine], size[mine], base, option[at:to], low, high, xy, first[mine], many[mine])
+                    out[:, mine[found]] = windows
+                    missed.append(np.delete(np.arange(at, to), found))
+                    at = to
+                rest = np.concatenate(missed) if missed else np.zeros(0, dtype=np.int64)
+                left, option = left[rest], option[rest]
+            if not len(left):
+                break
+        empty = np.isnan(out[0])
+        sides = [pa.array(np.where(empty, 0, c).astype(np.int32), mask=empty) for c in out]
+        return pa.StructArray.from_arrays(sides, names=["left", "top", "right", "bottom"])
+
+    return F.arrow_udf(run, "struct<left:int,top:int,right:int,bottom:int>")
+
+
 def iou_crop(boxes: DataFrame, seed: int = 42, options: Sequence[float] = IOU_OPTIONS, scale: tuple[float, float] = (0.3, 1.0),
              aspect: tuple[float, float] = (0.5, 2.0), trials: int = 40, rounds: int = 8, key: str = "image_id") -> DataFrame:
     """Crop each image to a window with objects of enough overlap.
@@ -308,47 +394,14 @@ def iou_crop(boxes: DataFrame, seed: int = 42, options: Sequence[float] = IOU_OP
     are left as they are.  Boxes with their centre outside are dropped, the others shifted
     and clamped.  Extra columns stay; width and height become the window's.
 
-    The boxes of an image (bounded by it) stand in one row, where all rounds are drawn:
-    the plan does not grow with the rounds.
+    The boxes of an image (bounded by it) stand in one row; the rounds of many images are drawn
+    together in array passes, with the draws that ``uniform`` gives.
     """
     k = F.col(key)
-    corners = ["left", "top", "right", "bottom"]
-    images = boxes.groupBy(key).agg(F.first("width").alias("width"), F.first("height").alias("height"),
-                                    F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("boxes"))
-
-    def window(n: int) -> Column:
-        """The first good window of round n; one of nulls leaves the image as it is."""
-        base = 1400 + 1000 * n
-        option = F.element_at(F.array(*[F.lit(float(o)) for o in options]), (uniform(k, seed, base) * len(options)).cast("int") + 1)
-
-        def draw(i: int, trial: Column) -> Column:
-            return F.pmod(F.xxhash64(k, F.lit(seed), F.lit(base + i), trial), F.lit(1 << 30)) / float(1 << 30)
-
-        def sides(t: Column) -> Column:
-            w, h = (F.lit(scale[0]) + (scale[1] - scale[0]) * draw(i, t) for i in (1, 2))
-            return F.struct(t.alias("t"), (F.col("width") * w).cast("int").alias("w"), (F.col("height") * h).cast("int").alias("h"))
-
-        def place(s: Column) -> Column:
-            left, top = (((F.col(of) - s[c]) * draw(i, s["t"])).cast("int") for of, c, i in (("width", "w", 3), ("height", "h", 4)))
-            return F.struct(left.alias("left"), top.alias("top"), (left + s["w"]).alias("right"), (top + s["h"]).alias("bottom"))
-
-        def met(b: Column, r: Column) -> Column:
-            both = ((F.least(b["x2"], r["right"]) - F.greatest(b["x1"], r["left"]))
-                    * (F.least(b["y2"], r["bottom"]) - F.greatest(b["y1"], r["top"])))
-            area = (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) + (r["right"] - r["left"]) * (r["bottom"] - r["top"])
-            return F.coalesce(F.when(_centre_inside(b, r), both / (area - both) >= option), F.lit(False))
-
-        def first_good(low: int, high: int) -> Column:
-            drawn = F.filter(F.transform(F.sequence(F.lit(low), F.lit(high - 1)), sides),
-                             lambda s: (s["h"] > 0) & (s["w"] > 0) & (s["w"] / s["h"]).between(*aspect))
-            return F.get(F.filter(F.transform(drawn, place), lambda r: F.exists("boxes", lambda b: met(b, r))), F.lit(0))
-
-        none = F.struct(*[F.lit(None).cast("int").alias(c) for c in corners])
-        cuts = [0, *[c for c in (4, 12) if c < trials], trials]  # most images need few trials
-        return F.when(option >= 1, none).otherwise(F.coalesce(*[first_good(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]))
-
-    # A later round is drawn only where those before found nothing: coalesce stops there.
-    taken = images.select(key, F.coalesce(*[window(n) for n in range(rounds)]).alias("window"))
+    images = boxes.groupBy(key).agg(F.first("width").cast("double").alias("width"), F.first("height").cast("double").alias("height"),
+                                    F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])).alias("boxes"))
+    windows = _crop_windows(tuple(float(o) for o in options), scale, aspect, trials, rounds)
+    taken = images.select(key, windows(F.xxhash64(k, F.lit(seed)), "width", "height", "boxes").alias("window"))
     j = boxes.join(taken, key, "left").select("*", *[F.col(f"window.{c}").alias(c) for c in ("left", "top", "right", "bottom")])
     cropped = F.col("left").isNotNull()
     j = j.where(~cropped | _centre_inside())
@@ -359,12 +412,10 @@ def iou_crop(boxes: DataFrame, seed: int = 42, options: Sequence[float] = IOU_OP
                           "height": F.when(cropped, h).otherwise(F.col("height"))}).select(*boxes.columns)
 
 
-def _centre_inside(box: Column | None = None, window: Column | None = None) -> Column:
-    """A box's centre lies strictly inside the window: structs, or columns of the row."""
-    x1, y1, x2, y2 = (F.col(c) if box is None else box[c] for c in ("x1", "y1", "x2", "y2"))
-    left, top, right, bottom = (F.col(c) if window is None else window[c] for c in ("left", "top", "right", "bottom"))
-    cx, cy = (x1 + x2) * 0.5, (y1 + y2) * 0.5
-    return (left < cx) & (cx < right) & (top < cy) & (cy < bottom)
+def _centre_inside() -> Column:
+    """A box's centre lies strictly inside the row's window."""
+    cx, cy = (F.col("x1") + F.col("x2")) * 0.5, (F.col("y1") + F.col("y2")) * 0.5
+    return (F.col("left") < cx) & (cx < F.col("right")) & (F.col("top") < cy) & (cy < F.col("bottom"))
 
 
 # ---------------------------------------------------------------- B19 ----

@@ -352,3 +352,26 @@ def test_copy_paste_partitions_grow_with_the_runs(spark, monkeypatch):
     assert sorted(tuple(r) for r in A.copy_paste(images, objects, runs)[0].collect()) == want
     default = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert files["pasted"] > default and files["left"] > default
+
+
+def test_iou_crop_draws_in_arrays(spark):
+    """The draws of many images in one array pass are those of ``uniform``, for any type of key, and no window is
+    looked for by a lambda of the plan."""
+    for keys in ([1, -5, 1 << 40, None], ["a", "", None, "long name of an image"]):
+        kind = "string" if "a" in keys else "long"
+        df = spark.createDataFrame([(k,) for k in keys], f"image_id {kind}").select(
+            A.uniform(F.col("image_id"), 42, 1400).alias("u"), F.xxhash64("image_id", F.lit(42), F.lit(1401), F.lit(7)).alias("x"),
+            F.xxhash64("image_id", F.lit(42)).alias("h")).toPandas()
+        h = df.h.to_numpy().view(np.uint64)
+        assert A._unit(A._hash_int(1400, h)).tolist() == df.u.tolist()
+        assert A._hash_int(7, A._hash_int(1401, h)).view(np.int64).tolist() == df.x.tolist()
+    rows = [(f"i{i}", k, 5.0 * k, 10.0, 5.0 * k + 40, 50.0 + i, 100, 80) for i in range(40) for k in range(i % 4)]
+    boxes = spark.createDataFrame(rows, "image_id string, obj_id int, x1 double, y1 double, x2 double, y2 double, width int, height int")
+    out = A.iou_crop(boxes)
+    assert "lambdafunction" not in out._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(tuple(r) for r in out.collect())
+    cells, A.CROP_CELLS = A.CROP_CELLS, 1
+    try:
+        assert sorted(tuple(r) for r in A.iou_crop(boxes).collect()) == whole
+    finally:
+        A.CROP_CELLS = cells
