@@ -9,7 +9,7 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import clamp
+from . import coco_packed as packed
 from . import mask_geometry as G
 from . import masks
 from .match import dense_index
@@ -424,11 +425,87 @@ def _centre_inside() -> Column:
 RUNS_A_PART = 1 << 19
 
 
+#: Rows of whole images that are taken together.
+ROWS_AT_ONCE = 20000
+
+
 def _by_image(df: DataFrame, runs: int) -> DataFrame:
     """``df`` dealt by image into as many partitions as this number of runs calls for: the
     adaptive planner merges the default partitions but does not split them for a window."""
     n = -(-runs // RUNS_A_PART)
-    return df.repartition(n, "image_id") if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    return df.repartition(n, "image_id") if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition("image_id")
+
+
+def _runs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of lists of packed runs, each row's merged."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    item, start, length = packed.unpack_runs(column.flatten())
+    row = pc.list_parent_indices(column).to_numpy()[item]
+    return packed.union(row, start, start + length)
+
+
+def _stretched():
+    """(lists of packed runs, old height and width, new height and width) → lists of the rescaled masks' packed runs."""
+    def run(runs: pa.Array, *sizes: pa.Array) -> pa.Array:
+        row, start, end = _runs_of(runs)
+        h, w, nh, nw = (packed.numbers(c).astype(np.float64) for c in sizes)
+        known = ~np.isnan(h + w + nh + nw)[row]
+        whole = [np.nan_to_num(v, nan=1).astype(np.int64) for v in (h, w, nh, nw)]
+        row, start, length = packed.stretch(row[known], start[known], (end - start)[known], whole[:2], whole[2:])
+        bytes_ = packed.encode_rows(row, start, length, len(runs))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(runs) + 1, dtype=np.int32)), bytes_)
+
+    return F.arrow_udf(run, "array<binary>")
+
+
+def _occlude(kinds: dict[str, str], with_runs: bool):
+    """Objects of whole images, own and pasted, → those that are left, with their boxes and areas (and runs)."""
+    names = ["image_id", "obj_id", "category_id", "x1", "y1", "x2", "y2", "iscrowd"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in packed.whole_groups(batches, ["image_id"], ROWS_AT_ONCE):
+            image = np.cumsum(packed.changes(table.column("image_id"))) - 1
+            pasted = packed.flags(table.column("pasted"))
+            n, images = len(image), int(image[-1]) + 1
+            row, start, end = _runs_of(table.column("runs"))
+            on_top = pasted[row]
+            cover = packed.union(image[row[on_top]], start[on_top], end[on_top])
+            own = [v[~on_top] for v in (row, start, end)]
+            which, begin, stop = packed.subtract(image[own[0]], own[1], own[2], cover)
+            row = np.concatenate((row[on_top], own[0][which]))
+            start, end = np.concatenate((start[on_top], begin)), np.concatenate((end[on_top], stop))
+            area = np.bincount(row, weights=end - start, minlength=n)
+            touched = np.bincount(image[pasted], minlength=images)[image] > 0
+            changed = touched & ~pasted
+            # The box of what is left, inclusive; a run over a column's border covers all rows.
+            height = np.nan_to_num(packed.numbers(table.column("height")), nan=1).astype(np.int64)
+            h = height[row]
+            x = [start // h, (end - 1) // h]
+            wide = x[1] > x[0]
+            sides = [np.full(n, np.inf), np.full(n, np.inf), np.full(n, -np.inf), np.full(n, -np.inf)]
+            for side, at, best in zip(sides, (x[0], np.where(wide, 0, start % h), x[1], np.where(wide, h - 1, (end - 1) % h)),
+                                      (np.minimum, np.minimum, np.maximum, np.maximum), strict=True):
+                best.at(side, row, at)
+            given = [packed.numbers(table.column(c)) for c in ("x1", "y1", "x2", "y2")]
+            null = [np.isnan(g) & ~changed for g in given]
+            box = [np.where(changed, s, g) for s, g in zip(sides, given, strict=True)]
+            keep = np.where(touched, (box[2] > box[0]) & (box[3] > box[1]), True)
+            ids = table.column("obj_id").combine_chunks()
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            number = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            most = np.full(images, np.iinfo(np.int64).min)
+            np.maximum.at(most, image[~pasted & known], number[~pasted & known])
+            shift = np.where(most[image] == np.iinfo(np.int64).min, 0, most[image] + 1)
+            columns = {c: table.column(c) for c in (*names, "pasted", "height", "width")}
+            columns["obj_id"] = pa.array(np.where(pasted, number + shift, number), mask=~known).cast(ids.type)
+            columns |= {c: pa.array(np.where(z, 0, b), mask=z) for c, b, z in zip(("x1", "y1", "x2", "y2"), box, null, strict=True)}
+            columns["area"] = pa.array(area)
+            if with_runs:
+                order = np.lexsort((start, row))
+                columns["runs"] = packed.encode_rows(row[order], start[order], (end - start)[order], n)
+            yield from pa.table({c: columns[c] for c in kinds}).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
 
 
 def copy_paste(images: DataFrame, objects: DataFrame, runs: DataFrame, batch_size: int = 8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -460,46 +537,42 @@ def copy_paste(images: DataFrame, objects: DataFrame, runs: DataFrame, batch_siz
     pairs = before.join(placed.select("batch", "at", F.col("image_id").alias("source"), F.col("height").alias("sh"), F.col("width").alias("sw")),
                         ["batch", "at"]).select("image_id", "height", "width", "source", "sh", "sw")
     # The draws of a source: its objects (bounded by the image) in order, n draws of a rank.
-    objects = stored(objects, "objects")
-    count = objects.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.max("obj_id").alias("most"))
-    rest = [c for c in objects.columns if c not in ("image_id", "obj_id")]
-    lists = objects.where(F.col("image_id").isNotNull()).groupBy("image_id").agg(
-        F.array_sort(F.collect_list(F.struct("obj_id", *rest))).alias("o"))
-
-    def rank(draw: Column) -> Column:
-        u = F.pmod(F.xxhash64(k, F.lit(seed), F.lit(190), draw), F.lit(1 << 30)) / float(1 << 30)
-        return (u * F.size("o").cast("long")).cast("long")
-
-    ranks = F.array_distinct(F.transform(F.sequence(F.lit(1).cast("long"), F.size("o").cast("long")), rank))
-    picked = lists.select(k.alias("source"), "o", F.explode(ranks).alias("r")).select("source", F.get("o", F.col("r").cast("int")).alias("o"))
-    chosen = stored(picked.select("source", "o.*"), "chosen")
-    sx, sy = F.col("width") / F.col("sw"), F.col("height") / F.col("sh")
-    offset = count.select("image_id", (F.col("most") + 1).alias("shift"))
-    to = stored(pairs.join(offset, "image_id", "left").fillna(0, ["shift"]), "pairs")
-    pasted = chosen.join(to, "source").select(
-        "image_id", (F.col("obj_id") + F.col("shift")).alias("obj_id"), "category_id", (F.col("x1") * sx).alias("x1"), (F.col("y1") * sy).alias("y1"),
-        (F.col("x2") * sx).alias("x2"), (F.col("y2") * sy).alias("y2"), "iscrowd", F.lit(True).alias("pasted"))
-    source_runs = runs.join(chosen.select(F.col("source").alias("image_id"), "obj_id"), ["image_id", "obj_id"], "left_semi").withColumnRenamed(
-        "image_id", "source").drop("height", "width")
     n_runs = runs.count()
-    stretched = G.stretch(_by_image(source_runs.join(to, "source").select(
-        "image_id", (F.col("obj_id") + F.col("shift")).alias("obj_id"), "start", "len", F.col("sh").alias("height"), F.col("sw").alias("width"),
-        F.col("height").alias("__h"), F.col("width").alias("__w")), n_runs), F.col("__h"), F.col("__w"))
-    paste_runs = stored(stretched, "pasted")
-    cover = masks.union_runs(_by_image(paste_runs, n_runs))
-    own = stored(G.subtract(_by_image(runs, n_runs), cover), "left")
-    touched = to.join(count.select(F.col("image_id").alias("source")), "source").select("image_id").distinct()
-    box = masks.boxes(own).select("image_id", "obj_id", *[F.col(a).cast("double").alias(b) for a, b in (
-        ("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2"))])
-    covered = objects.join(touched, "image_id", "left_semi").drop("x1", "y1", "x2", "y2").join(box, ["image_id", "obj_id"])
-    same = objects.join(touched, "image_id", "left_anti")
-    columns = ["image_id", "obj_id", "category_id", "x1", "y1", "x2", "y2", "iscrowd"]
-    every_run = own.unionByName(paste_runs)
-    area = every_run.groupBy("image_id", "obj_id").agg(F.sum("len").cast("double").alias("area"))
-    out = (covered.select(*columns, F.lit(False).alias("pasted")).unionByName(pasted)).where(
-        (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).unionByName(same.select(*columns, F.lit(False).alias("pasted")))
-    out = out.join(area, ["image_id", "obj_id"], "left").fillna(0.0, ["area"])
-    return out, every_run.join(out.select("image_id", "obj_id"), ["image_id", "obj_id"], "left_semi")
+    rest = [c for c in objects.columns if c not in ("image_id", "obj_id")]
+    ordered, whole = Window.partitionBy("image_id").orderBy("obj_id", *rest), Window.partitionBy("image_id")
+    u = F.pmod(F.xxhash64(k, F.lit(seed), F.lit(190), F.col("r").cast("long")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = _by_image(objects, n_runs).withColumns({"r": F.row_number().over(ordered), "n": F.count(F.lit(1)).over(whole)}).withColumn(
+        "drawn", F.collect_set((u * F.col("n")).cast("long")).over(whole)).withColumn(
+        "chosen", k.isNotNull() & F.array_contains("drawn", F.col("r").cast("long") - 1)).drop("r", "n", "drawn")
+    # Masks travel as packed runs beside their objects; what an image gives goes to its target with them.
+    masks_of = _by_image(packed.pack_runs(runs, "obj_id"), n_runs).groupBy("image_id", "obj_id").agg(F.collect_list("runs").alias("runs"))
+    given = _by_image(pairs.select(F.col("source").alias("image_id"), F.struct(
+        F.col("image_id").alias("to"), "height", "width", "sh", "sw").alias("t")), n_runs).groupBy("image_id").agg(F.collect_list("t").alias("to"))
+    j = drawn.join(masks_of, ["image_id", "obj_id"], "left").join(given, "image_id", "left")
+    size = F.get("to", F.lit(0))
+    itself = F.struct(k.alias("to"), size["sh"].alias("height"), size["sw"].alias("width"), size["sh"].alias("sh"), size["sw"].alias("sw"))
+    none = F.array().cast(given.schema["to"].dataType)
+    copies = j.select("*", F.posexplode(F.concat(F.array(itself), F.when(F.col("chosen"), F.coalesce("to", none)).otherwise(none))).alias("pos", "t")).withColumn(
+        "pasted", F.col("pos") > 0)
+    new = _stretched()(F.when(F.col("pasted"), F.col("runs")), "t.sh", "t.sw", "t.height", "t.width")
+    sx, sy = (F.when(F.col("pasted"), F.col(f"t.{a}") / F.col(f"t.{b}")).otherwise(F.lit(1.0)) for a, b in (("width", "sw"), ("height", "sh")))
+    made = copies.withColumn("__new", new).select(
+        F.col("t.to").alias("image_id"), "obj_id", "category_id", *[(F.col(c) * s).alias(c) for c, s in (("x1", sx), ("y1", sy), ("x2", sx), ("y2", sy))],
+        "iscrowd", "pasted", F.when(F.col("pasted"), F.col("__new")).otherwise(F.col("runs")).alias("runs"), "t.height", "t.width")
+    pasted = stored(made, "pasted")
+    dealt = _by_image(pasted, n_runs).sortWithinPartitions("image_id", "pasted", "obj_id")
+    columns = ["image_id", "obj_id", "category_id", "x1", "y1", "x2", "y2", "iscrowd", "pasted", "area"]
+    kinds = {c: "double" if c == "area" else pasted.schema[c].dataType.simpleString() for c in columns}
+
+    def left(more: dict[str, str]) -> DataFrame:
+        fields = {**kinds, **more}
+        return dealt.mapInArrow(_occlude(fields, "runs" in more), ", ".join(f"{c} {t}" for c, t in fields.items()))
+
+    out = stored(left({}), "left")
+    sizes = {c: pasted.schema[c].dataType.simpleString() for c in ("height", "width")}
+    moved = left({**sizes, "runs": "binary"}).dropDuplicates(["image_id", "obj_id"]).select(
+        "image_id", "obj_id", F.inline(packed.unpacked(F.col("runs"))), "height", "width")
+    return out, moved
 
 
 def compose(df: DataFrame, *steps) -> DataFrame:

@@ -7,7 +7,7 @@ object exactly, byte by byte in planes.  Both forms give back the same numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +54,40 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]:offsets[-1]], np.diff(offsets)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], least: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys`` in tables of whole groups, ``least`` rows or more."""
+    held, rows, wanted = [], 0, least
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < wanted:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = int(np.flatnonzero(changes(*(table.column(c) for c in keys)))[-1])
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        wanted = max(least, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def encode_runs(start: np.ndarray, length: np.ndarray, new: np.ndarray) -> pa.Array:
     """Bytes of the runs of each object; ``new`` marks its first run."""
-    before = np.concatenate(([0], (start + length)[:-1]))
+    return _binary(*_encoded(start, length, new))
+
+
+def encode_rows(row: np.ndarray, start: np.ndarray, length: np.ndarray, count: int) -> pa.Array:
+    """Bytes of the runs of ``count`` rows (``row`` ascending); a row without any has none."""
+    new = np.diff(row, prepend=-1) != 0
+    data, held = _encoded(start, length, new)
+    sizes = np.zeros(count, dtype=np.int64)
+    sizes[row[new]] = held
+    return _binary(data, sizes)
+
+
+def _encoded(start: np.ndarray, length: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    before = np.concatenate(([0], (start + length)[:-1]))[:len(start)]
     gap = start - np.where(new, 0, before)
     values = np.stack(((gap << 1) ^ (gap >> 63), (length << 1) ^ (length >> 63)), axis=1).reshape(-1).astype(np.uint64)
     groups = np.ones(len(values), dtype=np.int64)
@@ -68,7 +99,7 @@ def encode_runs(start: np.ndarray, length: np.ndarray, new: np.ndarray) -> pa.Ar
     place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - groups, groups)
     data = (np.repeat(values, groups) >> (7 * place).astype(np.uint64)).astype(np.uint8) & 0x7F
     data[place + 1 < np.repeat(groups, groups)] |= 0x80
-    return _binary(data, np.add.reduceat(groups, 2 * np.flatnonzero(new)) if len(values) else np.zeros(0, dtype=np.int64))
+    return data, np.add.reduceat(groups, 2 * np.flatnonzero(new)) if len(values) else np.zeros(0, dtype=np.int64)
 
 
 def unpack_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +119,54 @@ def unpack_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, total - length - base, length
 
 
+def union(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs [start, end) of each key, what overlaps or touches as one, sorted by key and start."""
+    span = int(end.max(initial=0)) + 2
+    order = np.argsort(key * span + start, kind="stable")
+    key, start, end = key[order], start[order], end[order]
+    reach = np.maximum.accumulate(key * span + end)
+    head = np.flatnonzero(np.append(True, (key * span + start)[1:] > reach[:-1])[:len(start)])
+    return key[head], start[head], np.maximum.reduceat(end, head) if len(head) else end
+
+
+def stretch(row: np.ndarray, start: np.ndarray, length: np.ndarray, old: Sequence[np.ndarray], new: Sequence[np.ndarray]) -> tuple:
+    """Runs (row, start, length) rescaled as ``mask_geometry.stretch`` does; ``old`` and ``new`` are (height, width) of each row."""
+    def spread(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.repeat(np.arange(len(many)), many)
+        return at, np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+
+    def up(at: np.ndarray, was: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (at * size + was - 1) // was
+
+    h, w, nh, nw = (v[row] for v in (*old, *new))
+    at, k = spread((start + length - 1) // h - start // h + 1)
+    column, h, w, nh, nw, row = (start // h)[at] + k, h[at], w[at], nh[at], nw[at], row[at]
+    top, bottom = np.maximum(start[at] - column * h, 0), np.minimum((start + length)[at] - column * h, h)
+    first, past = up(column, w, nw), up(column + 1, w, nw)
+    top, bottom = up(top, h, nh), up(bottom, h, nh)
+    at, k = spread(np.where(top < bottom, np.maximum(past - first, 0), 0))
+    begin = (first[at] + k) * nh[at]
+    row, begin, end = union(row[at], begin + top[at], begin + bottom[at])
+    return row, begin, end - begin
+
+
+def subtract(of: np.ndarray, start: np.ndarray, end: np.ndarray, cover: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a cover (key, start, end: merged and sorted) leaves of runs of keys ``of``: (run, start, end)."""
+    span = max(int(end.max(initial=0)), int(cover[2].max(initial=0))) + 2
+    begins, ends = cover[0] * span + cover[1], cover[0] * span + cover[2]
+    s, e = of * span + start, of * span + end
+    low = np.searchsorted(ends, s, side="right")
+    many = np.maximum(np.searchsorted(begins, e, side="left") - low, 0)
+    run = np.repeat(np.arange(len(of)), many + 1)
+    k = np.arange(len(run)) - np.repeat(np.cumsum(many + 1) - many - 1, many + 1)
+    after, before = np.append(-1, ends), np.append(begins, -1)
+    a = np.where(k == 0, s[run], after[low[run] + k])
+    b = np.where(k == many[run], e[run], before[low[run] + k])
+    some = a < b
+    run, base = run[some], (of * span)[run[some]]
+    return run, a[some] - base, b[some] - base
+
+
 def pack_runs(runs: DataFrame, obj: str) -> DataFrame:
     """Runs (image_id, ``obj``, start, len) → (image_id, ``obj``, runs): those that lie together in
     one row, so an object whose runs are scattered has several."""
@@ -106,6 +185,17 @@ def pack_runs(runs: DataFrame, obj: str) -> DataFrame:
     return whole.mapInArrow(run, ", ".join([*keys, "runs binary"]))
 
 
+def unpacked(runs: Column) -> Column:
+    """Packed runs → array of structs (start, len)."""
+    def run(column: pa.Array) -> pa.Array:
+        row, start, length = unpack_runs(column)
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(column)))))
+        items = pa.StructArray.from_arrays([pa.array(start), pa.array(length)], names=["start", "len"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+
+    return F.arrow_udf(run, "array<struct<start:bigint,len:bigint>>")(runs)
+
+
 # ------------------------------------------------------------------- keypoints ----
 
 #: Number types of coordinates, by the code in an object's first byte.

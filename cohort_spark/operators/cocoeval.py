@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, stored
-from .coco_packed import ABSENT, LABELLED, changes, flags, no_labels, numbers, pack_points, pack_runs, unpack_points, unpack_runs
+from .coco_packed import ABSENT, LABELLED, changes, flags, no_labels, numbers, pack_points, pack_runs, unpack_points, unpack_runs, whole_groups
 from .match import range_partitions
 
 # Fixed evaluation parameters of the COCO protocol.
@@ -230,24 +230,6 @@ def _sides(top: DataFrame, targets: DataFrame, dets: Sequence[Column | str], the
     return both.withColumn("place", F.row_number().over(w)).sortWithinPartitions(*order)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted rows in tables of whole (image, category) groups, ``STEP`` rows or more."""
-    held, rows, least = [], 0, STEP
-    for b in batches:
-        held.append(b)
-        rows += b.num_rows
-        if rows < least:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        cut = int(np.flatnonzero(changes(*(table.column(c) for c in _GROUP)))[-1])
-        if cut:
-            yield table.slice(0, cut)
-        held, rows = table.slice(cut).to_batches(), table.num_rows - cut
-        least = max(STEP, 2 * rows)
-    if rows:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _pairs(table: pa.Table, of: Callable) -> tuple:
     """Of whole groups: the objects' first rows, which of them are targets, areas, and the
     pairs of each group as blocks (detection, target, similarity), sorted by detection and target."""
@@ -283,7 +265,7 @@ def _similarities(top: DataFrame, targets: DataFrame, kind: _Kind, overlapping:
     ids, of = [*named[0], *named[1]], kind.of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
+        for table in whole_groups(batches, _GROUP, STEP):
             first, _, _, blocks = _pairs(table, of)
             rows_of = np.flatnonzero(first)
             for d, g, iou in blocks:
@@ -386,7 +368,7 @@ def match(top: DataFrame, targets: DataFrame, kind: _Kind, areas: Sequence[str]
     rows, of = _sides(top, targets, [F.col("score"), *kind.dets], theirs), kind.of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
+        for table in whole_groups(batches, _GROUP, STEP):
             first, target, area, blocks = _pairs(table, of)
             kept = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
             kept += [tuple(v[iou >= IOU_THRS[0]] for v in (d, g, iou)) for d, g, iou in blocks]

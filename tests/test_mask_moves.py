@@ -375,3 +375,27 @@ def test_iou_crop_draws_in_arrays(spark):
         assert sorted(tuple(r) for r in A.iou_crop(boxes).collect()) == whole
     finally:
         A.CROP_CELLS = cells
+
+
+def test_copy_paste_shuffles_masks_as_packed_runs(spark, monkeypatch):
+    """Pasted and own masks meet in one shuffle by image, without a row for each run, however the runs lie in their table."""
+    from cohort_spark import session
+    plans, stored = {}, session.stored
+
+    def record(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(session, "stored", record)
+    rows = [(f"i{i:02d}", k, 10 * c + (i + c) % 5, 4 - k, 10, 30) for i in range(20) for k in (1, 2) for c in range(i % 9 + 2)]
+    runs = spark.createDataFrame(rows, RUNS)
+    images = runs.select("image_id", "height", "width").distinct()
+    objects = runs.groupBy("image_id", "obj_id").agg(*[F.lit(v).alias(c) for c, v in (
+        ("category_id", 1), ("x1", 0.0), ("y1", 0.0), ("x2", 29.0), ("y2", 3.0), ("iscrowd", 0))])
+    out, moved = A.copy_paste(images, objects, runs)
+    assert plans["left"].count("Exchange hashpartitioning") == 1 and "Generate" not in plans["left"] and "Window" not in plans["left"]
+    got, pixels = sorted(tuple(r) for r in out.collect()), shapes_of(moved)
+    assert {(r[0], r[1]): r[9] for r in got} == {k: float(v.sum()) for k, v in pixels.items()}
+    out, moved = A.copy_paste(images, objects, runs.repartition(7, "start"))
+    assert sorted(tuple(r) for r in out.collect()) == got
+    assert {k: v.tolist() for k, v in shapes_of(moved).items()} == {k: v.tolist() for k, v in pixels.items()}
