@@ -15,12 +15,15 @@ Arrow batches by their bytes (``session``).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # Default extractor settings (no parameter file is passed in the source).
@@ -66,63 +69,94 @@ def discretize(roi: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
 
 # ------------------------------------------------------------------ R1 ----
 
+def _sums(key: np.ndarray, count: int, *values: np.ndarray) -> list[np.ndarray]:
+    """The sum of each of ``values`` for each key."""
+    return [np.bincount(key, weights=v, minlength=count) for v in values]
+
+
+def _spread(key: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, value) in order, the sum of their weights, and the place of each row among them."""
+    wide = int(value.max(initial=0)) + 1
+    pairs, place = np.unique(key * wide + value, return_inverse=True)
+    return pairs // wide, pairs % wide, np.bincount(place, weights=weight, minlength=len(pairs)), place
+
+
+def _features(rows: DataFrame, family: str, names: Sequence[str], columns: Sequence[str], of: Callable) -> DataFrame:
+    """``of(number of rows, columns)`` gives the features of many images and channels, and which of them have any, in
+    array passes; → long form, without a row for those that have none."""
+    def run(*lists: pa.Array) -> pa.Array:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            values, known = of(len(lists[0]), lists)
+        made = [np.asarray(values[n], dtype=np.float64) for n in names]
+        return pa.StructArray.from_arrays([pa.array(np.nan_to_num(v), mask=np.isnan(v)) for v in made], names=list(names),
+                                          mask=pa.array(~known))
+
+    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+    keys = [c for c in IC if c in rows.columns]
+    f = rows.select(*keys, F.arrow_udf(run, kind)(*columns).alias("f")).where(F.col("f").isNotNull())
+    return _long(f, keys, family, {n: F.col("f")[n] for n in names})
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _of_family(lists: Sequence[pa.Array], family: str) -> tuple[np.ndarray, ...]:
+    """(row, angle, a, b, n, val) of one family's counts."""
+    mine = _flat(lists[0]) == ALL_FAMILIES.index(family)
+    row = pc.list_parent_indices(lists[0]).to_numpy(zero_copy_only=False)[mine].astype(np.int64)
+    return row, *(_flat(c)[mine] for c in lists[1:])
+
+
+FIRSTORDER_NAMES = [
+    "Energy", "TotalEnergy", "Entropy", "Minimum", "10Percentile", "90Percentile", "Maximum", "Mean", "Median", "InterquartileRange", "Range",
+    "MeanAbsoluteDeviation", "RobustMeanAbsoluteDeviation", "RootMeanSquared", "Skewness", "Kurtosis", "Variance", "Uniformity"]
+
+
+def _firstorder(count: int, lists: Sequence[pa.Array]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    row, _, v, _, c, _ = _of_family(lists, "fo")
+    order = np.lexsort((v, row))
+    row, v, c = row[order], v[order].astype(np.float64), c[order].astype(np.float64)
+    N, S1, S2 = _sums(row, count, c, c * v, c * v * v)
+    known, mean = N > 0, S1 / N
+    # Exact linear percentiles weighted by the counts.
+    below = np.cumsum(c)
+    base = np.cumsum(N) - N
+
+    def quantile(q: float) -> np.ndarray:
+        at = q * (N - 1)
+        low, high = (v[np.minimum(np.searchsorted(below, base + place, side="right"), len(v) - 1)] for place in (np.floor(at), np.ceil(at)))
+        return np.where(low == high, low, (np.ceil(at) - at) * low + (at - np.floor(at)) * high)
+
+    p10, p25, p50, p75, p90 = (quantile(q) if len(v) else np.zeros(count) for q in (0.1, 0.25, 0.5, 0.75, 0.9))
+    d = v - mean[row]
+    m2, m3, m4, mad = (x / N for x in _sums(row, count, c * d * d, c * d * d * d, c * d * d * d * d, c * np.abs(d)))
+    mid = (v >= p10[row]) & (v <= p90[row])
+    rn, rs = _sums(row[mid], count, c[mid], c[mid] * v[mid])
+    rmad = _sums(row[mid], count, c[mid] * np.abs(v[mid] - (rs / rn)[row[mid]]))[0] / rn
+    lrow, _, _, _, n, _ = _of_family(lists, "lvl")
+    p = n / N[lrow]
+    entropy, uniformity = _sums(lrow, count, -p * np.log2(p + EPS), p * p)
+    low, high = np.full(count, np.inf), np.full(count, -np.inf)
+    np.minimum.at(low, row, v)
+    np.maximum.at(high, row, v)
+    flat = m2 == 0
+    values = [S2, S2, entropy, low, p10, p90, high, mean, p50, p75 - p25, high - low, mad, rmad, np.sqrt(S2 / N),
+              np.where(flat, 0.0, m3 / np.power(m2, 1.5)), np.where(flat, 0.0, m4 / (m2 * m2)), m2, uniformity]
+    return dict(zip(FIRSTORDER_NAMES, values, strict=True)), known
+
+
 def firstorder(stats: DataFrame) -> DataFrame:
     """18 first-order features from the (value → count) and (level → count)
     records of ``texture_stats``."""
-    vc = stats.where(F.col("fam") == "fo").select(*IC, F.col("a").alias("v"), F.col("n").alias("c"))
-    lv = stats.where(F.col("fam") == "lvl").select(*IC, F.col("a").alias("g"), F.col("n").alias("c"))
-    v = F.col("v").cast("double")
-    # exact linear percentiles weighted by the counts; a group holds at most
-    # 256 distinct intensities, so the percentile buffer is bounded
-    pct = F.percentile(v, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]), F.col("c"))
-    base = vc.groupBy(*IC).agg(
-        F.sum("c").alias("N"), F.sum(F.col("c") * v * v).alias("S2"),
-        F.min("v").cast("double").alias("mn"), F.max("v").cast("double").alias("mx"),
-        (F.sum(F.col("c") * v) / F.sum("c")).alias("mean"), pct.alias("__q"))
-    base = base.select("*", *[F.col("__q")[k].alias(n) for k, n in enumerate(["p10", "p25", "p50", "p75", "p90"])])
-    q = base.select(*IC, "p10", "p25", "p50", "p75", "p90")
-    d = v - F.col("mean")
-    mom = vc.join(base.select(*IC, "mean", "N"), IC).groupBy(*IC).agg(
-        (F.sum(F.col("c") * d * d) / F.first("N")).alias("m2"),
-        (F.sum(F.col("c") * d * d * d) / F.first("N")).alias("m3"),
-        (F.sum(F.col("c") * d * d * d * d) / F.first("N")).alias("m4"),
-        (F.sum(F.col("c") * F.abs(d)) / F.first("N")).alias("mad"))
-    rob = vc.join(q.select(*IC, "p10", "p90"), IC).where((v >= F.col("p10")) & (v <= F.col("p90")))
-    rmean = rob.groupBy(*IC).agg((F.sum(F.col("c") * v) / F.sum("c")).alias("rmean"), F.sum("c").alias("rn"))
-    rmad = rob.join(rmean, IC).groupBy(*IC).agg(
-        (F.sum(F.col("c") * F.abs(v - F.col("rmean"))) / F.first("rn")).alias("rmad"))
-    p = F.col("c") / F.col("N")
-    ent = lv.join(base.select(*IC, "N"), IC).groupBy(*IC).agg(
-        (-F.sum(p * F.log2(p + EPS))).alias("entropy"), F.sum(p * p).alias("uniformity"))
-    a = base.join(mom, IC).join(rmad, IC, "left").join(ent, IC)
-    m2 = F.col("m2")
-    feats = {
-        "Energy": F.col("S2"),
-        "TotalEnergy": F.col("S2"),
-        "Entropy": F.col("entropy"),
-        "Minimum": F.col("mn"),
-        "10Percentile": F.col("p10"),
-        "90Percentile": F.col("p90"),
-        "Maximum": F.col("mx"),
-        "Mean": F.col("mean"),
-        "Median": F.col("p50"),
-        "InterquartileRange": F.col("p75") - F.col("p25"),
-        "Range": F.col("mx") - F.col("mn"),
-        "MeanAbsoluteDeviation": F.col("mad"),
-        "RobustMeanAbsoluteDeviation": F.col("rmad"),
-        "RootMeanSquared": F.sqrt(F.col("S2") / F.col("N")),
-        "Skewness": F.when(m2 == 0, F.lit(0.0)).otherwise(F.col("m3") / F.pow(m2, 1.5)),
-        "Kurtosis": F.when(m2 == 0, F.lit(0.0)).otherwise(F.col("m4") / (m2 * m2)),
-        "Variance": m2,
-        "Uniformity": F.col("uniformity"),
-    }
-    return _long(a, IC, "firstorder", feats)
+    return _features(stats, "firstorder", FIRSTORDER_NAMES, _TABLES, _firstorder)
 
 
 # --------------------------------------------------------- count tables ----
 
 ALL_FAMILIES = ("fo", "lvl", "glcm", "glrlm", "gldm", "ngtdm")
 _STATS = "fam int, angle int, a int, b int, n bigint, val double"
+_TABLES = [c.split()[0] for c in _STATS.split(", ")]
 GRID_CELLS = 1 << 21  # cells of the grids that are held at once
 
 
@@ -256,167 +290,130 @@ def texture_stats(roi_g: DataFrame, alpha: int = 0, families: Sequence[str] = AL
     * ``gldm`` (a = level, b = dependence)
     * ``ngtdm`` (a = level, val = |g − neighbour mean|)
 
-    The ROIs of a batch of images and channels (each bounded by its image) go through array
+    One row for each image and channel holds them as lists; ``fam`` is the place in ``ALL_FAMILIES``.  The ROIs of
+    a batch of images and channels (each bounded by its image) go through array
     shifts together, which give the counts alone.  The result is small (bounded by levels² per image and
     channel) and is written to the shared checkpoint folder, so that the families
     that branch from it do not repeat the pixel work and no cache is left behind.
     """
-    from ..session import materialize
+    from ..session import stored
 
-    per_ic = roi_g.groupBy(*IC).agg(*[F.collect_list(F.col(c).cast("int")).alias(f"{c}s") for c in "xyvg"])
-    made = per_ic.select(*IC, _stats_udf(set(families) | {"lvl"}, alpha)("xs", "ys", "vs", "gs").alias("t"))
-    fields = [c.split()[0] for c in _STATS.split(", ")]
-    rows = made.select(*IC, F.inline(F.arrays_zip(*[F.col(f"t.{c}").alias(c) for c in fields])))
-    name = F.element_at(F.array(*[F.lit(f) for f in ALL_FAMILIES]), F.col("fam") + 1)
-    return materialize(rows.withColumn("fam", name))
+    made = gathered(roi_g).select(*IC, _stats_udf(set(families) | {"lvl"}, alpha)("xs", "ys", "vs", "gs").alias("t"))
+    return stored(made.select(*IC, *[F.col(f"t.{c}").alias(c) for c in _TABLES]), "stats")
 
 
-# ------------------------------------------------------------------ R2 ----
+def gathered(roi_g: DataFrame) -> DataFrame:
+    """ROI pixels with levels → one row for each image and channel, with lists xs, ys, vs, gs (once gathered, as they are)."""
+    if "xs" in roi_g.columns:
+        return roi_g
+    return roi_g.groupBy(*IC).agg(*[F.collect_list(F.col(c).cast("int")).alias(f"{c}s") for c in "xyvg"]).where(
+        F.col("image_id").isNotNull() & F.col("channel").isNotNull())
 
-def glcm_cells(stats: DataFrame) -> DataFrame:
-    """Symmetric co-occurrence counts ``(image_id, channel, angle, i, j, c)``."""
-    return stats.where(F.col("fam") == "glcm").select(
-        *IC, "angle", F.col("a").alias("i"), F.col("b").alias("j"), F.col("n").alias("c"))
 
+# ------------------------------------------------------------------ R2 ----
 
-def _mcc_one(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> float:
-    """√(second largest eigenvalue of Q), Q(i,j) = Σ_k p(i,k)p(j,k)/(px(i)py(k)),
-    for one co-occurrence matrix given as sparse cells."""
-    levels = np.unique(np.concatenate([i, j]))
-    if len(levels) < 2:
-        return 1.0
-    m = np.zeros((len(levels), len(levels)))
-    np.add.at(m, (np.searchsorted(levels, i), np.searchsorted(levels, j)), c)
-    p = m / m.sum()
-    px, py = p.sum(1), p.sum(0)
-    q = (p / px[:, None]) @ (p / py[None, :]).T
-    ev = np.sort(np.real(np.linalg.eigvals(q)))[::-1]
-    return math.sqrt(max(ev[1], 0.0))
+#: Cells of the matrices whose eigenvalues are found at once.
+MATRIX_CELLS = 1 << 20
+
+
+def _mcc(key: np.ndarray, count: int, place: np.ndarray, other: np.ndarray, levels: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """√(second largest eigenvalue of Q), Q(i,j) = Σ_k p(i,k)p(j,k)/(px(i)py(k)), for the co-occurrence matrix
+    of each key, given as cells (place and other: row and column); matrices of one size go together."""
+    out = np.where(levels == 1, 1.0, np.nan)
+    by_size = np.argsort(levels[key], kind="stable")
+    for size in np.unique(levels[levels > 1]):
+        mine = by_size[slice(*np.searchsorted(levels[key][by_size], (size, size + 1)))]
+        mine = mine[np.argsort(key[mine], kind="stable")]
+        keys, at = np.unique(key[mine], return_inverse=True)
+        most = max(1, MATRIX_CELLS // int(size * size))
+        for low in range(0, len(keys), most):
+            part = slice(*np.searchsorted(at, (low, low + most)))
+            m = np.zeros((min(most, len(keys) - low), size, size))
+            m[at[part] - low, place[mine[part]], other[mine[part]]] = c[mine[part]]
+            p = m / m.sum((1, 2), keepdims=True)
+            q = (p / p.sum(2)[:, :, None]) @ (p / p.sum(1)[:, None, :]).transpose(0, 2, 1)
+            ev = np.sort(np.real(np.linalg.eigvals(q)), axis=1)
+            out[keys[low:low + most]] = np.sqrt(np.maximum(ev[:, -2], 0.0))
+    return out
 
 
-def _mcc_series(i: pd.Series, j: pd.Series, c: pd.Series) -> pd.Series:
-    return pd.Series([_mcc_one(np.asarray(a), np.asarray(b), np.asarray(w, dtype=float))
-                      for a, b, w in zip(i, j, c)])
+GLCM_NAMES = [
+    "Autocorrelation", "JointAverage", "ClusterProminence", "ClusterShade", "ClusterTendency", "Contrast", "Correlation", "DifferenceAverage",
+    "DifferenceEntropy", "DifferenceVariance", "JointEnergy", "JointEntropy", "Imc1", "Imc2", "Idm", "Idmn", "Id", "Idn", "InverseVariance",
+    "MaximumProbability", "SumAverage", "SumEntropy", "SumSquares", "MCC"]
+
+
+def _mean_over_angles(values: dict[str, np.ndarray], present: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Features of (row, angle) → means over the angles that are present."""
+    there = present.reshape(-1, len(DIRECTIONS))
+    many = there.sum(1)
+    return {n: np.where(there, v.reshape(there.shape), 0.0).sum(1) / many for n, v in values.items()}, many > 0
+
+
+def _glcm(count: int, lists: Sequence[pa.Array], with_mcc: bool) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    row, angle, i, j, c, _ = _of_family(lists, "glcm")
+    key, K = row * len(DIRECTIONS) + angle, count * len(DIRECTIONS)
+    i, j, c = i.astype(np.int64), j.astype(np.int64), c.astype(np.float64)
+    tot = _sums(key, K, c)[0]
+    p = c / tot[key]
+    mkey, level, px, place = _spread(key, i, p)
+    levels = np.bincount(mkey, minlength=K)
+    first = np.cumsum(levels) - levels
+    # The matrix is symmetric: a column's level is among its rows'.
+    wide = int(i.max(initial=0)) + 1
+    other = np.searchsorted(mkey * wide + level, key * wide + j)
+    mu, HX = _sums(mkey, K, level * px, -px * np.log2(px + EPS))
+    m = mu[key]
+    s = i + j - 2 * m
+    auto, prominence, shade, tendency, contrast, squares, energy, entropy, hxy1 = _sums(
+        key, K, p * i * j, p * s * s * s * s, p * s * s * s, p * s * s, p * (i - j) * (i - j), p * (i - m) * (i - m), p * p,
+        -p * np.log2(p + EPS), -p * np.log2(px[place] * px[other] + EPS))
+    most = np.zeros(K)
+    np.maximum.at(most, key, p)
+    # difference and sum distributions p_{x-y}(k), p_{x+y}(k)
+    lrow, _, lv, _, _, _ = _of_family(lists, "lvl")
+    Ng = np.zeros(count)
+    np.maximum.at(Ng, lrow, lv)
+    dkey, k, pk, _ = _spread(key, np.abs(i - j), p)
+    g = Ng[dkey // len(DIRECTIONS)]
+    da, de, idm, idmn, id_, idn, inverse, k2 = _sums(
+        dkey, K, k * pk, -pk * np.log2(pk + EPS), pk / (1 + k * k), pk / (1 + k * k / (g * g)), pk / (1 + k), pk / (1 + k / g),
+        np.where(k > 0, pk / np.maximum(k * k, 1), 0.0), k * k * pk)
+    skey, k, pk, _ = _spread(key, i + j, p)
+    sa, se = _sums(skey, K, k * pk, -pk * np.log2(pk + EPS))
+    imc2 = 1.0 - np.exp(-2 * (2 * HX - entropy))  # HX + HY; the matrix is symmetric (HY = HX)
+    values = [auto, mu, prominence, shade, tendency, contrast, np.where(squares == 0, 1.0, (auto - mu ** 2) / squares), da, de, k2 - da ** 2, energy,
+              entropy, np.where(HX == 0, 0.0, (entropy - hxy1) / HX), np.sqrt(np.maximum(imc2, 0.0)), idm, idmn, id_, idn, inverse, most, sa, se, squares,
+              _mcc(key, K, place - first[key], other - first[key], levels, c) if with_mcc else np.full(K, np.nan)]
+    return _mean_over_angles(dict(zip(GLCM_NAMES, values, strict=True)), tot > 0)
 
 
 def glcm(stats: DataFrame, with_mcc: bool = True) -> DataFrame:
     """R2: 24 GLCM features per angle, averaged over angles that have pairs
     (23 without the eigenvalue-based MCC when ``with_mcc`` is false)."""
-    cells = glcm_cells(stats)
-    K = IC + ["angle"]
-    tot = cells.groupBy(*K).agg(F.sum("c").alias("tot"))
-    ng = stats.where(F.col("fam") == "lvl").groupBy(*IC).agg(F.max("a").alias("Ng"))
-    cp = cells.join(tot, K).withColumn("p", F.col("c") / F.col("tot"))
-    marg = cp.groupBy(*K, "i").agg(F.sum("p").alias("px"))
-    mom = marg.groupBy(*K).agg(
-        F.sum(F.col("i") * F.col("px")).alias("mu"),
-        (-F.sum(F.col("px") * F.log2(F.col("px") + EPS))).alias("HX"))
-    mi = marg.select(*K, "i", F.col("px").alias("pxi"))
-    mj = marg.select(*K, F.col("i").alias("j"), F.col("px").alias("pyj"))
-    cells2 = cp.join(mi, K + ["i"]).join(mj, K + ["j"]).join(mom, K)
-    i, j, p, mu = F.col("i").cast("double"), F.col("j").cast("double"), F.col("p"), F.col("mu")
-    s = i + j - 2 * mu
-    agg = cells2.groupBy(*K).agg(
-        F.sum(p * i * j).alias("Autocorrelation"),
-        F.first("mu").alias("JointAverage"),
-        F.sum(p * s * s * s * s).alias("ClusterProminence"),
-        F.sum(p * s * s * s).alias("ClusterShade"),
-        F.sum(p * s * s).alias("ClusterTendency"),
-        F.sum(p * (i - j) * (i - j)).alias("Contrast"),
-        F.sum(p * (i - mu) * (i - mu)).alias("SumSquares"),
-        F.sum(p * p).alias("JointEnergy"),
-        (-F.sum(p * F.log2(p + EPS))).alias("JointEntropy"),
-        F.max(p).alias("MaximumProbability"),
-        (-F.sum(p * F.log2(F.col("pxi") * F.col("pyj") + EPS))).alias("HXY1"),
-        F.first("HX").alias("HX"),
-    )
-    # difference and sum distributions p_{x-y}(k), p_{x+y}(k)
-    dif = cp.groupBy(*K, F.abs(F.col("i") - F.col("j")).alias("k")).agg(F.sum("p").alias("pk"))
-    dif = dif.join(ng, IC)
-    k, pk, Ng = F.col("k").cast("double"), F.col("pk"), F.col("Ng").cast("double")
-    da = dif.groupBy(*K).agg(
-        F.sum(k * pk).alias("DifferenceAverage"),
-        (-F.sum(pk * F.log2(pk + EPS))).alias("DifferenceEntropy"),
-        F.sum(pk / (1 + k * k)).alias("Idm"),
-        F.sum(pk / (1 + k * k / (Ng * Ng))).alias("Idmn"),
-        F.sum(pk / (1 + k)).alias("Id"),
-        F.sum(pk / (1 + k / Ng)).alias("Idn"),
-        F.sum(F.when(k > 0, pk / (k * k)).otherwise(F.lit(0.0))).alias("InverseVariance"),
-        F.sum(k * k * pk).alias("__k2"),
-    )
-    sm = cp.groupBy(*K, (F.col("i") + F.col("j")).alias("k")).agg(F.sum("p").alias("pk"))
-    sa = sm.groupBy(*K).agg(
-        F.sum(F.col("k") * F.col("pk")).alias("SumAverage"),
-        (-F.sum(F.col("pk") * F.log2(F.col("pk") + EPS))).alias("SumEntropy"))
-    a = agg.join(da, K).join(sa, K)
-    if with_mcc:
-        # one matrix per (image, channel, angle): at most (number of levels)² cells
-        mats = cells.groupBy(*K).agg(F.collect_list("i").alias("ci"), F.collect_list("j").alias("cj"),
-                                     F.collect_list("c").alias("cc"))
-        mcc_udf = F.pandas_udf(_mcc_series, "double")  # created on the driver, not at import
-        a = a.join(mats.select(*K, mcc_udf("ci", "cj", "cc").alias("MCC")), K, "left")
-    else:
-        a = a.withColumn("MCC", F.lit(None).cast("double"))
-    var = F.col("SumSquares")
-    hxy = F.col("JointEntropy")
-    hxy2 = 2 * F.col("HX")  # HX + HY; the matrix is symmetric (HY = HX)
-    imc2_arg = F.lit(1.0) - F.exp(-2 * (hxy2 - hxy))
-    per_angle = a.select(
-        *K,
-        "Autocorrelation", "JointAverage", "ClusterProminence", "ClusterShade", "ClusterTendency", "Contrast",
-        F.when(var == 0, F.lit(1.0)).otherwise((F.col("Autocorrelation") - F.col("JointAverage") ** 2) / var)
-        .alias("Correlation"),
-        "DifferenceAverage", "DifferenceEntropy",
-        (F.col("__k2") - F.col("DifferenceAverage") ** 2).alias("DifferenceVariance"),
-        "JointEnergy", "JointEntropy",
-        F.when(F.col("HX") == 0, F.lit(0.0)).otherwise((hxy - F.col("HXY1")) / F.col("HX")).alias("Imc1"),
-        F.sqrt(F.greatest(imc2_arg, F.lit(0.0))).alias("Imc2"),
-        "Idm", "Idmn", "Id", "Idn", "InverseVariance", "MaximumProbability", "SumAverage", "SumEntropy",
-        "SumSquares", "MCC",
-    )
-    names = [c for c in per_angle.columns if c not in K and (with_mcc or c != "MCC")]
-    avg = per_angle.groupBy(*IC).agg(*[F.avg(n).alias(n) for n in names])
-    return _long(avg, IC, "glcm", {n: F.col(n) for n in names})
+    names = GLCM_NAMES if with_mcc else GLCM_NAMES[:-1]
+    return _features(stats, "glcm", names, _TABLES, lambda n, lists: _glcm(n, lists, with_mcc))
 
 
 # ------------------------------------------------------- R3 / R4 / R5 ----
 
-def _size_features(m: DataFrame, keys: Sequence[str], np_df: DataFrame | None, names: dict[str, str]) -> DataFrame:
+def _size_features(key: np.ndarray, count: int, i: np.ndarray, j: np.ndarray, P: np.ndarray, Np: np.ndarray | None, names: dict[str, str]) -> dict[str, np.ndarray]:
     """Shared formulas for (level i, size j, count P) matrices (runs, zones,
-    dependences).  ``names`` maps generic keys to the family's feature names."""
-    keys = list(keys)
-    i, j, P = F.col("i").cast("double"), F.col("j").cast("double"), F.col("P").cast("double")
-    base = m.groupBy(*keys).agg(
-        F.sum(P).alias("Nr"),
-        F.sum(P / (j * j)).alias("s_short"), F.sum(P * j * j).alias("s_long"),
-        F.sum(P / (i * i)).alias("s_low"), F.sum(P * i * i).alias("s_high"),
-        F.sum(P / (i * i * j * j)).alias("s_sl"), F.sum(P * i * i / (j * j)).alias("s_sh"),
-        F.sum(P * j * j / (i * i)).alias("s_ll"), F.sum(P * i * i * j * j).alias("s_lh"),
-        F.sum(P * i).alias("s_i"), F.sum(P * i * i).alias("s_i2"),
-        F.sum(P * j).alias("s_j"), F.sum(P * j * j).alias("s_j2"),
-    )
-    rows = m.groupBy(*keys, "i").agg(F.sum("P").alias("r")).groupBy(*keys).agg(
-        F.sum(F.col("r").cast("double") ** 2).alias("s_gln"))
-    cols = m.groupBy(*keys, "j").agg(F.sum("P").alias("r")).groupBy(*keys).agg(
-        F.sum(F.col("r").cast("double") ** 2).alias("s_sln"))
-    ent = m.join(base.select(*keys, "Nr"), keys).groupBy(*keys).agg(
-        (-F.sum((F.col("P") / F.col("Nr")) * F.log2(F.col("P") / F.col("Nr") + EPS))).alias("entropy"))
-    a = base.join(rows, keys).join(cols, keys).join(ent, keys)
-    if np_df is not None:
-        a = a.join(np_df, [k for k in keys if k in np_df.columns])
-    Nr = F.col("Nr")
-    mu_i, mu_j = F.col("s_i") / Nr, F.col("s_j") / Nr
+    dependences) of each key.  ``names`` maps generic keys to the family's feature names."""
+    of_level, of_size = (_spread(key, v.astype(np.int64), P) for v in (i, j))
+    i, j, P = i.astype(np.float64), j.astype(np.float64), P.astype(np.float64)
+    Nr, short, long, low, high, sl, sh, ll, lh, s_i, s_i2, s_j, s_j2 = _sums(
+        key, count, P, P / (j * j), P * j * j, P / (i * i), P * i * i, P / (i * i * j * j), P * i * i / (j * j), P * j * j / (i * i), P * i * i * j * j,
+        P * i, P * i * i, P * j, P * j * j)
+    gln, sln = (_sums(d[0], count, d[2] ** 2)[0] for d in (of_level, of_size))
+    p = P / Nr[key]
     generic = {
-        "short": F.col("s_short") / Nr, "long": F.col("s_long") / Nr,
-        "gln": F.col("s_gln") / Nr, "glnn": F.col("s_gln") / (Nr * Nr),
-        "sln": F.col("s_sln") / Nr, "slnn": F.col("s_sln") / (Nr * Nr),
-        "pct": Nr / F.col("Np") if np_df is not None else F.lit(None),
-        "glv": F.col("s_i2") / Nr - mu_i * mu_i, "sv": F.col("s_j2") / Nr - mu_j * mu_j,
-        "ent": F.col("entropy"),
-        "low": F.col("s_low") / Nr, "high": F.col("s_high") / Nr,
-        "sl": F.col("s_sl") / Nr, "sh": F.col("s_sh") / Nr, "ll": F.col("s_ll") / Nr, "lh": F.col("s_lh") / Nr,
+        "short": short / Nr, "long": long / Nr, "gln": gln / Nr, "glnn": gln / (Nr * Nr), "sln": sln / Nr, "slnn": sln / (Nr * Nr),
+        "pct": Nr / Np if Np is not None else np.full(count, np.nan),
+        "glv": s_i2 / Nr - (s_i / Nr) * (s_i / Nr), "sv": s_j2 / Nr - (s_j / Nr) * (s_j / Nr), "ent": _sums(key, count, -p * np.log2(p + EPS))[0],
+        "low": low / Nr, "high": high / Nr, "sl": sl / Nr, "sh": sh / Nr, "ll": ll / Nr, "lh": lh / Nr,
     }
-    return a.select(*keys, *[generic[g].alias(n) for g, n in names.items()])
+    return {n: generic[g] for g, n in names.items()}
 
 
 GLRLM_NAMES = {
@@ -445,28 +442,29 @@ GLDM_NAMES = {
 }
 
 
-def _roi_sizes(stats: DataFrame) -> DataFrame:
-    return stats.where(F.col("fam") == "lvl").groupBy(*IC).agg(F.sum("n").alias("Np"))
+def _glrlm(count: int, lists: Sequence[pa.Array]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    row, angle, i, j, n, _ = _of_family(lists, "glrlm")
+    lrow, _, _, _, pixels, _ = _of_family(lists, "lvl")
+    key, K = row * len(DIRECTIONS) + angle, count * len(DIRECTIONS)
+    Np = np.repeat(_sums(lrow, count, pixels)[0], len(DIRECTIONS))
+    return _mean_over_angles(_size_features(key, K, i, j, n, Np, GLRLM_NAMES), np.bincount(key, minlength=K) > 0)
 
 
 def glrlm(stats: DataFrame) -> DataFrame:
     """Run-length matrix per angle (runs of equal level along each
     direction), 16 features per angle averaged over angles."""
-    m = stats.where(F.col("fam") == "glrlm").select(
-        *IC, "angle", F.col("a").alias("i"), F.col("b").alias("j"), F.col("n").alias("P"))
-    per_angle = _size_features(m, IC + ["angle"], _roi_sizes(stats), GLRLM_NAMES)
-    names = list(GLRLM_NAMES.values())
-    avg = per_angle.groupBy(*IC).agg(*[F.avg(n).alias(n) for n in names])
-    return _long(avg, IC, "glrlm", {n: F.col(n) for n in names})
+    return _features(stats, "glrlm", list(GLRLM_NAMES.values()), _TABLES, _glrlm)
+
+
+def _gldm(count: int, lists: Sequence[pa.Array]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    row, _, i, j, n, _ = _of_family(lists, "gldm")
+    return _size_features(row, count, i, j, n, None, GLDM_NAMES), np.bincount(row, minlength=count) > 0
 
 
 def gldm(stats: DataFrame) -> DataFrame:
     """Dependence ``d = 1 + #{8-neighbours in ROI with |g_n - g| <= alpha}``
     (alpha is applied in ``texture_stats``)."""
-    m = stats.where(F.col("fam") == "gldm").select(*IC, F.col("a").alias("i"), F.col("b").alias("j"),
-                                                    F.col("n").alias("P"))
-    feats = _size_features(m, IC, None, GLDM_NAMES)
-    return _long(feats, IC, "gldm", {n: F.col(n) for n in GLDM_NAMES.values()})
+    return _features(stats, "gldm", list(GLDM_NAMES.values()), _TABLES, _gldm)
 
 
 def _zone_tables(xs: np.ndarray, ys: np.ndarray, gs: np.ndarray, sizes: np.ndarray) -> tuple:
@@ -509,22 +507,45 @@ def _zones_series(xs: pd.Series, ys: pd.Series, gs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"i": made[0], "j": made[1], "P": made[2]})
 
 
+def _glszm(count: int, lists: Sequence[pa.Array]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    zones = _zones_series(*(pd.Series(list(np.split(_flat(c), c.offsets.to_numpy()[1:-1] - c.offsets[0].as_py()))) for c in lists))
+    row = np.repeat(np.arange(count), zones["i"].map(len).to_numpy(dtype=np.int64))
+    i, j, n = (np.concatenate(zones[c].to_list()) if count else np.zeros(0) for c in ("i", "j", "P"))
+    Np = pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False).astype(np.float64)
+    return _size_features(row, count, i, j, n, Np, GLSZM_NAMES), Np > 0
+
+
 def glszm(roi_g: DataFrame) -> DataFrame:
     """Size-zone matrix (zones = 8-connected components of equal level),
-    16 features.  Zones are labelled in a vectorised UDF."""
-    # one image/channel per row (bounded by the image size), all of a batch labelled together
-    per_ic = roi_g.groupBy(*IC).agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"),
-                                    F.collect_list("g").alias("gs"))
-    zones_udf = F.pandas_udf(_zones_series, "struct<i:array<int>, j:array<bigint>, P:array<bigint>>")
-    z = per_ic.select(*IC, zones_udf("xs", "ys", "gs").alias("z"))
-    m = z.select(*IC, F.explode(F.arrays_zip("z.i", "z.j", "z.P")).alias("t")).select(
-        *IC, F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.P").alias("P"))
-    feats = _size_features(m, IC, roi_g.groupBy(*IC).agg(F.count(F.lit(1)).alias("Np")), GLSZM_NAMES)
-    return _long(feats, IC, "glszm", {n: F.col(n) for n in GLSZM_NAMES.values()})
+    16 features.  One image/channel per row (bounded by the image size), all of a batch labelled together."""
+    return _features(gathered(roi_g), "glszm", list(GLSZM_NAMES.values()), ["xs", "ys", "gs"], _glszm)
 
 
 # ------------------------------------------------------------------ R6 ----
 
+NGTDM_NAMES = ["Coarseness", "Contrast", "Busyness", "Complexity", "Strength"]
+
+
+def _ngtdm(count: int, lists: Sequence[pa.Array]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    row, _, i, _, n, s = _of_family(lists, "ngtdm")
+    order = np.argsort(row, kind="stable")
+    row, i, n, s = row[order], i[order].astype(np.float64), n[order].astype(np.float64), s[order]
+    many = np.bincount(row, minlength=count)
+    Nvp, s_tot = _sums(row, count, n, s)
+    p = n / Nvp[row]
+    ps, P1, P2, J1, J2 = _sums(row, count, p * s, p * i, p * i * i, i, i * i)
+    # level pairs of one image/channel (bounded by the number of bins)
+    first = np.cumsum(many) - many
+    u = np.repeat(np.arange(len(row)), many[row])
+    w = np.repeat(first[row], many[row]) + np.arange(len(u)) - np.repeat(np.cumsum(many[row]) - many[row], many[row])
+    absdiff, cx = _sums(row[u], count, np.abs(i[u] * p[u] - i[w] * p[w]), np.abs(i[u] - i[w]) * (p[u] * s[u] + p[w] * s[w]) / (p[u] + p[w]))
+    pp = 2 * (P2 - P1 * P1)  # Σ_i Σ_j p_i p_j (i-j)², Σ p = 1
+    strength = 2 * (many * P2 - 2 * J1 * P1 + J2)
+    values = [np.where(ps == 0, 1e6, 1 / ps), np.where(many <= 1, 0.0, pp / (many * (many - 1)) * s_tot / Nvp),
+              np.where((many <= 1) | (absdiff == 0), 0.0, ps / absdiff), cx / Nvp, np.where(s_tot == 0, 0.0, strength / s_tot)]
+    return dict(zip(NGTDM_NAMES, values, strict=True)), many > 0
+
+
 def ngtdm(stats: DataFrame) -> DataFrame:
     """Neighbouring gray tone difference matrix, 5 features.
 
@@ -533,35 +554,7 @@ def ngtdm(stats: DataFrame) -> DataFrame:
     closed forms except Complexity and Busyness, which pair the (at most
     bin-count many) levels of one image/channel.
     """
-    lvl = stats.where(F.col("fam") == "ngtdm").select(*IC, F.col("a").alias("i"), "n", F.col("val").alias("s"))
-    nv = lvl.groupBy(*IC).agg(F.sum("n").alias("Nvp"), F.count(F.lit(1)).alias("Ngp"), F.sum("s").alias("s_tot"))
-    lv = lvl.join(nv, IC).withColumn("p", F.col("n") / F.col("Nvp"))
-    i = F.col("i").cast("double")
-    sums = lv.groupBy(*IC).agg(
-        F.sum(F.col("p") * F.col("s")).alias("ps"), F.sum(F.col("p") * i).alias("P1"),
-        F.sum(F.col("p") * i * i).alias("P2"), F.sum(i).alias("J1"), F.sum(i * i).alias("J2"),
-        F.first("Nvp").alias("Nvp"), F.first("Ngp").alias("Ngp"), F.first("s_tot").alias("s_tot"))
-    # level pairs of one image/channel (bounded by the number of bins)
-    a = lv.select(*IC, "i", "p", "s")
-    b = lv.select(*[F.col(k).alias(f"__{k}") for k in IC], F.col("i").alias("j"), F.col("p").alias("pj"),
-                  F.col("s").alias("sj"))
-    pairs = a.join(b, [a[k] == b[f"__{k}"] for k in IC])
-    ij = F.abs(F.col("i") - F.col("j")).cast("double")
-    pair_sums = pairs.groupBy(*IC).agg(
-        F.sum(F.abs(F.col("i") * F.col("p") - F.col("j") * F.col("pj"))).alias("absdiff"),
-        F.sum(ij * (F.col("p") * F.col("s") + F.col("pj") * F.col("sj")) / (F.col("p") + F.col("pj"))).alias("cx"))
-    t = sums.join(pair_sums, IC)
-    ngp = F.col("Ngp").cast("double")
-    pp = 2 * (F.col("P2") - F.col("P1") * F.col("P1"))  # Σ_i Σ_j p_i p_j (i-j)², Σ p = 1
-    strength_num = 2 * (ngp * F.col("P2") - 2 * F.col("J1") * F.col("P1") + F.col("J2"))
-    feats = {
-        "Coarseness": F.when(F.col("ps") == 0, F.lit(1e6)).otherwise(1 / F.col("ps")),
-        "Contrast": F.when(ngp <= 1, F.lit(0.0)).otherwise(pp / (ngp * (ngp - 1)) * F.col("s_tot") / F.col("Nvp")),
-        "Busyness": F.when((ngp <= 1) | (F.col("absdiff") == 0), F.lit(0.0)).otherwise(F.col("ps") / F.col("absdiff")),
-        "Complexity": F.col("cx") / F.col("Nvp"),
-        "Strength": F.when(F.col("s_tot") == 0, F.lit(0.0)).otherwise(strength_num / F.col("s_tot")),
-    }
-    return _long(t, IC, "ngtdm", feats)
+    return _features(stats, "ngtdm", NGTDM_NAMES, _TABLES, _ngtdm)
 
 
 # ------------------------------------------------------------------ R7 ----
@@ -576,30 +569,91 @@ CELL_TABLE = [
 ]
 
 
-def _hull_diameter(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Largest distance between candidate contour vertices via their convex hull."""
-    pts = np.unique(pdf[["vx", "vy"]].to_numpy(), axis=0)
-    if len(pts) == 1:
-        d = 0.0
-    else:
-        pts = pts[np.lexsort((pts[:, 1], pts[:, 0]))]
-
-        def cross(o, a, b):
-            return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-
-        lower, upper = [], []
-        for p in pts:
-            while len(lower) >= 2 and cross(lower[-2], lower[-1], p) <= 0:
-                lower.pop()
-            lower.append(p)
-        for p in pts[::-1]:
-            while len(upper) >= 2 and cross(upper[-2], upper[-1], p) <= 0:
-                upper.pop()
-            upper.append(p)
-        hull = np.array(lower[:-1] + upper[:-1])
-        diff = hull[:, None, :] - hull[None, :, :]
-        d = float(np.sqrt((diff ** 2).sum(-1)).max())
-    return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "MaximumDiameter": [d]})
+#: Vertices of one image from which on a hull is drawn first, and pairs of vertices that are compared at once.
+HULL_FROM, VERTEX_PAIRS = 64, 1 << 20
+
+
+def _hull(pts: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of distinct points in the order (x, y)."""
+    def cross(o, a, b):
+        return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+    def side(points) -> list:
+        out: list = []
+        for p in points:
+            while len(out) >= 2 and cross(out[-2], out[-1], p) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    points = [tuple(p) for p in pts]
+    return np.array(side(points) + side(points[::-1]))
+
+
+def _diameters(group: np.ndarray, count: int, vx: np.ndarray, vy: np.ndarray) -> np.ndarray:
+    """The largest distance between the points of each group."""
+    order = np.lexsort((vy, vx, group))
+    pts = np.stack((group[order], vx[order], vy[order]), axis=1)
+    pts = pts[np.append(True, (pts[1:] != pts[:-1]).any(1))[:len(pts)]]
+    many = np.bincount(pts[:, 0].astype(np.int64), minlength=count)
+    parts = np.split(pts, np.cumsum(many)[:-1])
+    parts = [p if len(p) < HULL_FROM else np.column_stack((np.full(len(h := _hull(p[:, 1:])), p[0, 0]), h)) for p in parts]
+    pts = np.concatenate(parts) if parts else pts
+    group = pts[:, 0].astype(np.int64)
+    many = np.bincount(group, minlength=count)
+    first, pairs = np.cumsum(many) - many, np.cumsum(many[group])
+    best = np.zeros(count)
+    low = 0
+    while low < len(pts):
+        high = max(low + 1, int(np.searchsorted(pairs, (pairs[low - 1] if low else 0) + VERTEX_PAIRS, side="right")))
+        n = many[group[low:high]]
+        a = np.repeat(np.arange(low, high), n)
+        b = np.repeat(first[group[low:high]], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        np.maximum.at(best, group[a], ((pts[a, 1:] - pts[b, 1:]) ** 2).sum(1))
+        low = high
+    return np.sqrt(best)
+
+
+SHAPE_NAMES = ["MeshSurface", "PixelSurface", "Perimeter", "PerimeterSurfaceRatio", "Sphericity", "MaximumDiameter", "MajorAxisLength",
+               "MinorAxisLength", "Elongation"]
+
+
+def _shape(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The features of the masks of several images, one row each; pixels of an image are distinct."""
+    grids, count = _Grids(x, y, np.ones(len(x), dtype=np.int64), sizes, 0), len(sizes)
+    group, n = grids.group, sizes.astype(np.float64)
+    # Corner codes of all 2×2 cells; a grid's border is empty, so none is of two images.
+    cells = np.concatenate((grids.cells, np.zeros(int(grids.wide.max(initial=0)) + 2, dtype=np.int64)))
+    at = np.unique(np.concatenate([grids.at, grids.at - 1, grids.at - grids.step, grids.at - grids.step - 1]))
+    of = np.searchsorted(grids.base, at, side="right") - 1
+    code = cells[at] + 2 * cells[at + 1] + 4 * cells[at + grids.wide[of]] + 8 * cells[at + grids.wide[of] + 1]
+    table = np.array(CELL_TABLE)
+    perimeter, mesh = _sums(of, count, table[code, 1], table[code, 2])
+    mx, my = (v / n for v in _sums(group, count, x, y))
+    dx, dy = x - mx[group], y - my[group]
+    a, c, b = (v / n for v in _sums(group, count, dx * dx, dy * dy, dx * dy))
+    half, rad = (a + c) / 2, np.sqrt(((a - c) / 2) ** 2 + b ** 2)
+    l1, l2 = half + rad, np.maximum(half - rad, 0.0)
+    # contour vertices: midpoints between an ROI pixel and a 4-neighbour outside it, the outermost of each row
+    steps = ((1, 0, np.ones_like(grids.step)), (-1, 0, -np.ones_like(grids.step)), (0, 1, grids.step), (0, -1, -grids.step))
+    out = [np.flatnonzero(cells[grids.at + to] == 0) for _, _, to in steps]
+    vg = np.concatenate([group[o] for o in out])
+    vx, vy = (np.concatenate([v[o] + step[k] / 2 for o, step in zip(out, steps, strict=True)]) for k, v in ((0, x), (1, y)))
+    order = np.lexsort((vx, vy, vg))
+    vg, vx, vy = vg[order], vx[order], vy[order]
+    edge = np.append(True, (vg[1:] != vg[:-1]) | (vy[1:] != vy[:-1]))
+    ends = np.concatenate((np.flatnonzero(edge), np.flatnonzero(np.append(edge[1:], True))))
+    diameter = _diameters(vg[ends], count, vx[ends], vy[ends])
+    return np.stack([mesh, n, perimeter, np.where(mesh == 0, np.nan, perimeter / mesh),
+                     np.where(perimeter == 0, np.nan, 2 * np.sqrt(math.pi * mesh) / perimeter), diameter, 4 * np.sqrt(l1), 4 * np.sqrt(l2),
+                     np.where(l1 == 0, 0.0, np.sqrt(l2 / l1))], axis=1)
+
+
+def _shapes(count: int, lists: Sequence[pa.Array]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    columns = [pd.Series(list(np.split(_flat(c), c.offsets.to_numpy()[1:-1] - c.offsets[0].as_py()))) for c in lists]
+    parts = [_shape(x, y, sizes) for (x, y), sizes in _stretches(columns)]
+    made = np.concatenate(parts) if parts else np.zeros((0, len(SHAPE_NAMES)))
+    return dict(zip(SHAPE_NAMES, made.T, strict=True)), np.ones(count, dtype=bool)
 
 
 def shape2d(fg: DataFrame) -> DataFrame:
@@ -608,54 +662,11 @@ def shape2d(fg: DataFrame) -> DataFrame:
     Areas and perimeter from marching-squares cell codes (saddle cells count
     as two separate corners); axes from the eigenvalues of the population
     covariance of pixel coordinates; the diameter from the convex hull of the
-    row/column-extreme contour vertices.
+    row-extreme contour vertices.  The masks of many images (each bounded by its image) go through the same array passes.
     """
-    px = fg.select("image_id", "x", "y").distinct()
-    # each pixel is a corner of four cells
-    corners = px.select("image_id", F.explode(F.array(
-        F.struct((F.col("x") - 1).alias("cx"), (F.col("y") - 1).alias("cy"), F.lit(8).alias("bit")),
-        F.struct(F.col("x").alias("cx"), (F.col("y") - 1).alias("cy"), F.lit(4).alias("bit")),
-        F.struct((F.col("x") - 1).alias("cx"), F.col("y").alias("cy"), F.lit(2).alias("bit")),
-        F.struct(F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(1).alias("bit")),
-    )).alias("c"))
-    codes = corners.groupBy("image_id", "c.cx", "c.cy").agg(F.sum("c.bit").alias("code"))
-    table = fg.sparkSession.createDataFrame(CELL_TABLE, "code long, length double, area double")
-    mesh = codes.join(F.broadcast(table), "code").groupBy("image_id").agg(
-        F.sum("length").alias("Perimeter"), F.sum("area").alias("MeshSurface"))
-    cov = px.groupBy("image_id").agg(
-        F.count(F.lit(1)).cast("double").alias("PixelSurface"),
-        F.var_pop("x").alias("a"), F.var_pop("y").alias("c"), F.covar_pop("x", "y").alias("b"))
-    half = (F.col("a") + F.col("c")) / 2
-    rad = F.sqrt(((F.col("a") - F.col("c")) / 2) ** 2 + F.col("b") ** 2)
-    l1, l2 = half + rad, F.greatest(half - rad, F.lit(0.0))
-    axes = cov.select("image_id", "PixelSurface",
-                      (4 * F.sqrt(l1)).alias("MajorAxisLength"), (4 * F.sqrt(l2)).alias("MinorAxisLength"),
-                      F.when(l1 == 0, F.lit(0.0)).otherwise(F.sqrt(l2 / l1)).alias("Elongation"))
-    # contour vertices: midpoints between an ROI pixel and a 4-neighbour outside it
-    nb = px.select("image_id", "x", "y", F.explode(F.array(
-        F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(-1).alias("dx"), F.lit(0).alias("dy")),
-        F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(-1).alias("dy")),
-    )).alias("d")).select("image_id", "x", "y", (F.col("x") + F.col("d.dx")).alias("nx"),
-                          (F.col("y") + F.col("d.dy")).alias("ny"))
-    other = px.select("image_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    edge = nb.join(other, ["image_id", "nx", "ny"], "left_anti")
-    vert = edge.select("image_id", ((F.col("x") + F.col("nx")) / 2).alias("vx"), ((F.col("y") + F.col("ny")) / 2).alias("vy"))
-    rows = vert.groupBy("image_id", "vy").agg(F.min("vx").alias("a"), F.max("vx").alias("b"))
-    cand = rows.select("image_id", F.explode(F.array(
-        F.struct(F.col("a").alias("vx"), F.col("vy").alias("vy")),
-        F.struct(F.col("b").alias("vx"), F.col("vy").alias("vy")))).alias("v")).select("image_id", "v.vx", "v.vy")
-    diam = cand.groupBy("image_id").applyInPandas(_hull_diameter, "image_id string, MaximumDiameter double")
-    a = mesh.join(axes, "image_id").join(diam, "image_id")
-    P, A = F.col("Perimeter"), F.col("MeshSurface")
-    feats = {
-        "MeshSurface": A, "PixelSurface": F.col("PixelSurface"), "Perimeter": P,
-        "PerimeterSurfaceRatio": F.when(A == 0, F.lit(None)).otherwise(P / A),
-        "Sphericity": F.when(P == 0, F.lit(None)).otherwise(2 * F.sqrt(F.lit(math.pi) * A) / P),
-        "MaximumDiameter": F.col("MaximumDiameter"),
-        "MajorAxisLength": F.col("MajorAxisLength"), "MinorAxisLength": F.col("MinorAxisLength"),
-        "Elongation": F.col("Elongation"),
-    }
-    return _long(a, ["image_id"], "shape2D", feats)
+    px = fg.select("image_id", "x", "y").where("image_id is not null and x is not null and y is not null").repartition("image_id").distinct()
+    lists = px.groupBy("image_id").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+    return _features(lists, "shape2D", SHAPE_NAMES, ["xs", "ys"], _shapes)
 
 
 # ------------------------------------------------------------- R8 / all ----
@@ -664,7 +675,9 @@ def all_features(pixels: DataFrame, fg: DataFrame, channels: Sequence[str] = CHA
                  bin_width: int = BIN_WIDTH) -> DataFrame:
     """Long feature table ``(image_id, channel, feature, value)``: 7 families ×
     ``channels``; shape features are computed once per image and copied."""
-    roi = discretize(roi_pixels(pixels, fg, channels), bin_width)
+    from ..session import stored
+
+    roi = stored(gathered(discretize(roi_pixels(pixels, fg, channels), bin_width)), "roi")
     stats = texture_stats(roi)
     tex = (firstorder(stats).unionByName(glcm(stats)).unionByName(glrlm(stats)).unionByName(glszm(roi))
            .unionByName(gldm(stats)).unionByName(ngtdm(stats)))

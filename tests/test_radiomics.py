@@ -142,3 +142,29 @@ def test_rois_of_a_batch_are_counted_together(monkeypatch):
     assert [t[0] for t in tables] == ["lvl", "gldm"]
     for t in tables:
         assert np.bincount(t[2], weights=t[5]).tolist() == [len(r[0]) for r in rois]
+
+
+def test_families_are_array_passes_over_one_row_an_image_and_channel(spark, patches):
+    """Counts of an image and channel stand in one row, and no family joins or regroups them."""
+    rows = [(iid, x, y, *(int(v) for v in img[y, x]), int(gray[y, x])) for iid, (img, gray, _) in patches.items() for y in range(7) for x in range(6)]
+    px = spark.createDataFrame(rows, "image_id string, x int, y int, blue int, green int, red int, gray int")
+    fg = px.where("x > 0").select("image_id", "x", "y")
+    stats = R.texture_stats(R.discretize(R.roi_pixels(px, fg)))
+    assert stats.count() == len(patches) * len(CH)
+    for family in (R.firstorder, R.glcm, R.glrlm, R.gldm, R.ngtdm):
+        plan = family(stats)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    assert "FlatMapGroups" not in R.shape2d(fg)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_diameters_with_and_without_a_hull(monkeypatch):
+    """A hull first, or all pairs in blocks: the same distances; an image may have one point or points on a line."""
+    rng = np.random.default_rng(2)
+    group = np.sort(np.concatenate((rng.integers(2, 6, 300), [0, 1, 1, 1])))
+    x, y = rng.integers(0, 30, len(group)) / 2, rng.integers(0, 30, len(group)) / 2
+    x[group == 1], y[group == 1] = [0, 2, 5], [0, 2, 5]
+    want = [max(math.dist(a, b) for a in p for b in p) for p in (list(zip(x[group == g], y[group == g])) for g in range(6))]
+    for hull, pairs in ((2, 1 << 20), (10 ** 9, 1 << 20), (10 ** 9, 7), (40, 100)):
+        monkeypatch.setattr(R, "HULL_FROM", hull)
+        monkeypatch.setattr(R, "VERTEX_PAIRS", pairs)
+        assert R._diameters(group, 6, x, y).tolist() == pytest.approx(want)
