@@ -184,7 +184,7 @@ def _mask_kind() -> _Kind:
                 with_g = g[now][pair]
                 covered = below(with_g, start[r] + length[r]) - below(with_g, start[r])
                 both[now] = np.bincount(pair, weights=covered, minlength=len(now)).astype(np.int64)
-            return _ious(both, area[d], area[g], crowd[g])
+            return np.where(both > 0, _ious(both, area[d], area[g], crowd[g]), np.nan)
 
         return area, similar
 
@@ -232,7 +232,7 @@ def _sides(top: DataFrame, targets: DataFrame, dets: Sequence[Column | str], the
 
 def _pairs(table: pa.Table, of: Callable) -> tuple:
     """Of whole groups: the objects' first rows, which of them are targets, areas, and the
-    pairs of each group as blocks (detection, target, similarity), sorted by detection and target."""
+    pairs of each group as blocks (detection, target, similarity or NaN), sorted by detection and target."""
     group = np.cumsum(changes(*(table.column(c) for c in _GROUP))) - 1
     target = flags(table.column("target"))
     n = table.column("n").to_numpy()
@@ -270,7 +270,7 @@ def _similarities(top: DataFrame, targets: DataFrame, kind: _Kind, overlapping:
             rows_of = np.flatnonzero(first)
             for d, g, iou in blocks:
                 if overlapping:
-                    d, g, iou = (v[iou > 0] for v in (d, g, iou))
+                    d, g, iou = (v[~np.isnan(iou)] for v in (d, g, iou))
                 d, g = pa.array(rows_of[d]), pa.array(rows_of[g])
                 own = [table.column(c).take(d) for c in _GROUP]
                 names = [table.column(c).take(d if c == "det_id" else g) for c in ids]

@@ -310,5 +310,4 @@ def test_masks_with_overlapping_and_scattered_runs(spark):
     targets = C.numbered_targets(spark.createDataFrame([(1, 1, o, int(o == 0), 9.0) for o in range(5)],
                                                        "image_id long, category_id int, obj_id long, iscrowd int, area double"))
     got = {(r.det_id, r.obj_id): r.iou for r in C.mask_similarity(top, targets, runs["d"], runs["g"]).collect()}
-    want = {k: v for k, v in want.items() if v > 0}
-    assert got == pytest.approx(want)
+    assert got == pytest.approx(want)  # also 0, where counted overlaps make the union empty
