@@ -311,3 +311,15 @@ def test_masks_with_overlapping_and_scattered_runs(spark):
                                                        "image_id long, category_id int, obj_id long, iscrowd int, area double"))
     got = {(r.det_id, r.obj_id): r.iou for r in C.mask_similarity(top, targets, runs["d"], runs["g"]).collect()}
     assert got == pytest.approx(want)  # also 0, where counted overlaps make the union empty
+
+
+def test_points_of_unknown_labels_match_nothing(spark):
+    """A target whose labels are null has no similarity; the division by its points is not an error."""
+    kp = "array<struct<x double, y double, v int>>"
+    points = [(float(i), float(i), None) for i in range(17)]
+    d = spark.createDataFrame([(1, 1, 1, 0.5, points)], f"image_id long, category_id int, det_id long, score double, keypoints {kp}")
+    g = spark.createDataFrame([(1, 1, 1, 0, 9.0, 0.0, 0.0, 17.0, 17.0, points)],
+                              f"image_id long, category_id int, obj_id long, iscrowd int, area double, x double, y double, w double, h double, keypoints {kp}")
+    [row] = C.keypoint_similarity(C.top_detections(d, 20), C.numbered_targets(g)).collect()
+    assert row.iou is None
+    assert {r.metric: r.value for r in C.evaluate(d, g, "keypoints").collect()}["AR"] in (0.0, -1.0)
